@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, topk
+from . import jaccard, suffix, topk
 
-QUERIES = {"op2_top_k": topk.op2_top_k, "op4_ngram_jaccard": jaccard.op4_ngram_jaccard}
-ORACLES = {"op2_top_k": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE}
+QUERIES = {"op2_top_k": topk.op2_top_k, "op4_ngram_jaccard": jaccard.op4_ngram_jaccard, "op10_suffix_dedup": suffix.op10_suffix_dedup}
+ORACLES = {"op2_top_k": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op10_suffix_dedup": suffix.ORACLE}
