@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, suffix, topk
+from . import decontaminate, jaccard, suffix, tokenfile, topk
 
-QUERIES = {"op2_top_k": topk.op2_top_k, "op4_ngram_jaccard": jaccard.op4_ngram_jaccard, "op10_suffix_dedup": suffix.op10_suffix_dedup}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_top_k": topk.op2_top_k,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op9_token_ids": tokenfile.op9_token_ids,
+    "op10_suffix_dedup": suffix.op10_suffix_dedup,
+}
 ORACLES = {"op2_top_k": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op10_suffix_dedup": suffix.ORACLE}
