@@ -73,7 +73,7 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         from itertools import chain
@@ -86,9 +86,9 @@ class _Words:
                 new = list(set(chain.from_iterable(split)))
             for a in range(0, len(new), 20_000):
                 part = new[a : a + 20_000]
-                self.known.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+                self.known.update(zip(part, (pack(np.array(e.ids, np.uint32)) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
         get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, s)), np.uint32) for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
 
 
 _WORKER: dict[str, _Words] = {}
