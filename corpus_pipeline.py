@@ -27,25 +27,25 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The document of least doc_id of each group of near duplicates. Rows that repeat a doc_id are one document if they are linked."""
     groups = jaccard.near_duplicates(docs, SHINGLE, SIMILARITY)
     first = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(first.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings that start earlier in the corpus; n_chars follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = suffix.cut_repeats(docs, rest, with_text=True)
-    out = cut.withColumnRenamed("kept", "text")
+    held = {c: f"held_{i}" for i, c in enumerate(rest)}  # other columns may have any name
+    cut = suffix.cut_repeats(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(h) for c, h in held.items())), list(held.values()), with_text=True)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{c: F.col(h) for c, h in held.items()}}
     if "n_chars" in rest:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col(held["n_chars"])).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
     hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = hits.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = hits.select("doc_id").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
