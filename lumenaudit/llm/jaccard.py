@@ -35,7 +35,9 @@ SLICES = 16
 SMALL = 32
 FRAGMENTS = 4
 #: Pairs that one task of the partial counting is dealt, about.
-CELL = 2000
+CELL = 6000
+#: Numbers in the list of needed classes up to which it is broadcast (eight bytes each).
+SHIPPED = 1 << 21
 #: Prefix shingles in one posting bucket, about.
 POSTINGS = 1 << 20
 
@@ -192,17 +194,21 @@ def _candidates(percent: int):
 
 
 def _fragments(k: int, sketch, pivots: np.ndarray):
-    """(class, fragment, its shingles in that fragment) for every text."""
+    """(cell, fragment, class, its shingles in that fragment) for every cell that a text's class is needed in."""
 
     def run(batches):
         count = sketch.value
         for batch in batches:
+            want, cells = batch.column("c").to_pylist(), batch.column("cells").to_pylist()
             rows = []
-            for _, s in _sets(batch, k):
+            for d, s in _sets(batch, k):
+                if _class(s) != want[d]:
+                    continue  # another row of the same doc_id
                 f = np.searchsorted(pivots, count[s & np.uint64(SKETCH - 1)], "left") * (FRAGMENTS // 2) + (s >> np.uint64(63)).astype(np.int64) % (FRAGMENTS // 2)
-                c = _class(s)
-                rows += [(c, int(x), pack(s[f == x])) for x in np.unique(f)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["c", "fragment", "part"])
+                for x in np.unique(f).tolist():
+                    part = pack(s[f == x])
+                    rows += [(cell, x, want[d], part) for cell in cells[d]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["cell", "fragment", "c", "part"])
 
     return run
 
@@ -220,11 +226,12 @@ def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent:
     grid = max(1, math.ceil(math.sqrt(pairs.count() / CELL)))
     cell = lambda x: F.pmod(F.xxhash64(x), F.lit(grid))
     pairs = pairs.withColumn("cell", cell("a") * grid + cell("b"))
-    need = pairs.select("cell", F.col("a").alias("c")).union(pairs.select("cell", F.col("b").alias("c"))).distinct()
-    ids = first.join(need.select("c").distinct(), "c", "left_semi").select(F.col("first").alias("id"))
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    parts = texts.mapInArrow(_fragments(k, sketch, pivots), "c long, fragment int, part binary").dropDuplicates(["c", "fragment"])
-    parts = parts.join(need, "c").select("cell", "fragment", "c", "part")
+    need = pairs.select("cell", F.col("a").alias("c")).union(pairs.select("cell", F.col("b").alias("c"))).groupBy("c").agg(F.collect_set("cell").alias("cells"))
+    ids = materialize(need.join(first, "c").select(F.col("first").alias("id"), "c", "cells"), "needed")
+    # a class is in at most 2 * grid cells; the list is shipped whole only where it is short, else dealt with the texts
+    ids = F.broadcast(ids) if ids.agg(F.sum(F.size("cells") + 4)).first()[0] <= SHIPPED else ids
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"])).select("text", "c", "cells")
+    parts = texts.mapInArrow(_fragments(k, sketch, pivots), "cell long, fragment int, c long, part binary")
     spread = pairs.select("cell", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     partial = spread.groupBy("cell", "fragment").cogroup(parts.groupBy("cell", "fragment")).applyInArrow(_overlaps, "a long, b long, n long")
     both = partial.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("both"))
