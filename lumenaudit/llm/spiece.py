@@ -34,7 +34,7 @@ BLANK = "▁"
 #: Longest piece that the suffix ranks tell apart, in characters.
 DEPTH = 16
 #: Stretches a worker remembers between batches (those of up to LONG characters).
-REMEMBER, LONG = 700_000, 48
+REMEMBER, LONG = 250_000, 48
 BATCH = 2 << 20
 _STRETCH = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 _PAIRS = 1 << 22
@@ -270,8 +270,8 @@ class Vocabulary:
             self.known.update((t, self._plain(self._merge_run(t))) for t in runs)
             ordered = list(new - runs if runs else new)
             at, size = 0, np.cumsum([len(t) for t in ordered])
-            while at < len(ordered):  # batch texts of about half a million characters
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 19), "right")))
+            while at < len(ordered):  # batch texts of about a hundred thousand characters
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 17), "right")))
                 self.known.update(zip(ordered[at:to], self._stretches(ordered[at:to])))
                 at = to
         get = self.known.__getitem__

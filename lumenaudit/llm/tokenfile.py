@@ -27,7 +27,7 @@ from .shared import pack, table_path, text_bytes
 FILE = 8 << 20
 END = 2
 #: Words a worker remembers between batches; when full it starts afresh (results don't depend on it).
-REMEMBER = 400_000
+REMEMBER = 250_000
 _LAST = np.iinfo(np.int64).max
 Key = tuple[pa.Scalar, ...]
 
