@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..sources.stored import stored
 
 
 def quoted(words: list[str]) -> str:
@@ -69,6 +70,20 @@ _COMBINED = "concat(lower(coalesce(nullif(a_name, ''), a_id, '')), ' ', lower(co
 PURPOSE = "CASE " + " ".join(f"WHEN HAS(said, RX'{p}') THEN '{t}'" for p, t in V.PURPOSES) + " END"
 
 
+@dataclass(frozen=True)
+class Local:
+    """A rule that judges one row of one table; all such rules of a table run in one pass."""
+
+    table: str
+    where: str
+    severity: str
+    selector: str
+    pos: str = "pos"
+
+    def __str__(self) -> str:
+        return f"SELECT page_id, {self.pos} AS pos, {self.severity} AS severity, {self.selector} AS element_selector FROM {{{self.table}}} WHERE {self.where}"
+
+
 @dataclass(frozen=True)
 class Rule:
     """sql gives page_id, pos, severity, element_selector over {elements}, {record} and VIEWS; or build does, from a DataFrame of elements and one of records."""
@@ -77,16 +92,16 @@ class Rule:
     criterion: str
     level: str
     title: str
-    sql: str = ""
+    sql: str | Local = ""
     build: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
-def _element(where: str, severity: str = "'major'", selector: str = "tag") -> str:
-    return f"SELECT page_id, pos, {severity} AS severity, {selector} AS element_selector FROM {{elements}} WHERE {where}"
+def _element(where: str, severity: str = "'major'", selector: str = "tag") -> Local:
+    return Local("elements", where, severity, selector)
 
 
-def _page(where: str, severity: str = "'major'", selector: str = "''") -> str:
-    return f"SELECT page_id, -1 AS pos, {severity} AS severity, {selector} AS element_selector FROM {{record}} WHERE {where}"
+def _page(where: str, severity: str = "'major'", selector: str = "''") -> Local:
+    return Local("record", where, severity, selector, "-1")
 
 
 def _named(tag: str = "tag") -> str:
@@ -100,22 +115,22 @@ _PROP = "concat(p.prop, RX'\\s*:[^;]*!important')"
 
 RULES = [
     Rule("img-alt-quality", "1.1.1", "A", "Image text says nothing about the image", _element(f"tag = 'img' AND lower(trim(a_alt)) IN ({quoted(V.MEANINGLESS_ALT)})", selector="''")),
-    Rule("form-label", "1.3.1", "A", "Form field without a label", f"SELECT page_id, pos, CASE WHEN placeholder IS NULL THEN 'critical' ELSE 'major' END AS severity, {_NAME} AS element_selector FROM {{inputs}} WHERE {_SKIP} AND NOT has_label AND aria_label IS NULL"),
+    Rule("form-label", "1.3.1", "A", "Form field without a label", Local("inputs", f"{_SKIP} AND NOT has_label AND aria_label IS NULL", f"CASE WHEN placeholder IS NULL THEN 'critical' ELSE 'major' END", f"{_NAME}")),
     Rule("heading-order", "1.3.1", "A", "Headings are out of order", """SELECT page_id, -1 AS pos, 'major' AS severity, '' AS element_selector FROM {headings} GROUP BY page_id HAVING min(level) > 1 UNION ALL
         SELECT page_id, pos, 'minor', concat('h', CAST(level AS STRING)) FROM (SELECT *, lag(level) OVER (PARTITION BY page_id ORDER BY pos) AS prev FROM {headings}) q WHERE level > prev + 1"""),
     Rule("html-lang", "3.1.1", "A", "Page without a language", _page("coalesce(lang, '') = ''", "'critical'", "'html'")),
     Rule("html-lang-valid", "3.1.1", "A", "Page with an unknown language code", _page(f"{_PRIMARY.format('lang')} <> '' AND {_PRIMARY.format('lang')} NOT IN ({_LANG_OK})", selector="'html'")),
     Rule("landmark-structure", "1.3.1", "A", "Main or navigation landmark is missing", """SELECT r.page_id, -1 AS pos, 'major' AS severity, '' AS element_selector FROM {record} r LEFT JOIN {kinds} k ON k.page_id = r.page_id WHERE coalesce(has_main, 0) = 0 UNION ALL
         SELECT r.page_id, -1, 'minor', '' FROM {record} r LEFT JOIN {kinds} k ON k.page_id = r.page_id WHERE coalesce(has_nav, 0) = 0"""),
-    Rule("link-text", "2.4.4", "A", "Link without a telling name", f"SELECT page_id, pos, CASE WHEN text = '' AND aria_label = '' AND labelledby = '' AND title = '' THEN 'critical' ELSE 'minor' END AS severity, concat('a[href=\"', href, '\"]') AS element_selector FROM {{links}} WHERE (text = '' AND aria_label = '' AND labelledby = '' AND title = '') OR (lower(trim(text)) IN ({quoted(V.GENERIC_LINK_TEXT)}) AND aria_label = '')"),
+    Rule("link-text", "2.4.4", "A", "Link without a telling name", Local("links", f"(text = '' AND aria_label = '' AND labelledby = '' AND title = '') OR (lower(trim(text)) IN ({quoted(V.GENERIC_LINK_TEXT)}) AND aria_label = '')", f"CASE WHEN text = '' AND aria_label = '' AND labelledby = '' AND title = '' THEN 'critical' ELSE 'minor' END", f"concat('a[href=\"', href, '\"]')")),
     Rule("page-title", "2.4.2", "A", "Page title is missing or generic", _page(f"coalesce(title, '') = '' OR lower(title) IN ({quoted(V.GENERIC_TITLE)})", "CASE WHEN coalesce(title, '') = '' THEN 'critical' ELSE 'major' END", "'title'")),
     Rule("tabindex-positive", "2.4.3", "A", "Positive tabindex", _element("TRY_CAST(nullif(regexp_extract(a_tabindex, RX'^\\s*([+-]?[0-9]+)', 1), '') AS INT) > 0")),
     Rule("duplicate-id", "4.1.1", "A", "An id is used more than once", "SELECT page_id, pos, 'critical' AS severity, concat('#', id) AS element_selector FROM {duplicate_ids}"),
-    Rule("button-name", "4.1.2", "A", "Button without a name", "SELECT page_id, pos, 'critical' AS severity, tag AS element_selector FROM {buttons} WHERE text = '' AND aria_label = '' AND labelledby = '' AND title = '' AND value = ''"),
+    Rule("button-name", "4.1.2", "A", "Button without a name", Local("buttons", "text = '' AND aria_label = '' AND labelledby = '' AND title = '' AND value = ''", "'critical'", "tag")),
     Rule("label-in-name", "2.5.3", "A", "Visible text is not part of the accessible name", """SELECT page_id, pos, 'major' AS severity, tag AS element_selector FROM {buttons} WHERE text <> '' AND aria_label <> '' AND position(lower(trim(text)) IN lower(trim(aria_label))) = 0 UNION ALL
         SELECT page_id, pos, 'major', 'a' FROM {links} WHERE text <> '' AND aria_label <> '' AND position(lower(trim(text)) IN lower(trim(aria_label))) = 0"""),
     Rule("no-autoplay", "1.4.2", "A", "Media starts by itself with sound", _element("tag IN ('video', 'audio') AND has_autoplay AND lower(raw) NOT LIKE '%muted%'", "'critical'")),
-    Rule("form-required-indicator", "3.3.1", "A", "Required field is not identified", f"SELECT page_id, pos, 'major' AS severity, {_NAME} AS element_selector FROM {{inputs}} WHERE required AND {_SKIP} AND NOT has_label AND aria_label IS NULL"),
+    Rule("form-required-indicator", "3.3.1", "A", "Required field is not identified", Local("inputs", f"required AND {_SKIP} AND NOT has_label AND aria_label IS NULL", f"'major'", f"{_NAME}")),
     Rule("area-alt", "1.1.1", "A", "Image-map area without a text", _element("tag = 'area' AND coalesce(a_alt, '') = '' AND coalesce(a_aria_label, '') = '' AND a_aria_labelledby IS NULL", "'critical'", "concat('area[href=\"', substring(coalesce(a_href, ''), 1, 80), '\"]')")),
     Rule("aria-allowed-attr", "4.1.2", "A", "ARIA attribute that the role does not take", f"""SELECT a.page_id, a.pos, 'critical' AS severity, concat('aria-', a.name) AS element_selector FROM (SELECT page_id, pos, role, EACH(names) AS name FROM {{aria}} WHERE role IN ({quoted(list(V.ARIA_BY_ROLE))})) a
         LEFT JOIN (SELECT * FROM {values([(r, n) for r, more in V.ARIA_BY_ROLE.items() for n in more])} AS v(role, name)) ok ON ok.role = a.role AND ok.name = a.name WHERE ok.name IS NULL AND a.name NOT IN ({quoted(V.ARIA_GLOBAL)})"""),
@@ -137,7 +152,7 @@ RULES = [
     Rule("meta-refresh", "2.2.1", "A", "Timed refresh", _element("tag = 'meta' AND TRY_CAST(nullif(regexp_extract(raw, RX'(?i)http-equiv\\s*=\\s*[\"\\x27]refresh[\"\\x27][^>]*content\\s*=\\s*[\"\\x27]\\s*([0-9]+)', 1), '') AS INT) > 0", "'critical'", "'meta[http-equiv=\"refresh\"]'")),
     Rule("nested-interactive", "4.1.2", "A", "Interactive element inside another", "SELECT DISTINCT i.page_id, i.pos, 'major' AS severity, i.tag AS element_selector FROM {focusable} o JOIN {focusable} i ON i.page_id = o.page_id AND i.pos > o.pos AND i.pos < o.end_pos WHERE o.tag IN ('a', 'button')"),
     Rule("scrollable-region-focusable", "2.1.1", "A", "Scrolling region out of the keyboard's reach", "SELECT e.page_id, e.pos, 'major' AS severity, e.tag AS element_selector FROM {elements} e LEFT JOIN {focusable} f ON f.page_id = e.page_id AND f.pos >= e.pos AND f.pos < e.end_pos WHERE HAS(lower(e.a_style), RX'overflow[-xy]*\\s*:\\s*(auto|scroll)') AND f.pos IS NULL"),
-    Rule("select-name", "4.1.2", "A", "Selection list without a name", "SELECT page_id, pos, 'critical' AS severity, concat('select[name=\"', name, '\"]') AS element_selector FROM {inputs} WHERE tag = 'select' AND NOT has_label AND aria_label IS NULL AND labelledby IS NULL AND title IS NULL"),
+    Rule("select-name", "4.1.2", "A", "Selection list without a name", Local("inputs", "tag = 'select' AND NOT has_label AND aria_label IS NULL AND labelledby IS NULL AND title IS NULL", "'critical'", "concat('select[name=\"', name, '\"]')")),
     Rule("svg-img-alt", "1.1.1", "A", "Drawing without a text", "SELECT e.page_id, e.pos, 'major' AS severity, e.tag AS element_selector FROM {elements} e LEFT JOIN {elements} t ON t.page_id = e.page_id AND t.tag = 'title' AND t.pos > e.pos AND t.pos < e.end_pos WHERE e.tag = 'svg' AND e.a_role = 'img' AND e.a_aria_label IS NULL AND e.a_aria_labelledby IS NULL AND t.pos IS NULL"),
     Rule("td-headers-attr", "1.3.1", "A", "Cell names a header that its table lacks", """SELECT c.page_id, c.pos, 'major' AS severity, c.word AS element_selector FROM (SELECT d.page_id, d.pos, d.word, max(t.pos) AS table_pos FROM (SELECT page_id, pos, EACH(WORDS(a_headers)) AS word FROM {elements} WHERE tag = 'td' AND a_headers IS NOT NULL) d JOIN {elements} t ON t.page_id = d.page_id AND t.tag = 'table' AND d.pos > t.pos AND d.pos < t.end_pos GROUP BY d.page_id, d.pos, d.word) c
         LEFT JOIN (SELECT h.page_id, h.a_id AS id, t.pos AS table_pos FROM {elements} h JOIN {elements} t ON t.page_id = h.page_id AND t.tag = 'table' AND h.pos > t.pos AND h.pos < t.end_pos WHERE h.tag = 'th' AND h.a_id IS NOT NULL) h ON h.page_id = c.page_id AND h.table_pos = c.table_pos AND h.id = c.word WHERE h.id IS NULL"""),
@@ -156,7 +171,7 @@ RULES = [
     Rule("img-alt-long", "1.1.1", "A", "Image text is very long", _element("tag = 'img' AND length(a_alt) > 150", "'minor'", "''")),
     Rule("autocomplete-valid", "1.3.5", "AA", "Unknown autocomplete word", f"SELECT page_id, pos, 'major' AS severity, word AS element_selector FROM (SELECT page_id, pos, EACH(WORDS(a_autocomplete)) AS word FROM (SELECT page_id, pos, lower(a_autocomplete) AS a_autocomplete FROM {{elements}} WHERE tag = 'input' AND lower(a_type) IN ('text', 'email', 'tel', 'url', 'password', 'search') AND trim(a_autocomplete) NOT IN ('off', 'on')) i) q WHERE word NOT IN ('shipping', 'billing') AND word NOT LIKE 'section-%' AND word NOT IN ({quoted(V.AUTOCOMPLETE)})"),
     Rule("avoid-inline-spacing", "1.4.12", "AA", "Inline style locks text spacing", f"SELECT e.page_id, e.pos, 'major' AS severity, p.prop AS element_selector FROM {{elements}} e JOIN ({_SPACING}) p ON HAS(lower(e.a_style), {_PROP})"),
-    Rule("link-target-blank", "3.2.5", "AAA", "Link opens a new window unannounced", "SELECT page_id, pos, 'minor' AS severity, concat('a[href=\"', href, '\"]') AS element_selector FROM {links} WHERE trim(target) = '_blank' AND " + " AND ".join(f"concat(lower(text), ' ', lower(aria_label)) NOT LIKE '%{w}%'" for w in V.NEW_WINDOW_WORDS)),
+    Rule("link-target-blank", "3.2.5", "AAA", "Link opens a new window unannounced", Local("links", "trim(target) = '_blank' AND " + " AND ".join(f"concat(lower(text), ' ', lower(aria_label)) NOT LIKE '%{w}%'" for w in V.NEW_WINDOW_WORDS), "'minor'", "concat('a[href=\"', href, '\"]')")),
 ]
 
 #: The rule that judges captured focus styles instead of markup; see functions.contrast.
@@ -179,11 +194,19 @@ def at_level(level: str) -> list[Rule]:
 RECORD = "SELECT page_id, substring(html, 1, 50000) AS html, nullif(regexp_extract(html, RX'(?i)<html[^>]*\\slang=\"([^\"]*)\"', 1), '') AS lang, trim(replace(regexp_extract(html, RX'(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')) AS title, nullif(regexp_extract(html, RX'(?i)<meta\\s+name=\"viewport\"\\s+content=\"([^\"]*)\"', 1), '') AS viewport FROM {pages}"
 
 
-def views(spark: SparkSession, pages: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
+#: Tables that several rules read; stored once per audit.
+SHARED = {"inputs", "links", "buttons", "headings", "kinds", "duplicate_ids", "focusable", "aria"}
+
+
+def views(spark: SparkSession, pages: DataFrame, elements: DataFrame, store: bool = False) -> dict[str, DataFrame]:
     held = {"elements": elements, "pages": pages}
     held["record"] = spark.sql(render(RECORD, "spark"), pages=pages)
+    if store:
+        held["record"] = stored(held["record"], "record")
     for name, sql in VIEWS.items():
         held[name] = spark.sql(render(sql, "spark"), **{k: v for k, v in held.items() if "{" + k + "}" in sql})
+        if store and name in SHARED:
+            held[name] = stored(held[name], name)
     return held
 
 
@@ -192,10 +215,18 @@ def run_rule(spark: SparkSession, rule: Rule, held: dict[str, DataFrame]) -> Dat
     if rule.build:
         found = rule.build(held["elements"], held["record"])
     else:
-        found = spark.sql(render(rule.sql, "spark"), **{k: v for k, v in held.items() if "{" + k + "}" in rule.sql})
+        found = spark.sql(render(str(rule.sql), "spark"), **{k: v for k, v in held.items() if "{" + k + "}" in str(rule.sql)})
     return found.select("page_id", F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.criterion).alias("wcag_criterion"), F.lit(rule.level).alias("wcag_level"), "severity", "element_selector", F.col("pos").cast("int").alias("pos"))
 
 
+def run_local(table: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The issues of all local rules of one table, in one pass over it."""
+    lit = lambda x, name: F.lit(x).alias(name)
+    expr = lambda x: F.expr(render(x, "spark"))
+    found = [F.when(expr(r.sql.where), F.struct(lit(r.rule_id, "rule_id"), lit(r.criterion, "wcag_criterion"), lit(r.level, "wcag_level"), expr(r.sql.severity).alias("severity"), expr(r.sql.selector).alias("element_selector"), expr(r.sql.pos).cast("int").alias("pos"))) for r in rules]
+    return table.select("page_id", F.inline(F.array_compact(F.array(*found))))
+
+
 def broken_viewports(record: DataFrame) -> DataFrame:
     """Pages whose scale can't be read: the rule fails there, which is an `info` issue instead of the rule's own."""
     scale = F.regexp_extract(F.replace(F.lower("viewport"), F.lit(" "), F.lit("")), r"maximum-scale=([0-9.]+)", 1)
@@ -204,9 +235,12 @@ def broken_viewports(record: DataFrame) -> DataFrame:
 
 def audit(spark: SparkSession, pages: DataFrame, elements: DataFrame, level: str = "AA") -> DataFrame:
     """All issues of pages(page_id, html) up to a level, as one table."""
-    held = views(spark, pages, elements)
+    held = views(spark, pages, stored(elements, "elements"), store=True)
     rules = at_level(level)
-    issues = reduce(DataFrame.unionByName, [run_rule(spark, r, held) for r in rules])
+    local = [r for r in rules if isinstance(r.sql, Local)]
+    tables = sorted({r.sql.table for r in local})
+    parts = [run_local(held[t], [r for r in local if r.sql.table == t]) for t in tables]
+    issues = reduce(DataFrame.unionByName, parts + [run_rule(spark, r, held) for r in rules if not isinstance(r.sql, Local)])
     broken = broken_viewports(held["record"])
     if any(r.rule_id == "meta-viewport-scale" for r in rules):
         kept = issues.join(broken.withColumn("rule_id", F.lit("meta-viewport-scale")), ["page_id", "rule_id"], "left_anti").select(issues.columns)
@@ -233,5 +267,5 @@ def duck_views(names: set[str] | None = None) -> str:
 
 def duck_rule(rule: Rule) -> str:
     known = {"elements": "elements", "record": "record"} | {k: f"v_{k}" for k in VIEWS}
-    body = render(rule.sql, "duck").format(**known)
+    body = render(str(rule.sql), "duck").format(**known)
     return f"SELECT page_id, '{rule.rule_id}' AS rule_id, '{rule.criterion}' AS wcag_criterion, '{rule.level}' AS wcag_level, severity, element_selector, pos::INTEGER AS pos FROM ({body})"

@@ -102,7 +102,7 @@ for _r in rules.RULES:
 
 def audit(s: SparkSession, d: str, level: str = "AA") -> DataFrame:
     p = rich(s, d).select("page_id", "html")
-    return rules.audit(s, p, markup.elements(p).persist(), level)
+    return rules.audit(s, p, markup.elements(p), level)
 
 
 def _audit_sql(level: str) -> str:
@@ -257,7 +257,7 @@ add("w4_routed", lambda s, d: progress.messages(s.read.parquet(f"{d}/events.parq
 def _stream_audit(s: SparkSession, d: str) -> DataFrame:
     def run(batch: DataFrame) -> DataFrame:
         p = P.rich(batch).select("page_id", "html")
-        return rules.audit(batch.sparkSession, p, markup.elements(p).persist())
+        return rules.audit(batch.sparkSession, p, markup.elements(p))
 
     return progress.incremental_audit(s, progress.stream(s, d, "pages"), run)
 
