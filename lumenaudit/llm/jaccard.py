@@ -7,8 +7,10 @@ candidate pairs. The order is then cut into FRAGMENTS; each fragment counts the
 a pair on its own, and the partial counts are summed per pair.
 
 Skew: equal sets are one class and are never paired. A shingle held by more than SMALL classes
-links them by stars (length-compatible neighbours with a leader) already in the map task; what
-those links leave apart is then paired exactly, but only across components that still differ.
+links them by stars (each class with a leader) already in the map task; what those links leave
+apart is then paired exactly, but only across components that still differ. The place of the first
+common shingle in both orders bounds the overlap, which keeps most edited copies of a text from
+being paired with each other.
 Partial counting deals pairs over a grid of (hash of a, hash of b), so a much-linked class is
 spread over many tasks.
 
@@ -34,6 +36,7 @@ SKETCH = 1 << 20
 SLICES = 16
 SMALL = 32
 FRAGMENTS = 4
+LEADERS = 24
 #: Pairs that one task of the partial counting is dealt, about.
 CELL = 6000
 #: Numbers in the list of needed classes up to which it is broadcast (eight bytes each).
@@ -106,15 +109,29 @@ def _alike(na, nb, percent: int):
     return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
 
 
-def _stars(c: np.ndarray, n: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Rows (a, na, b, nb): members of one posting list in order of size, each with a leader of like size."""
-    order = np.lexsort((c, n))
-    c, n, out, at = c[order], n[order], [], 0
-    while at < len(c):
-        to = at + int(np.count_nonzero(_alike(n[at], n[at:], percent)))
-        if to > at + 1:
-            out.append(np.stack([np.full(to - at - 1, c[at]), np.full(to - at - 1, n[at]), c[at + 1 : to], n[at + 1 : to]]))
-        at = to
+def _may_link(na, nb, ra, rb, percent: int):
+    """Whether two sets can still reach the threshold if a shingle is their first common one and ra, rb of theirs are left from it on (order filter)."""
+    return _alike(na, nb, percent) & ((100 + percent) * np.minimum(ra, rb) >= percent * (na + nb))
+
+
+def _stars(c: np.ndarray, n: np.ndarray, r: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Rows (a, na, b, nb): members of one posting list with leaders they may be linked with.
+
+    A leader has the fewest rarer shingles before this one: of the edited copies of a text that is the text itself.
+    Those that find no leader in LEADERS turns stay for the exact pairing.
+    """
+    order = np.lexsort((c, n, n - r))
+    c, n, r, out = c[order], n[order], r[order], []
+    for _ in range(LEADERS):
+        if len(c) < 2:
+            break
+        near = _may_link(n[0], n, r[0], r, percent)
+        near[0] = False
+        if near.any():
+            m = int(near.sum())
+            out.append(np.stack([np.full(m, c[0]), np.full(m, n[0]), c[near], n[near]]))
+        near[0] = True
+        c, n, r = c[~near], n[~near], r[~near]
     return out
 
 
@@ -125,7 +142,7 @@ def _runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _post(percent: int, buckets: int):
     """Packs prefix entries by bucket; a shingle that is common in this batch is linked by stars here, and only its leader goes on."""
-    names = ["bucket", "t", "c", "n", "common", "lt", "lc", "ln", "edges"]
+    names = ["bucket", "t", "c", "n", "r", "common", "lt", "lc", "ln", "lr", "edges"]
 
     def run(batches):
         for batch in batches:
@@ -136,16 +153,18 @@ def _post(percent: int, buckets: int):
             t = np.concatenate(p)
             c = np.repeat(batch.column("c").to_numpy(zero_copy_only=False), many)
             n = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), many)
+            r = n - (np.arange(len(t)) - np.repeat(np.cumsum(many) - many, many))
             order = np.argsort(t, kind="stable")
-            t, c, n = t[order], c[order], n[order]
+            t, c, n, r = t[order], c[order], n[order], r[order]
             first, size = _runs(t)
             edges, keep = [], np.ones(len(t), bool)
             common = np.zeros(len(t), bool)
             for a, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                edges += _stars(c[a : a + m], n[a : a + m], percent)
-                keep[a + 1 : a + m] = False
-                common[a] = True
-            lt, lc, ln = t[~keep], c[~keep], n[~keep]
+                edges += _stars(c[a : a + m], n[a : a + m], r[a : a + m], percent)
+                lead = a + int(np.lexsort((c[a : a + m], n[a : a + m], (n - r)[a : a + m]))[0])
+                keep[a : a + m] = False
+                keep[lead] = common[lead] = True
+            lt, lc, ln, lr = t[~keep], c[~keep], n[~keep], r[~keep]
             e = np.concatenate(edges, axis=1).astype(np.int64) if edges else np.zeros((4, 0), np.int64)
             b = (mix(t) % np.uint64(buckets)).astype(np.int64)
             lb = (mix(lt) % np.uint64(buckets)).astype(np.int64)
@@ -153,8 +172,8 @@ def _post(percent: int, buckets: int):
             rows = []
             for x in np.unique(np.concatenate([b, lb, eb])):
                 i, j = keep & (b == x), lb == x
-                rows.append([int(x), pack(t[i]), pack(c[i]), pack(n[i]), pack(common[i]), pack(lt[j]), pack(lc[j]), pack(ln[j]), pack(e[:, eb == x].T)])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 9))], names=names)
+                rows.append([int(x), pack(t[i]), pack(c[i]), pack(n[i]), pack(r[i]), pack(common[i]), pack(lt[j]), pack(lc[j]), pack(ln[j]), pack(lr[j]), pack(e[:, eb == x].T)])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 11))], names=names)
 
     return run
 
@@ -165,21 +184,21 @@ _CANDIDATES = "kind int, a long, na long, b long, nb long"
 def _candidates(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         get = lambda x, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(x)])
-        t, c, n, common = get("t", np.uint64), get("c", np.int64), get("n", np.int64), get("common", bool)
+        t, c, n, r, common = get("t", np.uint64), get("c", np.int64), get("n", np.int64), get("r", np.int64), get("common", bool)
         edges = [get("edges", np.int64).reshape(-1, 4).T]
-        large = [np.stack([get("lt", np.uint64).astype(np.int64), get("lc", np.int64), get("ln", np.int64)])]
+        large = [np.stack([get("lt", np.uint64).astype(np.int64), get("lc", np.int64), get("ln", np.int64), get("lr", np.int64)])]
         order = np.argsort(t, kind="stable")
-        t, c, n, common = t[order], c[order], n[order], common[order]
+        t, c, n, r, common = t[order], c[order], n[order], r[order], common[order]
         first, size = _runs(t)
         big = (size > SMALL) | (np.logical_or.reduceat(common, first) if len(first) else np.zeros(0, bool))
         for a, m in zip(first[big].tolist(), size[big].tolist()):
-            edges += _stars(c[a : a + m], n[a : a + m], percent)
-            large.append(np.stack([t[a : a + m].astype(np.int64), c[a : a + m], n[a : a + m]]))
+            edges += _stars(c[a : a + m], n[a : a + m], r[a : a + m], percent)
+            large.append(np.stack([t[a : a + m].astype(np.int64), c[a : a + m], n[a : a + m], r[a : a + m]]))
         for m in np.unique(size[~big & (size > 1)]):
             at = first[~big & (size == m)][:, None] + np.arange(m)
             i, j = np.triu_indices(m, 1)
             a, b = at[:, i].ravel(), at[:, j].ravel()
-            fine = _alike(n[a], n[b], percent) & (c[a] != c[b])
+            fine = _may_link(n[a], n[b], r[a], r[b], percent) & (c[a] != c[b])
             edges.append(np.stack([c[a[fine]], n[a[fine]], c[b[fine]], n[b[fine]]]))
         e = np.concatenate(edges, axis=1).astype(np.int64)
         swap = e[0] > e[2]
@@ -187,8 +206,7 @@ def _candidates(percent: int):
         e = np.unique(e[:, e[0] != e[2]], axis=1)
         g = np.concatenate(large, axis=1)
         kind = np.concatenate([np.zeros(e.shape[1], np.int32), np.ones(g.shape[1], np.int32)])
-        zero = np.zeros(g.shape[1], np.int64)
-        return pa.table([pa.array(kind), *(pa.array(np.concatenate([x, y])) for x, y in zip(e, (g[0], g[2], g[1], zero)))], names=["kind", "a", "na", "b", "nb"])
+        return pa.table([pa.array(kind), *(pa.array(np.concatenate([x, y])) for x, y in zip(e, (g[0], g[2], g[1], g[3])))], names=["kind", "a", "na", "b", "nb"])
 
     return run
 
@@ -254,12 +272,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     first = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
     buckets = max(1, math.ceil(size / 6 * (1 - percent / 100) / POSTINGS))
     entries = docs.select("text").mapInArrow(_prefixes(k, percent, sketch), "c long, n long, prefix binary").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = entries.mapInArrow(_post(percent, buckets), "bucket long, t binary, c binary, n binary, common binary, lt binary, lc binary, ln binary, edges binary")
+    posted = entries.mapInArrow(_post(percent, buckets), "bucket long, t binary, c binary, n binary, r binary, common binary, lt binary, lc binary, ln binary, lr binary, edges binary")
     found = materialize(posted.groupBy("bucket").applyInArrow(_candidates(percent), _CANDIDATES), "candidates")
     pairs = found.where("kind = 0").select("a", "na", "b", "nb").distinct()
     links = _links(pairs, docs, first, k, percent, sketch, pivots)
     label = components(links)
-    large = found.where("kind = 1").select(F.col("a").alias("t"), F.col("na").alias("n"), F.col("b").alias("c"))
+    large = found.where("kind = 1").select(F.col("a").alias("t"), F.col("na").alias("n"), F.col("b").alias("c"), F.col("nb").alias("r"))
     if not large.isEmpty():
         more = materialize(_apart(large, label, percent).join(pairs, ["a", "b"], "left_anti"), "apart")
         if not more.isEmpty():
@@ -274,14 +292,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
 
 def _apart(large: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, na, b, nb) of classes that share a common shingle and whose components still differ."""
-    e = large.distinct().join(label.withColumnRenamed("node", "c"), "c", "left").select("t", "c", "n", F.coalesce("component", "c").alias("g"))
+    e = large.distinct().join(label.withColumnRenamed("node", "c"), "c", "left").select("t", "c", "n", "r", F.coalesce("component", "c").alias("g"))
     e = materialize(e, "entries")
     mixed = e.groupBy("t", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("t").agg(F.max_by("g", "m").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
     e = e.join(mixed, "t")
     rest = e.where("g <> main")
-    right = e.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("g").alias("g2"), "main")
+    right = e.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("g").alias("g2"), "main")
     met = rest.drop("main").join(right, "t").where((F.col("g") != F.col("g2")) & ((F.col("g2") == F.col("main")) | (F.col("c") < F.col("c2"))))
-    met = met.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    met = met.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("r", "r2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
     ends = F.when(F.col("c") < F.col("c2"), F.struct(F.col("c").alias("a"), F.col("n").alias("na"), F.col("c2").alias("b"), F.col("n2").alias("nb"))).otherwise(F.struct(F.col("c2").alias("a"), F.col("n2").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb")))
     return met.select(ends.alias("p")).select("p.*").distinct()
 
