@@ -247,7 +247,7 @@ def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent:
     need = pairs.select("cell", F.col("a").alias("c")).union(pairs.select("cell", F.col("b").alias("c"))).groupBy("c").agg(F.collect_set("cell").alias("cells"))
     ids = materialize(need.join(first, "c").select(F.col("first").alias("id"), "c", "cells"), "needed")
     # a class is in at most 2 * grid cells; the list is shipped whole only where it is short, else dealt with the texts
-    ids = F.broadcast(ids) if ids.agg(F.sum(F.size("cells") + 4)).first()[0] <= SHIPPED else ids
+    ids = F.broadcast(ids) if (ids.agg(F.sum(F.size("cells") + 4)).first()[0] or 0) <= SHIPPED else ids
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"])).select("text", "c", "cells")
     parts = texts.mapInArrow(_fragments(k, sketch, pivots), "cell long, fragment int, c long, part binary")
     spread = pairs.select("cell", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
