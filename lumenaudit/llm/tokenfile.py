@@ -14,6 +14,7 @@ no files and no rows.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -27,7 +28,7 @@ from .shared import pack, table_path, text_bytes
 FILE = 8 << 20
 END = 2
 #: Words a worker remembers between batches; when full it starts afresh (results don't depend on it).
-REMEMBER = 250_000
+REMEMBER = 400_000
 _LAST = np.iinfo(np.int64).max
 Key = tuple[pa.Scalar, ...]
 
@@ -63,9 +64,12 @@ class _Words:
     """Ids of white-space-free stretches of text, by the tokenizers library, remembered within a worker.
 
     Only the space and the line feed part stretches here: every tokenizer that drops white space
-    gives a text's ids as those of its stretches, one after another.
+    gives a text's ids as those of its stretches, one after another. Where the tokenizer lower-cases
+    and first splits by _SPLIT (`splits`), an ASCII stretch's ids are in turn those of its parts.
     """
 
+    _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+
     def __init__(self, path: str):
         import os
 
@@ -74,6 +78,15 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            said = f.read(20_000)
+        self.splits = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in said and '"Lowercase"' in said
+
+    def _learn(self, texts: list[str], known: dict[str, bytes]) -> None:
+        for a in range(0, len(texts), 20_000):
+            part = texts[a : a + 20_000]
+            known.update(zip(part, (pack(np.array(e.ids, np.uint32)) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         from itertools import chain
@@ -84,9 +97,13 @@ class _Words:
             if len(self.known) + len(new) > REMEMBER:
                 self.known.clear()
                 new = list(set(chain.from_iterable(split)))
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
-                self.known.update(zip(part, (pack(np.array(e.ids, np.uint32)) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+            plain = {t: self._SPLIT.findall(t.lower()) for t in new if t.isascii() and "<|" not in t} if self.splits else {}
+            self._learn([t for t in new if t not in plain], self.known)
+            if len(self.parts) > REMEMBER:
+                self.parts.clear()
+            self._learn(list(set(chain.from_iterable(plain.values())).difference(self.parts)), self.parts)
+            part = self.parts.__getitem__
+            self.known.update((t, b"".join(map(part, p))) for t, p in plain.items())
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
 
