@@ -40,6 +40,27 @@ _STRETCH = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 _PAIRS = 1 << 22
 
 
+def _packed(part: np.ndarray, low: bool) -> np.ndarray:
+    """Four codes as one key; blanks after a piece's end as least or greatest."""
+    part = part if low else np.where(part > 0, part, np.uint64(0xFFFF))
+    return part[:, 0] << np.uint64(48) | part[:, 1] << np.uint64(32) | part[:, 2] << np.uint64(16) | part[:, 3]
+
+
+def _bounds(kinds: list[np.ndarray], codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range of ranks (at 4 << level characters) that begin with each row's codes. No closure: one that calls itself would keep a batch's arrays until garbage is collected."""
+    if level == 0:
+        return np.searchsorted(kinds[0], _packed(codes, True), "left"), np.searchsorted(kinds[0], _packed(codes, False), "right")
+    half = 2 << level
+    lo, hi = _bounds(kinds, codes[:, :half], level - 1)
+    lo2, hi2 = _bounds(kinds, codes[:, half:], level - 1)
+    whole = codes[:, half] > 0
+    lo = lo.astype(np.uint64) << np.uint64(32)
+    a = np.where(whole, lo | lo2.astype(np.uint64), lo)
+    b = np.where(whole, lo | hi2.astype(np.uint64), hi.astype(np.uint64) << np.uint64(32))
+    b = np.where(hi > lo >> np.uint64(32), b, a)
+    return np.searchsorted(kinds[level], a, "left"), np.searchsorted(kinds[level], b, "left")
+
+
 class Vocabulary:
     """The pieces of a model file, what each was last merged from, and how suffix ranks find them."""
 
@@ -152,14 +173,7 @@ class Vocabulary:
         """(start, piece) of every occurrence of every piece in code[:n]; DEPTH zeros follow."""
         c = code.astype(np.uint64)
         word = c[:-3] << np.uint64(48) | c[1:-2] << np.uint64(32) | c[2:-1] << np.uint64(16) | c[3:]
-        bits = np.uint64(16)
-
-        def packed(part: np.ndarray, low: bool) -> np.ndarray:
-            """Four codes as one key; blanks after a piece's end as least or greatest."""
-            part = part if low else np.where(part > 0, part, np.uint64(0xFFFF))
-            return part[:, 0] << np.uint64(48) | part[:, 1] << np.uint64(32) | part[:, 2] << bits | part[:, 3]
-
-        ranks, orders, sorts = [], [], []
+        ranks, orders, kinds = [], [], []
         key, span = word[: n + DEPTH - 4], 4
         while True:
             order = np.argsort(key, kind="stable")
@@ -167,31 +181,16 @@ class Vocabulary:
             first = np.concatenate([[True], s[1:] != s[:-1]])
             rank = np.empty(len(key), np.uint64)
             rank[order] = np.cumsum(first).astype(np.uint64) - np.uint64(1)
-            ranks.append(rank), orders.append(order), sorts.append((s, s[first]))
+            ranks.append(rank), orders.append(order), kinds.append(s[first])
             if span == DEPTH:
                 break
             ahead = np.zeros(len(rank), np.uint64)
             ahead[: len(rank) - span] = rank[span:]
             key, span = rank << np.uint64(32) | ahead, 2 * span
         starts, found = [], []
-
-        def bounds(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-            """Range of ranks (at 4 << level characters) that begin with each row's codes."""
-            kinds = sorts[level][1]
-            if level == 0:
-                return np.searchsorted(kinds, packed(codes, True), "left"), np.searchsorted(kinds, packed(codes, False), "right")
-            half = 2 << level
-            lo, hi = bounds(codes[:, :half], level - 1)
-            lo2, hi2 = bounds(codes[:, half:], level - 1)
-            whole = codes[:, half] > 0
-            a = np.where(whole, lo.astype(np.uint64) << np.uint64(32) | lo2.astype(np.uint64), lo.astype(np.uint64) << np.uint64(32))
-            b = np.where(whole, lo.astype(np.uint64) << np.uint64(32) | hi2.astype(np.uint64), hi.astype(np.uint64) << np.uint64(32))
-            b = np.where(hi > lo, b, a)
-            return np.searchsorted(kinds, a, "left"), np.searchsorted(kinds, b, "left")
-
         for level, (least, most) in enumerate(((1, 4), (5, 8), (9, 16))):
             p = np.flatnonzero((self.length >= least) & (self.length <= most))
-            lo, hi = bounds(self.codes[p, : 4 << level], level)
+            lo, hi = _bounds(kinds, self.codes[p, : 4 << level], level)
             by_rank = np.sort(ranks[level])
             a, b = np.searchsorted(by_rank, lo.astype(np.uint64), "left"), np.searchsorted(by_rank, hi.astype(np.uint64), "left")
             many = np.maximum(b - a, 0)
