@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 KEPT_PER_TEMPLATE = 3
 
 
-def content_hash(elements: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, content_hash): 16 hex digits over the first 500 tags under main or body and 5000 characters of text."""
+def content_hash(elements: DataFrame, tokens: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, content_hash): 16 hex digits over the first 500 tags under main, or else body, and its first 5000 characters of text; of the URL where there is neither."""
     root = elements.where("tag IN ('main', 'body')").groupBy("page_id").agg(F.min_by(F.struct("pos", "end_pos"), F.struct(F.when(F.col("tag") == "main", 0).otherwise(1).alias("o"), F.col("pos").alias("p"))).alias("root"))
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     inside = elements.join(root, "page_id").where("pos > root.pos AND pos < root.end_pos").withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where("nth <= 500")
-    tags = inside.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
-    return pages.select("page_id").join(tags, "page_id", "left").select("page_id", F.substring(F.sha2(F.coalesce("tags", F.lit("")), 256), 1, 16).alias("content_hash"))
+    tags = inside.groupBy("page_id").agg(F.array_join(ordered("tag"), ",").alias("tags"))
+    texts = tokens.join(root, "page_id").where("pos >= root.pos AND pos < root.end_pos").groupBy("page_id").agg(F.array_join(ordered("text_after"), "").alias("text"))
+    found = pages.select("page_id", "url").join(root, "page_id", "left").join(tags, "page_id", "left").join(texts, "page_id", "left")
+    content = F.concat(F.coalesce("tags", F.lit("")), F.lit("|"), F.substring(F.coalesce("text", F.lit("")), 1, 5000))
+    return found.select("page_id", F.substring(F.sha2(F.when(F.col("root").isNull(), F.col("url")).otherwise(content), 256), 1, 16).alias("content_hash"))
 
 
 def signature(elements: DataFrame) -> DataFrame:

@@ -64,3 +64,14 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -
 
 def graph_stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("explored", "tested")).alias("explored"), F.count_if(F.col("status") == "tested").alias("tested"))
+
+
+def with_status(nodes: DataFrame, status: str) -> DataFrame:
+    """Nodes of a status that aren't duplicates: what to explore or test next."""
+    return nodes.where((F.col("status") == status) & ~F.col("is_duplicate"))
+
+
+def export(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, urls, total, explored, tested) of each graph."""
+    done = F.col("status").isin("explored", "tested")
+    return nodes.groupBy(key).agg(F.sort_array(F.collect_list("url")).alias("urls"), F.count(F.lit(1)).alias("total"), F.count_if(done).alias("explored"), F.count_if(F.col("status") == "tested").alias("tested"))

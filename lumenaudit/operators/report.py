@@ -52,3 +52,23 @@ def export_json(scores_: DataFrame, issues: DataFrame, key: str) -> DataFrame:
     """(key, json): the report's fields with its issues nested, in order."""
     nested = issues.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page_id", "rule_id", "pos", "severity"))).alias("issues"))
     return scores_.join(nested, key, "left").select(key, F.to_json(F.struct(*(c for c in scores_.columns), "issues")).alias("json"))
+
+
+#: What severities and sources are called.
+SEVERITY_LABEL = {"critical": "Critical", "major": "Major", "minor": "Minor"}
+SOURCE_LABEL = {"rule": "Rule", "ai": "Model", "vision_ai": "Vision model"}
+
+
+def labelled(issues: DataFrame) -> DataFrame:
+    """Adds severity_label (anything else: Notice) and source_label (anything else: as it is)."""
+    named = lambda names: F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return issues.withColumn("severity_label", F.coalesce(F.try_element_at(named(SEVERITY_LABEL), F.col("severity")), F.lit("Notice"))).withColumn("source_label", F.coalesce(F.try_element_at(named(SOURCE_LABEL), F.col("detected_by")), F.col("detected_by")))
+
+
+def dashboard(tasks: DataFrame) -> DataFrame:
+    return tasks.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("status") == "completed").alias("completed"), F.sum("issues_found").alias("issues"), F.sum("pages_discovered").alias("pages"))
+
+
+def progress(tasks: DataFrame, max_pages: int) -> DataFrame:
+    """Adds the percentages discovered (of max_pages, 100 at most) and tested (of those discovered; null if none)."""
+    return tasks.withColumn("discovered", F.least(F.lit(100.0), 100.0 * F.col("pages_discovered") / max_pages)).withColumn("tested", F.try_divide(100.0 * F.col("pages_tested"), F.col("pages_discovered")))

@@ -69,3 +69,15 @@ def context_text(recalled: DataFrame) -> DataFrame:
 def last_entries(entries: DataFrame, n: int, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return entries.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+
+
+def report_of(tasks: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """The score of each task's report, and whether it has just one."""
+    return tasks.join(reports, key).groupBy(key).agg(F.any_value("score").alias("score"), (F.count("score") == 1).alias("is_unique"))
+
+
+def experiences(found: DataFrame) -> DataFrame:
+    """Episodic memories from found(domain, page_type, rule_id): key, content as JSON, and how many kinds of issues."""
+    g = found.groupBy("domain", "page_type").agg(F.sort_array(F.collect_set("rule_id")).alias("issues_found"))
+    content = F.to_json(F.struct("page_type", "issues_found"))
+    return g.select("domain", F.concat(F.lit("detection_"), "page_type").alias("key"), "issues_found", F.size("issues_found").cast("long").alias("issue_count"), content.alias("content"))

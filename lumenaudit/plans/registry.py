@@ -12,9 +12,10 @@ from ..functions import vocab as V
 from ..operators import dedup, findings, frontier, report, rules, tables
 from ..sources import pages as P
 from ..streaming import progress
+from . import entities
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(entities.QUERIES)
+ORACLES: dict[str, str] = dict(entities.ORACLES)
 
 RICH = f"rich AS (SELECT page_id, url, {P.rich_sql()} AS html FROM pages)"
 PRE = f"WITH {RICH}, {markup.duck_elements('rich')}"

@@ -59,3 +59,8 @@ def incremental_audit(spark: SparkSession, pages: DataFrame, rules: Callable[[Da
     q = pages.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+def distinct(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a stream without later ones of the same keys."""
+    return rows.dropDuplicates(keys)
