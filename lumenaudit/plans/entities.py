@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import markup, snippets
 from ..operators import dedup, findings, frontier, report, tables
 from ..sources import pages as P
+from ..sources.stored import stored
 from ..streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,8 @@ def _rich(s: SparkSession, d: str) -> DataFrame:
  SELECT p.page_id, sha256(CASE WHEN r.page_id IS NULL THEN url ELSE coalesce(tags, '') || '|' || coalesce(text, '')[1:5000] END)[1:16] AS content_hash FROM rich p LEFT JOIN roots r ON r.page_id = p.page_id LEFT JOIN tags g ON g.page_id = p.page_id LEFT JOIN texts x ON x.page_id = p.page_id""")
 def content_hash(s: SparkSession, d: str) -> DataFrame:
     p = _rich(s, d)
-    return dedup.content_hash(markup.elements(p), markup.tokens(p), p)
+    e = stored(markup.elements(p).select("page_id", "pos", "end_pos", "tag"), "elements")  # used four times
+    return dedup.content_hash(e, markup.tokens(p), p)
 
 
 @add("e21_page_record", f"""{_PRE}, r AS (SELECT page_id, list(tag[2:2] || ' ' || text ORDER BY pos) FILTER (regexp_matches(tag, '^h[1-6]$')) AS headings, list(a_href ORDER BY pos) FILTER (tag = 'a' AND a_href IS NOT NULL) AS links, list(a_src ORDER BY pos) FILTER (tag = 'img' AND a_src IS NOT NULL) AS images FROM elements GROUP BY page_id)
@@ -162,7 +164,7 @@ add("s6_labels", f"{_TASKS} SELECT id, CASE id % 4 WHEN 0 THEN 'Critical' WHEN 1
 )
 
 
-# Boxes: each heading or paragraph is a box; each page has an issue on its first h1 and one that no box has
+# Boxes: each h1 or p is a box; each page has three issues, one with a selector that no box has
 @add("m5_locate", f"{_PRE}, b AS (SELECT page_id, tag AS selector, arg_max(pos, pos) AS y FROM elements WHERE tag IN ('h1', 'p') GROUP BY ALL), i AS (SELECT page_id, unnest(['h1', 'p', 'main > p']) AS element_selector FROM pages) SELECT i.page_id, element_selector, y FROM i LEFT JOIN b ON b.page_id = i.page_id AND b.selector = i.element_selector")
 def locate(s: SparkSession, d: str) -> DataFrame:
     boxes = markup.elements(_rich(s, d)).where("tag IN ('h1', 'p')").select("page_id", "pos", F.col("tag").alias("selector"), F.struct(F.lit(0).alias("x"), F.col("pos").alias("y")).alias("bbox"))
