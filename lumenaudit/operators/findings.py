@@ -41,3 +41,9 @@ def locate(issues: DataFrame, boxes: DataFrame) -> DataFrame:
 def totals(findings: DataFrame) -> DataFrame:
     """(page_id, rule, ai, vision_ai): findings by source."""
     return findings.groupBy("page_id").pivot("detected_by", ["rule", "ai", "vision_ai"]).count().na.fill(0)
+
+
+def with_default(replies: DataFrame, default: str) -> DataFrame:
+    """replies(page_id, reply) with n_findings and summary; a reply that can't be read has none and the default summary."""
+    found = parse_reply(F.col("reply"))
+    return replies.select("page_id", F.coalesce(F.when(found.isNotNull(), F.size(found)), F.lit(0)).alias("n_findings"), F.when(found.isNull(), F.lit(default)).otherwise("findings read").alias("summary"))

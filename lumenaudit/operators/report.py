@@ -72,3 +72,8 @@ def dashboard(tasks: DataFrame) -> DataFrame:
 def progress(tasks: DataFrame, max_pages: int) -> DataFrame:
     """Adds the percentages discovered (of max_pages, 100 at most) and tested (of those discovered; null if none)."""
     return tasks.withColumn("discovered", F.least(F.lit(100.0), 100.0 * F.col("pages_discovered") / max_pages)).withColumn("tested", F.try_divide(100.0 * F.col("pages_tested"), F.col("pages_discovered")))
+
+
+def boxed(pages: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Pages that have a box."""
+    return pages.join(boxes, "page_id", "left_semi")

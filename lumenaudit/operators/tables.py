@@ -81,3 +81,8 @@ def experiences(found: DataFrame) -> DataFrame:
     g = found.groupBy("domain", "page_type").agg(F.sort_array(F.collect_set("rule_id")).alias("issues_found"))
     content = F.to_json(F.struct("page_type", "issues_found"))
     return g.select("domain", F.concat(F.lit("detection_"), "page_type").alias("key"), "issues_found", F.size("issues_found").cast("long").alias("issue_count"), content.alias("content"))
+
+
+def missing_parents(rows: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of rows that no parent has yet, once each: what a write of rows has to create first."""
+    return rows.select(keys).distinct().join(parents, keys, "left_anti")

@@ -172,6 +172,15 @@ def locate(s: SparkSession, d: str) -> DataFrame:
     return findings.locate(issues, boxes).select("page_id", "element_selector", "bbox.y")
 
 
+add("a11_boxed_pages", f"{_PRE} SELECT page_id, url FROM pages WHERE page_id IN (SELECT page_id FROM elements WHERE tag = 'img')")(lambda s, d: report.boxed(P.scan(s, d), markup.elements(_rich(s, d)).where("tag = 'img'")).select("page_id", "url"))
+add("m8_default_reply", "SELECT page_id, (page_id % 2)::INT AS n_findings, CASE page_id % 2 WHEN 0 THEN 'nothing found' ELSE 'findings read' END AS summary FROM pages")(
+    lambda s, d: findings.with_default(P.scan(s, d).select("page_id", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit('[{"severity": "'), "site", F.lit('"}]'))).otherwise(F.concat(F.lit("no JSON: "), "url")).alias("reply")), "nothing found")
+)
+add("s3_missing_pages", "SELECT DISTINCT user_id AS page_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")(
+    lambda s, d: tables.missing_parents(s.read.parquet(f"{d}/events.parquet").where("event_type = 'error'").select(F.col("user_id").alias("page_id")), P.scan(s, d).where("page_id % 3 = 0"), ["page_id"])
+)
+
+
 # Streams
 add("w6_stream_duplicates", f"SELECT DISTINCT {_SITE} AS site, md5(html[1:300]) AS content_hash FROM pages")(
     lambda s, d: progress.drain(progress.distinct(progress.stream(s, d, "pages").select(F.expr("try_parse_url(url, 'AUTHORITY')").alias("site"), F.md5(F.substring("html", 1, 300)).alias("content_hash")), ["site", "content_hash"]), "append").drop("batch")
