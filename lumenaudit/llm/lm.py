@@ -6,9 +6,11 @@ over one vocabulary, interpolated with their unigrams:
 
     p(w | v) = MIX * c(v w) / c(v .) + (1 - MIX) * (c(w) + ADD) / (N + ADD * V)
 
-The vocabulary holds the words, and the models the bigrams, that make up a fixed share of the text
-(RATE), which bounds both lists at every size without cutting them; other words share one <unk>. Counts are gathered over all documents, packed and pre-added per task,
-dealt by hash.
+Every word and every bigram counts, at every size. Counts are gathered over all documents, packed and
+pre-added per task, dealt by hash. Frequent words and bigrams (those that make up a fixed share of the
+text, RATE, which bounds both lists) are looked up in a broadcast. Every other occurrence is dealt by the
+hash of its word or bigram to a bucket, which sees all occurrences of that key, counts them and sends
+the counts back to the piece of text that they came from. RATE never changes results.
 
 A document's score is its mean per-token loss under the background model less that under the
 target model: higher is more like the target.
@@ -23,62 +25,82 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces, words
-from .shared import mix, pack, text_bytes
+from .shared import mix, table_path, text_bytes
 
-#: A word or bigram is kept from this many occurrences a byte of text on: at most 1 / (2 * RATE) = 2.5 million kept.
+#: A word or bigram is broadcast from this many occurrences a byte of text on: at most 1 / (2 * RATE) = 2.5 million are.
 RATE = 2e-7
 MIX, ADD = 0.7, 0.5
-#: Distinct keys a task holds before it passes them on, and keys in one counting bucket, about.
-FLUSH, BUCKET = 2_000_000, 1 << 20
+#: Distinct keys a task holds before it passes them on, and keys, or dealt occurrences, in one bucket, about.
+FLUSH, BUCKET, DEALT = 2_000_000, 1 << 20, 1 << 21
 Key = tuple[pa.Scalar, ...]
-_COUNTS = "bucket long, key binary, n binary, m binary"
+_COUNTS = "bucket long, key binary, counts binary"
+_PARTS = "bucket long, chunk long, base boolean, a binary, b binary, c binary"
+#: Bits of a dealt occurrence: in a target document; not the last word of its document.
+_TARGET, _ON = 1, 2
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """An array for the way through a shuffle: bytes of the same weight side by side, then zstd."""
+    a = np.ascontiguousarray(a).reshape(-1)
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _open(value: pa.Scalar, kind: type) -> np.ndarray:
+    raw = memoryview(value.as_buffer())
+    size = int.from_bytes(raw[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    a = np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(a.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 class _Counter:
-    """Adds up (key, all, target) and passes on packed rows by bucket."""
+    """Adds up rows of counts by key and passes on packed rows by bucket."""
 
     def __init__(self, buckets: int):
         self.buckets, self.held, self.size = buckets, [], 0
 
-    def add(self, key: np.ndarray, flag: np.ndarray):
-        order = np.argsort(key, kind="stable")
-        key, flag = key[order], flag[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        if len(first):
-            self.held.append((key[first], np.diff(np.append(first, len(key))), np.add.reduceat(flag, first)))
-            self.size += len(first)
+    def add(self, key: np.ndarray, counts: np.ndarray):
+        if len(key):
+            self.held.append(_add(key, counts))
+            self.size += len(self.held[-1][0])
         return self.flush() if self.size > FLUSH else None
 
     def flush(self):
         if not self.held:
             return None
-        key, n, m = _add(*(np.concatenate(x) for x in zip(*self.held)))
+        key, counts = _add(np.concatenate([k for k, _ in self.held]), np.concatenate([c for _, c in self.held], axis=1))
         self.held, self.size = [], 0
         b = (mix(key) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         name, first = np.unique(b[order], return_index=True)
-        part = lambda x, kind: pa.array([pack(y.astype(kind)) for y in np.split(x[order], first[1:])], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), part(key, np.uint64), part(n, np.uint32), part(m, np.uint32)], names=["bucket", "key", "n", "m"])
+        part = lambda x, kind: pa.array([_squeeze(y.astype(kind)) for y in np.split(x[..., order], first[1:], axis=-1)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), part(key, np.uint64), part(counts, np.uint32)], names=["bucket", "key", "counts"])
 
 
-def _add(key, n, m):
+def _add(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
-    key, n, m = key[order], n[order].astype(np.int64), m[order].astype(np.int64)
+    key, counts = key[order], counts[:, order].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    return (key[first], np.add.reduceat(n, first), np.add.reduceat(m, first)) if len(first) else (key, n, m)
+    return (key[first], np.add.reduceat(counts, first, axis=1)) if len(first) else (key, counts)
 
 
-def _kept(least: float):
+def _frequent(least: float, width: int):
+    """Keys of `least` occurrences or more, and the sums of all others, with their number as key."""
+
     def run(key: Key, table: pa.Table) -> pa.Table:
-        get = lambda f, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(f)])
-        k, n, m = _add(get("key", np.uint64), get("n", np.uint32), get("m", np.uint32))
-        good = n >= least
-        rest = pa.array([0, *k[good].astype(np.int64).tolist()], pa.int64())
-        return pa.table({"rest": pa.array([True] + [False] * int(good.sum())), "key": rest, "n": pa.array([int(n[~good].sum()), *n[good].tolist()], pa.int64()), "m": pa.array([int(m[~good].sum()), *m[good].tolist()], pa.int64())})
+        keys = [_open(x, np.uint64) for x in table.column("key")]
+        counts = [_open(x, np.uint32).reshape(width, -1) for x in table.column("counts")]
+        k, c = _add(np.concatenate(keys), np.concatenate(counts, axis=1))
+        good = c[0] >= least
+        out = {"rest": pa.array([True] + [False] * int(good.sum())), "key": pa.array([int((~good).sum()), *k[good].astype(np.int64).tolist()], pa.int64())}
+        return pa.table(out | {f"c{j}": pa.array([int(c[j][~good].sum()), *c[j][good].tolist()], pa.int64()) for j in range(width)})
 
     return run
 
@@ -91,7 +113,7 @@ def _tokens(batch: pa.RecordBatch):
 
 
 def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Number of each word; 0 is <unk>."""
+    """Number of each frequent word; 0 is any other."""
     if not len(vocabulary):
         return np.zeros(len(h), np.int64)
     i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
@@ -99,20 +121,36 @@ def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def _bigrams(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Key of each token with the one before it in its document; -1 for a first token."""
+    """Key of each token with the one before it in its document; -1 for a first token, and where one of the two is rare."""
     key = np.full(len(ids), -1, np.int64)
-    same = doc[1:] == doc[:-1]
-    key[1:][same] = (ids[:-1][same] << 32) | ids[1:][same]
+    good = (doc[1:] == doc[:-1]) & (ids[1:] > 0) & (ids[:-1] > 0)
+    key[1:][good] = (ids[:-1][good] << 32) | ids[1:][good]
     return key
 
 
+def _follows(doc: np.ndarray) -> np.ndarray:
+    """Whether a token has one before it in its document."""
+    return np.concatenate([[False], doc[1:] == doc[:-1]])[: len(doc)]
+
+
+def _find(key: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Place of each key in a sorted list; -1 where it isn't there."""
+    if not len(sorted_):
+        return np.full(len(key), -1, np.int64)
+    i = np.minimum(np.searchsorted(sorted_, key), len(sorted_) - 1)
+    return np.where(sorted_[i] == key, i, -1)
+
+
 def _count_words(buckets: int):
+    """Per word: all and target occurrences, and of those the ones that another word follows."""
+
     def run(batches):
         counter = _Counter(buckets)
         for batch in batches:
             flag = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, _, h, doc in _tokens(batch):
-                if (out := counter.add(h, flag[a + doc])) is not None:
+                m, on = flag[a + doc], np.append(_follows(doc)[1:], [False] * bool(len(doc))).astype(np.int64)
+                if (out := counter.add(h, np.stack([np.ones(len(h), np.int64), m, on, m * on]))) is not None:
                     yield out
         if (out := counter.flush()) is not None:
             yield out
@@ -121,6 +159,8 @@ def _count_words(buckets: int):
 
 
 def _count_bigrams(buckets: int, vocabulary):
+    """Per bigram of two frequent words: all and target occurrences."""
+
     def run(batches):
         counter = _Counter(buckets)
         for batch in batches:
@@ -128,7 +168,7 @@ def _count_bigrams(buckets: int, vocabulary):
             for a, _, h, doc in _tokens(batch):
                 key = _bigrams(_ids(h, vocabulary.value), doc)
                 good = key >= 0
-                if (out := counter.add(key[good].astype(np.uint64), flag[a + doc[good]])) is not None:
+                if (out := counter.add(key[good].astype(np.uint64), np.stack([np.ones(int(good.sum()), np.int64), flag[a + doc[good]]]))) is not None:
                     yield out
         if (out := counter.flush()) is not None:
             yield out
@@ -136,63 +176,140 @@ def _count_bigrams(buckets: int, vocabulary):
     return run
 
 
-def _collect(counts: DataFrame, least: float):
-    rows = counts.groupBy("bucket").applyInArrow(_kept(least), "rest boolean, key long, n long, m long")
-    t = rows.groupBy("rest", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+def _collect(counts: DataFrame, least: float, width: int):
+    """Frequent keys, sorted, with their counts, and the number and summed counts of all other keys."""
+    names = [f"c{j}" for j in range(width)]
+    rows = counts.groupBy("bucket").applyInArrow(_frequent(least, width), "rest boolean, key long, " + ", ".join(f"{c} long" for c in names))
+    rare = rows.where("rest").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("key", *names))).withColumn("rest", F.lit(True)).select("rest", "key", *names)
+    t = rows.where("NOT rest").unionByName(rare).toArrow()
     rest = t.column("rest").to_numpy()
-    key, n, m = (t.column(x).to_numpy() for x in ("key", "n", "m"))
-    return key[~rest], n[~rest], m[~rest], n[rest].sum(), m[rest].sum()
+    key, c = t.column("key").to_numpy(), np.stack([t.column(x).to_numpy() for x in names])
+    order = np.argsort(key[~rest].astype(np.uint64))
+    return key[~rest].astype(np.uint64)[order], c[:, ~rest][:, order], int(key[rest].sum()), c[:, rest].sum(1)
 
 
 def train(docs: DataFrame, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Losses of both models from docs(text, target): by word, and by kept bigram."""
+    """What is broadcast of both models of docs(text, target): totals, frequent words and frequent bigrams."""
     _, size = text_bytes(docs)
     least = max(1.0, rate * size)
-    buckets = max(1, math.ceil(size / 60 / BUCKET))
-    key, n, m, n0, m0 = _collect(docs.mapInArrow(_count_words(buckets), _COUNTS), least)
-    key = key.astype(np.uint64)
-    order = np.argsort(key)
-    vocabulary, count = key[order], np.stack([np.append(n0, n[order]), np.append(m0, m[order])]).astype(np.float64)
+    vocabulary, count, rare, rest = _collect(docs.mapInArrow(_count_words(max(1, math.ceil(size / 60 / BUCKET))), _COUNTS), least, 4)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    pair, n, m, *_ = _collect(docs.mapInArrow(_count_bigrams(max(1, math.ceil(size / 12 / BUCKET)), sent), _COUNTS), least)
-    order = np.argsort(pair)
-    pair, both = pair[order], np.stack([n[order], m[order]]).astype(np.float64)
-    single = (count + ADD) / (count.sum(1, keepdims=True) + ADD * count.shape[1])
-    before = (pair >> 32).astype(np.int64)
-    context = np.stack([np.bincount(before, x, minlength=count.shape[1]) for x in both])
-    p = MIX * both / np.maximum(context[:, before], 1) + (1 - MIX) * single[:, pair & 0xFFFFFFFF]
-    return {"vocabulary": vocabulary, "word": -np.log(single), "backoff": -np.log((1 - MIX) * single), "pair": pair, "loss": -np.log(p), "known": context > 0}
+    pair, both, _, paired = _collect(docs.mapInArrow(_count_bigrams(max(1, math.ceil(size / 12 / BUCKET)), sent), _COUNTS), least, 2)
+    # occurrences that no broadcast answers: those of rare words, and bigrams that aren't frequent
+    dealt = int(rest[0] + count[2].sum() + rest[2] - both[0].sum())
+    total = count[:2].sum(1) + rest[:2]
+    # word 0 stands for all rare ones, its counts come from their buckets; the model has one word more than the text
+    return {"vocabulary": vocabulary, "count": np.concatenate([np.zeros((4, 1), np.int64), count], axis=1), "pair": pair, "both": both, "total": total, "words": len(vocabulary) + rare + 1, "dealt": dealt}
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, loss_background, loss_target, score) of docs(doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _steps(at: np.ndarray) -> np.ndarray:
+    """Ascending addresses as the steps between them."""
+    return np.diff(at, prepend=0).astype(np.uint32)
+
+
+def _deal(buckets: int, sent):
+    """Of each piece of text its word numbers (base), and by bucket the keys, addresses and bits of what no broadcast answers: 2 * place for a word, 2 * place + 1 for the bigram that ends there."""
 
     def run(batches):
-        g = sent.value
+        g, chunk = sent.value, TaskContext.get().partitionId() << 32
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            loss = np.zeros((2, batch.num_rows))
+            flag = batch.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids_of = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             for a, b, h, doc in _tokens(batch):
-                ids = _ids(h, g["vocabulary"])
-                key = _bigrams(ids, doc)
-                i = np.minimum(np.searchsorted(g["pair"], key), max(0, len(g["pair"]) - 1))
-                hit = g["pair"][i] == key if len(g["pair"]) else np.zeros(len(key), bool)
-                n[a:b] += np.bincount(doc, minlength=b - a)
-                for j in range(2):
-                    # a first token, or one after a word without kept bigrams, has the unigram's loss
-                    seen = np.concatenate([[False], g["known"][j][ids[:-1]]]) & (key >= 0)
-                    x = np.where(seen, g["backoff"][j][ids], g["word"][j][ids])
-                    x[hit] = np.where(seen[hit], g["loss"][j][i[hit]], g["word"][j][ids[hit]])
-                    loss[j, a:b] += np.bincount(doc, x, minlength=b - a)
-            mean = loss / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, (n, mean[0], mean[1], mean[0] - mean[1]))], names=["doc_id", "n_tokens", "loss_background", "loss_target", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, loss_background double, loss_target double, score double")
+                ids, after = _ids(h, g["vocabulary"]), _follows(doc)
+                word = np.flatnonzero(ids == 0)
+                known = _find(_bigrams(ids, doc).astype(np.uint64), g["pair"]) >= 0
+                pair = np.flatnonzero(after & ~known)
+                on = np.append(after[1:], [False] * bool(len(doc)))
+                bits = flag[a + doc] * np.uint8(_TARGET)
+                key = np.concatenate([h[word], mix(h[pair - 1] * np.uint64(0x9E3779B97F4A7C15) + h[pair])])
+                at = np.concatenate([2 * word, 2 * pair + 1])
+                bits = np.concatenate([bits[word] | (on[word] * np.uint8(_ON)), bits[pair]])
+                bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((at, bucket))
+                name, first = np.unique(bucket[order], return_index=True)
+                cut = lambda x, form: [_squeeze(form(y)) for y in np.split(x[order], first[1:])] if len(name) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(mix(np.array([chunk], np.uint64))[0]) % buckets, *name.tolist()], pa.int64()), pa.array([chunk] * (len(name) + 1), pa.int64()), pa.array([True] + [False] * len(name)),
+                        pa.array([_squeeze(ids_of[a:b]), *cut(key, np.uint64)], pa.binary()), pa.array([_squeeze(np.bincount(doc, minlength=b - a)), *cut(at, _steps)], pa.binary()), pa.array([_squeeze(ids.astype(np.int32)), *cut(bits, np.uint8)], pa.binary()),
+                    ],
+                    names=["bucket", "chunk", "base", "a", "b", "c"],
+                )
+                chunk += 1
+
+    return run
+
+
+def _answer(key: Key, table: pa.Table) -> pa.Table:
+    """Counts of every key of a bucket, for each of its occurrences; base rows as they are."""
+    base = table.column("base").to_numpy(zero_copy_only=False)
+    table, passed = table.filter(pa.array(~base)), table.filter(pa.array(base))
+    if not table.num_rows:
+        return passed
+    get = lambda f, kind: [_open(x, kind) for x in table.column(f)]
+    keys, bits = get("a", np.uint64), np.concatenate(get("c", np.uint8))
+    ends = np.cumsum([len(x) for x in keys])[:-1]
+    k = np.concatenate(keys)
+    order = np.argsort(k, kind="stable")
+    starts = np.concatenate([[True], k[order][1:] != k[order][:-1]])
+    group = np.empty(len(k), np.int64)
+    group[order] = np.cumsum(starts) - 1
+    target, on = (bits & _TARGET) > 0, (bits & _ON) > 0
+    counts = np.stack([np.bincount(group[x], minlength=int(starts.sum())) for x in (slice(None), target, on, target & on)]).astype(np.uint32)
+    counts = pa.array([_squeeze(x) for x in np.split(counts[:, group], ends, axis=1)], pa.binary())
+    out = pa.table([table.column("bucket"), table.column("chunk"), table.column("base"), table.column("b"), counts, pa.array([b""] * table.num_rows, pa.binary())], names=table.column_names)
+    return pa.concat_tables([passed, out.cast(passed.schema)])
+
+
+def _losses(sent):
+    """One piece of text with its answers: the losses of its documents."""
+
+    def run(key: Key, table: pa.Table) -> pa.Table:
+        g = sent.value
+        base = table.column("base").to_numpy(zero_copy_only=False)
+        rows, answers = table.filter(pa.array(base)), table.filter(pa.array(~base))
+        if rows.num_rows != 1:
+            raise ValueError(f"piece {key[0]} has {rows.num_rows} base rows")
+        doc_id, n, ids = (_open(rows.column(c)[0], kind) for c, kind in (("a", np.int64), ("b", np.int64), ("c", np.int32)))
+        doc = np.repeat(np.arange(len(n)), n)
+        after = _follows(doc)
+        word = g["count"][:, ids]
+        i = _find(_bigrams(ids.astype(np.int64), doc).astype(np.uint64), g["pair"])
+        both = np.where(i >= 0, g["both"][:, i], 0) if len(g["pair"]) else np.zeros((2, len(ids)), np.int64)
+        for x, y in zip(answers.column("a"), answers.column("b")):
+            at, c = np.cumsum(_open(x, np.uint32).astype(np.int64)), _open(y, np.uint32).reshape(4, -1)
+            odd = (at & 1) > 0
+            word[:, at[~odd] >> 1] = c[:, ~odd]
+            both[:, at[odd] >> 1] = c[:2, odd]
+        if (word[0] == 0).any() or (both[0][after] == 0).any():
+            raise ValueError(f"piece {key[0]} lacks answers")
+        loss = np.zeros((2, len(n)))
+        for j in range(2):
+            p = (word[j] + ADD) / (g["total"][j] + ADD * g["words"])
+            context = np.concatenate([[0], word[2 + j][:-1]])[: len(ids)]
+            # a first token, or one after a word that the model never saw followed, has the unigram's loss
+            p = np.where(after & (context > 0), MIX * both[j] / np.maximum(context, 1) + (1 - MIX) * p, p)
+            loss[j] = np.bincount(doc, -np.log(p), minlength=len(n)) / np.maximum(n, 1)
+        return pa.table({"doc_id": doc_id, "n_tokens": n, "loss_background": loss[0], "loss_target": loss[1], "score": loss[0] - loss[1]})
+
+    return run
+
+
+def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, n_tokens, loss_background, loss_target, score) of docs(doc_id, text, target), the rows that the model was trained on."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    dealt = docs.select("doc_id", "text", "target").mapInArrow(_deal(max(1, math.ceil(model["dealt"] / DEALT)), sent), _PARTS)
+    answered = dealt.groupBy("bucket").applyInArrow(_answer, _PARTS)
+    return answered.groupBy("chunk").applyInArrow(_losses(sent), "doc_id long, n_tokens long, loss_background double, loss_target double, score double")
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    flagged = docs.join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    return score(docs, train(flagged))
+    flagged = docs.join(good.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    # written once: three passes read it, always in the same order
+    path = table_path(spark, "lm")
+    flagged.write.option("compression", "zstd").parquet(path)
+    flagged = spark.read.schema(flagged.schema).parquet(path)
+    return score(flagged, train(flagged))

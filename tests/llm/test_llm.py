@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -200,6 +201,26 @@ def test_lm_scores(spark):
     assert got[900]["n_tokens"] == 0 and got[901]["score"] == 0.0
 
 
+@pytest.mark.parametrize("rate", [0, 0.004, 1])
+def test_lm_counts_rare_words_and_bigrams(spark, monkeypatch, rate):
+    """Losses by plain counting, whatever share of words and bigrams is broadcast."""
+    monkeypatch.setattr(lm, "DEALT", 50, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(i % 50, " ".join(f"W{int(w)}" for w in rng.zipf(1.4, int(rng.integers(0, 30)))), i % 3 == 0) for i in range(60)] + [(900, None, False), (901, " ", True), (902, "once", True)]
+    texts = [((t or "").lower().split(), target) for _, t, target in rows]
+    vocabulary = {w for t, _ in texts for w in t}
+    losses = []
+    for of in ([t for t, _ in texts], [t for t, target in texts if target]):
+        one, two, context = Counter(w for t in of for w in t), Counter(p for t in of for p in zip(t, t[1:])), Counter(v for t in of for v in t[:-1])
+        single = lambda w: (one[w] + lm.ADD) / (one.total() + lm.ADD * (len(vocabulary) + 1))  # noqa: B023, E731
+        p = lambda v, w: lm.MIX * two[v, w] / context[v] + (1 - lm.MIX) * single(w) if context[v] else single(w)  # noqa: B023, E731
+        losses.append([-sum(np.log(p(v, w)) for v, w in zip([None, *t], t)) / max(1, len(t)) for t, _ in texts])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
+    got = sorted((r["doc_id"], r["n_tokens"], r["loss_background"], r["loss_target"], r["score"]) for r in lm.score(docs, lm.train(docs, rate)).collect())
+    want = sorted((i, len(t), a, b, a - b) for (i, *_), (t, _), a, b in zip(rows, texts, *losses))
+    assert np.allclose(np.array(got, float), np.array(want, float), rtol=0, atol=1e-9)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, chunk int")
     items = spark.createDataFrame([], "item_id long, text string")
