@@ -52,3 +52,15 @@ def test_reports_and_selection(spark):
     assert [tuple(x) for x in tables.report_of(t, r, "id").orderBy("id").collect()] == [(1, 5.0, True), (2, 7.0, False)]
     n = spark.createDataFrame([(1, "discovered", False), (2, "discovered", True), (3, "tested", False)], "id long, status string, is_duplicate boolean")
     assert [x.id for x in frontier.with_status(n, "discovered").collect()] == [1]
+
+
+def test_stream_duplicates_read_whole_pages(spark, tmp_path):
+    """Pages that differ only after a long common head both stay; an exact copy goes, on its own site only."""
+    from lumenaudit.plans import entities
+
+    head = "<html><head>" + "x" * 400
+    pages = [(1, "http://a.example/1", head + "one"), (2, "http://a.example/2", head + "two"), (3, "http://a.example/3", head + "one"), (4, "http://b.example/1", head + "one")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = entities.QUERIES["w6_stream_duplicates"](spark, str(tmp_path)).collect()
+    md5 = lambda end: hashlib.md5((head + end).encode()).hexdigest()
+    assert sorted((r.site, r.content_hash) for r in got) == sorted([("a.example", md5("one")), ("a.example", md5("two")), ("b.example", md5("one"))])
