@@ -167,7 +167,8 @@ def _post(percent: int, buckets: int):
             lt, lc, ln, lr = t[~keep], c[~keep], n[~keep], r[~keep]
             e = np.concatenate(edges, axis=1).astype(np.int64) if edges else np.zeros((4, 0), np.int64)
             b = (mix(t) % np.uint64(buckets)).astype(np.int64)
-            lb = (mix(lt) % np.uint64(buckets)).astype(np.int64)
+            # these are only passed on, so they are dealt by class: a common shingle's list never meets in one bucket
+            lb = (mix(lc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             eb = (mix(e[2].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             rows = []
             for x in np.unique(np.concatenate([b, lb, eb])):

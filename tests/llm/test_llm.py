@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,20 @@ def test_near_duplicates(spark, rows):
     assert got == want
 
 
+def test_common_shingle_is_dealt_over_buckets():
+    """No bucket gathers the classes that hold one common shingle, and none of them is lost."""
+    classes, own = np.arange(1, 2001), np.arange(10**6, 10**6 + 2000, dtype=np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(classes), pa.array(np.full(2000, 30)), pa.array([np.array([7, x], np.uint64).tobytes() for x in own])], names=["c", "n", "prefix"])
+    posted = pa.Table.from_batches(list(jaccard._post(90, 16)([batch])))
+    rows = [len(np.frombuffer(x.as_buffer(), np.int64)) for x in posted.column("lc")]
+    assert sum(rows) == 1999 and max(rows) < 300
+    large = []
+    for bucket in posted.column("bucket").unique():
+        t = jaccard._candidates(90)((bucket,), posted.filter(pa.compute.equal(posted.column("bucket"), bucket)))
+        large += [(a, b) for k, a, b in zip(*(t.column(c).to_pylist() for c in ("kind", "a", "b"))) if k == 1]
+    assert sorted(large) == [(7, c) for c in classes.tolist()]
+
+
 def test_many_edited_copies_make_few_pairs(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(140)]
