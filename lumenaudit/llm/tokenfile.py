@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces
@@ -27,8 +27,12 @@ from .shared import pack, table_path, text_bytes
 
 FILE = 8 << 20
 END = 2
-#: Words a worker remembers between batches; when full it starts afresh (results don't depend on it).
-REMEMBER = 400_000
+#: Text encoded at once (bytes), and stretches a worker remembers before it starts a new list beside the last one; results don't depend on them.
+ENCODE, REMEMBER = 4 << 20, 300_000
+#: Files whose sizes are added up in one task.
+BLOCK = 4096
+#: Documents sampled for the edges of a file, and up to how many of all no sampling is done.
+SAMPLED, UNSAMPLED = 64, 1 << 20
 _LAST = np.iinfo(np.int64).max
 Key = tuple[pa.Scalar, ...]
 
@@ -65,47 +69,103 @@ class _Words:
 
     Only the space and the line feed part stretches here: every tokenizer that drops white space
     gives a text's ids as those of its stretches, one after another. Where the tokenizer lower-cases
-    and first splits by _SPLIT (`splits`), an ASCII stretch's ids are in turn those of its parts.
+    and first splits by _SPLIT (`splits`), a Latin stretch's ids are in turn those of its parts. New
+    parts are encoded many at a time, as one text; tokens that end a part carry the vocabulary's end
+    mark, and where there aren't as many of them as parts, the parts are encoded one by one.
     """
 
-    _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+    #: Characters that no normal form changes, that lower-case one to one, and aren't white space.
+    _LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 
     def __init__(self, path: str):
+        import json
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = ({}, {})
         with open(path, encoding="utf-8") as f:
-            said = f.read(20_000)
-        self.splits = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in said and '"Lowercase"' in said
-
-    def _learn(self, texts: list[str], known: dict[str, bytes]) -> None:
-        for a in range(0, len(texts), 20_000):
-            part = texts[a : a + 20_000]
-            known.update(zip(part, (pack(np.array(e.ids, np.uint32)) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        from itertools import chain
-
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.known))
+            made = json.load(f)
+        said = json.dumps([made.get("normalizer"), made.get("pre_tokenizer")])
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        mark = made["model"].get("end_of_word_suffix")
+        self.splits = bool(mark) and json.dumps(pattern) in said and '"Lowercase"' in said
+        self.find = regex.compile(pattern).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+
+    def _single(self, texts: list[str]) -> list[bytes]:
+        return [pack(np.array(e.ids, np.uint32)) for a in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        chunks = [parts[a : a + 100] for a in range(0, len(parts), 100)]
+        for a in range(0, len(chunks), 200):
+            some = chunks[a : a + 200]
+            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(c) for c in some], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) == len(chunk) and cuts[-1] == 4 * len(ids):
+                    raw = ids.tobytes()
+                    self.parts.update((p, raw[x:y]) for p, x, y in zip(chunk, [0, *cuts], cuts))
+                else:
+                    self.parts.update(zip(chunk, self._single(chunk)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        single, split = [], []
+        latin, find = self._LATIN.fullmatch, self.find
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if self.splits and latin(t) and "<|" not in t:
+                t = t.lower()
+                split.append((w, [t] if t.isalpha() else find(t)))
+            else:
+                single.append((w, t))
+        need = {p for _, ps in split for p in ps if p not in self.parts}
+        back = {p: x for p in need if (x := self.older[1].get(p)) is not None}
+        self.parts.update(back)
+        self._learn_parts(list(need.difference(back)))
+        part = self.parts.__getitem__
+        self.known.update((w, part(ps[0]) if len(ps) == 1 else b"".join(map(part, ps))) for w, ps in split)
+        self.known.update(zip((w for w, _ in single), self._single([t for _, t in single])))
+
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the (distinct) stretches, as packed numbers."""
+        if len(self.known) > REMEMBER:
+            self.older, self.known, self.parts = (self.known, self.parts), {}, {}
+        new = [w for w in words if w not in self.known]
         if new:
-            if len(self.known) + len(new) > REMEMBER:
-                self.known.clear()
-                new = list(set(chain.from_iterable(split)))
-            plain = {t: self._SPLIT.findall(t.lower()) for t in new if t.isascii() and "<|" not in t} if self.splits else {}
-            self._learn([t for t in new if t not in plain], self.known)
-            if len(self.parts) > REMEMBER:
-                self.parts.clear()
-            self._learn(list(set(chain.from_iterable(plain.values())).difference(self.parts)), self.parts)
-            part = self.parts.__getitem__
-            self.known.update((t, b"".join(map(part, p))) for t, p in plain.items())
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
+            back = {w: x for w in new if (x := self.older[0].get(w)) is not None}
+            self.known.update(back)
+            self._learn([w for w in new if w not in back])
+        return list(map(self.known.__getitem__, words))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents one after another, each with `end`, and how many each has."""
+        solid = (data != 32) & (data != 10)
+        before = np.zeros(len(data) + 1, bool)
+        before[1:] = solid
+        before[offsets] = False
+        starts = np.flatnonzero(solid & ~before[:-1])
+        place = np.cumsum(solid)
+        edges = np.append(place[starts] - 1, place[-1] if len(place) else 0).astype(np.int32)
+        stretches = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[solid]))]).dictionary_encode()
+        coded = [*self.look_up(stretches.dictionary.to_pylist()), pack(np.array([end], np.uint32))]
+        flat = np.frombuffer(b"".join(coded), np.uint32)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        many = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)
+        # the end id is one more stretch after each document's last
+        each = np.insert(stretches.indices.to_numpy(), np.cumsum(many), len(coded) - 1)
+        long = size[each]
+        at = np.repeat((np.cumsum(size) - size)[each] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        last = np.cumsum(many + 1)
+        return flat[at], np.add.reduceat(long, last - many - 1)
 
 
 _WORKER: dict[str, _Words] = {}
@@ -115,13 +175,14 @@ def _encoded(path: str, end: int):
     def run(batches):
         words = _WORKER.get(path) or _WORKER.setdefault(path, _Words(path))
         for batch in batches:
-            text = batch.column("text")
-            _, offsets = buffers(text)
-            for a, b in pieces(offsets, 2 << 20):
-                ids = [np.append(x, np.uint32(end)) for x in words.ids([t or "" for t in text[a:b].to_pylist()])]
-                small = all(x.max() < 1 << 16 for x in ids)
-                packed = pa.array([pack(x.astype(np.uint16 if small else np.uint32)) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("file")[a:b], batch.column("doc_id")[a:b], pa.array(np.full(b - a, 2 if small else 4), pa.int32()), packed], names=["file", "doc_id", "width", "ids"])
+            data, offsets = buffers(batch.column("text"))
+            for a, b in pieces(offsets, ENCODE):
+                ids, many = words.ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
+                kind = np.uint16 if ids.max() < 1 << 16 else np.uint32
+                width = np.dtype(kind).itemsize
+                edges = (width * np.concatenate([[0], np.cumsum(many)])).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column("file")[a:b], batch.column("doc_id")[a:b], pa.array(np.full(b - a, width), pa.int32()), packed], names=["file", "doc_id", "width", "ids"])
 
     return run
 
@@ -155,12 +216,37 @@ def _write(key: Key, table: pa.Table) -> pa.Table:
 _FILE = "file long, n_ids long, doc_ids array<long>, lengths binary, ranked binary, control binary, data binary"
 
 
+def _edges(docs: DataFrame, rows: int, files: int) -> np.ndarray:
+    """First doc_ids of all files but the first, about FILE bytes of text apart; they come to the driver, eight bytes a file.
+
+    A sample of the documents is sorted by range; each range is cut on its own by the text it stands for. They steer balance only.
+    """
+    share = min(1.0, max(SAMPLED * files, UNSAMPLED) / max(1, rows))
+    some = docs.select(F.coalesce("doc_id", F.lit(int(_LAST))).alias("d"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b"))
+    some = some.sample(fraction=share, seed=11) if share < 1 else some
+
+    def cut(batches):
+        full = None
+        for batch in batches:
+            d, size = batch.column("d").to_numpy(), batch.column("b").to_numpy() / share
+            # bytes before each document in its file's count; the first document of a range begins a file
+            total = np.cumsum(size) + (FILE if full is None else full)
+            name = np.floor_divide(total - size, FILE)
+            first = np.flatnonzero(np.concatenate([[full is None or name[0] > full // FILE], name[1:] > name[:-1]])) if len(d) else np.zeros(0, int)
+            full = total[-1] - size[-1] if len(d) else full
+            yield pa.RecordBatch.from_arrays([pa.array(d[first])], names=["d"])
+
+    ranges = max(1, math.ceil(files / 64))
+    got = some.repartitionByRange(ranges, "d").sortWithinPartitions("d").mapInArrow(cut, "d long").toArrow()
+    return np.unique(got.column("d").to_numpy())[1:]
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
     """Writes docs(doc_id, text) as token files under `path`, a folder that all executors reach."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, size = text_bytes(docs)
     files = max(1, math.ceil(size / FILE))
-    edges = sorted(set(docs.select(F.col("doc_id").cast("long").alias("d")).approxQuantile("d", [i / files for i in range(1, files)], 1e-4))) if files > 1 and rows else []
-    at = docs.sparkSession.sparkContext.broadcast(np.array(edges, np.float64))
+    at = docs.sparkSession.sparkContext.broadcast(_edges(docs, rows, files) if files > 1 else np.zeros(0, np.int64))
 
     def dealt(batches):
         for batch in batches:
@@ -170,7 +256,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     def both(batches):
         yield from _encoded(tokenizer, end)(dealt(batches))
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(both, "file long, doc_id long, width int, ids binary")
+    coded = docs.mapInArrow(both, "file long, doc_id long, width int, ids binary")
     coded.groupBy("file").applyInArrow(_write, _FILE).write.parquet(path)
 
 
@@ -192,13 +278,13 @@ def _read(key_start):
 
 
 def _with_starts(files: DataFrame) -> DataFrame:
-    """Files with the number of ids before each: the driver adds up one number a file."""
-    from itertools import accumulate
-
-    sizes = sorted((r["file"], r["n_ids"]) for r in files.select("file", "n_ids").collect())
-    starts = dict(zip((f for f, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
-    rows = files.sparkSession.createDataFrame(list(starts.items()), "file long, first long") if starts else files.select("file", F.lit(0).cast("long").alias("first")).limit(0)
-    return files.join(rows, "file")
+    """Files with the number of ids before each: sums within blocks of files, and over the blocks."""
+    size = files.select("file", "n_ids", F.floor(F.col("file") / BLOCK).alias("block"))
+    before = lambda *by: Window.partitionBy(*by).orderBy("block", *(["file"] if by else [])).rowsBetween(Window.unboundedPreceding, -1)
+    # one row a block of files, so one task has few rows
+    blocks = size.groupBy("block").agg(F.sum("n_ids").alias("n")).select("block", F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("base"))
+    own = size.withColumn("own", F.coalesce(F.sum("n_ids").over(before("block")), F.lit(0))).join(blocks, "block")
+    return files.join(own.select("file", (F.col("own") + F.col("base")).alias("first")), "file")
 
 
 def read_tokens(spark, path: str) -> DataFrame:
