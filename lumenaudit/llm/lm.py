@@ -6,17 +6,21 @@ over one vocabulary, interpolated with their unigrams:
 
     p(w | v) = MIX * c(v w) / c(v .) + (1 - MIX) * (c(w) + ADD) / (N + ADD * V)
 
-Every word and every bigram counts, at every size. Counts are gathered over all documents, packed and
-pre-added per task, dealt by hash. Frequent words and bigrams (those that make up a fixed share of the
-text, RATE, which bounds both lists) are looked up in a broadcast. Every other occurrence is dealt by the
-hash of its word or bigram to a bucket, which sees all occurrences of that key, counts them and sends
-the counts back to the piece of text that they came from. RATE never changes results.
+Every word and every bigram counts, at every size, and no model has to fit a task or a broadcast.
+Documents are dealt into chunks of text. A chunk sends each distinct word and bigram once, with its
+counts there, to the bucket of that key's range; a bucket adds up the counts of its keys and sends
+the sums back to the chunks that asked, in the order of the keys. There the chunk's texts, read a
+second time, find the sums of their words and bigrams.
+
+Words and bigrams are 64-bit hashes. A frequent one is a single entry a chunk, so no bucket grows
+with the number of its occurrences.
 
 A document's score is its mean per-token loss under the background model less that under the
 target model: higher is more like the target.
 
 Defined cases: null, empty and blank texts have n_tokens 0 and losses and score 0; an empty target
-set leaves a uniform target model; rows that repeat a doc_id are each counted and scored.
+set leaves a uniform target model; rows that repeat a doc_id are each counted and scored; a null
+doc_id is never in the target set by its id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,23 +29,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces, words
-from .shared import mix, table_path, text_bytes
+from .shared import materialize, mix, small_batches, text_bytes
 
-#: A word or bigram is broadcast from this many occurrences a byte of text on: at most 1 / (2 * RATE) = 2.5 million are.
-RATE = 2e-7
 MIX, ADD = 0.7, 0.5
-#: Distinct keys a task holds before it passes them on, and keys, or dealt occurrences, in one bucket, about.
-FLUSH, BUCKET, DEALT = 2_000_000, 1 << 20, 1 << 21
+#: Text in a chunk (bytes), and entries (key of a chunk) in a bucket, about.
+CHUNK, BUCKET = 8 << 20, 1 << 21
+#: Distinct words a task holds before it passes them on.
+FLUSH = 1 << 20
 Key = tuple[pa.Scalar, ...]
-_COUNTS = "bucket long, key binary, counts binary"
-_PARTS = "bucket long, chunk long, base boolean, a binary, b binary, c binary"
-#: Bits of a dealt occurrence: in a target document; not the last word of its document.
-_TARGET, _ON = 1, 2
+#: Counts of a word: in all texts, in target texts, and of those the ones that another word follows. Of a bigram: the first two.
+_WORD, _PAIR = 4, 2
+_ASKED = "bucket long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
+_SUMS = "bucket long, chunk long, word_counts binary, pair_counts binary"
+_LOSSES = "doc_id long, n_tokens long, loss_background double, loss_target double, score double"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -60,72 +64,18 @@ def _open(value: pa.Scalar, kind: type) -> np.ndarray:
     return np.ascontiguousarray(a.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
-class _Counter:
-    """Adds up rows of counts by key and passes on packed rows by bucket."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, [], 0
-
-    def add(self, key: np.ndarray, counts: np.ndarray):
-        if len(key):
-            self.held.append(_add(key, counts))
-            self.size += len(self.held[-1][0])
-        return self.flush() if self.size > FLUSH else None
-
-    def flush(self):
-        if not self.held:
-            return None
-        key, counts = _add(np.concatenate([k for k, _ in self.held]), np.concatenate([c for _, c in self.held], axis=1))
-        self.held, self.size = [], 0
-        b = (mix(key) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        name, first = np.unique(b[order], return_index=True)
-        part = lambda x, kind: pa.array([_squeeze(y.astype(kind)) for y in np.split(x[..., order], first[1:], axis=-1)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), part(key, np.uint64), part(counts, np.uint32)], names=["bucket", "key", "counts"])
-
-
-def _add(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    key, counts = key[order], counts[:, order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    return (key[first], np.add.reduceat(counts, first, axis=1)) if len(first) else (key, counts)
-
-
-def _frequent(least: float, width: int):
-    """Keys of `least` occurrences or more, and the sums of all others, with their number as key."""
-
-    def run(key: Key, table: pa.Table) -> pa.Table:
-        keys = [_open(x, np.uint64) for x in table.column("key")]
-        counts = [_open(x, np.uint32).reshape(width, -1) for x in table.column("counts")]
-        k, c = _add(np.concatenate(keys), np.concatenate(counts, axis=1))
-        good = c[0] >= least
-        out = {"rest": pa.array([True] + [False] * int(good.sum())), "key": pa.array([int((~good).sum()), *k[good].astype(np.int64).tolist()], pa.int64())}
-        return pa.table(out | {f"c{j}": pa.array([int(c[j][~good].sum()), *c[j][good].tolist()], pa.int64()) for j in range(width)})
-
-    return run
-
-
-def _tokens(batch: pa.RecordBatch):
-    data, offsets = buffers(batch.column("text"))
-    for a, b in pieces(offsets):
-        h, doc = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield a, b, h, doc
-
-
-def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Number of each frequent word; 0 is any other."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[i] == h, i + 1, 0)
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as the steps between them."""
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _bigrams(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Key of each token with the one before it in its document; -1 for a first token, and where one of the two is rare."""
-    key = np.full(len(ids), -1, np.int64)
-    good = (doc[1:] == doc[:-1]) & (ids[1:] > 0) & (ids[:-1] > 0)
-    key[1:][good] = (ids[:-1][good] << 32) | ids[1:][good]
-    return key
+def _tokens(text) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a column of texts, in order, and the row of each."""
+    data, offsets = buffers(text)
+    got = [(h, doc + a) for a, b in pieces(offsets) for h, doc in [words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]]
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in got]), np.concatenate([d for _, d in got])
 
 
 def _follows(doc: np.ndarray) -> np.ndarray:
@@ -133,183 +83,168 @@ def _follows(doc: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], doc[1:] == doc[:-1]])[: len(doc)]
 
 
-def _find(key: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted list; -1 where it isn't there."""
-    if not len(sorted_):
-        return np.full(len(key), -1, np.int64)
-    i = np.minimum(np.searchsorted(sorted_, key), len(sorted_) - 1)
-    return np.where(sorted_[i] == key, i, -1)
+def _bigrams(h: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of each token that follows another, together with that one."""
+    at = np.flatnonzero(after)
+    return mix(h[at - 1] * np.uint64(0x9E3779B97F4A7C15) + h[at])
 
 
-def _count_words(buckets: int):
-    """Per word: all and target occurrences, and of those the ones that another word follows."""
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of keys, so sorted keys are in the order of their buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches):
-        counter = _Counter(buckets)
-        for batch in batches:
-            flag = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, _, h, doc in _tokens(batch):
-                m, on = flag[a + doc], np.append(_follows(doc)[1:], [False] * bool(len(doc))).astype(np.int64)
-                if (out := counter.add(h, np.stack([np.ones(len(h), np.int64), m, on, m * on]))) is not None:
-                    yield out
-        if (out := counter.flush()) is not None:
-            yield out
-
-    return run
 
+def _distinct_words(buckets: int):
+    """Per document its number of tokens; per task its distinct words, packed by bucket."""
+    names = ["doc_id", "target", "n", "bucket", "words"]
 
-def _count_bigrams(buckets: int, vocabulary):
-    """Per bigram of two frequent words: all and target occurrences."""
+    def packed(held):
+        key = np.unique(np.concatenate(held))
+        name, first = np.unique(_bucket(key, buckets), return_index=True)
+        none = lambda kind: pa.nulls(len(name), kind)
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.bool_()), none(pa.int64()), pa.array(name), pa.array([_steps(x) for x in np.split(key, first[1:])], pa.binary())], names=names)
 
     def run(batches):
-        counter = _Counter(buckets)
+        held, size = [], 0
         for batch in batches:
-            flag = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, _, h, doc in _tokens(batch):
-                key = _bigrams(_ids(h, vocabulary.value), doc)
-                good = key >= 0
-                if (out := counter.add(key[good].astype(np.uint64), np.stack([np.ones(int(good.sum()), np.int64), flag[a + doc[good]]]))) is not None:
-                    yield out
-        if (out := counter.flush()) is not None:
-            yield out
+            h, doc = _tokens(batch.column("text"))
+            n = np.bincount(doc, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+            held.append(np.unique(h))
+            size += len(held[-1])
+            if size > FLUSH:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                if size > FLUSH // 2:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
 
     return run
 
 
-def _collect(counts: DataFrame, least: float, width: int):
-    """Frequent keys, sorted, with their counts, and the number and summed counts of all other keys."""
-    names = [f"c{j}" for j in range(width)]
-    rows = counts.groupBy("bucket").applyInArrow(_frequent(least, width), "rest boolean, key long, " + ", ".join(f"{c} long" for c in names))
-    rare = rows.where("rest").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("key", *names))).withColumn("rest", F.lit(True)).select("rest", "key", *names)
-    t = rows.where("NOT rest").unionByName(rare).toArrow()
-    rest = t.column("rest").to_numpy()
-    key, c = t.column("key").to_numpy(), np.stack([t.column(x).to_numpy() for x in names])
-    order = np.argsort(key[~rest].astype(np.uint64))
-    return key[~rest].astype(np.uint64)[order], c[:, ~rest][:, order], int(key[rest].sum()), c[:, rest].sum(1)
+def _count_distinct(key: Key, table: pa.Table) -> pa.Table:
+    found = np.unique(np.concatenate([np.cumsum(_open(x, np.uint64), dtype=np.uint64) for x in table.column("words")]))
+    return pa.table({"n": pa.array([len(found)], pa.int64())})
 
 
-def train(docs: DataFrame, rate: float = RATE) -> dict[str, np.ndarray]:
-    """What is broadcast of both models of docs(text, target): totals, frequent words and frequent bigrams."""
-    _, size = text_bytes(docs)
-    least = max(1.0, rate * size)
-    vocabulary, count, rare, rest = _collect(docs.mapInArrow(_count_words(max(1, math.ceil(size / 60 / BUCKET))), _COUNTS), least, 4)
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    pair, both, _, paired = _collect(docs.mapInArrow(_count_bigrams(max(1, math.ceil(size / 12 / BUCKET)), sent), _COUNTS), least, 2)
-    # occurrences that no broadcast answers: those of rare words, and bigrams that aren't frequent
-    dealt = int(rest[0] + count[2].sum() + rest[2] - both[0].sum())
-    total = count[:2].sum(1) + rest[:2]
-    # word 0 stands for all rare ones, its counts come from their buckets; the model has one word more than the text
-    return {"vocabulary": vocabulary, "count": np.concatenate([np.zeros((4, 1), np.int64), count], axis=1), "pair": pair, "both": both, "total": total, "words": len(vocabulary) + rare + 1, "dealt": dealt}
+def _flagged(docs: DataFrame) -> DataFrame:
+    target = F.coalesce("target", F.lit(False)) if "target" in docs.columns else F.lit(False)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", target.alias("target"))
 
 
-def _steps(at: np.ndarray) -> np.ndarray:
-    """Ascending addresses as the steps between them."""
-    return np.diff(at, prepend=0).astype(np.uint32)
+def train(docs: DataFrame, good: DataFrame | None = None) -> dict[str, int]:
+    """What both models share, of docs(doc_id, text[, target]) and good(doc_id): tokens of all and of target documents, distinct words.
 
+    A document is in the target set if `target` says so or `good` has its doc_id. Only a number a document is joined.
+    """
+    docs = _flagged(docs)
+    _, size = text_bytes(docs)
+    rows = materialize(docs.mapInArrow(_distinct_words(max(1, math.ceil(size / 60 / BUCKET))), "doc_id long, target boolean, n long, bucket long, words binary"), "words")
+    tokens = rows.where("bucket IS NULL").select("doc_id", "target", "n")
+    if good is not None:
+        tokens = tokens.join(good.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).distinct(), "doc_id", "left").withColumn("target", F.col("target") | F.coalesce("good", F.lit(False)))
+    n = tokens.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("target"), F.col("n"))).alias("target")).first()
+    distinct = rows.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_count_distinct, "n long").agg(F.sum("n")).first()[0]
+    return {"all": int(n["all"] or 0), "target": int(n["target"] or 0), "words": int(distinct or 0), "bytes": size}
+
+
+def _ask(buckets: int):
+    """A chunk's distinct words and bigrams with their counts in it, packed by bucket."""
+
+    def counted(key: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        return key[first], np.stack([np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts]).astype(np.uint32)
+
+    def run(key: Key, docs: pa.Table, good: pa.Table) -> pa.Table:
+        # a side without rows may come without columns too
+        if not docs.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())] * 4, names=["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts"])
+        wanted = good.column("doc_id").to_numpy() if good.num_rows else np.zeros(0, np.int64)
+        h, doc = _tokens(docs.column("text"))
+        ids = docs.column("doc_id").combine_chunks()
+        known = ids.is_valid().to_numpy(zero_copy_only=False) & np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), wanted)
+        flag = (docs.column("target").to_numpy() | known).astype(np.int64)[doc]
+        after = _follows(doc)
+        on = np.append(after[1:], [False] * bool(len(doc))).astype(np.int64)
+        one = np.ones(len(h), np.int64)
+        word = counted(h, [one, flag, on, flag * on])
+        pair = counted(_bigrams(h, after), [one[after], flag[after]])
+        cut = [np.searchsorted(_bucket(k, buckets), np.arange(buckets + 1)) for k, _ in (word, pair)]
+        used = np.flatnonzero((np.diff(cut[0]) > 0) | (np.diff(cut[1]) > 0)).tolist()
+        columns = [pa.array(used, pa.int64()), pa.array([key[0].as_py()] * len(used), pa.int64())]
+        for (k, counts), c in zip((word, pair), cut):
+            columns += [pa.array([_steps(k[c[b] : c[b + 1]]) for b in used], pa.binary()), pa.array([_squeeze(counts[:, c[b] : c[b + 1]]) for b in used], pa.binary())]
+        return pa.table(columns, names=["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts"])
 
-def _deal(buckets: int, sent):
-    """Of each piece of text its word numbers (base), and by bucket the keys, addresses and bits of what no broadcast answers: 2 * place for a word, 2 * place + 1 for the bigram that ends there."""
+    return run
 
-    def run(batches):
-        g, chunk = sent.value, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            flag = batch.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
-            ids_of = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            for a, b, h, doc in _tokens(batch):
-                ids, after = _ids(h, g["vocabulary"]), _follows(doc)
-                word = np.flatnonzero(ids == 0)
-                known = _find(_bigrams(ids, doc).astype(np.uint64), g["pair"]) >= 0
-                pair = np.flatnonzero(after & ~known)
-                on = np.append(after[1:], [False] * bool(len(doc)))
-                bits = flag[a + doc] * np.uint8(_TARGET)
-                key = np.concatenate([h[word], mix(h[pair - 1] * np.uint64(0x9E3779B97F4A7C15) + h[pair])])
-                at = np.concatenate([2 * word, 2 * pair + 1])
-                bits = np.concatenate([bits[word] | (on[word] * np.uint8(_ON)), bits[pair]])
-                bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((at, bucket))
-                name, first = np.unique(bucket[order], return_index=True)
-                cut = lambda x, form: [_squeeze(form(y)) for y in np.split(x[order], first[1:])] if len(name) else []
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(mix(np.array([chunk], np.uint64))[0]) % buckets, *name.tolist()], pa.int64()), pa.array([chunk] * (len(name) + 1), pa.int64()), pa.array([True] + [False] * len(name)),
-                        pa.array([_squeeze(ids_of[a:b]), *cut(key, np.uint64)], pa.binary()), pa.array([_squeeze(np.bincount(doc, minlength=b - a)), *cut(at, _steps)], pa.binary()), pa.array([_squeeze(ids.astype(np.int32)), *cut(bits, np.uint8)], pa.binary()),
-                    ],
-                    names=["bucket", "chunk", "base", "a", "b", "c"],
-                )
-                chunk += 1
 
-    return run
+def _summed(table: pa.Table, keys: str, counts: str, width: int) -> pa.Array:
+    """For each chunk's keys of this bucket the sums over all chunks."""
+    parts = [np.cumsum(_open(x, np.uint64), dtype=np.uint64) for x in table.column(keys)]
+    ends = np.cumsum([len(x) for x in parts])[:-1]
+    key = np.concatenate(parts)
+    count = np.concatenate([_open(x, np.uint32).reshape(width, -1) for x in table.column(counts)], axis=1)
+    order = np.argsort(key, kind="stable")
+    first = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(first) - 1
+    at = np.flatnonzero(first)
+    total = np.stack([np.add.reduceat(c[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for c in count])
+    return pa.array([_squeeze(x) for x in np.split(total[:, group], ends, axis=1)], pa.binary())
 
 
 def _answer(key: Key, table: pa.Table) -> pa.Table:
-    """Counts of every key of a bucket, for each of its occurrences; base rows as they are."""
-    base = table.column("base").to_numpy(zero_copy_only=False)
-    table, passed = table.filter(pa.array(~base)), table.filter(pa.array(base))
-    if not table.num_rows:
-        return passed
-    get = lambda f, kind: [_open(x, kind) for x in table.column(f)]
-    keys, bits = get("a", np.uint64), np.concatenate(get("c", np.uint8))
-    ends = np.cumsum([len(x) for x in keys])[:-1]
-    k = np.concatenate(keys)
-    order = np.argsort(k, kind="stable")
-    starts = np.concatenate([[True], k[order][1:] != k[order][:-1]])
-    group = np.empty(len(k), np.int64)
-    group[order] = np.cumsum(starts) - 1
-    target, on = (bits & _TARGET) > 0, (bits & _ON) > 0
-    counts = np.stack([np.bincount(group[x], minlength=int(starts.sum())) for x in (slice(None), target, on, target & on)]).astype(np.uint32)
-    counts = pa.array([_squeeze(x) for x in np.split(counts[:, group], ends, axis=1)], pa.binary())
-    out = pa.table([table.column("bucket"), table.column("chunk"), table.column("base"), table.column("b"), counts, pa.array([b""] * table.num_rows, pa.binary())], names=table.column_names)
-    return pa.concat_tables([passed, out.cast(passed.schema)])
-
-
-def _losses(sent):
-    """One piece of text with its answers: the losses of its documents."""
-
-    def run(key: Key, table: pa.Table) -> pa.Table:
-        g = sent.value
-        base = table.column("base").to_numpy(zero_copy_only=False)
-        rows, answers = table.filter(pa.array(base)), table.filter(pa.array(~base))
-        if rows.num_rows != 1:
-            raise ValueError(f"piece {key[0]} has {rows.num_rows} base rows")
-        doc_id, n, ids = (_open(rows.column(c)[0], kind) for c, kind in (("a", np.int64), ("b", np.int64), ("c", np.int32)))
-        doc = np.repeat(np.arange(len(n)), n)
+    return pa.table([table.column("bucket"), table.column("chunk"), _summed(table, "words", "word_counts", _WORD), _summed(table, "pairs", "pair_counts", _PAIR)], names=["bucket", "chunk", "word_counts", "pair_counts"])
+
+
+def _losses(model: dict[str, int]):
+    """One chunk with the sums of its words and bigrams: the losses of its documents."""
+
+    def run(key: Key, docs: pa.Table, sums: pa.Table) -> pa.Table:
+        h, doc = _tokens(docs.column("text"))
+        n = np.bincount(doc, minlength=docs.num_rows)
         after = _follows(doc)
-        word = g["count"][:, ids]
-        i = _find(_bigrams(ids.astype(np.int64), doc).astype(np.uint64), g["pair"])
-        both = np.where(i >= 0, g["both"][:, i], 0) if len(g["pair"]) else np.zeros((2, len(ids)), np.int64)
-        for x, y in zip(answers.column("a"), answers.column("b")):
-            at, c = np.cumsum(_open(x, np.uint32).astype(np.int64)), _open(y, np.uint32).reshape(4, -1)
-            odd = (at & 1) > 0
-            word[:, at[~odd] >> 1] = c[:, ~odd]
-            both[:, at[odd] >> 1] = c[:2, odd]
-        if (word[0] == 0).any() or (both[0][after] == 0).any():
-            raise ValueError(f"piece {key[0]} lacks answers")
+        sums = sums.sort_by("bucket") if sums.num_rows else sums
+        get = lambda c, width: np.concatenate([np.zeros((width, 0), np.int64), *(_open(x, np.int64).reshape(width, -1) for x in (sums.column(c) if sums.num_rows else []))], axis=1)
+        names, back = np.unique(h, return_inverse=True)
+        word = get("word_counts", _WORD)
+        pair_names, pair_back = np.unique(_bigrams(h, after), return_inverse=True)
+        pair = get("pair_counts", _PAIR)
+        if word.shape[1] != len(names) or pair.shape[1] != len(pair_names):
+            raise ValueError(f"chunk {key[0]} has sums of {word.shape[1]} words and {pair.shape[1]} bigrams, not {len(names)} and {len(pair_names)}")
         loss = np.zeros((2, len(n)))
-        for j in range(2):
-            p = (word[j] + ADD) / (g["total"][j] + ADD * g["words"])
-            context = np.concatenate([[0], word[2 + j][:-1]])[: len(ids)]
+        for j, total in enumerate((model["all"], model["target"])):
+            single = (word[j] + ADD) / (total + ADD * (model["words"] + 1))
+            p = single[back]
+            before = word[2 + j][back[np.flatnonzero(after) - 1]]
             # a first token, or one after a word that the model never saw followed, has the unigram's loss
-            p = np.where(after & (context > 0), MIX * both[j] / np.maximum(context, 1) + (1 - MIX) * p, p)
+            p[after] = np.where(before > 0, MIX * pair[j][pair_back] / np.maximum(before, 1) + (1 - MIX) * p[after], p[after])
             loss[j] = np.bincount(doc, -np.log(p), minlength=len(n)) / np.maximum(n, 1)
-        return pa.table({"doc_id": doc_id, "n_tokens": n, "loss_background": loss[0], "loss_target": loss[1], "score": loss[0] - loss[1]})
+        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": n, "loss_background": loss[0], "loss_target": loss[1], "score": loss[0] - loss[1]})
 
     return run
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, loss_background, loss_target, score) of docs(doc_id, text, target), the rows that the model was trained on."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    dealt = docs.select("doc_id", "text", "target").mapInArrow(_deal(max(1, math.ceil(model["dealt"] / DEALT)), sent), _PARTS)
-    answered = dealt.groupBy("bucket").applyInArrow(_answer, _PARTS)
-    return answered.groupBy("chunk").applyInArrow(_losses(sent), "doc_id long, n_tokens long, loss_background double, loss_target double, score double")
+def score(docs: DataFrame, model: dict[str, int], good: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, loss_background, loss_target, score) of the rows, and the target set, that `train` was given."""
+    docs = _flagged(docs)
+    chunks, buckets = max(1, math.ceil(model["bytes"] / CHUNK)), max(1, math.ceil(model["all"] / BUCKET))
+    # rows without an id are dealt by their text: they may be many, and no id asks for them
+    dealt = lambda *by: F.pmod(F.xxhash64(*by), F.lit(chunks)).alias("chunk")
+    text = docs.select("*", dealt("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))).repartition("chunk")
+    good = docs.select("doc_id").limit(0) if good is None else good.select(F.col("doc_id").cast("long").alias("doc_id"))
+    good = good.where("doc_id IS NOT NULL").distinct().select("doc_id", dealt("doc_id", F.lit(None).cast("long")))
+    asked = text.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(_ask(buckets), _ASKED)
+    sums = asked.groupBy("bucket").applyInArrow(_answer, _SUMS)
+    return text.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_losses(model), _LOSSES)
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    flagged = docs.join(good.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    # written once: three passes read it, always in the same order
-    path = table_path(spark, "lm")
-    flagged.write.option("compression", "zstd").parquet(path)
-    flagged = spark.read.schema(flagged.schema).parquet(path)
-    return score(flagged, train(flagged))
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return score(docs, train(docs, good), good)

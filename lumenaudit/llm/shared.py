@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of rows handed to Python at once.
+BATCH = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose rows go to Python in batches of BATCH bytes instead of Spark's default of 64 MB.
+
+    A batch is held several times over on its way (by the JVM, in the stream, in Python), in every
+    task of an executor. A size that the session sets itself stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY).removesuffix("b") == str(64 << 20):
+        conf.set(_BATCH_KEY, str(BATCH))
+    return df
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> tuple[int, int]:
     """Rows, and bytes of text, of a table (sizes partitions; never changes results)."""
     from pyspark.sql import functions as F

@@ -217,10 +217,11 @@ def test_lm_scores(spark):
     assert got[900]["n_tokens"] == 0 and got[901]["score"] == 0.0
 
 
-@pytest.mark.parametrize("rate", [0, 0.004, 1])
-def test_lm_counts_rare_words_and_bigrams(spark, monkeypatch, rate):
-    """Losses by plain counting, whatever share of words and bigrams is broadcast."""
-    monkeypatch.setattr(lm, "DEALT", 50, raising=False)
+@pytest.mark.parametrize(("chunk", "bucket"), [(1, 50), (300, 7), (8 << 20, 1 << 21)])
+def test_lm_counts_rare_words_and_bigrams(spark, monkeypatch, chunk, bucket):
+    """Losses by plain counting, however texts and keys are dealt."""
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "BUCKET", bucket)
     rng = np.random.default_rng(7)
     rows = [(i % 50, " ".join(f"W{int(w)}" for w in rng.zipf(1.4, int(rng.integers(0, 30)))), i % 3 == 0) for i in range(60)] + [(900, None, False), (901, " ", True), (902, "once", True)]
     texts = [((t or "").lower().split(), target) for _, t, target in rows]
@@ -232,7 +233,7 @@ def test_lm_counts_rare_words_and_bigrams(spark, monkeypatch, rate):
         p = lambda v, w: lm.MIX * two[v, w] / context[v] + (1 - lm.MIX) * single(w) if context[v] else single(w)  # noqa: B023, E731
         losses.append([-sum(np.log(p(v, w)) for v, w in zip([None, *t], t)) / max(1, len(t)) for t, _ in texts])
     docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
-    got = sorted((r["doc_id"], r["n_tokens"], r["loss_background"], r["loss_target"], r["score"]) for r in lm.score(docs, lm.train(docs, rate)).collect())
+    got = sorted((r["doc_id"], r["n_tokens"], r["loss_background"], r["loss_target"], r["score"]) for r in lm.score(docs, lm.train(docs)).collect())
     want = sorted((i, len(t), a, b, a - b) for (i, *_), (t, _), a, b in zip(rows, texts, *losses))
     assert np.allclose(np.array(got, float), np.array(want, float), rtol=0, atol=1e-9)
 
@@ -260,3 +261,18 @@ def test_pipeline(spark):
         kept = spark.read.parquet(path)
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert last.count() == kept.count() and last.where("NOT round_trip").count() == 0
+
+
+def test_lm_target_set_by_ids(spark):
+    """A target set given by ids scores as one given by flags; null ids are in neither, null rows and repeated rows stay."""
+    rows = [(i % 9 if i % 7 else None, f"w{i % 4} w{i % 3} w{i % 5}" if i % 11 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(1,), (2,), (2,), (None,), (77,)], "doc_id long")
+    flagged = docs.withColumn("target", F.coalesce(F.col("doc_id").isin(1, 2), F.lit(False)))
+    got = [sorted(map(str, lm.score(d, lm.train(d, g), g).collect())) for d, g in ((docs, good), (flagged, None))]
+    assert got[0] == got[1] and len(got[0]) == 60
+
+
+def test_lm_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert lm.score(docs, lm.train(docs, docs), docs).count() == 0
