@@ -19,7 +19,7 @@ _BYTE_LOWER = _BYTE[_LOWER]
 _P = 0x9DDFEA08EB382D69
 _POWERS = np.ones(1, np.uint64)
 #: Text handled at once by the vectorised steps (bytes); a longer text is handled alone.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def powers(n: int) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import lean, small_batches, text_bytes
 
 RATE, PIECE = 0.06, 14
 BLOCK = 8 << 20
@@ -113,7 +113,7 @@ def _matcher(items: list[tuple[object, str]]):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, start): items that a text holds within their error budget."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     _, size = text_bytes(benchmark)
     blocks = -(-size // BLOCK) or 1
     kind = dict(benchmark.dtypes)["item_id"]
@@ -136,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         batch_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
-        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, item_id {kind}, distance int, start long")
+        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id long, item_id {kind}, distance int, start long")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces, shingle_sets
 from .components import components
-from .shared import materialize, mix, pack, text_bytes
+from .shared import lean, lean_group, lean_groups, materialize, mix, pack, small_batches, text_bytes
 
 SKETCH = 1 << 20
 SLICES = 16
 SMALL = 32
 FRAGMENTS = 4
+#: Bytes of shingles that a task passes on at once: a class goes to many cells, so they can be many times the text read.
+OUT = 4 << 20
 LEADERS = 24
 #: Pairs that one task of the partial counting is dealt, about.
 CELL = 6000
@@ -173,7 +175,7 @@ def _post(percent: int, buckets: int):
             rows = []
             for x in np.unique(np.concatenate([b, lb, eb])):
                 i, j = keep & (b == x), lb == x
-                rows.append([int(x), pack(t[i]), pack(c[i]), pack(n[i]), pack(r[i]), pack(common[i]), pack(lt[j]), pack(lc[j]), pack(ln[j]), pack(lr[j]), pack(e[:, eb == x].T)])
+                rows.append([int(x), pack(t[i]), pack(c[i]), pack(n[i].astype(np.int32)), pack(r[i].astype(np.int32)), pack(common[i]), pack(lt[j]), pack(lc[j]), pack(ln[j].astype(np.int32)), pack(lr[j].astype(np.int32)), pack(e[:, eb == x].T)])
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 11))], names=names)
 
     return run
@@ -185,9 +187,9 @@ _CANDIDATES = "kind int, a long, na long, b long, nb long"
 def _candidates(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         get = lambda x, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(x)])
-        t, c, n, r, common = get("t", np.uint64), get("c", np.int64), get("n", np.int64), get("r", np.int64), get("common", bool)
+        t, c, n, r, common = get("t", np.uint64), get("c", np.int64), get("n", np.int32).astype(np.int64), get("r", np.int32).astype(np.int64), get("common", bool)
         edges = [get("edges", np.int64).reshape(-1, 4).T]
-        large = [np.stack([get("lt", np.uint64).astype(np.int64), get("lc", np.int64), get("ln", np.int64), get("lr", np.int64)])]
+        large = [np.stack([get("lt", np.uint64).astype(np.int64), get("lc", np.int64), get("ln", np.int32).astype(np.int64), get("lr", np.int32).astype(np.int64)])]
         order = np.argsort(t, kind="stable")
         t, c, n, r, common = t[order], c[order], n[order], r[order], common[order]
         first, size = _runs(t)
@@ -212,22 +214,32 @@ def _candidates(percent: int):
     return run
 
 
+def _part_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=["cell", "fragment", "c", "part"])
+
+
 def _fragments(k: int, sketch, pivots: np.ndarray):
     """(cell, fragment, class, its shingles in that fragment) for every cell that a text's class is needed in."""
 
     def run(batches):
         count = sketch.value
         for batch in batches:
-            want, cells = batch.column("c").to_pylist(), batch.column("cells").to_pylist()
-            rows = []
+            want, cells = batch.column("c").to_pylist(), batch.column("cells")
+            rows, held = [], 0
             for d, s in _sets(batch, k):
                 if _class(s) != want[d]:
                     continue  # another row of the same doc_id
                 f = np.searchsorted(pivots, count[s & np.uint64(SKETCH - 1)], "left") * (FRAGMENTS // 2) + (s >> np.uint64(63)).astype(np.int64) % (FRAGMENTS // 2)
-                for x in np.unique(f).tolist():
-                    part = pack(s[f == x])
-                    rows += [(cell, x, want[d], part) for cell in cells[d]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["cell", "fragment", "c", "part"])
+                parts = [(x, pack(s[f == x])) for x in np.unique(f).tolist()]
+                for cell in cells[d].as_py():
+                    rows += [(cell, x, want[d], part) for x, part in parts]
+                    held += 8 * len(s)
+                    if held > OUT:
+                        yield _part_rows(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _part_rows(rows)
 
     return run
 
@@ -250,9 +262,9 @@ def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent:
     # a class is in at most 2 * grid cells; the list is shipped whole only where it is short, else dealt with the texts
     ids = F.broadcast(ids) if (ids.agg(F.sum(F.size("cells") + 4)).first()[0] or 0) <= SHIPPED else ids
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"])).select("text", "c", "cells")
-    parts = texts.mapInArrow(_fragments(k, sketch, pivots), "cell long, fragment int, c long, part binary")
+    parts = texts.mapInArrow(lean(_fragments(k, sketch, pivots)), "cell long, fragment int, c long, part binary")
     spread = pairs.select("cell", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    partial = spread.groupBy("cell", "fragment").cogroup(parts.groupBy("cell", "fragment")).applyInArrow(_overlaps, "a long, b long, n long")
+    partial = spread.groupBy("cell", "fragment").cogroup(parts.groupBy("cell", "fragment")).applyInArrow(lean_groups(_overlaps), "a long, b long, n long")
     both = partial.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("both"))
     good = both.join(pairs, ["a", "b"]).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
     return materialize(good.select("a", "b"), "links")
@@ -261,9 +273,9 @@ def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent:
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text): its set size and the smallest doc_id it is linked with, over any number of links."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, size = text_bytes(docs)
-    rows = materialize(docs.mapInArrow(_sizes(k), _SIZES), "shingles")
+    rows = materialize(docs.mapInArrow(lean(_sizes(k)), _SIZES), "shingles")
     sketch = np.zeros(SKETCH, np.uint32)
     for r in rows.where("slice is not null").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect():
         sketch[r["slice"] * (SKETCH // SLICES) :][: SKETCH // SLICES] = np.frombuffer(r["counts"], np.uint32)
@@ -272,9 +284,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     rows = rows.where("slice is null").select("doc_id", "n", "c")
     first = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
     buckets = max(1, math.ceil(size / 6 * (1 - percent / 100) / POSTINGS))
-    entries = docs.select("text").mapInArrow(_prefixes(k, percent, sketch), "c long, n long, prefix binary").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = entries.mapInArrow(_post(percent, buckets), "bucket long, t binary, c binary, n binary, r binary, common binary, lt binary, lc binary, ln binary, lr binary, edges binary")
-    found = materialize(posted.groupBy("bucket").applyInArrow(_candidates(percent), _CANDIDATES), "candidates")
+    entries = docs.select("text").mapInArrow(lean(_prefixes(k, percent, sketch)), "c long, n long, prefix binary").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    posted = entries.mapInArrow(lean(_post(percent, buckets)), "bucket long, t binary, c binary, n binary, r binary, common binary, lt binary, lc binary, ln binary, lr binary, edges binary")
+    found = materialize(posted.groupBy("bucket").applyInArrow(lean_group(_candidates(percent)), _CANDIDATES), "candidates")
     pairs = found.where("kind = 0").select("a", "na", "b", "nb").distinct()
     links = _links(pairs, docs, first, k, percent, sketch, pivots)
     label = components(links)

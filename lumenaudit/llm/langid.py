@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces
 from .labelled import fold
-from .shared import pack
+from .shared import pack, small_batches
 
 GRAMS = 1 << 14
 PENALTY = 1.5
@@ -119,7 +119,7 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """From docs(text, lang), rows with both; one row of counts per language comes to the driver."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
-    got = rows.mapInArrow(_count, "lang string, n binary").groupBy("lang").applyInArrow(_sum, "lang string, n binary").collect()
+    got = small_batches(rows).mapInArrow(_count, "lang string, n binary").groupBy("lang").applyInArrow(_sum, "lang string, n binary").collect()
     return Model({r["lang"]: np.frombuffer(r["n"], np.int64) for r in got})
 
 
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     out.append(sent.value.infer(x))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in out], pa.string()), pa.array([min(1.0, max(0.0, x[1])) for x in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 _ASCII_LETTER = np.zeros(256, bool)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces, words
 from .labelled import fold
-from .shared import mix
+from .shared import lean, mix, small_batches
 
 SHRINK = 0.1
 CUT = 0.3
@@ -149,8 +149,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """From docs(doc_id, text) and labels(doc_id, y), y 0 or 1: sums of squares and products per class come to the driver."""
-    spark = docs.sparkSession
-    x = docs.select("doc_id", "text").mapInArrow(_rows, "doc_id long, x array<double>")
+    x = small_batches(docs).select("doc_id", "text").mapInArrow(lean(_rows), "doc_id long, x array<double>")
     y = labels.where("y in (0, 1)").select("doc_id", F.col("y").cast("long").alias("y"))
     parts = x.join(y, "doc_id").select("x", "y").mapInArrow(_sums, "y long, m array<double>")
     width = len(NAMES) + 1
@@ -169,7 +168,7 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             s = model.score(_batch_statistics(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -180,7 +179,7 @@ def keep(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             good = model.score(_batch_statistics(batch)) >= cut
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:

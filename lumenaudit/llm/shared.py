@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,45 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Hands memory that this worker has freed back to the machine: workers live on between stages and share it with the executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of batches whose worker gives back its memory after the last one."""
+
+    def of_batches(batches):
+        yield from run(batches)
+        give_back()
+
+    return of_batches
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of (key, table)."""
+
+    def of_group(key, table):
+        out = run(key, table)
+        give_back()
+        return out
+
+    return of_group
+
+
+def lean_groups(run: Callable) -> Callable:
+    """The same for a function of (key, left, right)."""
+
+    def of_groups(key, left, right):
+        out = run(key, left, right)
+        give_back()
+        return out
+
+    return of_groups
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> tuple[int, int]:
     """Rows, and bytes of text, of a table (sizes partitions; never changes results)."""
     from pyspark.sql import functions as F

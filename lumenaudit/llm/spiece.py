@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrowtext import buffers, pieces
-from .shared import mix, pack
+from .shared import lean, mix, pack, small_batches
 
 BLANK = "▁"
 #: Longest piece that the suffix ranks tell apart, in characters.
 DEPTH = 16
 #: Stretches a worker remembers between batches (those of up to LONG characters).
-REMEMBER, LONG = 250_000, 48
+REMEMBER, LONG = 150_000, 48
 BATCH = 2 << 20
 _STRETCH = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 _PAIRS = 1 << 22
@@ -94,7 +94,9 @@ class Vocabulary:
                 made.append(i)
                 if last:
                     self.left[i], self.right[i] = last
-        made = [i for i in made if len(self.text[i]) <= DEPTH and not self.text[i].startswith(BLANK * 2)]
+        made = [i for i in made if not self.text[i].startswith(BLANK * 2)]
+        if any(len(self.text[i]) > DEPTH for i in made):
+            raise ValueError(f"{path} has pieces of more than {DEPTH} characters")
         split = [i for i in made if self.left[i] != i]
         key = self.left[split].astype(np.int64) << 32 | self.right[split]
         order = np.argsort(key)
@@ -330,7 +332,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for _, a, b, _, ids in _encoded(batch, path):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -342,7 +344,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
             texts = [x.decode("utf-8", "replace") for x in v.decode_bytes([np.asarray(x or [], np.int64) for x in batch.column("ids").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -355,7 +357,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 crc = [zlib.crc32(i.astype("<u4").tobytes()) for i in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import _BYTE, buffers, powers
-from .shared import mix, pack, text_bytes
+from .shared import lean_group, lean_groups, mix, pack, small_batches, text_bytes
 
 LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1
@@ -306,19 +306,19 @@ def cut_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool
     `kept` is the remaining text; a character that lost some of its bytes goes with them.
     """
     keep = keep or []
-    rows, size = text_bytes(docs)
+    rows, size = text_bytes(small_batches(docs))
     chunks = max(1, math.ceil(size / CHUNK))
     splitters = _splitters(docs, rows, max(1, math.ceil(size / SUFFIXES)))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep, F.xxhash64("text").alias("dkey"), F.pmod(F.xxhash64(ident), F.lit(chunks)).alias("chunk")).repartition("chunk")
     view = lambda *cols: dealt.select(F.col("chunk").alias("in_chunk"), *(F.col(c).alias(c) for c in ("doc_id", "text", "dkey", *cols)))
-    grams = view().groupBy("in_chunk").applyInArrow(_grams(max(1, math.ceil(size * 0.03 / GRAMS))), "bucket long, chunk long, grams binary")
-    known = grams.groupBy("bucket").applyInArrow(_repeated, "chunk long, grams binary")
-    packed = view().groupBy("in_chunk").cogroup(known.groupBy("chunk")).applyInArrow(_suffixes(splitters), _PACKED)
-    cuts = packed.groupBy("bucket").applyInArrow(_first_kept, "chunk long, cut_doc binary, cut_lo binary, cut_hi binary")
+    grams = view().groupBy("in_chunk").applyInArrow(lean_group(_grams(max(1, math.ceil(size * 0.03 / GRAMS)))), "bucket long, chunk long, grams binary")
+    known = grams.groupBy("bucket").applyInArrow(lean_group(_repeated), "chunk long, grams binary")
+    packed = view().groupBy("in_chunk").cogroup(known.groupBy("chunk")).applyInArrow(lean_groups(_suffixes(splitters)), _PACKED)
+    cuts = packed.groupBy("bucket").applyInArrow(lean_group(_first_kept), "chunk long, cut_doc binary, cut_lo binary, cut_hi binary")
     kinds = dict(dealt.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ["kept string"] * with_text)
-    return view(*keep).groupBy("in_chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(_apply(keep, with_text), schema)
+    return view(*keep).groupBy("in_chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(lean_groups(_apply(keep, with_text)), schema)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces
-from .shared import pack, table_path, text_bytes
+from .shared import lean, lean_group, pack, small_batches, table_path, text_bytes
 
 FILE = 8 << 20
 END = 2
@@ -244,7 +244,7 @@ def _edges(docs: DataFrame, rows: int, files: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
     """Writes docs(doc_id, text) as token files under `path`, a folder that all executors reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, size = text_bytes(docs)
+    rows, size = text_bytes(small_batches(docs))
     files = max(1, math.ceil(size / FILE))
     at = docs.sparkSession.sparkContext.broadcast(_edges(docs, rows, files) if files > 1 else np.zeros(0, np.int64))
 
@@ -256,8 +256,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     def both(batches):
         yield from _encoded(tokenizer, end)(dealt(batches))
 
-    coded = docs.mapInArrow(both, "file long, doc_id long, width int, ids binary")
-    coded.groupBy("file").applyInArrow(_write, _FILE).write.parquet(path)
+    coded = docs.mapInArrow(lean(both), "file long, doc_id long, width int, ids binary")
+    coded.groupBy("file").applyInArrow(lean_group(_write), _FILE).write.parquet(path)
 
 
 def _read(key_start):

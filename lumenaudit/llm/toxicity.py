@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fold as fold_of
 from .labelled import logistic
+from .shared import small_batches
 
 FIT_ROWS = 20_000
 CUT = 0.5
@@ -112,6 +113,7 @@ class Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """From docs(doc_id, text) and labels(doc_id, y), y 0 or 1."""
+    small_batches(docs)
     some = labels.where("y in (0, 1)").select("doc_id", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(FIT_ROWS)
     rows = docs.join(F.broadcast(some), "doc_id").select("text", "y")
     count = rows.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 def score(docs: DataFrame, lexicon: Lexicon, cut: float = CUT) -> DataFrame:
     """(doc_id, score, predicted) of docs(doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
         for batch in batches:
