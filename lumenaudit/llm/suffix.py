@@ -4,14 +4,18 @@ A window of LENGTH bytes is owned by its anchor: the position of the least-hashe
 in it (leftmost on ties). Equal windows have equal anchors at equal places, so the windows of a
 text fall into runs, one per anchor, and only runs whose anchor gram occurs elsewhere need to be
 compared. The suffixes at those anchors are dealt to buckets by their leading bytes, at splitters
-taken from a sample of suffixes; a bucket sorts its windows locally and keeps the first of each.
-Splitters never part suffixes that lead with the same bytes, so no window meets an equal one
-across a boundary.
+taken from a sample of suffixes. A bucket sorts its suffixes, and what stands before them, by
+multikey quicksort on their bytes; windows that agree on both sides of their anchors are equal, and
+the first of them stays. The comparison across boundaries is empty: splitters never part suffixes
+that lead with the same bytes, so no window has an equal one beyond a boundary.
+
+The anchors lose nothing: which position of a window is least depends on its bytes alone, so every
+pair of equal windows is compared, at anchors that stand at the same place in both. Grams whose hash
+occurs once can't be equal to others; every equality that removes bytes is one of bytes.
 
 Memory and skew: texts are dealt into chunks of about CHUNK bytes; a run that is equal to an
 earlier one of its chunk is settled there, so a passage in a third of all documents reaches its
-bucket once per chunk. The sort is on 64-bit fingerprints of whole windows (one pass) in place of
-a multikey quicksort on their bytes, which needs thirteen 8-byte key passes for the same order.
+bucket once per chunk.
 
 Defined cases: null text is empty; texts shorter than LENGTH keep all; rows that repeat a doc_id
 with another text are ordered by a hash of the text; wholly equal rows are one document and
@@ -136,6 +140,20 @@ def _content(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, g
     return mix(mix(same ^ gram) + ((hi - lo).astype(np.uint64) << np.uint64(32)) + (at - lo).astype(np.uint64))
 
 
+def _same_bytes(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each run has the bytes, and the place of the anchor, of another run (false for itself)."""
+    same = (other != np.arange(len(lo))) & (hi - lo == (hi - lo)[other]) & (at - lo == (at - lo)[other])
+    i = np.flatnonzero(same)
+    size = hi[i] - lo[i] + LENGTH
+    total = np.concatenate([[0], np.cumsum(size)])
+    for a in range(0, len(i), 20_000):
+        b = min(len(i), a + 20_000)
+        step = np.arange(total[b] - total[a]) - np.repeat(total[a:b] - total[a], size[a:b])
+        equal = data[np.repeat(lo[i[a:b]], size[a:b]) + step] == data[np.repeat(lo[other[i[a:b]]], size[a:b]) + step]
+        same[i[a:b]] = np.logical_and.reduceat(equal, total[a:b] - total[a])
+    return same
+
+
 def _grams(buckets: int):
     def run(key: Key, table: pa.Table) -> pa.Table:
         gram = np.unique(_chunk_runs(table)[-1])
@@ -187,9 +205,8 @@ def _suffixes(splitters: np.ndarray):
         if len(outside):
             twice |= outside[np.minimum(np.searchsorted(outside, gram), len(outside) - 1)] == gram
         doc, at, lo, hi, gram = (x[twice] for x in (doc, at, lo, hi, gram))
-        _, first = np.unique(_content(data, at, lo, hi, gram), return_index=True)
-        settled = np.ones(len(doc), bool)
-        settled[first] = False
+        _, first, back = np.unique(_content(data, at, lo, hi, gram), return_index=True, return_inverse=True)
+        settled = _same_bytes(data, at, lo, hi, first[back])
         cut = [x[settled] for x in (doc, lo, hi)]
         cut[1:] = [x - offsets[cut[0]] for x in cut[1:]]
         doc, at, lo, hi = (x[~settled] for x in (doc, at, lo, hi))
@@ -210,41 +227,88 @@ def _suffixes(splitters: np.ndarray):
     return run
 
 
+def _words_at(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int, words: int) -> np.ndarray:
+    """8-byte numbers, in byte order, of the strings of `size` bytes that begin at `start` and go on by `step`; zeros follow."""
+    out = np.zeros((words, len(start)), np.uint64)
+    top = len(data) - 1
+    for j in range(8 * words):
+        x = data[np.clip(start + step * j, 0, top)].astype(np.uint64)
+        out[j // 8] = out[j // 8] << np.uint64(8) | np.where(j < size, x, np.uint64(0))
+    return out
+
+
+def sort_strings(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings given as rows of 8-byte numbers (number x string), and how many leading bytes each shares with the one before it.
+
+    Multikey quicksort with 8-byte characters: all strings are parted by their first number, and groups that tie are parted by the next.
+    """
+    n = words.shape[1]
+    order, common = np.arange(n), np.full(n, 8 * len(words), np.int64)
+    common[:1] = 0
+    tied = np.arange(n) if n > 1 else np.zeros(0, np.int64)  # places in `order` of groups of two or more
+    group = np.zeros(len(tied), np.int64)
+    for d, key in enumerate(words):
+        if not len(tied):
+            break
+        inside = np.lexsort((key[order[tied]], group)) if d else np.argsort(key[order[tied]], kind="stable")
+        order[tied] = order[tied[inside]]
+        k = key[order[tied]]
+        part = np.concatenate([[False], (k[1:] != k[:-1]) & (group[1:] == group[:-1])])
+        x = k[part] ^ k[np.flatnonzero(part) - 1]
+        common[tied[part]] = 8 * d + sum((x < np.uint64(1 << 8 * b)).astype(np.int64) for b in range(1, 8))
+        first = part | np.concatenate([[True], group[1:] != group[:-1]])
+        group = np.cumsum(first)
+        stay = np.bincount(group)[group] > 1
+        tied, group = tied[stay], group[stay]
+    return order, common
+
+
+def _seen_before(data: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For every suffix (at `anchor`, in order of place; `left` bytes stand before it and `right` from it on) and each number of bytes a before
+    it: whether the window of LENGTH bytes from a bytes before it also occurs at an earlier suffix. Windows with other anchors aren't equal.
+
+    Two windows are equal if a bytes before their anchors and LENGTH - a from them on agree. Suffixes, and what stands before them read
+    backwards, are sorted once; strings that share their first bytes are neighbours, so both agreements are numbers read off the shared lengths.
+    """
+    seen = np.zeros((len(anchor), _SPAN), bool)
+    after, shared = sort_strings(_words_at(data, anchor, right, 1, -(-LENGTH // 8)))
+    before, shared_back = sort_strings(_words_at(data, anchor - 1, left, -1, -(-(_SPAN - 1) // 8)))
+    x, y = np.empty(len(anchor), np.int64), np.empty(len(anchor), np.int64)
+    for a in range(_SPAN):
+        i = np.flatnonzero((left >= a) & (right >= LENGTH - a))
+        if len(i) < 2:
+            continue
+        x[after] = np.cumsum(shared < LENGTH - a)
+        y[before] = np.cumsum(shared_back < a)
+        key = x[i] << 32 | y[i]
+        seq = np.argsort(key, kind="stable")
+        seen[i[seq[1:]], a] = key[seq[1:]] == key[seq[:-1]]
+    return seen
+
+
 def _first_kept(key: Key, table: pa.Table) -> pa.Table:
-    """Sorts a bucket's windows and gives, by chunk, the window ranges that start earlier elsewhere."""
+    """Sorts a bucket's suffixes and gives, by chunk, the ranges of windows that start earlier elsewhere."""
     chunks = table.column("chunk").to_numpy()
     get = lambda f, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(f)]
-    parts = {f: get(f, k) for f, k in (("ids", np.int64), ("keys", np.int64), ("doc", np.int32), ("lo", np.int64), ("size", np.int32), ("bytes", np.uint8))}
-    many = [len(x) for x in parts["doc"]]
-    chunk = np.repeat(chunks, many)
-    ids, keys, doc, lo, size = (np.concatenate(parts[f]).astype(np.int64) for f in ("ids", "keys", "doc", "lo", "size"))
-    data = np.concatenate(parts["bytes"])
+    parts = {f: get(f, k) for f, k in (("ids", np.int64), ("keys", np.int64), ("doc", np.int32), ("at", np.int32), ("lo", np.int64), ("size", np.int32), ("bytes", np.uint8))}
+    chunk = np.repeat(chunks, [len(x) for x in parts["doc"]])
+    ids, keys, doc, at, lo, size = (np.concatenate(parts[f]).astype(np.int64) for f in ("ids", "keys", "doc", "at", "lo", "size"))
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    # wholly equal rows in different order of chunks can't meet: they share a doc_id and so a chunk
     order = np.lexsort((lo, keys, ids))
-    count = size - LENGTH + 1
+    chunk, doc, at, lo, size, begin = (x[order] for x in (chunk, doc, at, lo, size, begin))
     cuts = {int(c): [[d], [a], [b]] for c, d, a, b in zip(chunks, get("cut_doc", np.int32), get("cut_lo", np.int64), get("cut_hi", np.int64))}
     if len(doc):
-        half = _rolling(data, 64)
-        mark = mix(half[: len(data) - LENGTH + 1] * np.uint64(0x9E3779B97F4A7C15) + half[LENGTH - 64 :][: len(data) - LENGTH + 1])
-        w = np.repeat(begin[order] - np.concatenate([[0], np.cumsum(count[order])[:-1]]), count[order]) + np.arange(count.sum())
-        run = np.repeat(order, count[order])
-        mark = mark[w]
-        seq = np.argsort(mark, kind="stable")
-        again = np.zeros(len(mark), bool)
-        again[seq[1:]] = mark[seq[1:]] == mark[seq[:-1]]
-        # wholly equal rows in different order of chunks can't meet: they share a doc_id and so a chunk
-        gone = np.flatnonzero(again)
-        if len(gone):
-            new = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (run[gone[1:]] != run[gone[:-1]])]))
-            end = np.append(new[1:], len(gone)) - 1
-            r = run[gone[new]]
-            a = lo[r] + w[gone[new]] - begin[r]
-            b = lo[r] + w[gone[end]] - begin[r]
-            for c in np.unique(chunk[r]).tolist():
-                i = chunk[r] == c
-                x = cuts.setdefault(int(c), [[], [], []])
-                for y, z in zip(x, (doc[r][i].astype(np.int32), a[i], b[i])):
-                    y.append(z)
+        gone = _seen_before(np.concatenate(parts["bytes"]), begin + at, at, size - at)[:, ::-1]  # now by place
+        edge = np.zeros((len(doc), 1), bool)
+        r, a = np.nonzero(gone & ~np.concatenate([edge, gone[:, :-1]], axis=1))
+        _, b = np.nonzero(gone & ~np.concatenate([gone[:, 1:], edge], axis=1))
+        a, b = (lo[r] + at[r] - (_SPAN - 1 - x) for x in (a, b))
+        for c in np.unique(chunk[r]).tolist():
+            i = chunk[r] == c
+            x = cuts.setdefault(int(c), [[], [], []])
+            for y, z in zip(x, (doc[r][i].astype(np.int32), a[i], b[i])):
+                y.append(z)
     names = [c for c, x in cuts.items() if sum(map(len, x[0]))]
     return pa.table({"chunk": pa.array(names, pa.int64()), **{f: pa.array([pack(np.concatenate(cuts[c][i])) for c in names], pa.binary()) for i, f in enumerate(("cut_doc", "cut_lo", "cut_hi"))}})
 

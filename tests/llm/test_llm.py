@@ -276,3 +276,15 @@ def test_lm_target_set_by_ids(spark):
 def test_lm_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, lm.train(docs, docs), docs).count() == 0
+
+
+def test_sorted_strings():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(0, 3, 40, dtype=np.uint8)) for _ in range(300)]
+    texts += [t[:24] + b"\x02" * 16 for t in texts[:100]] + texts[:50]
+    words = np.frombuffer(b"".join(texts), ">u8").reshape(len(texts), 5).T.astype(np.uint64)
+    order, common = suffix.sort_strings(words)
+    got = [texts[i] for i in order]
+    assert got == sorted(texts)
+    shared = lambda x, y: next((i for i in range(40) if x[i] != y[i]), 40)
+    assert common.tolist() == [0, *(shared(x, y) for x, y in zip(got, got[1:]))]
