@@ -23,13 +23,17 @@ RAW_TEXT = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 TAG = r"""(</?[a-zA-Z][^>"']*+(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>)([^<]*)"""
 
 
+#: A name and, perhaps, a value; taken one after another, so that nothing within a value is read as a name.
+ATTRIBUTE = r"""\s([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+
+
 def column_name(attribute: str) -> str:
     return "a_" + attribute.replace("-", "_")
 
 
-def attribute(raw: Column, name: str) -> Column:
-    """The first value of an attribute without quotes; null if it is absent or has no value."""
-    v = F.regexp_extract(raw, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
+def attribute(names: Column, values: Column, name: str) -> Column:
+    """The first value of an attribute without quotes; null if it is absent or has no value. The arrays are those of ATTRIBUTE's parts."""
+    v = F.get(values, F.array_position(names, name).cast("int") - 1)
     bare = F.when(v.rlike("""^["']"""), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
     return F.when(v != "", unescape(bare))
 
@@ -66,8 +70,10 @@ def elements(pages: DataFrame) -> DataFrame:
     around = e.where("close IS NOT NULL AND NOT void").select(F.col("page_id").alias("p2"), F.col("pos").alias("a"), F.col("close").alias("b"))
     lost = e.where("close IS NULL").select("page_id", "pos").join(around, (F.col("page_id") == F.col("p2")) & (F.col("a") < F.col("pos")) & (F.col("pos") < F.col("b"))).groupBy("page_id", "pos").agg(F.min("b").alias("outer"))
     e = e.join(lost, ["page_id", "pos"], "left").withColumn("end_pos", F.coalesce("close", "outer", "last"))
-    raw = F.col("raw")
-    e = e.select("page_id", "pos", "end_pos", "tag", "raw", *(attribute(raw, a).alias(column_name(a)) for a in ATTRIBUTES), *(raw.rlike(rf"(?i)\s{a}(\s|=|/|>)").alias(f"has_{a}") for a in FLAGS), raw.rlike(r"(?i)\salt(\s|=|/|>)").alias("has_alt"))
+    found = lambda part: F.regexp_extract_all("raw", F.lit(ATTRIBUTE), F.lit(part))
+    e = e.select("page_id", "pos", "end_pos", "tag", "raw", F.transform(found(1), F.lower).alias("names"), found(2).alias("values"))
+    names, values = F.col("names"), F.col("values")
+    e = e.select("page_id", "pos", "end_pos", "tag", "raw", *(attribute(names, values, a).alias(column_name(a)) for a in ATTRIBUTES), *(F.array_contains(names, a).alias(f"has_{a}") for a in [*FLAGS, "alt"]))
     texts = t.where("length(text_after) > 0").select(F.col("page_id").alias("p2"), F.col("pos").alias("at"), "text_after")
     inner = e.where(F.col("tag").isin(TEXT_TAGS)).select("page_id", "pos", "end_pos").join(texts, (F.col("page_id") == F.col("p2")) & (F.col("at") >= F.col("pos")) & (F.col("at") < F.col("end_pos")))
     joined = inner.groupBy("page_id", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text_after"))), lambda x: x["text_after"]), "").alias("text"))

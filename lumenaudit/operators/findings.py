@@ -32,6 +32,16 @@ def normalise(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity", F.coalesce(F.try_element_at(mapped, F.lower("severity")), F.lit("minor"))).withColumn("wcag_level", F.when(level.isin("A", "AA", "AAA"), level).otherwise("A"))
 
 
+ISSUE = ["page_id", "detected_by", "wcag_criterion", "wcag_level", "severity", "element_selector"]
+
+
+def merge(rule_issues: DataFrame, found: DataFrame) -> DataFrame:
+    """One table of ISSUE columns: rule issues, and normalised findings(detected_by: ai or vision_ai); vision findings go if a rule or ai issue of the page has their selector."""
+    rules, ai = rule_issues.withColumn("detected_by", F.lit("rule")).select(ISSUE), found.where("detected_by = 'ai'").select(ISSUE)
+    known = rules.where("element_selector <> ''").unionByName(ai)
+    return rules.unionByName(ai).unionByName(drop_known(found.where("detected_by = 'vision_ai'").select(ISSUE), known))
+
+
 def locate(issues: DataFrame, boxes: DataFrame) -> DataFrame:
     """Adds the bounding box with the issue's exact selector; of several the last counts."""
     last = boxes.groupBy("page_id", "selector").agg(F.max_by("bbox", "pos").alias("bbox"))

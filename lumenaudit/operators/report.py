@@ -43,6 +43,17 @@ def quality(issues: DataFrame) -> DataFrame:
     return issues.groupBy("rule_id").agg(good.alias("confirmed"), bad.alias("false_positive"), F.countDistinct("page_id").alias("pages"), F.try_divide(good, good + bad).alias("precision"), F.try_divide(bad, good + bad).alias("false_positive_rate"))
 
 
+def report_row(scores_: DataFrame, key: str, summaries: DataFrame | None = None) -> DataFrame:
+    """A report a key: scores, counts, breakdown as JSON, summary and recommendations as lines; summaries(key, summary, recommendations array) may be absent."""
+    total = sum((F.col(s) for s in SEVERITIES), F.lit(0))
+    breakdown = F.to_json(F.struct(F.struct(*SEVERITIES).alias("by_severity"), F.create_map().cast("map<string,bigint>").alias("by_wcag_level")))
+    r = scores_.select(key, F.col("score").alias("overall_score"), "score_a", "score_aa", "score_aaa", F.col("pages").alias("total_pages"), total.alias("total_issues"), "critical", "major", "minor", breakdown.alias("issue_breakdown"))
+    if summaries is None:
+        return r.withColumn("summary", F.lit(None).cast("string")).withColumn("recommendations", F.lit(None).cast("string"))
+    lines = F.array_join(F.transform("recommendations", lambda x: F.concat(F.lit("- "), x)), "\n")
+    return r.join(summaries.select(key, "summary", lines.alias("recommendations")), key, "left")
+
+
 def export_rows(issues: DataFrame, pages: DataFrame) -> DataFrame:
     """Issues with their page's URL, recommendations never null."""
     return issues.join(pages.select("page_id", "url"), "page_id", "left").withColumn("recommendation", F.coalesce("recommendation", F.lit("")))

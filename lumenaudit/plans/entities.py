@@ -182,6 +182,6 @@ add("s3_missing_pages", "SELECT DISTINCT user_id AS page_id FROM events WHERE ev
 
 
 # Streams
-add("w6_stream_duplicates", f"SELECT DISTINCT {_SITE} AS site, md5(html[1:300]) AS content_hash FROM pages")(
+add("w6_stream_duplicates", f"SELECT DISTINCT {_SITE} AS site, md5(html) AS content_hash FROM pages")(
     lambda s, d: progress.drain(progress.distinct(progress.stream(s, d, "pages").select(F.expr("try_parse_url(url, 'AUTHORITY')").alias("site"), F.md5("html").alias("content_hash")), ["site", "content_hash"]), "append").drop("batch")
 )

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import contrast, markup
 from ..functions import vocab as V
-from ..operators import dedup, findings, frontier, report, rules, tables
+from ..operators import boxes, dedup, findings, frontier, report, rules, tables
 from ..sources import pages as P
+from ..sources.stored import stored
 from ..streaming import progress
 from . import entities
 
@@ -45,10 +46,15 @@ add("e4_text", lambda s, d: elements(s, d).where("text <> ''").select("page_id",
 
 
 def _record(s: SparkSession, d: str) -> DataFrame:
-    return s.sql(rules.render(rules.RECORD, "spark"), pages=rich(s, d)).select("page_id", "lang", "title", "viewport", F.md5("html").alias("html_md5"))
+    p = rich(s, d)
+    return s.sql(rules.render(rules.RECORD, "spark"), pages=p, elements=markup.elements(p)).select("page_id", "lang", "title", "viewport", F.md5("html").alias("html_md5"))
 
 
-add("e5_page_scalars", _record, f"WITH {RICH}, record AS ({rules.render(rules.RECORD, 'duck').format(pages='rich')}) SELECT page_id, lang, title, viewport, md5(html) AS html_md5 FROM record")
+#: Written apart from rules.RECORD: by patterns that fit this corpus, which quotes its attributes with ".
+_SCALARS = f"""WITH {RICH}, bare AS (SELECT page_id, html[1:50000] AS head, regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS html FROM rich),
+ m AS (SELECT page_id, head, regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?i)<meta\\s+name="viewport"\\s+content="([^"]*)"', 1) AS viewport FROM bare)
+ SELECT page_id, nullif(lang, '') AS lang, trim(replace(title, '&amp;', '&')) AS title, nullif(viewport, '') AS viewport, md5(head) AS html_md5 FROM m"""
+add("e5_page_scalars", _record, _SCALARS)
 
 
 def _view(name: str, where: str = "true") -> Callable:
@@ -68,10 +74,13 @@ _ELEMENT_LISTS = {
     "e13_autocomplete": "SELECT page_id, pos, a_name AS name, lower(a_type) AS type, coalesce(a_autocomplete, '') AS autocomplete FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE tag = 'input' AND lower(a_type) IN ('text', 'email', 'tel', 'url', 'password', 'search')) q WHERE nth <= 50",
     "e14_lang_parts": "SELECT page_id, pos, tag, a_lang AS lang FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE a_lang IS NOT NULL AND tag <> 'html') q WHERE nth <= 50",
     "e15_live_regions": "SELECT page_id, pos, tag, coalesce(a_role, '') AS role, coalesce(a_aria_live, '') AS aria_live FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE a_aria_live IS NOT NULL OR a_role IN ('alert', 'status', 'log')) q WHERE nth <= 20",
-    "e18_selectors": "SELECT page_id, pos, CASE WHEN a_id IS NOT NULL THEN concat(tag, '#', a_id) ELSE concat(tag, ':nth-of-type(', CAST(row_number() OVER (PARTITION BY page_id, tag ORDER BY pos) AS STRING), ')') END AS selector FROM {elements}",
+    "e18_selectors": """SELECT page_id, pos, CASE WHEN coalesce(a_id, '') <> '' THEN concat(tag, '#', a_id) WHEN ppos IS NULL THEN tag
+        ELSE concat(CASE WHEN ptag IN ('body', 'html') THEN '' WHEN pid <> '' THEN concat(ptag, '#', pid, ' > ') ELSE concat(ptag, ' > ') END, tag, ':nth-child(', CAST(row_number() OVER (PARTITION BY page_id, ppos ORDER BY pos) AS STRING), ')') END AS selector
+        FROM (SELECT c.page_id, c.pos, c.tag, c.a_id, max(p.pos) AS ppos, max_by(p.tag, p.pos) AS ptag, max_by(coalesce(p.a_id, ''), p.pos) AS pid
+          FROM {elements} c LEFT JOIN {elements} p ON p.page_id = c.page_id AND p.pos < c.pos AND c.pos < p.end_pos GROUP BY c.page_id, c.pos, c.tag, c.a_id) q""",
     "e20_interactive_kinds": "SELECT page_id, pos, 'a[href]' AS kind FROM {elements} WHERE tag = 'a' AND a_href IS NOT NULL UNION ALL SELECT page_id, pos, tag FROM {elements} WHERE tag IN ('button', 'input', 'select', 'textarea') UNION ALL SELECT page_id, pos, concat('[role=', a_role, ']') FROM {elements} WHERE a_role IN ('button', 'link', 'tab', 'menuitem') UNION ALL SELECT page_id, pos, '[tabindex]' FROM {elements} WHERE a_tabindex IS NOT NULL UNION ALL SELECT page_id, pos, '[onclick]' FROM {elements} WHERE has_onclick",
-    "l10_interruptions": "SELECT page_id, kind, min_by(selector, nth * 100000 + pos) AS selector FROM (SELECT page_id, pos, 'cookie' AS kind, 1 AS nth, '[class*=cookie]' AS selector FROM {elements} WHERE a_class LIKE '%cookie%' UNION ALL SELECT page_id, pos, 'cookie', 3, '[class*=consent]' FROM {elements} WHERE a_class LIKE '%consent%' UNION ALL SELECT page_id, pos, 'popup', 1, '[role=dialog]' FROM {elements} WHERE a_role = 'dialog' UNION ALL SELECT page_id, pos, 'popup', 2, '[role=alertdialog]' FROM {elements} WHERE a_role = 'alertdialog' UNION ALL SELECT page_id, pos, 'alert', 1, '[role=alert]' FROM {elements} WHERE a_role = 'alert') q GROUP BY page_id, kind",
-    "l11_dismiss_controls": "SELECT page_id, min_by(text, pos) AS control FROM {elements} WHERE tag = 'button' AND (text IN ('Accept', 'OK', 'Got it', 'I agree', 'Close') OR a_aria_label = 'Close') GROUP BY page_id",
+    "l10_interruptions": V.INTERRUPTION_SQL,
+    "l11_dismiss_controls": V.DISMISS_SQL,
 }
 for _key, _sql in _ELEMENT_LISTS.items():
     add(_key, lambda s, d, sql=_sql: s.sql(rules.render(sql, "spark"), elements=elements(s, d)), f"{PRE} {rules.render(_sql, 'duck').format(elements='elements')}")
@@ -101,13 +110,32 @@ for _r in rules.RULES:
     add(f"r_{_r.rule_id.replace('-', '_')}", _run, f"{FULL} {rules.duck_rule(_r)}")
 
 
+# Colours: captured styles derived from page_id
+def _styles_of(p: DataFrame) -> DataFrame:
+    c = lambda k: (F.col("page_id") * k % 256).cast("string")
+    return p.select("page_id", F.concat(F.lit("rgb("), c(7), F.lit(", "), c(13), F.lit(", "), c(29), F.lit(")")).alias("outline_color"), (F.col("page_id") % 9 == 0).alias("has_outline_none"))
+
+
+def _styles(s: SparkSession, d: str) -> DataFrame:
+    return _styles_of(P.scan(s, d))
+
+
+def _lum(k: tuple[str, str, str]) -> str:
+    one = lambda x: f"CASE WHEN {x} / 255.0::DOUBLE <= 0.04045 THEN {x} / 255.0::DOUBLE / 12.92 ELSE pow(({x} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
+    return f"(0.2126 * ({one(k[0])}) + 0.7152 * ({one(k[1])}) + 0.0722 * ({one(k[2])}))"
+
+
+_PAGE_LUM = _lum(("(page_id * 7 % 256)", "(page_id * 13 % 256)", "(page_id * 29 % 256)"))
+_FOCUS = f"SELECT page_id, 'non-text-contrast', '1.4.11', 'AA', 'major', '', -1 FROM pages WHERE page_id % 9 <> 0 AND round(1.05 / ({_PAGE_LUM} + 0.05), 4) < 3"
+
+
 def audit(s: SparkSession, d: str, level: str = "AA") -> DataFrame:
     p = rich(s, d).select("page_id", "html")
-    return rules.audit(s, p, markup.elements(p), level)
+    return rules.audit(s, p, markup.elements(p), level, _styles_of(p))
 
 
 def _audit_sql(level: str) -> str:
-    body = " UNION ALL ".join(f"({rules.duck_rule(r)})" for r in rules.RULES if V.LEVELS[r.level] <= V.LEVELS[level])
+    body = " UNION ALL ".join(f"({rules.duck_rule(r)})" for r in rules.RULES if V.LEVELS[r.level] <= V.LEVELS[level]) + (f" UNION ALL ({_FOCUS})" if level != "A" else "")
     broken = "SELECT page_id FROM record WHERE regexp_extract(replace(lower(viewport), ' ', ''), 'maximum-scale=([0-9.]+)', 1) <> '' AND TRY_CAST(regexp_extract(replace(lower(viewport), ' ', ''), 'maximum-scale=([0-9.]+)', 1) AS DOUBLE) IS NULL"
     return f"{FULL}, every AS MATERIALIZED ({body}), broken AS ({broken}), issues AS (SELECT * FROM every WHERE NOT (rule_id = 'meta-viewport-scale' AND page_id IN (SELECT page_id FROM broken)) UNION ALL SELECT page_id, 'meta-viewport-scale', '1.4.4', 'AA', 'info', '', -1 FROM broken)"
 
@@ -152,19 +180,6 @@ add("t10_priority", lambda s, d: audit(s, d).select(F.when(F.col("severity") ==
 add("s5_export_rows", lambda s, d: report.export_rows(rules.with_texts(s, audit(s, d)), P.scan(s, d)).groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("recommendation") == "").alias("blank")), f"{_AUDIT} SELECT url, count(*) AS n, 0::BIGINT AS blank FROM issues JOIN pages USING (page_id) GROUP BY ALL")
 
 
-# Colours: captured styles derived from page_id
-def _styles(s: SparkSession, d: str) -> DataFrame:
-    p = P.scan(s, d)
-    c = lambda k: (F.col("page_id") * k % 256).cast("string")
-    return p.select("page_id", F.concat(F.lit("rgb("), c(7), F.lit(", "), c(13), F.lit(", "), c(29), F.lit(")")).alias("outline_color"), (F.col("page_id") % 9 == 0).alias("has_outline_none"))
-
-
-def _lum(k: tuple[str, str, str]) -> str:
-    one = lambda x: f"CASE WHEN {x} / 255.0::DOUBLE <= 0.04045 THEN {x} / 255.0::DOUBLE / 12.92 ELSE pow(({x} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
-    return f"(0.2126 * ({one(k[0])}) + 0.7152 * ({one(k[1])}) + 0.0722 * ({one(k[2])}))"
-
-
-_PAGE_LUM = _lum(("(page_id * 7 % 256)", "(page_id * 13 % 256)", "(page_id * 29 % 256)"))
 add("r_non_text_contrast", lambda s, d: contrast.weak_focus(_styles(s, d)).select("page_id", "contrast"), f"SELECT * FROM (SELECT page_id, round(1.05 / ({_PAGE_LUM} + 0.05), 4) AS contrast FROM pages WHERE page_id % 9 <> 0) WHERE contrast < 3")
 add("f9_text_contrast", lambda s, d: contrast.text_contrast(_styles(s, d).select("page_id", F.col("outline_color").alias("color"), F.lit("rgba(0, 0, 0, 0)").alias("background_color"))).select("page_id", "contrast", "aa", "aaa"), f"SELECT *, contrast >= 4.5 AS aa, contrast >= 7 AS aaa FROM (SELECT page_id, round(1.05 / ({_PAGE_LUM} + 0.05), 4) AS contrast FROM pages)")
 add("f4_hex_contrast", lambda s, d: P.scan(s, d).select("page_id", contrast.hex_contrast(F.concat(F.lit("#"), F.lpad(F.hex(F.col("page_id") * 7919 % 16777216), 6, "0")), F.lit("#FFFFFF")).alias("c")).select("page_id", "c.*"), f"SELECT page_id, r AS ratio, v >= 4.5 AS aa, v >= 3 AS aa_large, v >= 7 AS aaa, v >= 4.5 AS aaa_large FROM (SELECT page_id, v, round(v, 2) AS r FROM (SELECT page_id, 1.05 / ({_lum(('(page_id * 7919 % 16777216 // 65536)', '(page_id * 7919 % 16777216 // 256 % 256)', '(page_id * 7919 % 256)'))} + 0.05) AS v FROM pages))")
@@ -235,6 +250,42 @@ add("m1_parse_replies", lambda s, d: findings.normalise(findings.parse(_replies(
 add("m7_totals", lambda s, d: findings.totals(findings.parse(_replies(s, d))), "SELECT page_id, 0::BIGINT AS rule, (page_id % 2 = 0)::BIGINT AS ai, (page_id % 2 = 1)::BIGINT AS vision_ai FROM pages WHERE page_id % 3 < 2")
 add("m2_unseen_vision", lambda s, d: (lambda f: findings.drop_known(f.where("detected_by = 'vision_ai'"), elements(s, d).where("tag = 'img'").select("page_id", F.col("tag").alias("element_selector"))))(findings.parse(_replies(s, d))).select("page_id", "element_selector"), f"{PRE} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector FROM pages p WHERE page_id % 3 < 2 AND page_id % 2 = 1 AND NOT (page_id % 5 = 0 AND EXISTS (SELECT 1 FROM elements e WHERE e.page_id = p.page_id AND e.tag = 'img'))")
 
+_FOUND = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END AS detected_by, '1.1.1' AS wcag_criterion, 'A' AS wcag_level, ['critical', 'major', 'minor', 'minor'][page_id % 4 + 1] AS severity, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector FROM pages WHERE page_id % 3 < 2"
+add(
+    "m3_merge",
+    lambda s, d: findings.merge(audit(s, d), findings.normalise(findings.parse(_replies(s, d)))),
+    f"{_AUDIT}, found AS ({_FOUND}), known AS (SELECT page_id, element_selector FROM issues WHERE element_selector <> '' UNION SELECT page_id, element_selector FROM found WHERE detected_by = 'ai') SELECT page_id, 'rule' AS detected_by, wcag_criterion, wcag_level, severity, element_selector FROM issues UNION ALL SELECT * FROM found WHERE detected_by = 'ai' OR NOT EXISTS (SELECT 1 FROM known k WHERE k.page_id = found.page_id AND k.element_selector = found.element_selector)",
+)
+
+
+def _boxed(s: SparkSession, d: str) -> DataFrame:
+    """Issues of three kinds of selectors on elements that may have boxes, each matched with the page's boxes."""
+    e = stored(elements(s, d), "elements")
+    chosen = e.where("tag IN ('a', 'button', 'h1', 'img', 'input', 'p')")
+    selector = s.sql(rules.render(_ELEMENT_LISTS["e18_selectors"], "spark"), elements=e)
+    b = chosen.join(selector, ["page_id", "pos"]).select("page_id", "pos", "selector", "tag", "text", F.col("a_alt").alias("alt"), F.col("a_aria_label").alias("aria_label"), F.lit(0).alias("x"), (-F.col("pos")).alias("y"))
+    i = chosen.join(selector, ["page_id", "pos"]).where("pos % 2 = 0").select("page_id", F.col("pos").cast("long").alias("issue"), F.when(F.col("pos") % 3 == 0, F.col("selector")).when(F.col("a_alt").isNotNull(), F.concat(F.lit("img[alt*='"), "a_alt", F.lit("']"))).alias("element_selector"), F.when(F.col("pos") % 4 == 0, F.col("raw")).alias("element_html"))
+    return boxes.match(i, b)
+
+
+add("m6_match_boxes", _boxed)
+_RULES_OF = "SELECT page_id % 5 AS task, string_agg('- ' || rule_id, chr(10) ORDER BY rule_id) AS recommendations FROM (SELECT DISTINCT page_id % 5 AS page_id, rule_id FROM issues) GROUP BY ALL"
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    issues = stored(audit(s, d).withColumn("task", F.col("page_id") % 5), "issues")  # used twice
+    said = issues.groupBy("task").agg(F.sort_array(F.collect_set("rule_id")).alias("recommendations")).withColumn("summary", F.concat(F.lit("task "), "task"))
+    return report.report_row(report.scores(issues, rich(s, d).withColumn("task", F.col("page_id") % 5), "task"), "task", said)
+
+
+add(
+    "a7_report",
+    _reports,
+    f"""{_SCORES.replace("SELECT *, least(100.0", "SELECT *, least(100.0", 1)[: _SCORES.rindex(" SELECT *, least(")]}, z AS ({_RULES_OF})
+ SELECT s.task, score AS overall_score, least(100.0, round(score * 1.1, 1)) AS score_a, round(score, 1) AS score_aa, round(score * 0.9, 1) AS score_aaa, pages AS total_pages, critical + major + minor + info AS total_issues, critical, major, minor,
+  '{{"by_severity":{{"critical":' || critical || ',"major":' || major || ',"minor":' || minor || ',"info":' || info || '}},"by_wcag_level":{{}}}}' AS issue_breakdown, 'task ' || s.task AS summary, recommendations FROM s JOIN z USING (task)""",
+)
+
 # Tables and memory
 add("s2_upsert", lambda s, d: tables.upsert(P.scan(s, d).where("page_id % 3 < 2").select("page_id", F.lit("old").alias("status"), F.length("html").alias("size")), P.scan(s, d).where("page_id % 3 > 0").select("page_id", F.lit("new").alias("status"), F.lit(None).cast("int").alias("size")), ["page_id"], ["status", "size"]), "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'old' ELSE 'new' END AS status, CASE WHEN page_id % 3 < 2 THEN length(html)::INTEGER END AS size FROM pages")
 add("t15_last_entries", lambda s, d: tables.last_entries(s.read.parquet(f"{d}/conversations.parquet"), 2, "conv_id", "turn").select("conv_id", "turn", "role", "nth"), "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS nth FROM conversations QUALIFY nth <= 2")
@@ -252,13 +303,34 @@ add("t13_context", lambda s, d: tables.context_text(tables.recall(_memories(s, d
 _MSG = "WITH m AS (SELECT CASE event_type WHEN 'view' THEN 'page_discovered' WHEN 'click' THEN 'agent_reasoning' WHEN 'purchase' THEN 'issue_found' WHEN 'error' THEN 'event_detected' WHEN 'signup' THEN 'task_progress' ELSE event_type END AS type, user_id AS task_id, ts, event_id, value FROM events)"
 add("w2_latest", lambda s, d: progress.drain(progress.latest(progress.messages(progress.stream(s, d, "events"))), "complete"), f"{_MSG} SELECT task_id, type, value, event_id FROM m QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) = 1")
 add("w7_counters", lambda s, d: progress.drain(progress.counters(progress.messages(progress.stream(s, d, "events"))), "complete"), f"{_MSG} SELECT task_id, type, count(*) AS n FROM m GROUP BY ALL")
-add("w4_routed", lambda s, d: progress.messages(s.read.parquet(f"{d}/events.parquet")).where("type = 'issue_found'").select("task_id", "event_id"), f"{_MSG} SELECT task_id, event_id FROM m WHERE type = 'issue_found'")
+add("w4_routed", lambda s, d: progress.drain(progress.messages(progress.stream(s, d, "events")).where("type = 'issue_found'").select("task_id", "event_id"), "append").drop("batch"), f"{_MSG} SELECT task_id, event_id FROM m WHERE type = 'issue_found'")
+
+
+add(
+    "w3_bounded_log",
+    lambda s, d: progress.newest(progress.drain(progress.bounded_log(progress.messages(progress.stream(s, d, "events")), 10), "update")).select("task_id", "nth", "event_id", "type"),
+    f"{_MSG}, l AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY task_id) AS n FROM m) SELECT task_id, (least(n, 10) - back + 1)::INTEGER AS nth, event_id, type FROM l WHERE back <= 10",
+)
+
+
+def _steps(s: SparkSession, d: str) -> DataFrame:
+    step = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("cancel")
+    return progress.stream(s, d, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("timestamp"), "event_id", step.alias("step"))
+
+
+add(
+    "w5_lifecycle",
+    lambda s, d: progress.newest(progress.drain(progress.lifecycle(_steps(s, d)), "update")),
+    """WITH t AS (SELECT user_id AS task_id, ts, event_id, CASE WHEN event_type IN ('signup', 'view') THEN 'start' WHEN event_type = 'purchase' THEN 'complete' WHEN event_type = 'error' THEN 'fail' ELSE 'cancel' END AS step FROM events),
+ o AS (SELECT *, lag(step) OVER w AS before, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS back FROM t WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id))
+ SELECT task_id, max(CASE WHEN back = 1 THEN CASE step WHEN 'start' THEN 'running' WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'cancelled' END END) AS status, count(*) FILTER (step = 'start' AND before = 'start') AS refused FROM o GROUP BY task_id""",
+)
 
 
 def _stream_audit(s: SparkSession, d: str) -> DataFrame:
     def run(batch: DataFrame) -> DataFrame:
         p = P.rich(batch).select("page_id", "html")
-        return rules.audit(batch.sparkSession, p, markup.elements(p))
+        return rules.audit(batch.sparkSession, p, markup.elements(p), focus_styles=_styles_of(p))
 
     return progress.incremental_audit(s, progress.stream(s, d, "pages"), run)
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenaudit.functions import markup
 from lumenaudit.operators import dedup, frontier, rules
@@ -29,6 +30,28 @@ CASES = {
     "video-caption": ("<video></video>", '<video><track kind="captions"></video>'),
     "lang-parts-valid": ('<span lang="qq">x</span>', '<span lang="fr-CA">x</span>'),
     "avoid-inline-spacing": ('<p style="line-height:1 !important">x</p>', '<p style="line-height:1">x</p>'),
+    "form-label": ('<form><input type="text" name="q" aria-label=""></form>', '<form><input type="text" name="q" aria-label="Query"></form>'),
+    "heading-order": ("<h1>a</h1><h3>b</h3>", "<h1>a</h1><h2>b</h2>"),
+    "landmark-structure": ("<nav>x</nav>", "<nav>x</nav><main>y</main>"),
+    "link-text": ('<a href="/x"></a>', '<a href="/x"><img src="i.png" alt="Report"></a>'),
+    "page-title": ("<title>Untitled</title>", "<title>Annual report</title>"),
+    "label-in-name": ('<button aria-label="go">Search</button>', '<button aria-label="Search the site">Search</button>'),
+    "form-required-indicator": ("<form><input type='text' name='q' required aria-label=''></form>", '<form><label for="i">Q</label><input id="i" type="text" required></form>'),
+    "aria-allowed-attr": ('<div role="img" aria-checked="true">x</div>', '<div role="img" aria-label="x">x</div>'),
+    "aria-valid-attr-value": ("<div role='checkbox' aria-checked='maybe'>x</div>", "<div role='checkbox' ARIA-CHECKED='Mixed'>x</div>"),
+    "bypass": ("<p>x</p>", '<a href="#top">Skip</a>'),
+    "duplicate-id-aria": ('<p id="d">a</p><p id="d">b</p><i aria-describedby="c d">x</i>', '<p id="d">a</p><p id="d">b</p><i aria-describedby="D">x</i>'),
+    "input-image-alt": ('<form><input type="image" name="go" alt=" "></form>', '<form><input type="image" name="go" alt="Go"></form>'),
+    "meta-refresh": ('<meta http-equiv="refresh" content="5; url=/">', '<meta http-equiv="refresh" content="0; url=/">'),
+    "scrollable-region-focusable": ('<div style="overflow-y: scroll">x</div>', '<div style="overflow:auto" tabindex="0">x</div>'),
+    "select-name": ('<form><select name="s" title=""></select></form>', '<form><select name="s" title="Size"></select></form>'),
+    "meta-viewport-scale": ("<meta content='user-scalable=no' name='viewport'>", '<meta name="viewport" content="width=device-width">'),
+    "input-autocomplete": ('<input type="email" name="email">', '<input type="email" name="email" autocomplete="email">'),
+    "text-spacing": ("<p style='letter-spacing: 0 !important'>x</p>", "<p style='letter-spacing: 0'>x</p>"),
+    "aria-live-region": ('<div role="alert" aria-live="polite">x</div>', '<div role="alert" aria-live="assertive">x</div>'),
+    "multiple-ways": ("<p>x</p>", "<p>x</p><nav>y</nav>"),
+    "img-alt-long": (f'<img src="a.png" alt="{"x" * 151}">', f'<img src="a.png" alt="{"x" * 150}">'),
+    "autocomplete-valid": ('<input type="text" autocomplete="shipping emial">', '<input type="text" autocomplete="section-a shipping email">'),
     "link-target-blank": ('<a href="/x" target="_blank">out</a>', '<a href="/x" target="_blank">out (new tab)</a>'),
 }
 
@@ -49,6 +72,51 @@ def test_rule(found, name):
     assert (2 * i + 1, name) not in found
 
 
+# (name, whole page, rules that it breaks among those listed)
+PAGES = [
+    ("single quotes", "<html lang='en'><body>x</body></html>", []),
+    ("upper case", "<HTML LANG=en><BODY>x</BODY></HTML>", []),
+    ("no quotes, unknown", "<html lang=xx-YY><body>x</body></html>", ["html-lang-valid"]),
+    ("empty", '<html lang=""><body>x</body></html>', ["html-lang"]),
+    ("absent", "<html><body lang='en'>x</body></html>", ["html-lang"]),
+    ("within another value", "<html title=' lang=xx' lang='fr'><body><i title=\" role='bogus' aria-foo='1'\">x</i></body></html>", []),
+    ("comment and script", "<html lang='en'><body><!-- <i role='bogus'> --><script>'<i aria-foo=\"1\">'</script>x</body></html>", []),
+    ("first of two", "<html lang='en' lang='xx'><body><i role='button' role='bogus'>x</i></body></html>", []),
+    ("unreadable scale", "<html lang='en'><head><meta name='viewport' content='maximum-scale=1.0.0, user-scalable=no'></head></html>", ["meta-viewport-scale"]),
+]
+
+
+def test_markup_variants(spark):
+    judged = ["html-lang", "html-lang-valid", "aria-roles", "aria-valid-attr", "meta-viewport-scale"]
+    pages = spark.createDataFrame([(i, html) for i, (_, html, _) in enumerate(PAGES)], "page_id long, html string")
+    rows = rules.audit(spark, pages, markup.elements(pages), "AA").where(F.col("rule_id").isin(judged)).collect()
+    got = {(PAGES[r["page_id"]][0], r["rule_id"]) for r in rows}
+    assert got == {(name, rule) for name, _, broken in PAGES for rule in broken}
+    assert [r["severity"] for r in rows if r["rule_id"] == "meta-viewport-scale"] == ["info"]
+
+
+def test_every_rule_has_golden_pages():
+    assert {r.rule_id for r in rules.RULES} == {*CASES, "html-lang", "html-lang-valid"}
+
+
+def test_golden_rows(spark):
+    """All columns of some issues, written out."""
+    html = "<html lang='xx'><head><title>Home</title></head><body><nav>n</nav><main><img src='/a/b.png' alt='photo'><p id='d'>1</p><p id='d'>2</p><form><input name='q' placeholder='p'></form></main></body></html>"
+    pages = spark.createDataFrame([(7, html)], "page_id long, html string")
+    style = spark.createDataFrame([(7, "rgb(230, 230, 230)", False)], "page_id long, outline_color string, has_outline_none boolean")
+    got = sorted(tuple(r) for r in rules.audit(spark, pages, markup.elements(pages), "AA", style).collect())
+    assert got == sorted(
+        [
+            (7, "html-lang-valid", "3.1.1", "A", "major", "html", -1),
+            (7, "page-title", "2.4.2", "A", "major", "title", -1),
+            (7, "img-alt-quality", "1.1.1", "A", "major", "", 9),
+            (7, "duplicate-id", "4.1.1", "A", "critical", "[id='d']", 10),
+            (7, "form-label", "1.3.1", "A", "major", "input[name='q']", 15),
+            (7, "non-text-contrast", "1.4.11", "AA", "major", "", -1),
+        ]
+    )
+
+
 def test_own_rule_and_levels(spark):
     assert {r.level for r in rules.at_level("A")} == {"A"}
     assert rules.at_level("odd") == rules.at_level("AA")

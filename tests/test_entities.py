@@ -2,11 +2,12 @@
 
 import hashlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import markup, snippets
-from lumenaudit.operators import dedup, frontier, report, tables
+from lumenaudit.operators import dedup, findings, frontier, report, tables
 
 
 @pytest.mark.parametrize(
@@ -64,3 +65,61 @@ def test_stream_duplicates_read_whole_pages(spark, tmp_path):
     got = entities.QUERIES["w6_stream_duplicates"](spark, str(tmp_path)).collect()
     md5 = lambda end: hashlib.md5((head + end).encode()).hexdigest()
     assert sorted((r.site, r.content_hash) for r in got) == sorted([("a.example", md5("one")), ("a.example", md5("two")), ("b.example", md5("one"))])
+
+
+def test_boxes_by_each_strategy():
+    from lumenaudit.operators import boxes
+
+    box = lambda pos, selector, tag, y, text=None, alt=None, label=None: (pos, selector, tag, text, alt, label, 0, y)
+    b = pd.DataFrame(
+        [box(0, "p:nth-child(1)", "p", 90, "Hello there"), box(1, "img#logo", "img", 80, alt="Our Logo"), box(2, "img:nth-child(3)", "img", 70, alt="Team"), box(3, "a:nth-child(4)", "a", 10, "More"), box(4, "p:nth-child(1)", "p", 5, "Again"), box(5, "div", "div", 1)],
+        columns=["pos", "selector", "tag", "text", "alt", "aria_label", "x", "y"],
+    )
+    i = pd.DataFrame(
+        [(0, "p:nth-child(1)", None), (1, "p:nth-child(1)", None), (2, None, '<img src="x.png" alt=" our  LOGO ">'), (3, "img[alt*='team']", None), (4, "input[name='q']", None), (5, None, None), (6, None, None), (7, None, None)],
+        columns=["issue", "element_selector", "element_html"],
+    )
+    # 0: of two boxes with its selector the last; 1: that one is taken, nothing else fits; the rest by place, as far as boxes go
+    assert boxes.match_page(i, b) == [(0, 1, 4, 1), (2, 2, 1, 2), (3, 3, 2, 3), (1, 4, 5, 4), (4, 5, 3, 4), (5, 6, 0, 4)]
+
+
+def test_merged_findings(spark):
+    rules = spark.createDataFrame([(1, "1.1.1", "A", "major", "img"), (1, "3.1.1", "A", "critical", "")], "page_id long, wcag_criterion string, wcag_level string, severity string, element_selector string")
+    found = spark.createDataFrame([(1, s, "1.4.3", "AA", "minor", x) for s, x in (("ai", "p"), ("ai", "img"), ("vision_ai", "p"), ("vision_ai", "img"), ("vision_ai", None), ("vision_ai", "h1"))], "page_id long, detected_by string, wcag_criterion string, wcag_level string, severity string, element_selector string")
+    got = findings.merge(rules, found).collect()
+    assert sorted((r.detected_by, r.element_selector or "") for r in got) == [("ai", "img"), ("ai", "p"), ("rule", ""), ("rule", "img"), ("vision_ai", ""), ("vision_ai", "h1")]
+
+
+def test_issues_written_with_their_pages(spark, tmp_path):
+    issues = spark.createDataFrame([(1, "u1", "r1"), (1, "u2", "r2"), (2, "u1", "r3"), (1, "u2", "r4")], "task long, url string, rule_id string")
+    pages = spark.createDataFrame([(1, "u1", "p1")], "task long, url string, page_id string")
+    every = tables.write_issues(issues, pages, ["task", "url"], str(tmp_path / "issues")).collect()
+    ids = {(r.task, r.url): r.page_id for r in every}
+    assert len(every) == 3 and ids[1, "u1"] == "p1" and len(set(ids.values())) == 3
+    assert {(r.rule_id, r.page_id) for r in spark.read.parquet(str(tmp_path / "issues")).collect()} == {("r1", "p1"), ("r2", ids[1, "u2"]), ("r3", ids[2, "u1"]), ("r4", ids[1, "u2"])}
+
+
+def test_logs_and_lifecycles_over_several_batches(spark, tmp_path):
+    """State goes on from one batch to the next: what is kept and decided is as if all came at once."""
+    from lumenaudit.streaming import progress
+
+    kinds = ["signup", "view", "purchase", "error", "click"]
+    rows = [(i, f"2026-01-01 00:{i // 60:02d}:{i % 60:02d}", i % 3, kinds[i * i % 5], float(i), "{}") for i in range(90)]
+    table = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for part in range(3):
+        table.where(f"event_id >= {30 * part} AND event_id < {30 * part + 30}").coalesce(1).write.parquet(str(tmp_path / f"events{part}.parquet"))
+    s = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events*.parquet")
+    log = progress.newest(progress.drain(progress.bounded_log(progress.messages(s), 7), "update")).collect()
+    assert sorted((r.task_id, r.nth, r.event_id) for r in log) == sorted((u, n + 1, i) for u in range(3) for n, i in enumerate([r[0] for r in rows if r[2] == u][-7:]))
+    step = F.when(F.col("event_type").isin("signup", "view"), "start").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("cancel")
+    steps = s.select(F.col("user_id").alias("task_id"), F.col("ts").alias("timestamp"), "event_id", step.alias("step"))
+    got = {r.task_id: (r.status, r.refused) for r in progress.newest(progress.drain(progress.lifecycle(steps), "update")).collect()}
+    for u in range(3):
+        status, refused = "pending", 0
+        for r in rows:
+            if r[2] == u:
+                if r[3] in ("signup", "view"):
+                    refused, status = refused + (status == "running"), "running"
+                else:
+                    status = {"purchase": "completed", "error": "failed", "click": "cancelled"}[r[3]]
+        assert got[u] == (status, refused)
