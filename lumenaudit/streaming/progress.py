@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..sources.stored import shared_folder
+
 #: The message type of each event type.
 TYPES = {"view": "page_discovered", "click": "agent_reasoning", "purchase": "issue_found", "error": "event_detected", "signup": "task_progress"}
 
@@ -85,8 +86,7 @@ def newest(updates: DataFrame) -> DataFrame:
 def drain(out: DataFrame, mode: str, keep: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns its last complete state as a table."""
     spark = out.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{at}/out" if mode == "complete" else f"{at}/out/batch={batch_id}"  # rewriting a batch is idempotent
@@ -99,8 +99,7 @@ def drain(out: DataFrame, mode: str, keep: Callable[[DataFrame], None] | None =
 
 def incremental_audit(spark: SparkSession, pages: DataFrame, rules: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pages as they arrive, audited batch by batch: a page's issues depend on that page alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{root.rstrip('/')}/audit-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rules(batch).write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
