@@ -111,6 +111,16 @@ def _matcher(items: list[tuple[object, str]]):
     return match
 
 
+_WORKER: list = [None, None]
+
+
+def _matcher_of(items: list[tuple[object, str]]):
+    """The automaton of a broadcast list, built once in a worker."""
+    if _WORKER[0] is not items:
+        _WORKER[:] = items, _matcher(items)
+    return _WORKER[1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, start): items that a text holds within their error budget."""
     spark = small_batches(docs).sparkSession
@@ -124,8 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
-            items = sent.value
-            match = _matcher(items) if items else None
+            match = _matcher_of(sent.value) if sent.value else None
             for batch in batches:
                 rows = []
                 for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):

@@ -43,6 +43,8 @@ LEADERS = 24
 CELL = 6000
 #: Numbers in the list of needed classes up to which it is broadcast (eight bytes each).
 SHIPPED = 1 << 21
+#: Tasks that a common shingle's entries are dealt over at first, and entries in a part of them then.
+SALTS, PART = 32, 1 << 12
 #: Prefix shingles in one posting bucket, about.
 POSTINGS = 1 << 20
 
@@ -307,11 +309,13 @@ def _apart(large: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, na, b, nb) of classes that share a common shingle and whose components still differ."""
     e = large.distinct().join(label.withColumnRenamed("node", "c"), "c", "left").select("t", "c", "n", "r", F.coalesce("component", "c").alias("g"))
     e = materialize(e, "entries")
-    mixed = e.groupBy("t", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("t").agg(F.max_by("g", "m").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    e = e.join(mixed, "t")
-    rest = e.where("g <> main")
-    right = e.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("g").alias("g2"), "main")
-    met = rest.drop("main").join(right, "t").where((F.col("g") != F.col("g2")) & ((F.col("g2") == F.col("main")) | (F.col("c") < F.col("c2"))))
+    mixed = e.groupBy("t", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("t").agg(F.max_by("g", "m").alias("main"), F.count(F.lit(1)).alias("kinds"), F.ceil(F.sum("m") / PART).cast("int").alias("parts")).where("kinds > 1").drop("kinds")
+    # a common shingle's entries are dealt over SALTS tasks, and then over as many parts as it has entries for; its lesser components go to all parts
+    salt = F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("salt")
+    e = e.select("*", salt).join(mixed.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["t", "salt"]).drop("salt")
+    rest = e.where("g <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = e.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("g").alias("g2"), "main", F.pmod(F.xxhash64("c", F.lit(1)), F.col("parts")).cast("int").alias("part"))
+    met = rest.drop("main", "parts").join(right, ["t", "part"]).where((F.col("g") != F.col("g2")) & ((F.col("g2") == F.col("main")) | (F.col("c") < F.col("c2"))))
     met = met.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("r", "r2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
     ends = F.when(F.col("c") < F.col("c2"), F.struct(F.col("c").alias("a"), F.col("n").alias("na"), F.col("c2").alias("b"), F.col("n2").alias("nb"))).otherwise(F.struct(F.col("c2").alias("a"), F.col("n2").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb")))
     return met.select(ends.alias("p")).select("p.*").distinct()

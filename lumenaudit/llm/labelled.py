@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def fold(doc_id: str, of: int) -> Column:
-    """crc32 of the id as text, modulo `of`."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of
+    """crc32 of the id as text, modulo `of`; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:

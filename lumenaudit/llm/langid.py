@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces
 from .labelled import fold
-from .shared import pack, small_batches
+from .shared import lean, pack, small_batches
 
 GRAMS = 1 << 14
 PENALTY = 1.5
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     out.append(sent.value.infer(x))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in out], pa.string()), pa.array([min(1.0, max(0.0, x[1])) for x in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 _ASCII_LETTER = np.zeros(256, bool)

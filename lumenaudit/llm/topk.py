@@ -1,7 +1,8 @@
 """Exact top-k search: tiles of queries x vectors, partial selection in a tile, lists merged in a tree.
 
-Vectors are dealt by hash into shards of about SHARD rows and queries into blocks of BLOCK rows;
-a tile is one shard with one block, so a task holds a bounded matrix whatever the table's size.
+Vectors are dealt by hash into shards of about TILE components and queries into blocks of as many;
+a tile is one shard with one block, so a task holds a bounded matrix whatever the table's size. A
+vector goes once to each block, as the narrowest numbers that hold all components.
 Each tile keeps k candidates per query; lists are merged MERGE at a time. No list is cut before
 it is exact.
 
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, BLOCK, MERGE = 4096, 4096, 32
-_STEP = 256
+#: Components in a shard and in a block of queries, lists merged at a time, and scores held at once.
+TILE, MERGE, SCORES = 4 << 20, 32, 1 << 22
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -48,6 +49,7 @@ def _tile(k: int):
         qid, q = _matrix(queries, "query_id", "q")
         qkey = queries.column("qkey").combine_chunks().to_numpy(zero_copy_only=False)
         vid, v = _matrix(shard, "vec_id", "v")
+        q, v = q.astype(np.int64), v.astype(np.int64)
         order = np.argsort(vid, kind="stable")
         vid, v = vid[order], v[order]
         bits = max(1, int(len(vid)).bit_length())
@@ -56,10 +58,11 @@ def _tile(k: int):
         vt = v.T.astype(np.float64) if exact else v.T
         down = np.arange(len(vid))[::-1]  # smaller vec_id: larger
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for a in range(0, len(qid), _STEP):
-            own = qid[a : a + _STEP]
+        step = max(1, SCORES // len(vid))
+        for a in range(0, len(qid), step):
+            own = qid[a : a + step]
             if exact:
-                s = (q[a : a + _STEP].astype(np.float64) @ vt).astype(np.int64)
+                s = (q[a : a + step].astype(np.float64) @ vt).astype(np.int64)
                 rank = (s << bits) | down
                 rank[own[:, None] == vid] = np.iinfo(np.int64).min
                 n = min(k, len(vid))
@@ -68,7 +71,7 @@ def _tile(k: int):
                 i, j = np.nonzero(fine)
                 pick = top[i, j]
             else:
-                s = q[a : a + _STEP] @ vt
+                s = q[a : a + step] @ vt
                 i, pick = [], []
                 for r, x in enumerate(s):
                     best = np.lexsort((vid, -x))
@@ -76,7 +79,7 @@ def _tile(k: int):
                     i += [r] * len(best)
                     pick += best.tolist()
                 i, pick = np.array(i, int), np.array(pick, int)
-            for c, x in zip(cols, (own[i], qkey[a : a + _STEP][i], vid[pick], s[i, pick])):
+            for c, x in zip(cols, (own[i], qkey[a : a + step][i], vid[pick], s[i, pick])):
                 c.append(x)
         return pa.table([*(pa.array(np.concatenate(c)) for c in cols), pa.array(np.full(sum(map(len, cols[0])), part))], schema=out)
 
@@ -85,11 +88,15 @@ def _tile(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best vectors by inner product; both tables (vec_id, v array<long>)."""
-    n, nq = vectors.count(), queries.count()
-    shards, blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(nq / BLOCK))
+    ends = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.min(F.array_min("v")).alias("least"), F.max(F.array_max("v")).alias("most")).first()
+    all_, some = ends(vectors), ends(queries)
+    rows = max(256, TILE // max(1, all_["dim"] or 1))
+    shards, blocks = max(1, math.ceil(all_["n"] / rows)), max(1, math.ceil(some["n"] / rows))
+    far = max(abs(x or 0) for e in (all_, some) for x in (e["least"], e["most"]))
+    kind = "array<smallint>" if far < 1 << 15 else "array<int>" if far < 1 << 31 else "array<bigint>"
     size = F.size("v").alias("dim")
-    v = vectors.select("vec_id", "v", size, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-    q = queries.dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), size, F.xxhash64("v").alias("qkey"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long").alias("block"))
+    v = vectors.select("vec_id", F.col("v").cast(kind).alias("v"), size, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
+    q = queries.dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), F.col("v").cast(kind).alias("q"), size, F.xxhash64("v").alias("qkey"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long").alias("block"))
     q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
     got = q.groupBy("dim", "shard", "block").cogroup(v.groupBy("dim", "shard", "block")).applyInArrow(_tile(k), "query_id long, qkey long, vec_id long, score long, part long")
     best = lambda *more: Window.partitionBy("query_id", "qkey", *more).orderBy(F.desc("score"), "vec_id")

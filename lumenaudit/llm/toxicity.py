@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fold as fold_of
 from .labelled import logistic
-from .shared import small_batches
+from .shared import lean, materialize, small_batches
 
 FIT_ROWS = 20_000
 CUT = 0.5
@@ -99,7 +101,11 @@ class Lexicon:
                 spared.append((at, end))
             else:
                 hits[at] = max(x, hits.get(at, 0.0))
-        return sum(x for at, x in hits.items() if not any(a <= at < b for a, b in spared)), folded.count(" ") - 1
+        # the furthest end of all phrases that begin up to a place tells whether one covers it
+        spared.sort()
+        starts, furthest = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        covered = lambda at: (i := bisect_right(starts, at)) > 0 and furthest[i - 1] > at
+        return sum(x for at, x in hits.items() if not covered(at)), folded.count(" ") - 1
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.found(fold(t)) for t in texts], float).reshape(-1, 2)
@@ -115,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """From docs(doc_id, text) and labels(doc_id, y), y 0 or 1."""
     small_batches(docs)
     some = labels.where("y in (0, 1)").select("doc_id", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(FIT_ROWS)
-    rows = docs.join(F.broadcast(some), "doc_id").select("text", "y")
+    rows = materialize(docs.join(F.broadcast(some), "doc_id").select("text", "y"), "labelled")  # read several times
     count = rows.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = count.where("term = ''").first()
     if not n or not n["toxic"] or not n["clean"]:
@@ -147,7 +153,7 @@ def score(docs: DataFrame, lexicon: Lexicon, cut: float = CUT) -> DataFrame:
             s = np.concatenate([sent.value.score(batch.column("text")[a : a + 500].to_pylist()) for a in range(0, batch.num_rows, 500)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
