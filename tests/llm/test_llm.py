@@ -288,3 +288,110 @@ def test_sorted_strings():
     assert got == sorted(texts)
     shared = lambda x, y: next((i for i in range(40) if x[i] != y[i]), 40)
     assert common.tolist() == [0, *(shared(x, y) for x, y in zip(got, got[1:]))]
+
+
+def test_decontamination_against_all_alignments(spark):
+    """Every (document, item) within the budget, by the full table of edit distances; nulls, repeats and clean texts included."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 9, 20])))) for i in range(6)] + [(6, ""), (7, None)]
+    docs = [(900, None), (901, ""), (902, " \n ")]
+    for d in range(40):
+        t = list(rng.choice(items[:6])[1])
+        for _ in range(rng.randrange(9)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randrange(2)] = rng.choice(["", "z", "q"])
+        docs.append((d % 30, " ".join([word(), "".join(t), word()] if d % 5 else [word() for _ in range(30)])))
+
+    def least(p, t):
+        row = list(range(len(p) + 1))
+        best = row[-1]
+        for c in t:
+            new = [0]
+            for j, x in enumerate(p):
+                new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+            row = new
+            best = min(best, row[-1])
+        return best
+
+    want = []
+    for d, t in docs:
+        for i, item in items:
+            p = decontaminate.normal(item)
+            if p and t and (x := least(p, decontaminate.normal(t))) <= decontaminate.budget(len(p)):
+                want.append((d, i, x))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == sorted(want) and want
+
+
+def test_quality_densities():
+    """Scores by plain inverses and determinants of the shrunk covariances."""
+    rng = np.random.default_rng(4)
+    x = {0: rng.normal(size=(60, 13)), 1: rng.normal(1, 2, size=(40, 13))}
+    ones = {c: np.column_stack([np.ones(len(v)), v]) for c, v in x.items()}
+    model = quality.Model({c: v.T @ v for c, v in ones.items()})
+    every = np.concatenate([x[0], x[1]])
+    log = []
+    for c in (0, 1):
+        cov = np.cov(x[c].T, bias=True)
+        cov = (1 - quality.SHRINK) * cov + quality.SHRINK * np.diag(np.diag(cov)) + np.diag(0.02 * every.var(0) + 1e-6)
+        away = every - x[c].mean(0)
+        log.append(np.log(len(x[c]) / 100) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away))
+    assert np.allclose(model.score(every), 1 / (1 + np.exp(log[0] - log[1])))
+
+
+def test_lexicon_hits_by_plain_search():
+    rng = random.Random(8)
+    weights = {"trash": 2.0, "trashc": 3.5, "idiot": 1.5, "scum": 1.0}
+    lexicon = toxicity.Lexicon(weights)
+    for _ in range(300):
+        text = toxicity.fold(" ".join(rng.choice(["trash", "can", "idiots", "proof", "pond", "scum", "idiot", "ok", "trashcan"]) for _ in range(rng.randrange(12))))
+        spared = [(a, a + len(e) + 2) for e in toxicity.EXCEPTIONS for a in range(len(text)) if text.startswith(f" {e} ", a)]
+        want = sum(max(found) for a in range(len(text)) if (found := [x for w, x in weights.items() if text.startswith(" " + w, a)]) and not any(s <= a < e - 1 for s, e in spared))
+        assert lexicon.found(text) == (pytest.approx(want), len(text.split()))
+
+
+def test_many_exception_phrases_take_no_time():
+    import time
+
+    text = toxicity.fold("trash can " * 40_000)
+    began = time.process_time()
+    assert toxicity.Lexicon({"trash": 1.0}).found(text)[0] == 0
+    assert time.process_time() - began < 5
+
+
+def test_held_out_of_null_ids(spark):
+    from lumenaudit.llm.labelled import fold
+
+    assert spark.createDataFrame([(None,)], "doc_id long").select(fold("doc_id", 5)).first()[0] == 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_tables(spark, rows, empty):
+    """Null ids and texts, blanks, long and repeated rows, columns with the names that the stages use themselves: columns stay, each stage gives rows of its input."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([] if empty else [(d, t, "en", "s", len(t or ""), 1, 2, "x") for d, t, _ in [*rows, (None, "no id here", 0), (None, None, 0), (7, "long " * 40_000, 0)]], "doc_id long, text string, lang string, source string, n_chars long, chunk int, dkey long, kept string")
+    for name, stage in corpus_pipeline.STAGES:
+        new = stage(spark, docs, "/root/testdata/sf0.001")
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert new.count() == docs.count()
+            break
+        assert new.columns == docs.columns
+        path = corpus_pipeline.table_path(spark, "test")
+        new.write.parquet(path)
+        kept = spark.read.parquet(path)
+        assert kept.count() <= docs.count()
+        assert kept.select("doc_id").exceptAll(docs.select("doc_id")).isEmpty()
+        docs = kept
+
+
+def test_empty_tables_of_learned_operators(spark):
+    docs, labels = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, y int")
+    assert quality.score(docs, quality.fit(docs, labels)).count() == toxicity.score(docs, toxicity.fit(docs, labels)).count() == 0
+    assert langid.predict(docs, langid.fit(docs)).count() == 0
+    path = "file://" + __import__("tempfile").mkdtemp()
+    import public_tokenizers
+
+    tokenfile.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path + "/t")
+    assert tokenfile.token_digest(spark, path + "/t").count() == 0
