@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import strip
+
 KEPT_PER_TEMPLATE = 3
 
 
@@ -17,13 +19,13 @@ def content_hash(elements: DataFrame, tokens: DataFrame, pages: DataFrame) -> Da
     tags = inside.groupBy("page_id").agg(F.array_join(ordered("tag"), ",").alias("tags"))
     texts = tokens.join(root, "page_id").where("pos >= root.pos AND pos < root.end_pos").groupBy("page_id").agg(F.array_join(ordered("text_after"), "").alias("text"))
     found = pages.select("page_id", "url").join(root, "page_id", "left").join(tags, "page_id", "left").join(texts, "page_id", "left")
-    content = F.concat(F.coalesce("tags", F.lit("")), F.lit("|"), F.substring(F.coalesce("text", F.lit("")), 1, 5000))
+    content = F.concat(F.coalesce("tags", F.lit("")), F.lit("|"), F.substring(strip(F.coalesce("text", F.lit(""))), 1, 5000))
     return found.select("page_id", F.substring(F.sha2(F.when(F.col("root").isNull(), F.col("url")).otherwise(content), 256), 1, 16).alias("content_hash"))
 
 
 def signature(elements: DataFrame) -> DataFrame:
     """(page_id, signature): 12 hex digits over counts of headings, forms, landmarks and images, levels, inputs per form and roles."""
-    mark = F.col("tag").isin("main", "nav", "header", "footer", "aside")
+    mark = F.col("tag").isin("main", "nav", "header", "footer", "aside") | F.coalesce(F.col("a_role").isin("main", "navigation", "banner", "contentinfo", "complementary", "search", "region"), F.lit(False))
     head = F.col("tag").rlike("^h[1-6]$")
     ordered = lambda cond, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("pos", value.alias("v"))))), lambda x: x["v"]), ",")
     a = elements.groupBy("page_id").agg(

@@ -52,7 +52,7 @@ VIEWS = {
         FROM {elements} a JOIN {elements} c ON a.page_id = c.page_id AND c.pos > a.pos AND c.pos < a.end_pos
         WHERE (a.tag IN ('a', 'button') OR a.a_role = 'button') AND c.tag IN ('img', 'svg') GROUP BY a.page_id, a.pos""",
     "links": """
-        SELECT * FROM (SELECT e.page_id, e.pos, e.a_href AS href, coalesce(nullif(e.text, ''), n.img_alt, n.svg_label, e.a_title, '') AS text, coalesce(e.a_aria_label, '') AS aria_label, coalesce(e.a_aria_labelledby, '') AS labelledby,
+        SELECT * FROM (SELECT e.page_id, e.pos, e.a_href AS href, substring(coalesce(nullif(e.text, ''), n.img_alt, n.svg_label, e.a_title, ''), 1, 100) AS text, coalesce(e.a_aria_label, '') AS aria_label, coalesce(e.a_aria_labelledby, '') AS labelledby,
           coalesce(e.a_title, '') AS title, coalesce(e.a_target, '') AS target, row_number() OVER (PARTITION BY e.page_id ORDER BY e.pos) AS nth
         FROM {elements} e LEFT JOIN {inner_names} n ON n.page_id = e.page_id AND n.pos = e.pos WHERE e.tag = 'a' AND e.a_href IS NOT NULL) q WHERE nth <= 200""",
     "buttons": """

@@ -66,7 +66,9 @@ def context_text(recalled: DataFrame) -> DataFrame:
     return recalled.groupBy("domain").agg(F.concat(F.lit("Known about this site:\n"), F.array_join(lines, "\n")).alias("context"))
 
 
-def last_entries(entries: DataFrame, n: int, key: str, order: str) -> DataFrame:
+def last_entries(entries: DataFrame, n: int, key: str, order: str, kind: str | None = None) -> DataFrame:
+    """The last n entries of each key, newest first, optionally of one `type` only."""
+    entries = entries if kind is None else entries.where(F.col("type") == kind)
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return entries.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
 

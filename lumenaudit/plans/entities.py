@@ -36,7 +36,7 @@ def _rich(s: SparkSession, d: str) -> DataFrame:
 @add("e17_content_hash", f"""{_PRE}, roots AS (SELECT page_id, pos, end_pos FROM elements WHERE tag IN ('main', 'body') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY tag DESC, pos) = 1),
  tags AS (SELECT page_id, string_agg(tag, ',' ORDER BY pos) AS tags FROM (SELECT e.page_id, e.pos, e.tag FROM elements e JOIN roots r ON e.page_id = r.page_id AND e.pos > r.pos AND e.pos < r.end_pos QUALIFY row_number() OVER (PARTITION BY e.page_id ORDER BY e.pos) <= 500) GROUP BY page_id),
  texts AS (SELECT t.page_id, string_agg(text_after, '' ORDER BY t.pos) AS text FROM tk t JOIN roots r ON t.page_id = r.page_id AND t.pos >= r.pos AND t.pos < r.end_pos GROUP BY t.page_id)
- SELECT p.page_id, sha256(CASE WHEN r.page_id IS NULL THEN url ELSE coalesce(tags, '') || '|' || coalesce(text, '')[1:5000] END)[1:16] AS content_hash FROM rich p LEFT JOIN roots r ON r.page_id = p.page_id LEFT JOIN tags g ON g.page_id = p.page_id LEFT JOIN texts x ON x.page_id = p.page_id""")
+ SELECT p.page_id, sha256(CASE WHEN r.page_id IS NULL THEN url ELSE coalesce(tags, '') || '|' || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')[1:5000] END)[1:16] AS content_hash FROM rich p LEFT JOIN roots r ON r.page_id = p.page_id LEFT JOIN tags g ON g.page_id = p.page_id LEFT JOIN texts x ON x.page_id = p.page_id""")
 def content_hash(s: SparkSession, d: str) -> DataFrame:
     p = _rich(s, d)
     e = stored(markup.elements(p).select("page_id", "pos", "end_pos", "tag"), "elements")  # used four times
@@ -58,6 +58,16 @@ def page_record(s: SparkSession, d: str) -> DataFrame:
 
 
 # Functions
+def heading_rows(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """(page_id, has_h1, heading_count, n_problems, valid) of every page: skipped levels and a missing h1 are problems; a page without headings has none."""
+    h = elements.where(F.col("tag").rlike("^h[1-6]$")).select("page_id", F.substring("tag", 2, 1).cast("int").alias("level"), "pos")
+    h = h.withColumn("prev", F.lag("level").over(Window.partitionBy("page_id").orderBy("pos")))
+    out = h.groupBy("page_id").agg(F.bool_or(F.col("level") == 1).alias("has_h1"), F.count(F.lit(1)).alias("heading_count"), F.count_if(F.col("level") > F.col("prev") + 1).alias("skips"))
+    out = pages.select("page_id").join(out, "page_id", "left").na.fill(0, ["heading_count", "skips"]).na.fill(False, ["has_h1"])
+    problems = F.col("skips") + ((F.col("heading_count") > 0) & ~F.col("has_h1")).cast("int")
+    return out.select("page_id", "has_h1", "heading_count", problems.alias("n_problems"), (problems == 0).alias("valid"))
+
+
 _ROLES = ", ".join(f"'{r}'" for r in snippets.LABEL_REQUIRED_ROLES)
 
 
@@ -69,12 +79,10 @@ def aria_snippets(s: SparkSession, d: str) -> DataFrame:
 
 
 @add("f6_heading_summary", f"""{_PRE}, h AS (SELECT page_id, tag[2:2]::INT AS level, lag(tag[2:2]::INT) OVER (PARTITION BY page_id ORDER BY pos) AS prev FROM elements WHERE regexp_matches(tag, '^h[1-6]$'))
- SELECT page_id, bool_or(level = 1) AS has_h1, count(*) AS heading_count, count(*) FILTER (level > prev + 1) + (NOT bool_or(level = 1))::INT AS n_problems, count(*) FILTER (level > prev + 1) = 0 AND bool_or(level = 1) AS valid FROM h GROUP BY page_id""")
+ SELECT p.page_id, count(*) FILTER (level = 1) > 0 AS has_h1, count(level) AS heading_count, count(*) FILTER (level > prev + 1) + (count(level) > 0 AND count(*) FILTER (level = 1) = 0)::INT AS n_problems, count(*) FILTER (level > prev + 1) = 0 AND (count(level) = 0 OR count(*) FILTER (level = 1) > 0) AS valid FROM pages p LEFT JOIN h ON h.page_id = p.page_id GROUP BY p.page_id""")
 def heading_summary(s: SparkSession, d: str) -> DataFrame:
-    h = markup.elements(_rich(s, d)).where(F.col("tag").rlike("^h[1-6]$")).select("page_id", F.substring("tag", 2, 1).cast("int").alias("level"), "pos")
-    h = h.withColumn("prev", F.lag("level").over(Window.partitionBy("page_id").orderBy("pos")))
-    out = h.groupBy("page_id").agg(F.bool_or(F.col("level") == 1).alias("has_h1"), F.count(F.lit(1)).alias("heading_count"), F.count_if(F.col("level") > F.col("prev") + 1).alias("skips"))
-    return out.select("page_id", "has_h1", "heading_count", (F.col("skips") + (~F.col("has_h1")).cast("int")).alias("n_problems"), ((F.col("skips") == 0) & F.col("has_h1")).alias("valid"))
+    p = _rich(s, d)
+    return heading_rows(p, markup.elements(p))
 
 
 @add("f7_normal_text", "SELECT doc_id, md5(coalesce(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '')) AS normal FROM documents")

@@ -195,8 +195,8 @@ def _keyed(functional: bool) -> Callable:
     return query
 
 
-add("d1_signature", lambda s, d: dedup.signature(elements(s, d)), f"""{PRE}, a AS (SELECT page_id, count(*) FILTER (regexp_matches(tag, '^h[1-6]$')) AS h, count(*) FILTER (tag = 'form') AS f, count(*) FILTER (tag IN ('main', 'nav', 'header', 'footer', 'aside')) AS l, count(*) FILTER (tag = 'img') AS i,
-  coalesce(string_agg(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN tag[2:2] END, ',' ORDER BY pos), '') AS levels, coalesce(string_agg(CASE WHEN tag IN ('main', 'nav', 'header', 'footer', 'aside') THEN coalesce(a_role, tag) END, ',' ORDER BY pos), '') AS roles FROM elements GROUP BY page_id),
+add("d1_signature", lambda s, d: dedup.signature(elements(s, d)), f"""{PRE}, a AS (SELECT page_id, count(*) FILTER (regexp_matches(tag, '^h[1-6]$')) AS h, count(*) FILTER (tag = 'form') AS f, count(*) FILTER ((tag IN ('main', 'nav', 'header', 'footer', 'aside') OR coalesce(a_role, '') IN ('main', 'navigation', 'banner', 'contentinfo', 'complementary', 'search', 'region'))) AS l, count(*) FILTER (tag = 'img') AS i,
+  coalesce(string_agg(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN tag[2:2] END, ',' ORDER BY pos), '') AS levels, coalesce(string_agg(CASE WHEN (tag IN ('main', 'nav', 'header', 'footer', 'aside') OR coalesce(a_role, '') IN ('main', 'navigation', 'banner', 'contentinfo', 'complementary', 'search', 'region')) THEN coalesce(a_role, tag) END, ',' ORDER BY pos), '') AS roles FROM elements GROUP BY page_id),
  p AS (SELECT f.page_id, f.pos, count(i.pos) AS n FROM elements f LEFT JOIN elements i ON i.page_id = f.page_id AND i.tag IN ('input', 'select', 'textarea') AND i.pos > f.pos AND i.pos < f.end_pos WHERE f.tag = 'form' GROUP BY ALL), q AS (SELECT page_id, string_agg(n::VARCHAR, ',' ORDER BY pos) AS inputs FROM p GROUP BY ALL)
  SELECT a.page_id, md5(concat_ws('|', 'h:' || h, 'f:' || f, 'l:' || l, 'i:' || i, levels, coalesce(inputs, ''), roles))[1:12] AS signature FROM a LEFT JOIN q USING (page_id)""")
 _DECIDED = """WITH k AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, 'h' || (page_id % 40) AS content_hash, 's' || (page_id % 40 % 6) AS signature FROM pages),

@@ -123,3 +123,23 @@ def test_logs_and_lifecycles_over_several_batches(spark, tmp_path):
                 else:
                     status = {"purchase": "completed", "error": "failed", "click": "cancelled"}[r[3]]
         assert got[u] == (status, refused)
+
+
+def test_heading_summary_of_all_pages(spark):
+    from lumenaudit.plans import entities
+
+    pages = spark.createDataFrame([(1, "<h1>a</h1><h2>b</h2>"), (2, "<h2>a</h2><h4>b</h4>"), (3, "<p>none</p>"), (4, "plain")], "page_id long, html string")
+    got = sorted(tuple(r) for r in entities.heading_rows(pages, markup.elements(pages)).collect())
+    assert got == [(1, True, 2, 0, True), (2, False, 2, 2, False), (3, False, 0, 0, True), (4, False, 0, 0, True)]
+
+
+def test_signature_counts_landmarks_by_role(spark):
+    pages = spark.createDataFrame([(1, "<p>x</p>"), (2, '<p role="search">x</p>'), (3, "<p role='search'>y</p>")], "page_id long, html string")
+    got = {r.page_id: r.signature for r in dedup.signature(markup.elements(pages)).collect()}
+    assert got[1] != got[2] == got[3]
+
+
+def test_last_entries_of_a_type(spark):
+    rows = spark.createDataFrame([("t", i, "a" if i % 2 else "b") for i in range(6)], "task string, seq long, type string")
+    assert [r.seq for r in tables.last_entries(rows, 2, "task", "seq", "a").orderBy("nth").collect()] == [5, 3]
+    assert [r.seq for r in tables.last_entries(rows, 2, "task", "seq").orderBy("nth").collect()] == [5, 4]
