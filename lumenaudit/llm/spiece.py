@@ -111,6 +111,8 @@ class Vocabulary:
         self.codes = np.zeros((len(made), DEPTH), np.uint64)
         for j, i in enumerate(made):
             self.codes[j, : self.length[j]] = self.code[[ord(c) for c in self.text[i]]]
+        order = np.lexsort(self.codes.T[::-1])  # sorted pieces are searched for faster
+        self.id, self.length, self.codes = self.id[order], self.length[order], self.codes[order]
         spelled = [t.replace(BLANK, " ").encode("utf-8", "surrogateescape") for t in self.text]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_size = np.array([len(x) for x in spelled], np.int64)
@@ -175,17 +177,18 @@ class Vocabulary:
         """(start, piece) of every occurrence of every piece in code[:n]; DEPTH zeros follow."""
         c = code.astype(np.uint64)
         word = c[:-3] << np.uint64(48) | c[1:-2] << np.uint64(32) | c[2:-1] << np.uint64(16) | c[3:]
-        ranks, orders, kinds = [], [], []
+        orders, kinds, groups = [], [], []
         key, span = word[: n + DEPTH - 4], 4
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             s = key[order]
             first = np.concatenate([[True], s[1:] != s[:-1]])
-            rank = np.empty(len(key), np.uint64)
-            rank[order] = np.cumsum(first).astype(np.uint64) - np.uint64(1)
-            ranks.append(rank), orders.append(order), kinds.append(s[first])
+            group = np.flatnonzero(first)
+            orders.append(order), kinds.append(s[group]), groups.append(np.append(group, len(s)))
             if span == DEPTH:
                 break
+            rank = np.empty(len(key), np.uint64)
+            rank[order] = np.cumsum(first, dtype=np.uint64) - np.uint64(1)
             ahead = np.zeros(len(rank), np.uint64)
             ahead[: len(rank) - span] = rank[span:]
             key, span = rank << np.uint64(32) | ahead, 2 * span
@@ -193,10 +196,10 @@ class Vocabulary:
         for level, (least, most) in enumerate(((1, 4), (5, 8), (9, 16))):
             p = np.flatnonzero((self.length >= least) & (self.length <= most))
             lo, hi = _bounds(kinds, self.codes[p, : 4 << level], level)
-            by_rank = np.sort(ranks[level])
-            a, b = np.searchsorted(by_rank, lo.astype(np.uint64), "left"), np.searchsorted(by_rank, hi.astype(np.uint64), "left")
-            many = np.maximum(b - a, 0)
-            place = np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            here = hi > lo
+            p, a, b = p[here], groups[level][lo[here]], groups[level][hi[here]]
+            many = b - a
+            place = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
             starts.append(orders[level][place]), found.append(np.repeat(p, many))
         return np.concatenate(starts), np.concatenate(found)
 
@@ -216,7 +219,7 @@ class Vocabulary:
         from_begin = np.zeros(n + DEPTH, np.int64)
         from_begin[at] = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
         step = from_begin[start] + length
-        order = np.argsort(step, kind="stable")
+        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
         start, label, step = start[order], label[order], step[order]
         end = start + length[order]
         last, back = np.full(n + DEPTH, -1, np.int64), np.zeros(n + DEPTH, np.int64)
