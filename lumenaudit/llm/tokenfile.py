@@ -118,33 +118,46 @@ class _Words:
                     self.parts.update(zip(chunk, self._single(chunk)))
 
     def _learn(self, words: list[bytes]) -> None:
-        single, split = [], []
-        latin, find = self._LATIN.fullmatch, self.find
+        single, single_texts, whole, whole_texts, split, split_parts = [], [], [], [], [], []  # plain lists: tuples would be garbage to track
+        latin, find, splits = self._LATIN.fullmatch, self.find, self.splits
         for w in words:
             t = w.decode("utf-8", "replace")
-            if self.splits and latin(t) and "<|" not in t:
-                t = t.lower()
-                split.append((w, [t] if t.isalpha() else find(t)))
+            if not splits or not latin(t) or "<|" in t:
+                single.append(w)
+                single_texts.append(t)
+            elif t.isalpha():
+                whole.append(w)
+                whole_texts.append(t.lower())
             else:
-                single.append((w, t))
-        need = {p for _, ps in split for p in ps if p not in self.parts}
-        back = {p: x for p in need if (x := self.older[1].get(p)) is not None}
-        self.parts.update(back)
-        self._learn_parts(list(need.difference(back)))
+                split.append(w)
+                split_parts.append(find(t.lower()))
+        need = set(whole_texts).union(*split_parts).difference(self.parts)
+        if self.older[1]:
+            back = {p: x for p in need if (x := self.older[1].get(p)) is not None}
+            self.parts.update(back)
+            need.difference_update(back)
+        self._learn_parts(list(need))
         part = self.parts.__getitem__
-        self.known.update((w, part(ps[0]) if len(ps) == 1 else b"".join(map(part, ps))) for w, ps in split)
-        self.known.update(zip((w for w, _ in single), self._single([t for _, t in single])))
+        self.known.update(zip(whole, map(part, whole_texts)))
+        self.known.update((w, b"".join(map(part, ps))) for w, ps in zip(split, split_parts))
+        self.known.update(zip(single, self._single(single_texts)))
 
     def look_up(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of the (distinct) stretches, as packed numbers."""
         if len(self.known) > REMEMBER:
             self.older, self.known, self.parts = (self.known, self.parts), {}, {}
-        new = [w for w in words if w not in self.known]
-        if new:
-            back = {w: x for w in new if (x := self.older[0].get(w)) is not None}
-            self.known.update(back)
-            self._learn([w for w in new if w not in back])
-        return list(map(self.known.__getitem__, words))
+        coded = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(coded) if x is None]
+        if missing:
+            new = [words[i] for i in missing]
+            if self.older[0]:
+                back = {w: x for w, x in zip(new, map(self.older[0].get, new)) if x is not None}
+                self.known.update(back)
+                new = [w for w in new if w not in back]
+            self._learn(new)
+            for i in missing:
+                coded[i] = self.known[words[i]]
+        return coded
 
     def ids(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, each with `end`, and how many each has."""
@@ -153,17 +166,20 @@ class _Words:
         before[1:] = solid
         before[offsets] = False
         starts = np.flatnonzero(solid & ~before[:-1])
-        place = np.cumsum(solid)
+        place = np.cumsum(solid, dtype=np.int32)
         edges = np.append(place[starts] - 1, place[-1] if len(place) else 0).astype(np.int32)
         stretches = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[solid]))]).dictionary_encode()
         coded = [*self.look_up(stretches.dictionary.to_pylist()), pack(np.array([end], np.uint32))]
         flat = np.frombuffer(b"".join(coded), np.uint32)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        many = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)
+        many = np.diff(np.searchsorted(starts, offsets))
         # the end id is one more stretch after each document's last
         each = np.insert(stretches.indices.to_numpy(), np.cumsum(many), len(coded) - 1)
         long = size[each]
-        at = np.repeat((np.cumsum(size) - size)[each] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        ends = np.cumsum(long)
+        kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(size) - size)[each] - (ends - long)).astype(kind), long)
+        at += np.arange(len(at), dtype=kind)
         last = np.cumsum(many + 1)
         return flat[at], np.add.reduceat(long, last - many - 1)
 
