@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, lm, quality, spiece, suffix, tokenfile, topk, toxicity
+from . import decontaminate, jaccard, langid, lm, minhash, quality, spelling, spiece, suffix, tokenfile, topk, toxicity, trie
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_ids": tokenfile.op9_token_ids,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
+    "op11_minhash": minhash.op11_minhash,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
-ORACLES = {"op2_top_k": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op10_suffix_dedup": suffix.ORACLE}
+ORACLES = {"op2_top_k": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op10_suffix_dedup": suffix.ORACLE, "op11_minhash": minhash.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_spelling_variants": spelling.ORACLE}
