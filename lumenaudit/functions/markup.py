@@ -31,11 +31,19 @@ def column_name(attribute: str) -> str:
     return "a_" + attribute.replace("-", "_")
 
 
+def attribute_values(values: Column) -> Column:
+    """Values without quotes and with their entities read; null where a name has no value. The array is that of ATTRIBUTE's second parts."""
+
+    def one(v: Column) -> Column:
+        bare = F.when(v.rlike("""^["']"""), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+        return F.when(v != "", F.when(v.contains("&"), unescape(bare)).otherwise(bare))
+
+    return F.transform(values, one)
+
+
 def attribute(names: Column, values: Column, name: str) -> Column:
-    """The first value of an attribute without quotes; null if it is absent or has no value. The arrays are those of ATTRIBUTE's parts."""
-    v = F.get(values, F.array_position(names, name).cast("int") - 1)
-    bare = F.when(v.rlike("""^["']"""), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-    return F.when(v != "", unescape(bare))
+    """The first value of an attribute; null if it is absent or has no value."""
+    return F.get(values, F.array_position(names, name).cast("int") - 1)
 
 
 def unescape(c: Column) -> Column:
@@ -58,26 +66,33 @@ def tokens(pages: DataFrame) -> DataFrame:
     return t.select("page_id", "pos", F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), raw.startswith("</").alias("is_close"), raw.alias("raw"), F.col("t.text_after").alias("text_after"))
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, text): what stands between a page's tags, one after another; an element's text is a part of it."""
+    between = F.regexp_extract_all(F.regexp_replace("html", RAW_TEXT, ""), F.lit(TAG), F.lit(2))
+    return pages.select("page_id", F.array_join(between, "").alias("page_text"))
+
+
 def elements(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, end_pos, tag, raw, text, a_*, has_*) of every element. An element spans the tokens pos .. end_pos."""
-    t = tokens(pages)
+    """(page_id, pos, end_pos, tag, raw, text, a_*, has_*) of every element. An element spans the tokens pos .. end_pos; its text is cut out of its page's at the offsets of both."""
+    page = Window.partitionBy("page_id")
+    t = tokens(pages).withColumn("size", F.length("text_after"))
+    t = t.withColumn("offset", F.sum("size").over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    t = t.withColumn("last", F.max(F.struct("pos", "offset")).over(page)).withColumn("at", F.struct("pos", "offset"))
     order = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("void", F.col("tag").isin(VOID)).withColumn("level", F.sum(F.when(F.col("void"), 0).when(F.col("is_close"), -1).otherwise(1)).over(order) + F.col("is_close").cast("int"))
     same = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
-    t = t.withColumn("close", F.when(F.lead("is_close").over(same), F.lead("pos").over(same))).withColumn("last", F.max("pos").over(Window.partitionBy("page_id")))
-    e = t.where("NOT is_close").withColumn("close", F.when(F.col("void"), F.col("pos")).otherwise(F.col("close")))
+    t = t.withColumn("close", F.when(F.lead("is_close").over(same), F.lead("at").over(same)))
+    e = t.where("NOT is_close").withColumn("close", F.when(F.col("void"), F.col("at")).otherwise(F.col("close"))).select("page_id", "pos", "offset", "tag", "raw", "void", "close", "last")
     # an unclosed element ends with the nearest closed element around it, else with the page
     around = e.where("close IS NOT NULL AND NOT void").select(F.col("page_id").alias("p2"), F.col("pos").alias("a"), F.col("close").alias("b"))
-    lost = e.where("close IS NULL").select("page_id", "pos").join(around, (F.col("page_id") == F.col("p2")) & (F.col("a") < F.col("pos")) & (F.col("pos") < F.col("b"))).groupBy("page_id", "pos").agg(F.min("b").alias("outer"))
-    e = e.join(lost, ["page_id", "pos"], "left").withColumn("end_pos", F.coalesce("close", "outer", "last"))
+    lost = e.where("close IS NULL").select("page_id", "pos").join(around, (F.col("page_id") == F.col("p2")) & (F.col("a") < F.col("pos")) & (F.col("pos") < F.col("b.pos"))).groupBy("page_id", "pos").agg(F.min("b").alias("outer"))
+    e = e.join(lost, ["page_id", "pos"], "left").withColumn("end", F.coalesce("close", "outer", "last"))
     found = lambda part: F.regexp_extract_all("raw", F.lit(ATTRIBUTE), F.lit(part))
-    e = e.select("page_id", "pos", "end_pos", "tag", "raw", F.transform(found(1), F.lower).alias("names"), found(2).alias("values"))
+    e = e.select("page_id", "pos", "offset", "end", "tag", "raw", F.transform(found(1), F.lower).alias("names"), attribute_values(found(2)).alias("values"))
     names, values = F.col("names"), F.col("values")
-    e = e.select("page_id", "pos", "end_pos", "tag", "raw", *(attribute(names, values, a).alias(column_name(a)) for a in ATTRIBUTES), *(F.array_contains(names, a).alias(f"has_{a}") for a in [*FLAGS, "alt"]))
-    texts = t.where("length(text_after) > 0").select(F.col("page_id").alias("p2"), F.col("pos").alias("at"), "text_after")
-    inner = e.where(F.col("tag").isin(TEXT_TAGS)).select("page_id", "pos", "end_pos").join(texts, (F.col("page_id") == F.col("p2")) & (F.col("at") >= F.col("pos")) & (F.col("at") < F.col("end_pos")))
-    joined = inner.groupBy("page_id", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text_after"))), lambda x: x["text_after"]), "").alias("text"))
-    return e.join(joined.withColumn("text", strip(unescape(F.col("text")))), ["page_id", "pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    e = e.select("page_id", "pos", F.col("end.pos").alias("end_pos"), "tag", "raw", "offset", (F.col("end.offset") - F.col("offset")).alias("size"), *(attribute(names, values, a).alias(column_name(a)) for a in ATTRIBUTES), *(F.array_contains(names, a).alias(f"has_{a}") for a in [*FLAGS, "alt"]))
+    part = strip(unescape(F.substring(F.col("page_text"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))))
+    return e.join(page_texts(pages), "page_id").withColumn("text", F.when(F.col("tag").isin(TEXT_TAGS), part).otherwise("")).drop("page_text", "offset", "size")
 
 
 # The same tables in DuckDB's SQL, for comparison.

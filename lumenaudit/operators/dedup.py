@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import strip
+from ..sources.stored import stored
+from .components import components
 
 KEPT_PER_TEMPLATE = 3
 
@@ -50,34 +52,50 @@ def _functional(pages: DataFrame) -> DataFrame:
     return p.select("page_id", "site", "content_hash", "signature", (~kept).alias("is_duplicate"), F.when(kept, None).otherwise(F.coalesce("first_kept", "leader")).alias("original_id"))
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """One site in arrival order: the general case, where decisions chain."""
-    hashes: dict[str, int] = {}
-    groups: dict[str, list[int]] = {}
-    original: list[int | None] = []
-    rows = rows.sort_values("page_id")
-    for page, h, s in zip(rows.page_id, rows.content_hash, rows.signature):
-        kept = groups.setdefault(s, []) if h not in hashes else []
-        if h in hashes:
-            original.append(hashes[h])
-        elif len(kept) >= KEPT_PER_TEMPLATE:
-            original.append(kept[0])
-        else:
-            kept.append(page)
-            hashes[h] = page
-            original.append(None)
-    out = rows[["page_id", "site", "content_hash", "signature"]].copy()
-    out["is_duplicate"] = [x is not None for x in original]
-    out["original_id"] = pd.array(original, "Int64")
-    return out
+def _kept(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pages that stay of one component, from the first page of each pair of content and signature in arrival order."""
+    taken: set[str] = set()
+    members: dict[str, int] = {}
+    keep = []
+    for h, s in zip(rows["content_hash"], rows["signature"]):
+        stays = h not in taken and members.get(s, 0) < KEPT_PER_TEMPLATE
+        keep.append(stays)
+        if stays:
+            taken.add(h)
+            members[s] = members.get(s, 0) + 1
+    return rows[keep]
+
+
+_PAIR = "page_id long, site string, content_hash string, signature string"
+
+
+def _chained(pages: DataFrame) -> DataFrame:
+    """The decision where one content has several signatures.
+
+    Only the first page of a (content, signature) can stay: if it doesn't, the content has been kept already, or the
+    template is full and stays full. So the pages that stay follow from these pairs, and pairs influence each other only within a
+    connected component of contents and signatures; one component is one sequential group. All other pages are then joined to what stays.
+    """
+    first = stored(pages.groupBy("site", "content_hash", "signature").agg(F.min("page_id").alias("page_id")), "pairs")
+    name = lambda kind, c: F.concat_ws("|", "site", F.lit(kind), c)
+    label = components(first.select(name("c", "content_hash").alias("a"), name("s", "signature").alias("b")))
+    groups = first.withColumn("node", name("s", "signature")).join(label, "node")
+    run = lambda rows: _kept(rows.sort_values("page_id"))[["page_id", "site", "content_hash", "signature"]]
+    kept = stored(groups.select("component", *(c.split()[0] for c in _PAIR.split(", "))).groupBy("component").applyInPandas(run, _PAIR), "kept")
+    by_content = kept.select("site", "content_hash", F.col("page_id").alias("copy_of"))  # a content stays once
+    leaders = kept.groupBy("site", "signature").agg(F.min("page_id").alias("leader"))
+    p = pages.join(by_content, ["site", "content_hash"], "left").join(leaders, ["site", "signature"], "left")
+    stays = F.coalesce(F.col("copy_of") == F.col("page_id"), F.lit(False))
+    before = F.when(F.col("copy_of") < F.col("page_id"), F.col("copy_of"))  # a content that stays later doesn't count yet
+    return p.select("page_id", "site", "content_hash", "signature", (~stays).alias("is_duplicate"), F.when(~stays, F.coalesce(before, "leader")).alias("original_id"))
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """(…, is_duplicate, original_id) for pages(page_id, site, content_hash, signature). Only sites where a hash has several signatures take the sequential way."""
+    """(…, is_duplicate, original_id) for pages(page_id, site, content_hash, signature), in the order of page_id. Only sites where a content has several signatures take the sequential way."""
+    pages = pages.select("page_id", "site", "content_hash", "signature")
     chained = pages.groupBy("site", "content_hash").agg(F.min("signature").alias("a"), F.max("signature").alias("b")).where("a <> b").select("site").distinct()
-    schema = "page_id long, site string, content_hash string, signature string, is_duplicate boolean, original_id long"
-    rest = pages.join(chained, "site", "left_semi").select("page_id", "site", "content_hash", "signature").groupBy("site").applyInPandas(_greedy, schema)
-    return _functional(pages.join(chained, "site", "left_anti")).unionByName(rest)
+    chained = stored(chained, "chained")
+    return _functional(pages.join(chained, "site", "left_anti")).unionByName(_chained(pages.join(chained, "site", "left_semi")))
 
 
 def template_groups(decided: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = "array<struct<wcag_criterion:string,wcag_level:string,severity:string,title:string,description:string,recommendation:string,element_selector:string,element_html:string,confidence:double>>"
+FINDING = "array<struct<rule_id:string,wcag_criterion:string,wcag_level:string,severity:string,title:string,description:string,recommendation:string,element_selector:string,element_html:string,confidence:double>>"
 #: How detectors' severities are read; anything else is minor.
-SEVERITY = {"critical": "critical", "serious": "critical", "high": "critical", "major": "major", "moderate": "major", "medium": "major", "minor": "minor", "low": "minor", "info": "info"}
+SEVERITY = {"critical": "critical", "major": "major", "minor": "minor", "info": "info", "serious": "major", "moderate": "minor", "high": "critical", "low": "minor", "medium": "major"}
 
 
 def parse_reply(reply: Column) -> Column:
@@ -26,10 +26,16 @@ def drop_known(vision: DataFrame, known: DataFrame) -> DataFrame:
     return vision.join(known.where("element_selector IS NOT NULL").select("page_id", "element_selector").distinct(), ["page_id", "element_selector"], "left_anti").select(vision.columns)
 
 
+#: What a finding that doesn't say it has.
+DEFAULTS = {"wcag_criterion": "unknown", "rule_id": "ai-detection"}
+
+
 def normalise(findings: DataFrame) -> DataFrame:
+    """Severities and levels as the issue table knows them (else minor, A), and DEFAULTS for what is missing."""
     mapped = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
     level = F.upper(F.col("wcag_level"))
-    return findings.withColumn("severity", F.coalesce(F.try_element_at(mapped, F.lower("severity")), F.lit("minor"))).withColumn("wcag_level", F.when(level.isin("A", "AA", "AAA"), level).otherwise("A"))
+    out = findings.withColumn("severity", F.coalesce(F.try_element_at(mapped, F.lower("severity")), F.lit("minor"))).withColumn("wcag_level", F.when(level.isin("A", "AA", "AAA"), level).otherwise("A"))
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if c in out.columns})
 
 
 ISSUE = ["page_id", "detected_by", "wcag_criterion", "wcag_level", "severity", "element_selector"]

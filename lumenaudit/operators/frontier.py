@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..sources.stored import stored
 
 
 def path_of(url: Column) -> Column:
@@ -45,23 +46,52 @@ def rank(urls: DataFrame, max_depth: int) -> DataFrame:
     return prioritise(urls.where(~skipped(F.col("url"))), max_depth).withColumn("rank", F.row_number().over(w))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
-    """(node, depth, parent, nth): breadth first from seeds(node) over edges(src, dst, place); the first to find a node is its parent. One pass per depth."""
-    order = Window.orderBy("at")
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("long")).withColumn("at", F.struct(F.lit(0).alias("a"), F.col("node").alias("b")))
-    seen = seen.withColumn("nth", F.row_number().over(order)).drop("at").limit(max_pages)
-    levels, last = [seen], seen
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Rows with `name`, their number from 1 within their key in an order without ties. A range partition of (key, order) is
+    numbered by itself and shifted by what stands before it, so no task holds a whole key."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = stored(rows.repartitionByRange(tasks, key, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as a key has parts
+    offsets = r.groupBy("part", key).agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    local = F.row_number().over(Window.partitionBy("part", key).orderBy(*order))
+    return r.withColumn("local", local).join(offsets, ["part", key]).withColumn(name, F.col("offset") + F.col("local")).drop("part", "local", "offset")
+
+
+def expand(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, duplicates: DataFrame | None = None) -> DataFrame:
+    """(site, node, depth, parent, nth): breadth first from seeds(site, node, place) over edges(site, src, dst, score, place), all sites at once; max_pages a site.
+
+    Within a depth nodes come in the order of their parent, then best score, then place, then name; the first to find a
+    node is its parent. Nodes of duplicates(site, node) are found but lead nowhere. One pass a depth, written to the shared folder.
+    """
+    at = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0.0).alias("b"), F.col("place").cast("long").alias("c"))
+    first = seeds.groupBy("site", "node").agg(F.min(at).alias("at"))
+    first = numbered(first, "site", ["at", "node"], "nth").where(F.col("nth") <= max_pages)
+    columns = ["site", "node", "depth", "parent", "nth"]
+    last = stored(first.withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("string")).select(columns), "level")
+    levels, used = [last], last.groupBy("site").agg(F.count(F.lit(1)).alias("used"))
     for d in range(1, max_depth + 1):
         known = reduce(DataFrame.unionByName, levels)
-        new = last.join(edges, last["node"] == edges["src"]).select(F.col("dst").alias("node"), F.struct(F.col("nth").alias("a"), F.col("place").cast("long").alias("b")).alias("at"), F.col("src").alias("parent"))
-        new = new.groupBy("node").agg(F.min("at").alias("at"), F.min_by("parent", "at").alias("parent")).join(known.select("node"), "node", "left_anti")
-        before = known.agg(F.max("nth").alias("base"))
-        last = new.withColumn("depth", F.lit(d)).withColumn("row", F.row_number().over(order)).crossJoin(F.broadcast(before)).withColumn("nth", (F.col("base") + F.col("row")).cast("int")).where(F.col("nth") <= max_pages).select("node", "depth", "parent", "nth")
-        last = last.checkpoint() if last.sparkSession.sparkContext.getCheckpointDir() else last
+        going = last if duplicates is None else last.join(duplicates, ["site", "node"], "left_anti")
+        found = going.select("site", F.col("node").alias("src"), F.col("nth").alias("a")).join(edges, ["site", "src"])
+        at = F.struct("a", (-F.col("score")).alias("b"), F.col("place").cast("long").alias("c"), F.col("src").alias("parent"))
+        new = found.groupBy("site", F.col("dst").alias("node")).agg(F.min(at).alias("at")).join(known.select("site", "node"), ["site", "node"], "left_anti")
+        new = numbered(new, "site", ["at", "node"], "local_nth").join(used, "site").withColumn("nth", F.col("used") + F.col("local_nth"))
+        last = stored(new.where(F.col("nth") <= max_pages).select("site", "node", F.lit(d).alias("depth"), F.col("at.parent").alias("parent"), "nth"), "level")
+        if last.isEmpty():
+            break
         levels.append(last)
+        used = reduce(DataFrame.unionByName, levels).groupBy("site").agg(F.count(F.lit(1)).alias("used"))
     return reduce(DataFrame.unionByName, levels)
 
 
+def graph(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): edges(site, src, dst) once each; nodes(site, url, status) with those that only edges name, as discovered."""
+    once = edges.select("site", "src", "dst").distinct()
+    ends = once.select("site", F.col("src").alias("url")).union(once.select("site", "dst")).distinct()
+    missing = ends.join(nodes, ["site", "url"], "left_anti").withColumn("status", F.lit("discovered"))
+    return nodes.select("site", "url", "status").unionByName(missing), once
+
+
 def graph_stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("explored", "tested")).alias("explored"), F.count_if(F.col("status") == "tested").alias("tested"))
 
@@ -71,7 +101,9 @@ def with_status(nodes: DataFrame, status: str) -> DataFrame:
     return nodes.where((F.col("status") == status) & ~F.col("is_duplicate"))
 
 
-def export(nodes: DataFrame, key: str) -> DataFrame:
-    """(key, urls, total, explored, tested) of each graph."""
+def export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site, kind, json) of each graph, a line a node, an edge and a site's statistics, so that no row grows with a site."""
     done = F.col("status").isin("explored", "tested")
-    return nodes.groupBy(key).agg(F.sort_array(F.collect_list("url")).alias("urls"), F.count(F.lit(1)).alias("total"), F.count_if(done).alias("explored"), F.count_if(F.col("status") == "tested").alias("tested"))
+    stats = nodes.groupBy("site").agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("explored"), F.count_if(F.col("status") == "tested").alias("tested"))
+    line = lambda df, kind, *columns: df.select("site", F.lit(kind).alias("kind"), F.to_json(F.struct(*columns)).alias("json"))
+    return line(nodes, "node", "url", "status").unionByName(line(edges, "edge", "src", "dst")).unionByName(line(stats, "stats", "total", "explored", "tested"))

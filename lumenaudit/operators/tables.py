@@ -85,14 +85,6 @@ def experiences(found: DataFrame) -> DataFrame:
     return g.select("domain", F.concat(F.lit("detection_"), "page_type").alias("key"), "issues_found", F.size("issues_found").cast("long").alias("issue_count"), content.alias("content"))
 
 
-def write_issues(issues: DataFrame, pages: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Writes issues(…, *keys) under `path`, partitioned by the first key, with each one's page; pages that are missing are created first, under their keys. Returns all pages."""
-    new = missing_parents(issues, pages, keys).withColumn("page_id", F.md5(F.concat_ws("|", *keys)))
-    every = pages.select(*keys, F.col("page_id").cast("string").alias("page_id")).unionByName(new.select(*keys, "page_id"))
-    issues.drop("page_id").join(every, keys).write.mode("overwrite").partitionBy(keys[0]).parquet(path)
-    return every
-
-
 def missing_parents(rows: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """The keys of rows that no parent has yet, once each: what a write of rows has to create first."""
     return rows.select(keys).distinct().join(parents, keys, "left_anti")

@@ -115,8 +115,6 @@ _NODES = f"WITH nodes AS (SELECT page_id, url, {_SITE} AS site, CASE page_id % 3
 add("l6_unexplored", f"{_NODES} SELECT page_id, url FROM nodes WHERE status = 'discovered' AND NOT is_duplicate")(lambda s, d: frontier.with_status(nodes(s, d), "discovered").select("page_id", "url"))
 add("l6_untested", f"{_NODES} SELECT page_id, url FROM nodes WHERE status = 'explored' AND NOT is_duplicate")(lambda s, d: frontier.with_status(nodes(s, d), "explored").select("page_id", "url"))
 add("l7_at_depth", f"{_NODES} SELECT page_id, url FROM nodes WHERE depth = 2")(lambda s, d: nodes(s, d).where("depth = 2").select("page_id", "url"))
-add("l9_graph_export", f"{_NODES} SELECT site, list(url ORDER BY url) AS urls, count(*) AS total, count(*) FILTER (status IN ('explored', 'tested')) AS explored, count(*) FILTER (status = 'tested') AS tested FROM nodes GROUP BY site")(lambda s, d: frontier.export(nodes(s, d), "site"))
-
 
 # Lists, lookups, patches and deletions: a page is a task of project page_id % 7
 def tasks(s: SparkSession, d: str) -> DataFrame:
@@ -190,6 +188,9 @@ add("s3_missing_pages", "SELECT DISTINCT user_id AS page_id FROM events WHERE ev
 
 
 # Streams
-add("w6_stream_duplicates", f"SELECT DISTINCT {_SITE} AS site, md5(html) AS content_hash FROM pages")(
-    lambda s, d: progress.drain(progress.distinct(progress.stream(s, d, "pages").select(F.expr("try_parse_url(url, 'AUTHORITY')").alias("site"), F.md5("html").alias("content_hash")), ["site", "content_hash"]), "append").drop("batch")
-)
+def _arrivals(s: SparkSession, d: str) -> DataFrame:
+    """Pages as a stream, a minute apart in the order of page_id."""
+    return progress.stream(s, d, "pages").select(F.expr("try_parse_url(url, 'AUTHORITY')").alias("site"), F.md5("html").alias("content_hash"), F.timestamp_seconds(1_700_000_000 + F.col("page_id") * 60).alias("arrived"))
+
+
+add("w6_stream_duplicates", f"SELECT DISTINCT {_SITE} AS site, md5(html) AS content_hash FROM pages")(lambda s, d: progress.drain(progress.distinct(_arrivals(s, d), ["site", "content_hash"], "arrived", "365 days"), "append").select("site", "content_hash"))

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import contrast, markup
+from ..functions import contrast, markup, urls
 from ..functions import vocab as V
-from ..operators import boxes, dedup, findings, frontier, report, rules, tables
+from ..operators import boxes, dedup, findings, frontier, report, rules, store, tables
 from ..sources import pages as P
-from ..sources.stored import stored
+from ..sources.stored import shared_folder, stored
 from ..streaming import progress
-from . import entities
+from . import entities, graphs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(entities.QUERIES)
-ORACLES: dict[str, str] = dict(entities.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = entities.QUERIES | graphs.QUERIES
+ORACLES: dict[str, str] = entities.ORACLES | graphs.ORACLES
 
 RICH = f"rich AS (SELECT page_id, url, {P.rich_sql()} AS html FROM pages)"
 PRE = f"WITH {RICH}, {markup.duck_elements('rich')}"
@@ -65,9 +66,17 @@ def _view(name: str, where: str = "true") -> Callable:
     return query
 
 
-for _key, _name in (("e6_headings", "headings"), ("e8_form_inputs", "inputs"), ("e9_links", "links"), ("e10_interactive", "buttons"), ("e11_landmarks", "landmarks"), ("e16_duplicate_ids", "duplicate_ids")):
+for _key, _name in (("e6_headings", "headings"), ("e8_form_inputs", "inputs"), ("e10_interactive", "buttons"), ("e11_landmarks", "landmarks"), ("e16_duplicate_ids", "duplicate_ids")):
     add(_key, _view(_name), f"{FULL} SELECT * FROM v_{_name}")
 
+
+
+def _page_links(s: SparkSession, d: str) -> DataFrame:
+    """Links with what their references mean on their page."""
+    return _view("links")(s, d).join(P.scan(s, d).select("page_id", "url"), "page_id").withColumn("href", urls.resolve(F.col("url"), F.col("href"))).drop("url")
+
+
+add("e9_links", _page_links, f"{FULL} SELECT * EXCLUDE (url, ref) REPLACE ({urls.duck_resolve('url', 'ref')} AS href) FROM (SELECT v.*, url, regexp_replace(href, '^\\s+|\\s+$', '', 'g') AS ref FROM v_links v JOIN pages USING (page_id))")
 _ELEMENT_LISTS = {
     "e7_images": "SELECT page_id, pos, a_src AS src, a_alt AS alt, has_alt, a_role AS role FROM {elements} WHERE tag = 'img'",
     "e12_tabindex": "SELECT page_id, pos, tag, TRY_CAST(nullif(regexp_extract(a_tabindex, RX'^\\s*([+-]?[0-9]+)', 1), '') AS INT) AS tabindex FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE a_tabindex IS NOT NULL) q WHERE nth <= 100",
@@ -86,20 +95,6 @@ for _key, _sql in _ELEMENT_LISTS.items():
     add(_key, lambda s, d, sql=_sql: s.sql(rules.render(sql, "spark"), elements=elements(s, d)), f"{PRE} {rules.render(_sql, 'duck').format(elements='elements')}")
 
 
-def _links(s: SparkSession, d: str) -> DataFrame:
-    """Same-site links: resolved, without fragment, once per page in order of first use (E19)."""
-    p = P.scan(s, d)
-    e = markup.elements(p).where("tag = 'a' AND a_href IS NOT NULL AND NOT a_href LIKE 'javascript:%'").select("page_id", "pos", "a_href").join(p.select("page_id", "url", "site"), "page_id")
-    h, origin = F.col("a_href"), F.concat(F.regexp_extract("url", "^([a-z]+)://", 1), F.lit("://"), "site")
-    full = F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("/"), F.concat(origin, h)).when(h.rlike("^#|^$"), F.col("url")).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), h))
-    return e.withColumn("link", F.split_part(full, F.lit("#"), F.lit(1))).where(F.regexp_extract("link", "^[a-z]+://([^/?#]*)", 1) == F.col("site")).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
-
-
-_LINKS_SQL = f"""WITH {markup.duck_elements('pages')}, h AS (SELECT e.page_id, pos, a_href, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site FROM elements e JOIN pages p ON p.page_id = e.page_id WHERE tag = 'a' AND a_href IS NOT NULL AND NOT a_href LIKE 'javascript:%'),
- f AS (SELECT page_id, pos, site, split_part(CASE WHEN regexp_matches(a_href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN a_href WHEN starts_with(a_href, '/') THEN regexp_extract(url, '^([a-z]+)://', 1) || '://' || site || a_href WHEN regexp_matches(a_href, '^#|^$') THEN url ELSE regexp_replace(url, '[^/]*$', '') || a_href END, '#', 1) AS link FROM h),
- site_links AS (SELECT page_id, link, min(pos) AS pos FROM f WHERE regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = site GROUP BY ALL)"""
-add("e19_site_links", _links, f"{_LINKS_SQL} SELECT * FROM site_links")
-
 # Rules
 for _r in rules.RULES:
 
@@ -161,6 +156,24 @@ add("a6_by_level", lambda s, d: report.by_level(audit(s, d).withColumn("task", F
 add("s4_report_json", lambda s, d: report.export_json(_scores(s, d), audit(s, d).withColumn("task", F.col("page_id") % 5), "task"))
 
 
+# Issues stored by task, with their pages; written for all tasks at level A, then again for one task at level AA
+def _written(s: SparkSession, d: str) -> DataFrame:
+    at, p = f"{shared_folder(s)}/issues-{uuid.uuid4().hex}", P.scan(s, d)
+    task = (F.col("page_id") % 5).alias("task_id")
+    p.where("page_id % 2 = 0").select("url", F.concat(F.lit("p"), "page_id").alias("page_id"), task).write.partitionBy("task_id").parquet(f"{at}/pages")
+    issues = stored(audit(s, d).join(p.select("page_id", "url"), "page_id").select(task, "url", "rule_id", "wcag_level", "severity", "element_selector", "pos"), "issues")
+    store.write_issues(issues.where("wcag_level = 'A'"), at)
+    store.write_issues(issues.where("task_id = 2"), at)
+    return store.read(s, f"{at}/issues", "url string, rule_id string, wcag_level string, severity string, element_selector string, pos int, page_id string, task_id long")
+
+
+add(
+    "s3_write_issues",
+    _written,
+    f"{_AUDIT} SELECT page_id % 5 AS task_id, url, rule_id, wcag_level, severity, element_selector, pos, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id ELSE md5((page_id % 5) || '|' || url) END AS page_id FROM issues JOIN pages USING (page_id) WHERE wcag_level = 'A' OR page_id % 5 = 2",
+)
+
+
 # Reviews: an issue's id is a hash of its place; annotations follow from it
 def _issues(s: SparkSession, d: str) -> DataFrame:
     i = audit(s, d).withColumn("id", F.md5(F.concat_ws("|", "page_id", "rule_id", "severity", "element_selector", "pos")))
@@ -186,39 +199,19 @@ add("f4_hex_contrast", lambda s, d: P.scan(s, d).select("page_id", contrast.hex_
 
 
 # Duplicates
-def _keyed(functional: bool) -> Callable:
-    def query(s: SparkSession, d: str) -> DataFrame:
-        h = F.concat(F.lit("h"), F.col("page_id") % 40)
-        sig = F.concat(F.lit("s"), (F.col("page_id") % 40 % 6) if functional else F.col("page_id") % 6)
-        return dedup.decide(P.scan(s, d).select("page_id", "site", h.alias("content_hash"), sig.alias("signature")))
-
-    return query
-
-
-add("d1_signature", lambda s, d: dedup.signature(elements(s, d)), f"""{PRE}, a AS (SELECT page_id, count(*) FILTER (regexp_matches(tag, '^h[1-6]$')) AS h, count(*) FILTER (tag = 'form') AS f, count(*) FILTER ((tag IN ('main', 'nav', 'header', 'footer', 'aside') OR coalesce(a_role, '') IN ('main', 'navigation', 'banner', 'contentinfo', 'complementary', 'search', 'region'))) AS l, count(*) FILTER (tag = 'img') AS i,
-  coalesce(string_agg(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN tag[2:2] END, ',' ORDER BY pos), '') AS levels, coalesce(string_agg(CASE WHEN (tag IN ('main', 'nav', 'header', 'footer', 'aside') OR coalesce(a_role, '') IN ('main', 'navigation', 'banner', 'contentinfo', 'complementary', 'search', 'region')) THEN coalesce(a_role, tag) END, ',' ORDER BY pos), '') AS roles FROM elements GROUP BY page_id),
- p AS (SELECT f.page_id, f.pos, count(i.pos) AS n FROM elements f LEFT JOIN elements i ON i.page_id = f.page_id AND i.tag IN ('input', 'select', 'textarea') AND i.pos > f.pos AND i.pos < f.end_pos WHERE f.tag = 'form' GROUP BY ALL), q AS (SELECT page_id, string_agg(n::VARCHAR, ',' ORDER BY pos) AS inputs FROM p GROUP BY ALL)
- SELECT a.page_id, md5(concat_ws('|', 'h:' || h, 'f:' || f, 'l:' || l, 'i:' || i, levels, coalesce(inputs, ''), roles))[1:12] AS signature FROM a LEFT JOIN q USING (page_id)""")
-_DECIDED = """WITH k AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, 'h' || (page_id % 40) AS content_hash, 's' || (page_id % 40 % 6) AS signature FROM pages),
- f AS (SELECT *, first_value(page_id) OVER (PARTITION BY site, content_hash ORDER BY page_id) AS first_id, first_value(page_id) OVER (PARTITION BY site, signature ORDER BY page_id) AS leader FROM k),
- n AS (SELECT *, sum((first_id = page_id)::INT) OVER (PARTITION BY site, signature ORDER BY page_id) AS nth FROM f), z AS (SELECT *, first_id = page_id AND nth <= 3 AS kept FROM n),
- y AS (SELECT *, max(CASE WHEN kept THEN page_id END) OVER (PARTITION BY site, content_hash) AS first_kept FROM z), decided AS (SELECT page_id, site, content_hash, signature, NOT kept AS is_duplicate, CASE WHEN kept THEN NULL ELSE coalesce(first_kept, leader) END AS original_id FROM y)"""
-add("d4_decide", _keyed(True), f"{_DECIDED} SELECT * FROM decided")
-add("d4_decide_chained", _keyed(False))
-add("d5_template_groups", lambda s, d: dedup.template_groups(_keyed(True)(s, d)), f"{_DECIDED} SELECT site, signature, list(page_id ORDER BY page_id) AS members FROM decided WHERE NOT is_duplicate GROUP BY ALL HAVING count(*) > 1")
-add("d6_skipped", lambda s, d: _keyed(True)(s, d).groupBy("site").agg(F.count_if("is_duplicate").alias("skipped")), f"{_DECIDED} SELECT site, count(*) FILTER (is_duplicate) AS skipped FROM decided GROUP BY ALL")
+add("d1_signature", lambda s, d: dedup.signature(elements(s, d)), f"{PRE}, {graphs.SIGNATURE_TABLES} SELECT * FROM signatures")
 
 
 # Frontier
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    return _links(s, d).select("page_id", "pos", F.col("link").alias("url"), (F.col("page_id") % 6).cast("int").alias("depth"), (F.col("page_id") % 2 == 0).alias("parent_has_forms"), (F.col("page_id") % 3 == 0).alias("parent_has_issues"))
+    return graphs.links(s, P.scan(s, d)).select("page_id", "pos", F.col("link").alias("url"), (F.col("page_id") % 6).cast("int").alias("depth"), (F.col("page_id") % 2 == 0).alias("parent_has_forms"), (F.col("page_id") % 3 == 0).alias("parent_has_issues"))
 
 
 def _first_sql(words: list[str]) -> str:
     return "CASE " + " ".join(f"WHEN contains(path, '{w}') THEN '{w}'" for w in words) + " END"
 
 
-_RANK = f"""{_LINKS_SQL}, c AS (SELECT page_id, pos, link AS url, (page_id % 6)::INTEGER AS depth, page_id % 2 = 0 AS parent_has_forms, page_id % 3 = 0 AS parent_has_issues, lower(regexp_extract(link, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)) AS path FROM site_links),
+_RANK = f"""{graphs.LINKS_SQL}, c AS (SELECT page_id, pos, link AS url, (page_id % 6)::INTEGER AS depth, page_id % 2 = 0 AS parent_has_forms, page_id % 3 = 0 AS parent_has_issues, lower(regexp_extract(link, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)) AS path FROM site_links),
  w AS (SELECT *, {_first_sql(V.HIGH_PRIORITY)} AS hi, {_first_sql(V.MEDIUM_PRIORITY)} AS mid, {_first_sql(V.LOW_PRIORITY)} AS lo, 10.0::DOUBLE * depth / 5 AS penalty FROM c WHERE NOT regexp_matches(path, '\\.({"|".join(V.SKIPPED_SUFFIXES)})$')),
  x AS (SELECT page_id, pos, url, depth, parent_has_forms, parent_has_issues, round(greatest(0.0, least(100.0, 50.0 + (hi IS NOT NULL)::INT * 30.0 + (mid IS NOT NULL)::INT * 15.0 - (lo IS NOT NULL)::INT * 20.0 - penalty + parent_has_forms::INT * 15.0 + parent_has_issues::INT * 10.0 - greatest(0.0, (length(url) - 100) * 0.1)))::DOUBLE, 6) AS score,
   coalesce(nullif(concat_ws('; ', 'High-priority pattern: ' || hi, 'Medium-priority pattern: ' || mid, 'Low-priority pattern: ' || lo, CASE WHEN penalty > 5 THEN format('Depth penalty: -{{:.1f}}', penalty) END, CASE WHEN parent_has_forms THEN 'Parent has forms' END, CASE WHEN parent_has_issues THEN 'Parent had a11y issues' END), ''), 'Default priority') AS reason FROM w)
@@ -226,36 +219,38 @@ _RANK = f"""{_LINKS_SQL}, c AS (SELECT page_id, pos, link AS url, (page_id % 6):
 add("l3_rank", lambda s, d: frontier.rank(_candidates(s, d), 5), _RANK)
 
 
-def _edges(s: SparkSession, d: str) -> DataFrame:
-    p = P.scan(s, d).select("page_id")
-    n = p.count()
-    i = F.col("page_id")
-    return p.select(i.alias("src"), F.posexplode(F.array(2 * i + 1, 2 * i + 2, i * 7 % n)).alias("place", "dst")).where(F.col("dst") < n)
-
-
-add("l4_frontier", lambda s, d: frontier.expand(P.scan(s, d).where("page_id = 0").select(F.col("page_id").alias("node")), _edges(s, d), 5, 100))
-add("l5_edges", lambda s, d: _edges(s, d).select("src", "dst").distinct(), "SELECT DISTINCT page_id AS src, dst FROM (SELECT page_id, unnest([2 * page_id + 1, 2 * page_id + 2, page_id * 7 % (SELECT count(*) FROM pages)]) AS dst FROM pages) WHERE dst < (SELECT count(*) FROM pages)")
+graphs.graph_queries(graphs.edges_sql(_first_sql, V))
+QUERIES |= graphs.QUERIES
+ORACLES |= graphs.ORACLES
 add("l8_stats", lambda s, d: frontier.graph_stats(P.scan(s, d).withColumn("status", F.when(F.col("page_id") % 3 == 0, "tested").when(F.col("page_id") % 3 == 1, "explored").otherwise("pending"))), "SELECT count(*) AS total, count(*) FILTER (page_id % 3 < 2) AS explored, count(*) FILTER (page_id % 3 = 0) AS tested FROM pages")
 
 
 # Findings of other detectors, carried by derived replies
+#: The severities that replies carry, by page_id: the nine that are known, and another.
+_SAID = ("critical", "major", "minor", "info", "serious", "moderate", "high", "low", "medium", "odd")
+_READ = "['critical', 'major', 'minor', 'info', 'major', 'minor', 'critical', 'minor', 'major', 'minor'][page_id % 10 + 1]"
+_CRITERION = "CASE WHEN page_id % 7 = 0 THEN 'unknown' ELSE '1.1.1' END"
+
+
 def _replies(s: SparkSession, d: str) -> DataFrame:
-    sev = F.element_at(F.array(*map(F.lit, ("serious", "moderate", "low", "odd"))), (F.col("page_id") % 4 + 1).cast("int"))
-    one = F.concat(F.lit('{"wcag_criterion": "1.1.1", "severity": "'), sev, F.lit('", "element_selector": "'), F.when(F.col("page_id") % 5 == 0, "img").otherwise("p"), F.lit('", "confidence": 0.5}'))
+    sev = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("page_id") % len(_SAID) + 1).cast("int"))
+    criterion = F.when(F.col("page_id") % 7 == 0, "").otherwise('"wcag_criterion": "1.1.1", ')
+    one = F.concat(F.lit("{"), criterion, F.lit('"severity": "'), sev, F.lit('", "element_selector": "'), F.when(F.col("page_id") % 5 == 0, "img").otherwise("p"), F.lit('", "confidence": 0.5}'))
     text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Found:\n```json\n["), one, F.lit("]\n```"))).when(F.col("page_id") % 3 == 1, one).otherwise("nothing to report")
     return P.scan(s, d).select("page_id", F.when(F.col("page_id") % 2 == 0, "ai").otherwise("vision_ai").alias("source"), text.alias("reply"))
 
 
-add("m1_parse_replies", lambda s, d: findings.normalise(findings.parse(_replies(s, d))).select("page_id", "detected_by", "wcag_criterion", "wcag_level", "severity", "element_selector", "confidence"), "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END AS detected_by, '1.1.1' AS wcag_criterion, 'A' AS wcag_level, ['critical', 'major', 'minor', 'minor'][page_id % 4 + 1] AS severity, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector, 0.5::DOUBLE AS confidence FROM pages WHERE page_id % 3 < 2")
-add("m7_totals", lambda s, d: findings.totals(findings.parse(_replies(s, d))), "SELECT page_id, 0::BIGINT AS rule, (page_id % 2 = 0)::BIGINT AS ai, (page_id % 2 = 1)::BIGINT AS vision_ai FROM pages WHERE page_id % 3 < 2")
+add("m1_parse_replies", lambda s, d: findings.normalise(findings.parse(_replies(s, d))).select("page_id", "detected_by", "rule_id", "wcag_criterion", "wcag_level", "severity", "element_selector", "confidence"), f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END AS detected_by, 'ai-detection' AS rule_id, {_CRITERION} AS wcag_criterion, 'A' AS wcag_level, {_READ} AS severity, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector, 0.5::DOUBLE AS confidence FROM pages WHERE page_id % 3 < 2")
 add("m2_unseen_vision", lambda s, d: (lambda f: findings.drop_known(f.where("detected_by = 'vision_ai'"), elements(s, d).where("tag = 'img'").select("page_id", F.col("tag").alias("element_selector"))))(findings.parse(_replies(s, d))).select("page_id", "element_selector"), f"{PRE} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector FROM pages p WHERE page_id % 3 < 2 AND page_id % 2 = 1 AND NOT (page_id % 5 = 0 AND EXISTS (SELECT 1 FROM elements e WHERE e.page_id = p.page_id AND e.tag = 'img'))")
 
-_FOUND = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END AS detected_by, '1.1.1' AS wcag_criterion, 'A' AS wcag_level, ['critical', 'major', 'minor', 'minor'][page_id % 4 + 1] AS severity, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector FROM pages WHERE page_id % 3 < 2"
+_FOUND = f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END AS detected_by, {_CRITERION} AS wcag_criterion, 'A' AS wcag_level, {_READ} AS severity, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector FROM pages WHERE page_id % 3 < 2"
 add(
     "m3_merge",
     lambda s, d: findings.merge(audit(s, d), findings.normalise(findings.parse(_replies(s, d)))),
     f"{_AUDIT}, found AS ({_FOUND}), known AS (SELECT page_id, element_selector FROM issues WHERE element_selector <> '' UNION SELECT page_id, element_selector FROM found WHERE detected_by = 'ai') SELECT page_id, 'rule' AS detected_by, wcag_criterion, wcag_level, severity, element_selector FROM issues UNION ALL SELECT * FROM found WHERE detected_by = 'ai' OR NOT EXISTS (SELECT 1 FROM known k WHERE k.page_id = found.page_id AND k.element_selector = found.element_selector)",
 )
+_MERGED = f"{_AUDIT}, found AS ({_FOUND}), known AS (SELECT page_id, element_selector FROM issues WHERE element_selector <> '' UNION SELECT page_id, element_selector FROM found WHERE detected_by = 'ai'), merged AS (SELECT page_id, 'rule' AS detected_by FROM issues UNION ALL SELECT page_id, detected_by FROM found WHERE detected_by = 'ai' OR NOT EXISTS (SELECT 1 FROM known k WHERE k.page_id = found.page_id AND k.element_selector = found.element_selector))"
+add("m7_totals", lambda s, d: findings.totals(findings.merge(stored(audit(s, d), "issues"), findings.normalise(findings.parse(_replies(s, d))))), f"{_MERGED} SELECT page_id, count(*) FILTER (detected_by = 'rule') AS rule, count(*) FILTER (detected_by = 'ai') AS ai, count(*) FILTER (detected_by = 'vision_ai') AS vision_ai FROM merged GROUP BY ALL")
 
 
 def _boxed(s: SparkSession, d: str) -> DataFrame:
@@ -287,7 +282,6 @@ add(
 )
 
 # Tables and memory
-add("s2_upsert", lambda s, d: tables.upsert(P.scan(s, d).where("page_id % 3 < 2").select("page_id", F.lit("old").alias("status"), F.length("html").alias("size")), P.scan(s, d).where("page_id % 3 > 0").select("page_id", F.lit("new").alias("status"), F.lit(None).cast("int").alias("size")), ["page_id"], ["status", "size"]), "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'old' ELSE 'new' END AS status, CASE WHEN page_id % 3 < 2 THEN length(html)::INTEGER END AS size FROM pages")
 add("t15_last_entries", lambda s, d: tables.last_entries(s.read.parquet(f"{d}/conversations.parquet"), 2, "conv_id", "turn").select("conv_id", "turn", "role", "nth"), "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS nth FROM conversations QUALIFY nth <= 2")
 
 

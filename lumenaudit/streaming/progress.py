@@ -109,6 +109,7 @@ def incremental_audit(spark: SparkSession, pages: DataFrame, rules: Callable[[Da
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
-def distinct(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a stream without later ones of the same keys."""
-    return rows.dropDuplicates(keys)
+def distinct(rows: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """Rows of a stream without later ones of the same keys that arrive within `delay` of event time: a key is held no longer, so the state
+    follows the traffic of a delay, not the whole history; a copy that comes later counts as new."""
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

@@ -90,15 +90,6 @@ def test_merged_findings(spark):
     assert sorted((r.detected_by, r.element_selector or "") for r in got) == [("ai", "img"), ("ai", "p"), ("rule", ""), ("rule", "img"), ("vision_ai", ""), ("vision_ai", "h1")]
 
 
-def test_issues_written_with_their_pages(spark, tmp_path):
-    issues = spark.createDataFrame([(1, "u1", "r1"), (1, "u2", "r2"), (2, "u1", "r3"), (1, "u2", "r4")], "task long, url string, rule_id string")
-    pages = spark.createDataFrame([(1, "u1", "p1")], "task long, url string, page_id string")
-    every = tables.write_issues(issues, pages, ["task", "url"], str(tmp_path / "issues")).collect()
-    ids = {(r.task, r.url): r.page_id for r in every}
-    assert len(every) == 3 and ids[1, "u1"] == "p1" and len(set(ids.values())) == 3
-    assert {(r.rule_id, r.page_id) for r in spark.read.parquet(str(tmp_path / "issues")).collect()} == {("r1", "p1"), ("r2", ids[1, "u2"]), ("r3", ids[2, "u1"]), ("r4", ids[1, "u2"])}
-
-
 def test_logs_and_lifecycles_over_several_batches(spark, tmp_path):
     """State goes on from one batch to the next: what is kept and decided is as if all came at once."""
     from lumenaudit.streaming import progress
