@@ -10,7 +10,7 @@ chance, is DEVIATIONS standard deviations below the threshold.
 
 Equal sets are one class from the start, so exact copies are never paired. Within a band, classes are paired
 with one leader, the class that shares its bands with most others (of edited copies of a text that is the
-text); pairs of what these links leave apart follow, only across components and only where a band holds several, dealt in parts.
+text). What these links leave apart is compared once more, only across components and only where a band holds several.
 Whole sets are compared in a grid of cells over (a, b), whose number follows pairs and bytes.
 
 Defined cases: null or blank text has no shingles (n_shingles 0) and links with nothing; fewer than k words
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import buffers, pieces, shingle_sets
 from .components import components
-from .shared import lean, lean_groups, materialize, mix, pack
+from .shared import lean, lean_group, lean_groups, materialize, mix, pack
 
 REGISTERS, ROWS, MANTISSA = 160, 4, 10
 DEVIATIONS = 6
@@ -39,8 +39,6 @@ DEVIATIONS = 6
 EMPTY = 0xFFFF
 #: Pairs, and bytes of text, that one cell of the comparison is dealt, about.
 CELL, CELL_BYTES = 4000, 8 << 20
-#: Classes of a band in one part of the last pairing.
-PART = 1 << 11
 #: Texts handed to Spark at once (bytes).
 BATCH = 4 << 20
 
@@ -103,19 +101,20 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 
 
 def _rows(k: int):
+    """(doc_id, n, c, sketch) of each row; no class and no sketch for an empty set."""
+
     def run(batches):
         for batch in batches:
-            n, c = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, c, sketch = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for d, s in _sets(batch.column("text"), k):
-                n[d], c[d] = len(s), class_id(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c, pa.binary())], names=["doc_id", "n", "c"])
+                n[d], c[d], sketch[d] = len(s), class_id(s), pack(registers(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "c", "sketch"])
 
     return run
 
 
-def _entries(k: int):
-    """(c, n, sketch, text) of each text; copies within a batch once."""
-    names = ["c", "n", "sketch", "text"]
+def _texts(k: int):
+    """(c, text) of each text; copies within a batch once."""
 
     def run(batches):
         for batch in batches:
@@ -125,13 +124,13 @@ def _entries(k: int):
                 if c in seen:
                     continue
                 seen.add(c)
-                rows.append((c, len(s), pack(registers(s)), texts[d].as_py()))
-                held += len(rows[-1][3])
+                rows.append((c, texts[d].as_py()))
+                held += len(rows[-1][1])
                 if held > BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary(), pa.string()))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.string()))], names=["c", "text"])
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary(), pa.string()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.string()))], names=["c", "text"])
 
     return run
 
@@ -175,19 +174,19 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, entries: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) of classes those that reach the threshold."""
-    side = lambda x: entries.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) of classes(c, n, sketch) those that reach the threshold, by texts(c, text, bytes)."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a binary, b binary")
     pairs = materialize(likely, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    size = entries.join(ends, "c", "left_semi").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = texts.select("c", "bytes").join(ends, "c", "left_semi").agg(F.sum("bytes")).first()[0] or 0
     grid = max(1, math.ceil(math.sqrt(max(pairs.count() / CELL, 2 * size / CELL_BYTES))))
     at = lambda x: F.pmod(F.xxhash64(x), F.lit(grid))
     pairs = pairs.withColumn("cell", at("a") * grid + at("b"))
     need = pairs.select("cell", F.explode(F.array("a", "b")).alias("c")).distinct()
-    texts = need.join(entries.select("c", "text"), "c").select(F.col("cell").alias("cell"), "c", "text")  # a column of its own: both sides of the grouping come from pairs
-    found = pairs.groupBy("cell").cogroup(texts.groupBy("cell")).applyInArrow(lean_groups(_verify(k, percent)), "a binary, b binary")
+    needed = need.join(texts.select("c", "text"), "c").select(F.col("cell").alias("cell"), "c", "text")  # a column of its own: both sides of the grouping come from pairs
+    found = pairs.groupBy("cell").cogroup(needed.groupBy("cell")).applyInArrow(lean_groups(_verify(k, percent)), "a binary, b binary")
     return materialize(found, "links")
 
 
@@ -195,40 +194,86 @@ def _ordered(x: str, y: str):
     return F.when(F.col(x) < F.col(y), F.struct(F.col(x).alias("a"), F.col(y).alias("b"))).otherwise(F.struct(F.col(y).alias("a"), F.col(x).alias("b"))).alias("p")
 
 
-def _apart(shared: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a band and whose components differ: a band's lesser components against all of it, in parts."""
-    e = materialize(shared.join(label.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("component", "c").alias("g")), "apart")
-    held = e.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", "m").alias("main"), F.count(F.lit(1)).alias("kinds"), F.ceil(F.sum("m") / PART).cast("int").alias("parts")).where("kinds > 1").drop("kinds")
-    e = materialize(e.join(held, "key"), "mixed")
-    rest = e.where("g <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", "c", "n", "g")
-    right = e.select("key", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), F.col("c").alias("d"), F.col("n").alias("nd"), F.col("g").alias("h"), "main")
-    met = rest.join(right, ["key", "part"]).where((F.col("g") != F.col("h")) & ((F.col("h") == F.col("main")) | (F.col("c") < F.col("d"))) & (100 * F.least("n", "nd") >= percent * F.greatest("n", "nd")))
-    return met.select(_ordered("c", "d")).select("p.*").distinct()
+def _across(k: int, percent: int):
+    """Links between a group's lesser components (rest) and all of it: estimated first, then by whole sets through an index of the group's shingles."""
+    t = percent / 100
+
+    def links(main: bytes, rest: list[tuple], whole: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        ids, n = [x[0] for x in whole], np.array([len(x[2]) for x in whole])
+        of_main = np.array([x[1] == main for x in whole])
+        sketches = np.stack([registers(x[2]) for x in whole])
+        shingles = np.concatenate([x[2] for x in whole])
+        owner = np.repeat(np.arange(len(n)), n)[order := np.argsort(shingles, kind="stable")]
+        shingles = shingles[order]
+        for c, g, s in rest:
+            may = (100 * np.minimum(n, len(s)) >= percent * np.maximum(n, len(s))) & np.fromiter((x[1] != g and (o or c < x[0]) for x, o in zip(whole, of_main)), bool, len(n))
+            at = np.flatnonzero(may)
+            est, used = estimate(registers(s)[None], sketches[at], np.full(len(at), len(s)), n[at])
+            at = at[est >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(used, 1))]
+            if not len(at):
+                continue
+            lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+            many = hi - lo
+            both = np.bincount(owner[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())], minlength=len(n))[at]
+            for d in at[100 * both >= percent * (len(s) + n[at] - both)]:
+                yield (c, ids[d]) if c < ids[d] else (ids[d], c)
+
+    def run(key, table: pa.Table) -> pa.Table:
+        sets = dict(_sets(table.column("text"), k))
+        groups: dict[tuple, tuple[list, list]] = {}
+        for r, (main, i, j, c, g, rest) in enumerate(zip(*(table.column(x).to_pylist() for x in ("main", "i", "j", "c", "g", "rest")))):
+            groups.setdefault((main, i, j), ([], []))[0 if rest else 1].append((c, g, sets[r]))
+        found = [p for (main, _, _), (rest, whole) in groups.items() if rest and whole for p in links(main, rest, whole)]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+
+    return run
+
+
+def _apart(shared: DataFrame, label: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes that share a band and whose components differ. Bands are put together by the component that has most of their
+    classes; its other classes meet all of them, in cells of about CELL_BYTES of text on either side. Only links leave a cell."""
+    e = shared.join(label.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("g"))
+    e = materialize(e, "apart")
+    held = e.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "g")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = e.join(held, "key").select(F.col("main.g").alias("main"), "c", "g").distinct().join(texts.select("c", "bytes"), "c")
+    mixed = materialize(mixed, "mixed")
+    cut = lambda x: F.greatest(F.lit(1), F.ceil(F.sum(x) / CELL_BYTES)).cast("int")
+    sizes = mixed.groupBy("main").agg(cut(F.when(F.col("g") != F.col("main"), F.col("bytes"))).alias("ni"), cut(F.col("bytes")).alias("nj"))
+    e = mixed.join(sizes, "main")
+    all_of = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    one_of = lambda x: F.pmod(F.xxhash64("c"), F.col(x)).cast("int")
+    rest = e.where("g <> main").select("main", "c", "g", F.lit(True).alias("rest"), one_of("ni").alias("i"), all_of("nj").alias("j"), "bytes")
+    whole = e.select("main", "c", "g", F.lit(False).alias("rest"), all_of("ni").alias("i"), one_of("nj").alias("j"), "bytes")
+    cells = materialize(rest.unionByName(whole), "cells")
+    tasks = max(1, math.ceil((cells.agg(F.sum("bytes")).first()[0] or 0) / CELL_BYTES))
+    cells = cells.withColumn("cell", F.pmod(F.xxhash64("main", "i", "j"), F.lit(tasks))).join(texts.select("c", "text"), "c")
+    return materialize(cells.groupBy("cell").applyInArrow(lean_group(_across(k, percent)), "a binary, b binary").distinct(), "more")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text): its set size, the smallest doc_id that links lead to, and whether that is its own."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(docs.mapInArrow(lean(_rows(k)), "doc_id long, n long, c binary"), "rows")
-    entries = docs.select("text").mapInArrow(lean(_entries(k)), "c binary, n long, sketch binary, text string")
-    entries = materialize(entries.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("text").alias("text")), "classes")
-    keys = entries.select("c", "n", "sketch").mapInArrow(_bands, "c binary, n long, bands array<long>")
+    rows = materialize(docs.mapInArrow(lean(_rows(k)), "doc_id long, n long, c binary, sketch binary"), "rows")
+    classes = materialize(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    keys = classes.select("c", "n", "sketch").mapInArrow(_bands, "c binary, n long, bands array<long>")
     keys = materialize(keys.select("c", "n", F.explode("bands").alias("key")), "bands")
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = materialize(keys.join(held, "key"), "shared")
+    # only texts that share a band are needed from here on: they are dealt by class once, and stored
+    texts = docs.select("text").mapInArrow(lean(_texts(k)), "c binary, text string").groupBy("c").agg(F.first("text").alias("text")).join(shared.select("c").distinct(), "c", "left_semi")
+    texts = materialize(texts.withColumn("bytes", F.octet_length("text").cast("long")), "texts")
     weight = shared.groupBy("c").agg(F.sum("m").alias("weight"))
     lead = shared.join(weight, "c").groupBy("key").agg(F.max(F.struct("weight", "c", "n")).alias("lead"))
     stars = shared.join(lead, "key").where((F.col("c") != F.col("lead.c")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
     stars = materialize(stars.select("c", F.col("lead.c").alias("l")).select(_ordered("c", "l")).select("p.*").distinct(), "stars")
-    links = _links(stars, entries, k, percent)
+    links = _links(stars, classes, texts, k, percent)
     label = components(links)
-    more = materialize(_apart(shared.drop("m"), label, percent).join(stars, ["a", "b"], "left_anti"), "more")
+    more = _apart(shared, label, texts, k, percent)
     if not more.isEmpty():
-        label = components(links.union(_links(more, entries, k, percent)))
-    first = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
-    named = materialize(first.join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("component", "c").alias("g")), "named")
+        label = components(links.union(more))
+    named = materialize(classes.select("c", "first").join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("component", "c").alias("g")), "named")
     least = named.groupBy("g").agg(F.min("first").alias("component_id"))
-    out = rows.join(named.join(least, "g").select("c", "component_id"), "c", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = rows.drop("sketch").join(named.join(least, "g").select("c", "component_id"), "c", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -60,7 +60,7 @@ def test_near_duplicates(spark, texts, k, percent):
 
 
 def test_many_edited_copies_of_one_text(spark):
-    """A group whose copies differ from each other more than from their text, over small parts."""
+    """A group whose copies differ from each other more than from their text, over small cells."""
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
     rows = [(0, " ".join(base))]
@@ -70,11 +70,11 @@ def test_many_edited_copies_of_one_text(spark):
             w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     want, key = plain_groups(rows, 2, 80)
-    before, minhash.PART = minhash.PART, 50
+    before, minhash.CELL_BYTES = minhash.CELL_BYTES, 20000
     try:
         got = sorted((tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()), key=key)
     finally:
-        minhash.PART = before
+        minhash.CELL_BYTES = before
     assert got == want
 
 
