@@ -1,117 +1,84 @@
 """Issues placed on a page's captured boxes: by selector, by the element's markup, by hints in the selector, then by place.
 
-A page has few issues and at most MOST boxes, and each choice depends on those before it, so a page
-is one small group; pages are dealt by Spark.
+How well a box fits an issue is worked out in columns, over a join on the page (a page keeps MOST boxes at most). Only
+the choice, where each box goes to one issue and earlier issues choose first, is sequential, over a page's few fitting pairs.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.snippets import markup_attribute, markup_tag, normal_text, selector_tag
+from ..sources.stored import stored
+
 # Boxes kept of a page, the least score of a match, and what an agreement counts.
 MOST = 150
 LEAST = 2
 TAG, ALT, LABEL, TEXT, SOURCE, IDENTIFIER = 1, 3, 3, 2, 2, 3
 
-_HINT = r"""(?i)\[{}\s*[*~|^$]?=\s*['"]([^'"]+)['"]\]"""
-_COLUMNS = "page_id long, issue long, nth int, box int, strategy int"
-
-
-def _plain(x) -> str:
-    return re.sub(r"\s+", " ", x.strip().lower()) if isinstance(x, str) else ""
-
-
-def _value(markup: str, name: str) -> str:
-    m = re.search(rf"""(?i){name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", markup)
-    return (m[1] or m[2] or "") if m else ""
-
-
-def _by_markup(markup: str):
-    """A score function of boxes for an element's markup: none for another tag."""
-    tag = re.match(r"\s*<([a-zA-Z][a-zA-Z0-9]*)", markup)
-    tag = tag[1].lower() if tag else ""
-    alt, label, text = _plain(_value(markup, "alt")), _plain(_value(markup, "aria-label")), _plain(re.sub(r"<[^>]+>", "", markup))
-    file = _value(markup, "src").rsplit("/", 1)[-1].split("?")[0]
-
-    def score(b: dict) -> int | None:
-        if tag and b["tag"] and tag != b["tag"]:
-            return None
-        both = lambda x, y: bool(x and y)
-        return (
-            TAG * (both(tag, b["tag"]))
-            + ALT * (both(alt, b["alt"]) and alt == b["alt"])
-            + LABEL * (both(label, b["label"]) and label == b["label"])
-            + TEXT * (both(text, b["text"]) and (text in b["text"] or b["text"] in text))
-            + SOURCE * (bool(file) and file in b["selector"])
-        )
-
-    return score
-
-
-def _by_selector(selector: str):
-    """A score function of boxes for the tag, alt, src and id that a selector names."""
-    tag = re.match(r"[a-zA-Z][a-zA-Z0-9]*", selector)
-    alt, src, name = re.search(_HINT.format("alt"), selector), re.search(_HINT.format("src"), selector), re.search(r"#([\w-]+)", selector)
-    alt = _plain(alt[1]) if alt else ""
-
-    def score(b: dict) -> int | None:
-        if not tag or b["tag"] != tag[0].lower():
-            return None
-        said = f"{b['selector']} {b['raw_alt']} {b['raw_text']}"
-        return TAG + ALT * bool(alt and b["alt"] and (alt in b["alt"] or b["alt"] in alt)) + SOURCE * bool(src and src[1] in said) + IDENTIFIER * bool(name and f"#{name[1]}" in b["selector"])
-
-    return score
-
-
-def match_page(issues: pd.DataFrame, boxes: pd.DataFrame) -> list[tuple[int, int, int, int]]:
-    """(issue, nth, box, strategy) for one page: issues(issue, element_selector, element_html) in order, boxes(pos, selector, tag, text, alt, aria_label, x, y)."""
-    rows = []
-    for r in boxes.sort_values("pos").to_dict("records"):
-        s = lambda x: x if isinstance(x, str) else ""
-        rows.append({"pos": int(r["pos"]), "at": (r["y"], r["x"]), "selector": s(r["selector"]), "tag": s(r["tag"]).lower(), "alt": _plain(r["alt"]), "label": _plain(r["aria_label"]), "text": _plain(r["text"]), "raw_alt": s(r["alt"]), "raw_text": s(r["text"])})
-    named = {b["selector"]: i for i, b in enumerate(rows) if b["selector"]}  # of several the last
-    free, out, left = dict.fromkeys(range(len(rows))), [], []
-
-    def best(score) -> int | None:
-        top, at = 0, None
-        for i in free:
-            if (x := score(rows[i])) is not None and x > top:
-                top, at = x, i
-        return at if top >= LEAST else None
-
-    for r in issues.sort_values("issue").to_dict("records"):
-        selector, markup = (x if isinstance(x, str) and x else None for x in (r["element_selector"], r["element_html"]))
-        at, how = named.get(selector) if selector else None, 1
-        at = at if at in free else None
-        if at is None and markup:
-            at, how = best(_by_markup(markup)), 2
-        if at is None and selector:
-            at, how = best(_by_selector(selector)), 3
-        if at is None:
-            left.append(int(r["issue"]))
-        else:
-            del free[at]
-            out.append((int(r["issue"]), len(out) + 1, rows[at]["pos"], how))
-    for issue, i in zip(left, sorted(free, key=lambda i: rows[i]["at"])):
-        out.append((issue, len(out) + 1, rows[i]["pos"], 4))
-    return out
 
+def _hint(selector: Column, name: str) -> Column:
+    return F.coalesce(F.regexp_extract(selector, rf"""(?i)\[{name}\s*[*~|^$]?=\s*['"]([^'"]+)['"]\]""", 1), F.lit(""))
 
-def match(issues: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(page_id, issue, nth, box, strategy): the box of each issue, at most one each, numbered as found; issues and boxes as in `match_page`, with page_id.
 
-    Null selectors and markup match by place only; pages without boxes, and issues beyond the number of boxes, give no row.
-    """
-    first = boxes.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= MOST).drop("n")
+def _points(*agreements: tuple[int, Column]) -> Column:
+    return sum((F.when(agrees, n).otherwise(0) for n, agrees in agreements), F.lit(0))
+
+
+def _within(a: Column, b: Column) -> Column:
+    """Either holds the other; neither is empty."""
+    return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
+
 
-    def run(key, i: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = match_page(i, b) if len(i) and len(b) else []
-        return pd.DataFrame([(key[0], *x) for x in found], columns=["page_id", "issue", "nth", "box", "strategy"])
+def fits(issues: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, issue, box, exact, by_markup, by_selector) of pairs that fit in one way at least; scores are 0 where a tag contradicts or nothing is known."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    html, selector = text(F.col("element_html")), text(F.col("element_selector"))
+    said = issues.select(
+        "page_id", "issue", selector.alias("selector"), (html != "").alias("has_html"),
+        text(markup_tag(html)).alias("tag"), normal_text(markup_attribute(html, "alt")).alias("alt"), normal_text(markup_attribute(html, "aria-label")).alias("label"), normal_text(F.regexp_replace(html, "<[^>]+>", "")).alias("text"),
+        F.regexp_extract(text(markup_attribute(html, "src")), r"^(?:[^?]*/)?([^/?]*)", 1).alias("file"),
+        text(selector_tag(selector)).alias("s_tag"), normal_text(_hint(selector, "alt")).alias("s_alt"), _hint(selector, "src").alias("s_src"), F.regexp_extract(selector, r"#([\w-]+)", 1).alias("s_id"),
+    )
+    b = boxes.select(F.col("page_id").alias("page"), F.col("pos").alias("box"), text(F.col("selector")).alias("b_selector"), F.lower(text(F.col("tag"))).alias("b_tag"), normal_text(F.col("alt")).alias("b_alt"), normal_text(F.col("aria_label")).alias("b_label"), normal_text(F.col("text")).alias("b_text"), F.concat_ws(" ", text(F.col("selector")), text(F.col("alt")), text(F.col("text"))).alias("b_said"))
+    b = b.withColumn("last", F.row_number().over(Window.partitionBy("page", "b_selector").orderBy(F.desc("box"))) == 1)
+    c = F.col
+    same = lambda x, y: (c(x) != "") & (c(x) == c(y))
+    by_markup = F.when(c("has_html") & ((c("tag") == "") | (c("b_tag") == "") | (c("tag") == c("b_tag"))), _points((TAG, same("tag", "b_tag")), (ALT, same("alt", "b_alt")), (LABEL, same("label", "b_label")), (TEXT, _within(c("text"), c("b_text"))), (SOURCE, (c("file") != "") & c("b_selector").contains(c("file"))))).otherwise(0)
+    by_selector = F.when(same("s_tag", "b_tag"), F.lit(TAG) + _points((ALT, _within(c("s_alt"), c("b_alt"))), (SOURCE, (c("s_src") != "") & c("b_said").contains(c("s_src"))), (IDENTIFIER, (c("s_id") != "") & c("b_selector").contains(F.concat(F.lit("#"), c("s_id")))))).otherwise(0)
+    pairs = said.join(b, c("page_id") == c("page")).select("page_id", "issue", "box", (same("selector", "b_selector") & c("last")).alias("exact"), by_markup.alias("by_markup"), by_selector.alias("by_selector"))
+    return pairs.where(c("exact") | (c("by_markup") >= LEAST) | (c("by_selector") >= LEAST))
 
-    own = lambda df, *columns: df.select(*(F.col(c).alias(c) for c in ("page_id", *columns)))  # noqa: E731, both may come from one table
-    issues, first = own(issues, "issue", "element_selector", "element_html"), own(first, "pos", "selector", "tag", "text", "alt", "aria_label", "x", "y")
-    return issues.groupBy("page_id").cogroup(first.groupBy("page_id")).applyInPandas(run, _COLUMNS)
+
+def choose(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
+    """(page_id, issue, box, strategy): issues in order take their exact box, else the free one that their markup, else their selector fits best; of equals the first."""
+    taken, out = set(), []
+    for issue, own in pairs.sort_values(["issue", "box"]).groupby("issue"):
+        for strategy, column, least in ((1, "exact", 1), (2, "by_markup", LEAST), (3, "by_selector", LEAST)):
+            free = own[~own["box"].isin(taken) & (own[column] >= least)]
+            if len(free):
+                box = int(free["box"].iloc[int(free[column].to_numpy().argmax())])
+                taken.add(box)
+                out.append((key[0], int(issue), box, strategy))
+                break
+    return pd.DataFrame(out, columns=["page_id", "issue", "box", "strategy"])
+
+
+def match(issues: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, issue, nth, box, strategy): the box of each of issues(page_id, issue, element_selector, element_html), at most one each, numbered as found, of boxes(page_id, pos, selector, tag, text, alt, aria_label, x, y).
+
+    What fits no box takes the boxes that are left, from the top and the left. Null selectors and markup match by place only; pages without
+    boxes, and issues beyond the number of boxes, give no row.
+    """
+    own = lambda df, *columns: df.select(*(F.col(x).alias(x) for x in ("page_id", *columns)))  # noqa: E731, both may come from one table
+    issues = own(issues, "issue", "element_selector", "element_html")
+    first = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    boxes = own(boxes, "pos", "selector", "tag", "text", "alt", "aria_label", "x", "y").withColumn("n", first).where(F.col("n") <= MOST).drop("n")
+    found = stored(fits(issues, boxes).groupBy("page_id").applyInPandas(choose, "page_id long, issue long, box int, strategy int"), "fitted")
+    nth = lambda *order: F.row_number().over(Window.partitionBy("page_id").orderBy(*order)).alias("nth")
+    left = issues.join(found, ["page_id", "issue"], "left_anti").select("page_id", "issue", nth("issue"))
+    free = boxes.withColumnRenamed("pos", "box").join(found, ["page_id", "box"], "left_anti").select("page_id", "box", nth("y", "x", "box"))
+    every = found.unionByName(left.join(free, ["page_id", "nth"]).select("page_id", "issue", "box", F.lit(4).alias("strategy")))
+    return every.select("page_id", "issue", nth((F.col("strategy") == 4), "issue"), F.col("box").cast("int").alias("box"), "strategy")

@@ -29,12 +29,12 @@ def values(pairs: list[tuple]) -> str:
 
 
 def render(sql: str, dialect: str) -> str:
-    """RX'..' is a pattern, HAS(x, p) a search, EACH(a) a row per array item, WORDS(x) the words of x."""
+    """RX'..' is a pattern, HAS(x, p) a search, EACH(a) a row per array item, ARRAY_OF(..) an array, WORDS(x) the words of x."""
     if dialect == "spark":
         sql = re.sub(r"WORDS\(([^()]*)\)", r"filter(split(\1, RX'\\s+'), w -> w <> '')", sql)
-        return sql.replace("RX'", "r'").replace("HAS(", "regexp_like(").replace("EACH(", "explode(")
+        return sql.replace("RX'", "r'").replace("HAS(", "regexp_like(").replace("EACH(", "explode(").replace("ARRAY_OF(", "array(")
     sql = re.sub(r"WORDS\(([^()]*)\)", r"list_filter(regexp_split_to_array(\1, RX'\\s+'), lambda w: w <> '')", sql)
-    return sql.replace("RX'", "'").replace("HAS(", "regexp_matches(").replace("EACH(", "unnest(")
+    return sql.replace("RX'", "'").replace("HAS(", "regexp_matches(").replace("EACH(", "unnest(").replace("ARRAY_OF(", "list_value(")
 
 
 _ATTR = markup.ATTRIBUTE.replace('"', r"\x22").replace("'", r"\x27")

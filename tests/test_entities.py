@@ -67,7 +67,7 @@ def test_stream_duplicates_read_whole_pages(spark, tmp_path):
     assert sorted((r.site, r.content_hash) for r in got) == sorted([("a.example", md5("one")), ("a.example", md5("two")), ("b.example", md5("one"))])
 
 
-def test_boxes_by_each_strategy():
+def test_boxes_by_each_strategy(spark):
     from lumenaudit.operators import boxes
 
     box = lambda pos, selector, tag, y, text=None, alt=None, label=None: (pos, selector, tag, text, alt, label, 0, y)
@@ -80,7 +80,9 @@ def test_boxes_by_each_strategy():
         columns=["issue", "element_selector", "element_html"],
     )
     # 0: of two boxes with its selector the last; 1: that one is taken, nothing else fits; the rest by place, as far as boxes go
-    assert boxes.match_page(i, b) == [(0, 1, 4, 1), (2, 2, 1, 2), (3, 3, 2, 3), (1, 4, 5, 4), (4, 5, 3, 4), (5, 6, 0, 4)]
+    frame = lambda df, schema: spark.createDataFrame([(1, *(None if x != x else x for x in r)) for r in df.itertuples(index=False)], "page_id long, " + schema)
+    got = boxes.match(frame(i, "issue long, element_selector string, element_html string"), frame(b, "pos int, selector string, tag string, text string, alt string, aria_label string, x int, y int"))
+    assert sorted(((r.issue, r.nth, r.box, r.strategy) for r in got.collect()), key=lambda r: r[1]) == [(0, 1, 4, 1), (2, 2, 1, 2), (3, 3, 2, 3), (1, 4, 5, 4), (4, 5, 3, 4), (5, 6, 0, 4)]
 
 
 def test_merged_findings(spark):
@@ -134,3 +136,15 @@ def test_last_entries_of_a_type(spark):
     rows = spark.createDataFrame([("t", i, "a" if i % 2 else "b") for i in range(6)], "task string, seq long, type string")
     assert [r.seq for r in tables.last_entries(rows, 2, "task", "seq", "a").orderBy("nth").collect()] == [5, 3]
     assert [r.seq for r in tables.last_entries(rows, 2, "task", "seq").orderBy("nth").collect()] == [5, 4]
+
+
+def test_dismissals_fall_back_to_those_of_popups(spark):
+    """A cookie bar whose one control is a popup's; an alert without a list of its own; controls without an interruption."""
+    from lumenaudit.functions import markup
+    from lumenaudit.functions import vocab as V
+    from lumenaudit.operators import rules
+
+    pages = {1: '<div class="cookie-bar"><a class="btn-close">x</a></div>', 2: '<div role="alert">Saved<a aria-label="Close">x</a></div>', 3: "<button>Accept</button><button>Close</button>", 4: '<div class="cookie-bar"><a class="btn-close">x</a><button>Accept all</button></div>'}
+    e = markup.elements(spark.createDataFrame(list(pages.items()), "page_id long, html string"))
+    got = spark.sql(rules.render(V.DISMISS_SQL, "spark"), elements=e).collect()
+    assert sorted((r.page_id, r.kind, r.selector) for r in got) == [(1, "cookie", "[class*='close']"), (2, "alert", "[aria-label='Close']"), (4, "cookie", "button:has-text('Accept')")]
