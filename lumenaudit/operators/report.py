@@ -37,10 +37,22 @@ def by_level(issues: DataFrame, key: str) -> DataFrame:
     return issues.groupBy(key, "wcag_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quality(issues: DataFrame) -> DataFrame:
-    """Per rule, from reviewed issues(rule_id, status, page_id): precision and false-positive rate."""
-    good, bad = F.count_if(F.col("status") == "confirmed"), F.count_if(F.col("status") == "false_positive")
-    return issues.groupBy("rule_id").agg(good.alias("confirmed"), bad.alias("false_positive"), F.countDistinct("page_id").alias("pages"), F.try_divide(good, good + bad).alias("precision"), F.try_divide(bad, good + bad).alias("false_positive_rate"))
+def quality(found: DataFrame, labelled: DataFrame, runs: DataFrame) -> DataFrame:
+    """Detection quality per rule and source, from found(page_id, rule_id, element_selector, detected_by), labelled true issues
+    (page_id, rule_id, element_selector) and runs(pages_tested, pages_reachable, seconds), one row a task.
+
+    An issue is its page, rule and selector, counted once. A labelled issue that no source found counts as missed for every source of its rule, or for
+    source `none` where its rule found nothing at all; so does what only other sources found. A measure without a base is null.
+    """
+    key = ["page_id", "rule_id", "element_selector"]
+    truth = labelled.select(key).distinct().withColumn("true", F.lit(1))
+    hits = found.select(*key, "detected_by").distinct().join(truth, key, "left")
+    per = hits.groupBy("rule_id", "detected_by").agg(F.count(F.lit(1)).alias("found"), F.count("true").alias("matched"))
+    all_true = truth.groupBy("rule_id").agg(F.count(F.lit(1)).alias("labelled"))
+    q = per.join(all_true, "rule_id", "full_outer").select("rule_id", F.coalesce("detected_by", F.lit("none")).alias("detected_by"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("found", "matched", "labelled")))
+    total = runs.agg(F.try_divide(F.sum("pages_tested"), F.sum("pages_reachable")).alias("page_coverage"), F.try_divide(F.sum("seconds"), F.sum("pages_tested")).alias("seconds_per_page"))
+    measures = {"precision": F.try_divide("matched", "found"), "recall": F.try_divide("matched", "labelled"), "false_positive_rate": F.try_divide(F.col("found") - F.col("matched"), F.col("found"))}
+    return q.select("*", *(m.alias(name) for name, m in measures.items())).crossJoin(F.broadcast(total))  # one row
 
 
 def report_row(scores_: DataFrame, key: str, summaries: DataFrame | None = None) -> DataFrame:
@@ -59,10 +71,11 @@ def export_rows(issues: DataFrame, pages: DataFrame) -> DataFrame:
     return issues.join(pages.select("page_id", "url"), "page_id", "left").withColumn("recommendation", F.coalesce("recommendation", F.lit("")))
 
 
-def export_json(scores_: DataFrame, issues: DataFrame, key: str) -> DataFrame:
-    """(key, json): the report's fields with its issues nested, in order."""
-    nested = issues.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page_id", "rule_id", "pos", "severity"))).alias("issues"))
-    return scores_.join(nested, key, "left").select(key, F.to_json(F.struct(*(c for c in scores_.columns), "issues")).alias("json"))
+def export_lines(scores_: DataFrame, issues: DataFrame, key: str, path: str) -> None:
+    """Writes reports as JSON lines, a folder a key: a line of the report's fields, and a line an issue, so that no row grows with a report."""
+    head = scores_.select(key, F.to_json(F.struct(*scores_.columns)).alias("value"))
+    lines = issues.select(key, F.to_json(F.struct("page_id", "rule_id", "pos", "severity")).alias("value"))
+    head.unionByName(lines).write.partitionBy(key).text(path)
 
 
 #: What severities and sources are called.

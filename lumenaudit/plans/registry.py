@@ -153,7 +153,17 @@ _SCORES = f"""{_AUDIT}, c AS (SELECT page_id % 5 AS task, count(*) FILTER (sever
 add("a3_scores", _scores, _SCORES)
 add("a5_by_criterion", lambda s, d: report.by_criterion(audit(s, d)), f"{_AUDIT} SELECT wcag_criterion, count(*) AS n FROM issues GROUP BY ALL")
 add("a6_by_level", lambda s, d: report.by_level(audit(s, d).withColumn("task", F.col("page_id") % 5), "task"), f"{_AUDIT} SELECT page_id % 5 AS task, wcag_level, count(*) AS n FROM issues GROUP BY ALL")
-add("s4_report_json", lambda s, d: report.export_json(_scores(s, d), audit(s, d).withColumn("task", F.col("page_id") % 5), "task"))
+
+
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    issues, at = stored(audit(s, d).withColumn("task", F.col("page_id") % 5), "issues"), f"{shared_folder(s)}/reports-{uuid.uuid4().hex}"
+    report.export_lines(report.scores(issues, P.scan(s, d).withColumn("task", F.col("page_id") % 5), "task"), issues, "task", at)
+    return s.read.text(at).select(F.col("task").cast("long").alias("task"), F.col("value").alias("line"))
+
+
+_SCORE_ROWS = _SCORES[: _SCORES.rindex("SELECT *, least(")] + ", t AS (" + _SCORES[_SCORES.rindex("SELECT *, least(") :] + ")"
+_HEAD = ", ".join(f"'{c}': {c}" for c in ("task", "pages", "critical", "major", "minor", "info", "score", "score_a", "score_aa", "score_aaa", "band"))
+add("s4_report_json", _exported, f"{_SCORE_ROWS} SELECT task, to_json({{{_HEAD}}})::VARCHAR AS line FROM t UNION ALL SELECT page_id % 5, to_json({{'page_id': page_id, 'rule_id': rule_id, 'pos': pos, 'severity': severity}})::VARCHAR FROM issues")
 
 
 # Issues stored by task, with their pages; written for all tasks at level A, then again for one task at level AA
@@ -187,7 +197,27 @@ def _annotations(i: DataFrame) -> DataFrame:
 
 _REVIEWED = f"{_AUDIT}, ided AS (SELECT *, md5(concat_ws('|', page_id, rule_id, severity, element_selector, pos)) AS id FROM issues), reviewed AS (SELECT *, CASE ('0x' || id[1:2])::INT % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'false_positive' ELSE 'open' END AS status FROM ided)"
 add("t8_reviewed", lambda s, d: (lambda i: tables.reviewed(i, _annotations(i)).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("n")))(_issues(s, d)), f"{_REVIEWED} SELECT rule_id, status, count(*) AS n FROM reviewed GROUP BY ALL")
-add("a12_quality", lambda s, d: (lambda i: report.quality(tables.reviewed(i, _annotations(i))))(_issues(s, d)), f"{_REVIEWED}, q AS (SELECT rule_id, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'false_positive') AS false_positive, count(DISTINCT page_id) AS pages FROM reviewed GROUP BY ALL) SELECT *, confirmed / nullif(confirmed + false_positive, 0) AS precision, false_positive / nullif(confirmed + false_positive, 0) AS false_positive_rate FROM q")
+
+
+def _measured(s: SparkSession, d: str) -> DataFrame:
+    """Found issues of rules and detectors, held against labels: every third of what rules found, and issues of pages that nothing found."""
+    rule = stored(audit(s, d), "issues")
+    model = findings.normalise(findings.parse(_replies(s, d)))
+    key = ["page_id", "rule_id", "element_selector"]
+    found = rule.select(*key, F.lit("rule").alias("detected_by")).unionByName(model.select(*key, "detected_by"))
+    labels = rule.where("page_id % 3 = 0").select(key).unionByName(P.scan(s, d).where("page_id % 4 = 0").select("page_id", F.explode(F.array(F.lit("link-text"), F.lit("ai-detection"), F.lit("never-found"))).alias("rule_id"), F.lit("p").alias("element_selector")))
+    e = s.read.parquet(f"{d}/events.parquet").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    pages = P.scan(s, d).agg(F.count_if(F.col("page_id") % 10 != 0).alias("pages_tested"), F.count(F.lit(1)).alias("pages_reachable"))
+    return report.quality(found, labels, pages.crossJoin(e.agg((F.max("t") - F.min("t")).alias("seconds"))))  # one row each
+
+
+_MEASURED = f"""{_AUDIT}, found AS (SELECT DISTINCT page_id, rule_id, element_selector, 'rule' AS detected_by FROM issues UNION SELECT page_id, 'ai-detection', CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END FROM pages WHERE page_id % 3 < 2),
+ labels AS (SELECT page_id, rule_id, element_selector FROM issues WHERE page_id % 3 = 0 UNION SELECT page_id, unnest(['link-text', 'ai-detection', 'never-found']), 'p' FROM pages WHERE page_id % 4 = 0),
+ per AS (SELECT f.rule_id, detected_by, count(*) AS found, count(l.page_id) AS matched FROM found f LEFT JOIN labels l ON l.page_id = f.page_id AND l.rule_id = f.rule_id AND l.element_selector = f.element_selector GROUP BY ALL), lab AS (SELECT rule_id, count(*) AS labelled FROM labels GROUP BY ALL),
+ run AS (SELECT count(*) FILTER (page_id % 10 <> 0) AS tested, count(*) AS reachable, (SELECT floor(epoch(max(ts))) - floor(epoch(min(ts))) FROM events) AS seconds FROM pages),
+ q AS (SELECT coalesce(per.rule_id, lab.rule_id) AS rule_id, coalesce(detected_by, 'none') AS detected_by, coalesce(found, 0) AS found, coalesce(matched, 0) AS matched, coalesce(labelled, 0) AS labelled FROM per FULL JOIN lab ON per.rule_id = lab.rule_id)
+ SELECT q.*, matched / nullif(found, 0) AS precision, matched / nullif(labelled, 0) AS recall, (found - matched) / nullif(found, 0) AS false_positive_rate, tested / reachable AS page_coverage, seconds / tested AS seconds_per_page FROM q, run"""
+add("a12_quality", _measured, _MEASURED)
 add("t1_issue_list", lambda s, d: tables.listing(_issues(s, d), {"severity": "critical"}, "created_at", 50).select("id", "page_id", "rule_id", "total"), f"{_REVIEWED} SELECT id, page_id, rule_id, count(*) OVER () AS total FROM reviewed WHERE severity = 'critical' ORDER BY page_id DESC, id LIMIT 50")
 add("t10_priority", lambda s, d: audit(s, d).select(F.when(F.col("severity") == "critical", "Highest").when(F.col("severity") == "major", "High").when(F.col("severity") == "minor", "Medium").otherwise("Low").alias("priority")).groupBy("priority").agg(F.count(F.lit(1)).alias("n")), f"{_AUDIT} SELECT CASE severity WHEN 'critical' THEN 'Highest' WHEN 'major' THEN 'High' WHEN 'minor' THEN 'Medium' ELSE 'Low' END AS priority, count(*) AS n FROM issues GROUP BY ALL")
 add("s5_export_rows", lambda s, d: report.export_rows(rules.with_texts(s, audit(s, d)), P.scan(s, d)).groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("recommendation") == "").alias("blank")), f"{_AUDIT} SELECT url, count(*) AS n, 0::BIGINT AS blank FROM issues JOIN pages USING (page_id) GROUP BY ALL")
