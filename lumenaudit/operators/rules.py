@@ -8,10 +8,11 @@ common dialect, rendered for Spark (raw strings, explode) and, for comparison, f
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +93,8 @@ class Local:
 
 @dataclass(frozen=True)
 class Rule:
-    """sql gives page_id, pos, severity, element_selector over {elements}, {record} and VIEWS; or build does, from a DataFrame of elements and one of records."""
+    """sql gives page_id, pos, severity, element_selector over {elements}, {record} and VIEWS; or build does, from a DataFrame of elements and one of records;
+    or check does, from one page's elements in order: (severity, selector, pos) of each issue. A check that fails on a page has one `info` issue there instead of its own, and its issues on all other pages."""
 
     rule_id: str
     criterion: str
@@ -100,6 +102,7 @@ class Rule:
     title: str
     sql: str | Local = ""
     build: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    check: Callable[[list[dict]], Iterable[tuple[str, str, int]]] | None = None
 
 
 def _element(where: str, severity: str = "'major'", selector: str = "tag") -> Local:
@@ -187,7 +190,7 @@ _OWN: list[Rule] = []
 
 
 def register(rule: Rule) -> None:
-    """Adds a rule of one's own: a Rule with `build(elements, record)`, or with `sql`."""
+    """Adds a rule of one's own: a Rule with `check(page's elements)`, `build(elements, record)` or `sql`."""
     _OWN.append(rule)
 
 
@@ -219,9 +222,25 @@ def views(spark: SparkSession, pages: DataFrame, elements: DataFrame, store: boo
     return held
 
 
+def _checked(rule: Rule, elements: DataFrame) -> DataFrame:
+    """(page_id, severity, element_selector, pos) of a rule's check, page by page; a page is one small group."""
+
+    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+        rows = page.sort_values("pos").astype(object).where(page.notna(), None).to_dict("records")
+        try:
+            found = [(key[0], severity, selector, pos) for severity, selector, pos in rule.check(rows)]
+        except Exception:  # whatever a rule of somebody else's raises is that rule's fault on that page
+            found = [(key[0], "info", "", -1)]
+        return pd.DataFrame(found, columns=["page_id", "severity", "element_selector", "pos"])
+
+    return elements.groupBy("page_id").applyInPandas(run, "page_id long, severity string, element_selector string, pos int")
+
+
 def run_rule(spark: SparkSession, rule: Rule, held: dict[str, DataFrame]) -> DataFrame:
     """(page_id, rule_id, wcag_criterion, wcag_level, severity, element_selector, pos) of one rule."""
-    if rule.build:
+    if rule.check:
+        found = _checked(rule, held["elements"])
+    elif rule.build:
         found = rule.build(held["elements"], held["record"])
     else:
         found = spark.sql(render(str(rule.sql), "spark"), **{k: v for k, v in held.items() if "{" + k + "}" in str(rule.sql)})

@@ -105,6 +105,23 @@ for _r in rules.RULES:
     add(f"r_{_r.rule_id.replace('-', '_')}", _run, f"{FULL} {rules.duck_rule(_r)}")
 
 
+# A rule of one's own that fails on some pages: the scale of a viewport must be 2 at least
+def _scale(page: list[dict]):
+    for e in page:
+        if e["tag"] == "meta" and e["a_name"] == "viewport" and "maximum-scale=" in (e["a_content"] or ""):
+            if float(e["a_content"].split("maximum-scale=")[1].split(",")[0]) < 2:
+                yield "major", "meta", e["pos"]
+
+
+_OWN_RULE = rules.Rule("own-scale", "1.4.4", "AA", "Scale below two", check=_scale)
+add(
+    "g3_isolated_rule",
+    lambda s, d: rules.run_rule(s, _OWN_RULE, {"elements": elements(s, d)}),
+    f"""{PRE}, x AS (SELECT page_id, pos, regexp_extract(a_content, 'maximum-scale=([^,]*)', 1) AS said FROM elements WHERE tag = 'meta' AND a_name = 'viewport' AND contains(a_content, 'maximum-scale='))
+ SELECT page_id, 'own-scale' AS rule_id, '1.4.4' AS wcag_criterion, 'AA' AS wcag_level, CASE WHEN TRY_CAST(said AS DOUBLE) IS NULL THEN 'info' ELSE 'major' END AS severity, CASE WHEN TRY_CAST(said AS DOUBLE) IS NULL THEN '' ELSE 'meta' END AS element_selector, CASE WHEN TRY_CAST(said AS DOUBLE) IS NULL THEN -1 ELSE pos END AS pos FROM x WHERE TRY_CAST(said AS DOUBLE) IS NULL OR TRY_CAST(said AS DOUBLE) < 2""",
+)
+
+
 # Colours: captured styles derived from page_id
 def _styles_of(p: DataFrame) -> DataFrame:
     c = lambda k: (F.col("page_id") * k % 256).cast("string")

@@ -167,3 +167,43 @@ def test_all_severities_and_defaults(spark):
     got = findings.normalise(spark.createDataFrame(rows, "severity string, wcag_level string, wcag_criterion string, rule_id string").withColumn("said", F.col("severity"))).collect()
     assert {r.said: r.severity for r in got} == want
     assert {(r.wcag_level, r.wcag_criterion, r.rule_id) for r in got} == {("A", "unknown", "ai-detection")}
+
+
+def test_a_rule_that_fails_on_a_page_keeps_the_audit(spark):
+    """An own rule that raises on page 2 has one info issue there and its issues elsewhere; other rules lose nothing."""
+    from lumenaudit.functions import markup
+    from lumenaudit.operators import rules
+
+    def check(page):
+        for e in page:
+            if e["tag"] == "img":
+                yield "minor", f"img[src='{e['a_src']}']", e["pos"]
+                if e["a_src"] is None:
+                    raise ValueError("no source")
+
+    html = {1: '<html lang="en"><body><img src="a" alt="x"><img src="b" alt="y"></body></html>', 2: '<html lang="en"><body><img src="c" alt="x"><img alt="icon"></body></html>', 3: "<html><body></body></html>"}
+    pages = spark.createDataFrame(list(html.items()), "page_id long, html string")
+    e = markup.elements(pages)
+    before = {tuple(r) for r in rules.audit(spark, pages, e).collect()}
+    rules.register(rules.Rule("own-image", "1.1.1", "A", "An image", check=check))
+    try:
+        after = {tuple(r) for r in rules.audit(spark, pages, e).collect()}
+    finally:
+        rules._OWN.clear()
+    own = sorted((r[0], r[4], r[5]) for r in after - before)
+    assert before <= after and own == [(1, "minor", "img[src='a']"), (1, "minor", "img[src='b']"), (2, "info", "")]
+
+
+def test_reports_as_lines_and_quality(spark, tmp_path):
+    from lumenaudit.operators import report
+
+    issues = spark.createDataFrame([(1, 10, "r1", 3, "major"), (1, 11, "r2", None, "minor"), (2, 12, "r1", 1, "critical")], "task long, page_id long, rule_id string, pos int, severity string")
+    scores = report.scores(issues, spark.createDataFrame([(1,), (1,), (2,), (3,)], "task long"), "task")
+    report.export_lines(scores, issues, "task", str(tmp_path / "r"))
+    lines = spark.read.text(str(tmp_path / "r")).collect()
+    assert sorted((r.task, "score_a" in r.value) for r in lines) == [(1, False), (1, False), (1, True), (2, False), (2, True), (3, True)]
+    found = spark.createDataFrame([(1, "r", "a", "rule"), (1, "r", "b", "rule"), (1, "r", "a", "ai"), (1, "r", "a", "ai")], "page_id long, rule_id string, element_selector string, detected_by string")
+    labels = spark.createDataFrame([(1, "r", "a"), (2, "r", "a"), (1, "s", "a")], "page_id long, rule_id string, element_selector string")
+    runs = spark.createDataFrame([(3, 4, 60), (1, 1, 20)], "pages_tested long, pages_reachable long, seconds long")
+    got = {(r.rule_id, r.detected_by): (r.found, r.matched, r.labelled, r.precision, r.recall, r.false_positive_rate, r.page_coverage, r.seconds_per_page) for r in report.quality(found, labels, runs).collect()}
+    assert got == {("r", "rule"): (2, 1, 2, 0.5, 0.5, 0.5, 0.8, 20.0), ("r", "ai"): (1, 1, 2, 1.0, 0.5, 0.0, 0.8, 20.0), ("s", "none"): (0, 0, 1, None, 0.0, None, 0.8, 20.0)}
