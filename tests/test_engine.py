@@ -154,6 +154,6 @@ def test_greedy_duplicates(spark):
 
 
 def test_frontier_order(spark):
-    edges = [(0, 0, 1), (0, 1, 2), (1, 0, 3), (2, 0, 3), (2, 1, 4), (3, 0, 5)]
-    got = frontier.expand(spark.createDataFrame([(0,)], "node long"), spark.createDataFrame(edges, "src long, place int, dst long"), 5, 5)
-    assert {r["node"]: (r["depth"], r["parent"], r["nth"]) for r in got.collect()} == {0: (0, None, 1), 1: (1, 0, 2), 2: (1, 0, 3), 3: (2, 1, 4), 4: (2, 2, 5)}
+    edges = [("s", str(a), str(b), 50.0, place) for a, place, b in [(0, 0, 1), (0, 1, 2), (1, 0, 3), (2, 0, 3), (2, 1, 4), (3, 0, 5)]]
+    got = frontier.expand(spark.createDataFrame([("s", "0", 0)], "site string, node string, place long"), spark.createDataFrame(edges, "site string, src string, dst string, score double, place int"), 5, 5)
+    assert {r["node"]: (r["depth"], r["parent"], r["nth"]) for r in got.collect()} == {"0": (0, None, 1), "1": (1, "0", 2), "2": (1, "0", 3), "3": (2, "1", 4), "4": (2, "2", 5)}
