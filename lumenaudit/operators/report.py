@@ -55,10 +55,15 @@ def quality(found: DataFrame, labelled: DataFrame, runs: DataFrame) -> DataFrame
     return q.select("*", *(m.alias(name) for name, m in measures.items())).crossJoin(F.broadcast(total))  # one row
 
 
-def report_row(scores_: DataFrame, key: str, summaries: DataFrame | None = None) -> DataFrame:
-    """A report a key: scores, counts, breakdown as JSON, summary and recommendations as lines; summaries(key, summary, recommendations array) may be absent."""
+LEVELS = ["A", "AA", "AAA"]
+
+
+def report_row(scores_: DataFrame, issues: DataFrame, key: str, summaries: DataFrame | None = None) -> DataFrame:
+    """A report a key: scores, counts, breakdown by severity and level as JSON, summary and recommendations as lines; summaries(key, summary, recommendations array) may be absent."""
+    by_level_ = issues.groupBy(key).agg(*(F.count_if(F.col("wcag_level") == x).alias(x) for x in LEVELS))
+    scores_ = scores_.join(by_level_, key, "left").na.fill(0, LEVELS)
     total = sum((F.col(s) for s in SEVERITIES), F.lit(0))
-    breakdown = F.to_json(F.struct(F.struct(*SEVERITIES).alias("by_severity"), F.create_map().cast("map<string,bigint>").alias("by_wcag_level")))
+    breakdown = F.to_json(F.struct(F.struct(*SEVERITIES).alias("by_severity"), F.struct(*LEVELS).alias("by_wcag_level")))
     r = scores_.select(key, F.col("score").alias("overall_score"), "score_a", "score_aa", "score_aaa", F.col("pages").alias("total_pages"), total.alias("total_issues"), "critical", "major", "minor", breakdown.alias("issue_breakdown"))
     if summaries is None:
         return r.withColumn("summary", F.lit(None).cast("string")).withColumn("recommendations", F.lit(None).cast("string"))

@@ -60,10 +60,11 @@ def recall(memories: DataFrame, k: int, domain: str | None = None, kind: str | N
     return memories.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
 
 
-def context_text(recalled: DataFrame) -> DataFrame:
-    """One text per domain: a header and a line per memory, in rank order."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("nth", "content"))), lambda x: F.concat(F.lit("- "), x["content"]))
-    return recalled.groupBy("domain").agg(F.concat(F.lit("Known about this site:\n"), F.array_join(lines, "\n")).alias("context"))
+def context_text(recalled: DataFrame, domains: DataFrame, default: str = "Nothing is known about this site yet.") -> DataFrame:
+    """One text for each of domains(domain): a header and a line per recalled memory, in rank order; the default where there is none."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("nth", "content"))), lambda x: F.concat(F.lit("- "), x["content"]))  # as many as were recalled
+    texts = recalled.groupBy("domain").agg(F.concat(F.lit("Known about this site:\n"), F.array_join(lines, "\n")).alias("context"))
+    return domains.select("domain").distinct().join(texts, "domain", "left").withColumn("context", F.coalesce("context", F.lit(default)))
 
 
 def last_entries(entries: DataFrame, n: int, key: str, order: str, kind: str | None = None) -> DataFrame:

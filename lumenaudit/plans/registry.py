@@ -317,15 +317,15 @@ _RULES_OF = "SELECT page_id % 5 AS task, string_agg('- ' || rule_id, chr(10) ORD
 def _reports(s: SparkSession, d: str) -> DataFrame:
     issues = stored(audit(s, d).withColumn("task", F.col("page_id") % 5), "issues")  # used twice
     said = issues.groupBy("task").agg(F.sort_array(F.collect_set("rule_id")).alias("recommendations")).withColumn("summary", F.concat(F.lit("task "), "task"))
-    return report.report_row(report.scores(issues, rich(s, d).withColumn("task", F.col("page_id") % 5), "task"), "task", said)
+    return report.report_row(report.scores(issues, rich(s, d).withColumn("task", F.col("page_id") % 5), "task"), issues, "task", said)
 
 
 add(
     "a7_report",
     _reports,
-    f"""{_SCORES.replace("SELECT *, least(100.0", "SELECT *, least(100.0", 1)[: _SCORES.rindex(" SELECT *, least(")]}, z AS ({_RULES_OF})
+    f"""{_SCORES.replace("SELECT *, least(100.0", "SELECT *, least(100.0", 1)[: _SCORES.rindex(" SELECT *, least(")]}, z AS ({_RULES_OF}), lv AS (SELECT page_id % 5 AS task, count(*) FILTER (wcag_level = 'A') AS la, count(*) FILTER (wcag_level = 'AA') AS laa, count(*) FILTER (wcag_level = 'AAA') AS laaa FROM issues GROUP BY ALL)
  SELECT s.task, score AS overall_score, least(100.0, round(score * 1.1, 1)) AS score_a, round(score, 1) AS score_aa, round(score * 0.9, 1) AS score_aaa, pages AS total_pages, critical + major + minor + info AS total_issues, critical, major, minor,
-  '{{"by_severity":{{"critical":' || critical || ',"major":' || major || ',"minor":' || minor || ',"info":' || info || '}},"by_wcag_level":{{}}}}' AS issue_breakdown, 'task ' || s.task AS summary, recommendations FROM s JOIN z USING (task)""",
+  '{{"by_severity":{{"critical":' || critical || ',"major":' || major || ',"minor":' || minor || ',"info":' || info || '}},"by_wcag_level":{{"A":' || la || ',"AA":' || laa || ',"AAA":' || laaa || '}}}}' AS issue_breakdown, 'task ' || s.task AS summary, recommendations FROM s JOIN z USING (task) JOIN lv USING (task)""",
 )
 
 # Tables and memory
@@ -338,7 +338,7 @@ def _memories(s: SparkSession, d: str) -> DataFrame:
 
 _MEMORY = "WITH m AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, lpad(page_id::VARCHAR, 9, '0') AS key, 'page ' || page_id AS content, (page_id * 37 % 101) / 101.0::DOUBLE AS relevance_score FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY relevance_score DESC, key)::INTEGER AS nth FROM m QUALIFY nth <= 5)"
 add("t12_recall", lambda s, d: tables.recall(_memories(s, d), 5).select("domain", "key", "nth"), f"{_MEMORY} SELECT domain, key, nth FROM r")
-add("t13_context", lambda s, d: tables.context_text(tables.recall(_memories(s, d), 5)), f"{_MEMORY} SELECT domain, 'Known about this site:' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY nth) AS context FROM r GROUP BY ALL")
+add("t13_context", lambda s, d: (lambda m: tables.context_text(tables.recall(m.where("relevance_score > 0.8"), 5), m))(_memories(s, d)), f"{_MEMORY}, top AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY relevance_score DESC, key) AS nth FROM m WHERE relevance_score > 0.8 QUALIFY nth <= 5), x AS (SELECT domain, 'Known about this site:' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY nth) AS context FROM top GROUP BY ALL) SELECT domain, coalesce(context, 'Nothing is known about this site yet.') AS context FROM (SELECT DISTINCT domain FROM m) LEFT JOIN x USING (domain)")
 
 # Streams
 _MSG = "WITH m AS (SELECT CASE event_type WHEN 'view' THEN 'page_discovered' WHEN 'click' THEN 'agent_reasoning' WHEN 'purchase' THEN 'issue_found' WHEN 'error' THEN 'event_detected' WHEN 'signup' THEN 'task_progress' ELSE event_type END AS type, user_id AS task_id, ts, event_id, value FROM events)"
