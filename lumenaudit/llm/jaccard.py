@@ -16,7 +16,9 @@ spread over many tasks.
 
 Defined cases: null or blank text has no shingles (n_shingles 0) and links with nothing, its
 component is its own doc_id; fewer than k words make one shingle of all words; rows that repeat
-a doc_id are separate sets; a null doc_id is never a component's name unless all are null.
+a doc_id are separate sets; a null doc_id is never a component's name unless all are null. A class's
+text is found by doc_id and text together, so rows without a doc_id, or many with the same, cost
+what others do.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def _class(s: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(s * np.uint64(3) + np.uint64(len(s)))).astype(np.int64))
 
 
-_SIZES = "doc_id long, n long, c long, slice int, counts binary"
+_SIZES = "doc_id long, n long, c long, h long, slice int, counts binary"
 
 
 def _sizes(k: int):
@@ -79,11 +81,11 @@ def _sizes(k: int):
                     held, seen = [], 0
             if held:
                 total += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "c", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c, mask=n == 0), batch.column("h"), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "c", "h", "slice", "counts"])
         if total.any():
             part = [pack(np.minimum(x, 2**32 - 1).astype(np.uint32)) for x in np.split(total, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(part)], names=["doc_id", "n", "c", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(part)], names=["doc_id", "n", "c", "h", "slice", "counts"])
 
     return run
 
@@ -225,13 +227,14 @@ def _fragments(k: int, sketch, pivots: np.ndarray):
     """(cell, fragment, class, its shingles in that fragment) for every cell that a text's class is needed in."""
 
     def run(batches):
-        count = sketch.value
+        count, sent = sketch.value, set()
         for batch in batches:
             want, cells = batch.column("c").to_pylist(), batch.column("cells")
             rows, held = [], 0
             for d, s in _sets(batch, k):
-                if _class(s) != want[d]:
-                    continue  # another row of the same doc_id
+                if want[d] in sent or _class(s) != want[d]:
+                    continue  # the same row again, or a text of the same hash
+                sent.add(want[d])
                 f = np.searchsorted(pivots, count[s & np.uint64(SKETCH - 1)], "left") * (FRAGMENTS // 2) + (s >> np.uint64(63)).astype(np.int64) % (FRAGMENTS // 2)
                 parts = [(x, pack(s[f == x])) for x in np.unique(f).tolist()]
                 for cell in cells[d].as_py():
@@ -260,10 +263,10 @@ def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent:
     cell = lambda x: F.pmod(F.xxhash64(x), F.lit(grid))
     pairs = pairs.withColumn("cell", cell("a") * grid + cell("b"))
     need = pairs.select("cell", F.col("a").alias("c")).union(pairs.select("cell", F.col("b").alias("c"))).groupBy("c").agg(F.collect_set("cell").alias("cells"))
-    ids = materialize(need.join(first, "c").select(F.col("first").alias("id"), "c", "cells"), "needed")
+    ids = materialize(need.join(first, "c").select(F.col("first").alias("id"), "h", "c", "cells"), "needed")
     # a class is in at most 2 * grid cells; the list is shipped whole only where it is short, else dealt with the texts
-    ids = F.broadcast(ids) if (ids.agg(F.sum(F.size("cells") + 4)).first()[0] or 0) <= SHIPPED else ids
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"])).select("text", "c", "cells")
+    ids = F.broadcast(ids) if (ids.agg(F.sum(F.size("cells") + 5)).first()[0] or 0) <= SHIPPED else ids
+    texts = docs.withColumn("h2", F.xxhash64("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h2") == F.col("h"))).select("text", "c", "cells")
     parts = texts.mapInArrow(lean(_fragments(k, sketch, pivots)), "cell long, fragment int, c long, part binary")
     spread = pairs.select("cell", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     partial = spread.groupBy("cell", "fragment").cogroup(parts.groupBy("cell", "fragment")).applyInArrow(lean_groups(_overlaps), "a long, b long, n long")
@@ -277,14 +280,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, size = text_bytes(docs)
-    rows = materialize(docs.mapInArrow(lean(_sizes(k)), _SIZES), "shingles")
+    rows = materialize(docs.withColumn("h", F.xxhash64("text")).mapInArrow(lean(_sizes(k)), _SIZES), "shingles")
     sketch = np.zeros(SKETCH, np.uint32)
     for r in rows.where("slice is not null").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect():
         sketch[r["slice"] * (SKETCH // SLICES) :][: SKETCH // SLICES] = np.frombuffer(r["counts"], np.uint32)
     pivots = np.array([np.sort(sketch)[np.searchsorted(np.cumsum(np.sort(sketch), dtype=np.float64), 0.5 * float(sketch.sum(dtype=np.float64)))]]) if sketch.any() else np.zeros(1)
     sketch = spark.sparkContext.broadcast(sketch)
-    rows = rows.where("slice is null").select("doc_id", "n", "c")
-    first = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
+    rows = rows.where("slice is null").select("doc_id", "n", "c", "h")
+    # one row of each class: its smallest doc_id, and the hash of a text that has it
+    first = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.coalesce(F.min_by("h", "doc_id"), F.min("h")).alias("h"))
     buckets = max(1, math.ceil(size / 6 * (1 - percent / 100) / POSTINGS))
     entries = docs.select("text").mapInArrow(lean(_prefixes(k, percent, sketch)), "c long, n long, prefix binary").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posted = entries.mapInArrow(lean(_post(percent, buckets)), "bucket long, t binary, c binary, n binary, r binary, common binary, lt binary, lc binary, ln binary, lr binary, edges binary")
@@ -301,7 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     named = first.join(label, first["c"] == label["node"], "left").select("c", "first", F.coalesce("component", "c").alias("g"))
     least = named.groupBy("g").agg(F.min("first").alias("component_id"))
     named = named.join(least, "g").select("c", "component_id")
-    out = rows.join(named, "c", "left")
+    out = rows.drop("h").join(named, "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

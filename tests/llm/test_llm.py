@@ -152,6 +152,35 @@ def test_top_k(spark):
     assert sorted(got) == want
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Only the query's own row is left out: rows with its id are candidates, and of equal rows one is the query."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.integers(-2, 3, 3).astype(float).tolist()) for i in rng.integers(48, 52, 60)] + [(50, [1.0, 0.0, 0.0])] * 9
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))
+    got = sorted(tuple(r) for r in topk.top_k(q, q.where("vec_id % 50 = 0")).collect())
+    want = []
+    for v in {tuple(x) for i, x in rows if i == 50}:
+        others = list(rows)
+        others.remove((50, list(v)))
+        best = sorted((-int(np.dot(256 * np.array(v), 256 * np.array(x))), i) for i, x in others)[:5]
+        want += [(50, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+    two = topk.quantised(spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.5, 0.0]), (1, [0.1, 0.0])], "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in topk.top_k(two, two.where("vec_id = 50")).collect()) == [(50, 1, 50, 32768), (50, 1, 50, 32768), (50, 2, 1, 3200), (50, 2, 1, 6400)]
+
+
+def test_texts_without_ids_are_looked_up_once(spark):
+    """Pairs of edited copies, none with a doc_id or all with one: each text finds itself, not all others."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 80)) for _ in range(150)]
+    texts += [t + " more" for t in texts] + texts[:20]
+    for ids in (lambda i: None, lambda i: 7):
+        docs = spark.createDataFrame([(ids(i), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+        got = jaccard.near_duplicates(docs, 3, 90).collect()
+        assert len(got) == len(texts) and sorted(r["n_shingles"] for r in got) == [78] * 170 + [79] * 150
+        assert {r["component_id"] for r in got} == {ids(0)}
+
+
 def test_token_files(spark, rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
