@@ -72,8 +72,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.array_join(between, "").alias("page_text"))
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, end_pos, tag, raw, text, a_*, has_*) of every element. An element spans the tokens pos .. end_pos; its text is cut out of its page's at the offsets of both."""
+def elements(pages: DataFrame, with_text: Column | None = None) -> DataFrame:
+    """(page_id, pos, end_pos, tag, raw, text, a_*, has_*) of every element. An element spans the tokens pos .. end_pos; its text is cut out of its page's at the offsets of both, for TEXT_TAGS and what with_text(tag, raw) holds for."""
     page = Window.partitionBy("page_id")
     t = tokens(pages).withColumn("size", F.length("text_after"))
     t = t.withColumn("offset", F.sum("size").over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -92,7 +92,7 @@ def elements(pages: DataFrame) -> DataFrame:
     names, values = F.col("names"), F.col("values")
     e = e.select("page_id", "pos", F.col("end.pos").alias("end_pos"), "tag", "raw", "offset", (F.col("end.offset") - F.col("offset")).alias("size"), *(attribute(names, values, a).alias(column_name(a)) for a in ATTRIBUTES), *(F.array_contains(names, a).alias(f"has_{a}") for a in [*FLAGS, "alt"]))
     part = strip(unescape(F.substring(F.col("page_text"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))))
-    return e.join(page_texts(pages), "page_id").withColumn("text", F.when(F.col("tag").isin(TEXT_TAGS), part).otherwise("")).drop("page_text", "offset", "size")
+    return e.join(page_texts(pages), "page_id").withColumn("text", F.when(F.col("tag").isin(TEXT_TAGS) if with_text is None else F.col("tag").isin(TEXT_TAGS) | with_text, part).otherwise("")).drop("page_text", "offset", "size")
 
 
 # The same tables in DuckDB's SQL, for comparison.
@@ -108,7 +108,7 @@ def _duck_unescape(x: str) -> str:
     return x
 
 
-def duck_elements(pages: str) -> str:
+def duck_elements(pages: str, with_text: str = "false") -> str:
     """CTEs `tk`, `elements` over a CTE or table `pages` (page_id, html)."""
     tag = TAG.replace("*+", "*").replace("'", "''")
     raw_text = RAW_TEXT.replace("'", "''")
@@ -126,5 +126,5 @@ t3 AS (SELECT *, CASE WHEN lead(is_close) OVER w THEN lead(pos) OVER w END AS cl
 e0 AS (SELECT * REPLACE (CASE WHEN void THEN pos ELSE close END AS close) FROM t3 WHERE NOT is_close),
 lost AS (SELECT e.page_id, e.pos, min(o.close) AS outer_end FROM e0 e JOIN e0 o ON e.page_id = o.page_id AND e.close IS NULL AND o.close IS NOT NULL AND NOT o.void AND o.pos < e.pos AND e.pos < o.close GROUP BY ALL),
 e1 AS (SELECT e.page_id, e.pos, coalesce(close, outer_end, last) AS end_pos, tag, raw FROM e0 e LEFT JOIN lost l ON e.page_id = l.page_id AND e.pos = l.pos),
-tx AS (SELECT e.page_id, e.pos, regexp_replace({_duck_unescape("string_agg(t.text_after, '' ORDER BY t.pos)")}, '^\\s+|\\s+$', '', 'g') AS text FROM e1 e JOIN tk t ON e.page_id = t.page_id AND t.pos >= e.pos AND t.pos < e.end_pos AND e.tag IN ({text_tags}) GROUP BY ALL),
+tx AS (SELECT e.page_id, e.pos, regexp_replace({_duck_unescape("string_agg(t.text_after, '' ORDER BY t.pos)")}, '^\\s+|\\s+$', '', 'g') AS text FROM e1 e JOIN tk t ON e.page_id = t.page_id AND t.pos >= e.pos AND t.pos < e.end_pos AND (e.tag IN ({text_tags}) OR {with_text}) GROUP BY ALL),
 elements AS (SELECT e1.page_id, e1.pos, end_pos, tag, raw, coalesce(text, '') AS text, {columns} FROM e1 LEFT JOIN tx ON e1.page_id = tx.page_id AND e1.pos = tx.pos)"""

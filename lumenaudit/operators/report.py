@@ -86,6 +86,8 @@ def export_lines(scores_: DataFrame, issues: DataFrame, key: str, path: str) ->
 #: What severities and sources are called.
 SEVERITY_LABEL = {"critical": "Critical", "major": "Major", "minor": "Minor"}
 SOURCE_LABEL = {"rule": "Rule", "ai": "Model", "vision_ai": "Vision model"}
+#: The colour that a report shows a score in, by its band.
+BAND_COLOUR = {"good": "#52c41a", "fair": "#faad14", "poor": "#f5222d"}
 
 
 def labelled(issues: DataFrame) -> DataFrame:
@@ -94,6 +96,11 @@ def labelled(issues: DataFrame) -> DataFrame:
     return issues.withColumn("severity_label", F.coalesce(F.try_element_at(named(SEVERITY_LABEL), F.col("severity")), F.lit("Notice"))).withColumn("source_label", F.coalesce(F.try_element_at(named(SOURCE_LABEL), F.col("detected_by")), F.col("detected_by")))
 
 
+def colour(score: Column) -> Column:
+    """The colour that stands for a score; null without one."""
+    return F.when(score.isNotNull(), F.element_at(F.create_map(*(F.lit(x) for kv in BAND_COLOUR.items() for x in kv)), band(score)))
+
+
 def dashboard(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("status") == "completed").alias("completed"), F.sum("issues_found").alias("issues"), F.sum("pages_discovered").alias("pages"))
 

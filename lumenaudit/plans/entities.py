@@ -43,29 +43,22 @@ def content_hash(s: SparkSession, d: str) -> DataFrame:
     return dedup.content_hash(e, markup.tokens(p), p)
 
 
-@add("e21_page_record", f"""{_PRE}, r AS (SELECT page_id, list(tag[2:2] || ' ' || text ORDER BY pos) FILTER (regexp_matches(tag, '^h[1-6]$')) AS headings, list(a_href ORDER BY pos) FILTER (tag = 'a' AND a_href IS NOT NULL) AS links, list(a_src ORDER BY pos) FILTER (tag = 'img' AND a_src IS NOT NULL) AS images FROM elements GROUP BY page_id)
- SELECT p.page_id, url, coalesce(headings, []) AS headings, coalesce(links, []) AS links, coalesce(images, []) AS images FROM rich p LEFT JOIN r USING (page_id)""")
-def page_record(s: SparkSession, d: str) -> DataFrame:
-    """One nested row a page: its lists in document order."""
-    p = _rich(s, d)
-    listed = lambda cond, value: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("pos", value.alias("v"))))), lambda x: x["v"])
-    head = F.col("tag").rlike("^h[1-6]$")
-    lists = markup.elements(p).groupBy("page_id").agg(
-        listed(head, F.concat(F.substring("tag", 2, 1), F.lit(" "), "text")).alias("headings"), listed(F.expr("tag = 'a' AND a_href IS NOT NULL"), F.col("a_href")).alias("links"), listed(F.expr("tag = 'img' AND a_src IS NOT NULL"), F.col("a_src")).alias("images")
-    )
+# Functions
+def heading_problems(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """(page_id, has_h1, heading_count, n_problems, problems, valid) of every page: a missing h1 and skipped levels, in order, are problems; a page without headings has none."""
+    h = elements.where(F.col("tag").rlike("^h[1-6]$")).select("page_id", F.substring("tag", 2, 1).cast("int").alias("level"), "pos")
+    h = h.withColumn("prev", F.lag("level").over(Window.partitionBy("page_id").orderBy("pos")))
+    out = h.groupBy("page_id").agg(F.bool_or(F.col("level") == 1).alias("has_h1"), F.count(F.lit(1)).alias("heading_count"), F.sort_array(F.collect_list(F.when(F.col("level") > F.col("prev") + 1, F.struct("pos", F.concat(F.lit("h"), "prev", F.lit(" is followed by h"), "level").alias("said"))))).alias("skips"))
+    out = pages.select("page_id").join(out, "page_id", "left").na.fill(0, ["heading_count"]).na.fill(False, ["has_h1"])
     none = F.array().cast("array<string>")
-    return p.select("page_id", "url").join(lists, "page_id", "left").select("page_id", "url", *(F.coalesce(c, none).alias(c) for c in ("headings", "links", "images")))
+    skips = F.coalesce(F.transform("skips", lambda x: x["said"]), none)
+    problems = F.concat(F.when((F.col("heading_count") > 0) & ~F.col("has_h1"), F.array(F.lit("no h1"))).otherwise(none), skips)
+    return out.select("page_id", "has_h1", "heading_count", F.size(problems).alias("n_problems"), problems.alias("problems"), (F.size(problems) == 0).alias("valid"))
 
 
-# Functions
 def heading_rows(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """(page_id, has_h1, heading_count, n_problems, valid) of every page: skipped levels and a missing h1 are problems; a page without headings has none."""
-    h = elements.where(F.col("tag").rlike("^h[1-6]$")).select("page_id", F.substring("tag", 2, 1).cast("int").alias("level"), "pos")
-    h = h.withColumn("prev", F.lag("level").over(Window.partitionBy("page_id").orderBy("pos")))
-    out = h.groupBy("page_id").agg(F.bool_or(F.col("level") == 1).alias("has_h1"), F.count(F.lit(1)).alias("heading_count"), F.count_if(F.col("level") > F.col("prev") + 1).alias("skips"))
-    out = pages.select("page_id").join(out, "page_id", "left").na.fill(0, ["heading_count", "skips"]).na.fill(False, ["has_h1"])
-    problems = F.col("skips") + ((F.col("heading_count") > 0) & ~F.col("has_h1")).cast("int")
-    return out.select("page_id", "has_h1", "heading_count", problems.alias("n_problems"), (problems == 0).alias("valid"))
+    """The same with the number of problems only."""
+    return heading_problems(pages, elements).drop("problems")
 
 
 _ROLES = ", ".join(f"'{r}'" for r in snippets.LABEL_REQUIRED_ROLES)
@@ -78,11 +71,11 @@ def aria_snippets(s: SparkSession, d: str) -> DataFrame:
     return markup.elements(_rich(s, d)).select("page_id", "pos", snippets.aria_problems(F.col("raw")).alias("problems")).where(F.size("problems") > 0)
 
 
-@add("f6_heading_summary", f"""{_PRE}, h AS (SELECT page_id, tag[2:2]::INT AS level, lag(tag[2:2]::INT) OVER (PARTITION BY page_id ORDER BY pos) AS prev FROM elements WHERE regexp_matches(tag, '^h[1-6]$'))
- SELECT p.page_id, count(*) FILTER (level = 1) > 0 AS has_h1, count(level) AS heading_count, count(*) FILTER (level > prev + 1) + (count(level) > 0 AND count(*) FILTER (level = 1) = 0)::INT AS n_problems, count(*) FILTER (level > prev + 1) = 0 AND (count(level) = 0 OR count(*) FILTER (level = 1) > 0) AS valid FROM pages p LEFT JOIN h ON h.page_id = p.page_id GROUP BY p.page_id""")
+@add("f6_heading_summary", f"""{_PRE}, h AS (SELECT page_id, pos, tag[2:2]::INT AS level, lag(tag[2:2]::INT) OVER (PARTITION BY page_id ORDER BY pos) AS prev FROM elements WHERE regexp_matches(tag, '^h[1-6]$'))
+ SELECT p.page_id, count(*) FILTER (level = 1) > 0 AS has_h1, count(level) AS heading_count, count(*) FILTER (level > prev + 1)::INT + (count(level) > 0 AND count(*) FILTER (level = 1) = 0)::INT AS n_problems, list_concat(CASE WHEN count(level) > 0 AND count(*) FILTER (level = 1) = 0 THEN ['no h1'] ELSE [] END, coalesce(list('h' || prev || ' is followed by h' || level ORDER BY pos) FILTER (level > prev + 1), [])) AS problems, count(*) FILTER (level > prev + 1) = 0 AND (count(level) = 0 OR count(*) FILTER (level = 1) > 0) AS valid FROM pages p LEFT JOIN h ON h.page_id = p.page_id GROUP BY p.page_id""")
 def heading_summary(s: SparkSession, d: str) -> DataFrame:
     p = _rich(s, d)
-    return heading_rows(p, markup.elements(p))
+    return heading_problems(p, markup.elements(p))
 
 
 @add("f7_normal_text", "SELECT doc_id, md5(coalesce(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '')) AS normal FROM documents")
@@ -165,8 +158,8 @@ add("a2_pages_per_task", f"{_TASKS} SELECT project_id, count(*) AS n FROM tasks
 add("a8_dashboard", f"{_TASKS} SELECT count(*) AS tasks, count(*) FILTER (status = 'completed') AS completed, sum(issues_found)::BIGINT AS issues, sum(pages_discovered)::BIGINT AS pages FROM tasks")(lambda s, d: report.dashboard(tasks(s, d)))
 add("a9_bands", f"{_TASKS} SELECT id, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS band FROM tasks WHERE score IS NOT NULL")(lambda s, d: tasks(s, d).where("score IS NOT NULL").select("id", report.band(F.col("score")).alias("band")))
 add("a10_progress", f"{_TASKS} SELECT id, least(100.0, 100.0 * pages_discovered / 50)::DOUBLE AS discovered, (100.0 * pages_tested / nullif(pages_discovered, 0))::DOUBLE AS tested FROM tasks")(lambda s, d: report.progress(tasks(s, d), 50).select("id", "discovered", "tested"))
-add("s6_labels", f"{_TASKS} SELECT id, CASE id % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Major' WHEN 2 THEN 'Minor' ELSE 'Notice' END AS severity_label, CASE id % 3 WHEN 0 THEN 'Rule' WHEN 1 THEN 'Model' ELSE 'Vision model' END AS source_label FROM tasks")(
-    lambda s, d: report.labelled(tasks(s, d).select("id", F.element_at(F.array(*map(F.lit, ("critical", "major", "minor", "info"))), (F.col("id") % 4 + 1).cast("int")).alias("severity"), F.element_at(F.array(*map(F.lit, ("rule", "ai", "vision_ai"))), (F.col("id") % 3 + 1).cast("int")).alias("detected_by"))).select("id", "severity_label", "source_label")
+add("s6_labels", f"{_TASKS} SELECT id, CASE id % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Major' WHEN 2 THEN 'Minor' ELSE 'Notice' END AS severity_label, CASE id % 3 WHEN 0 THEN 'Rule' WHEN 1 THEN 'Model' ELSE 'Vision model' END AS source_label, CASE WHEN score >= 80 THEN '#52c41a' WHEN score >= 60 THEN '#faad14' WHEN score IS NOT NULL THEN '#f5222d' END AS score_colour FROM tasks")(
+    lambda s, d: report.labelled(tasks(s, d).select("id", "score", F.element_at(F.array(*map(F.lit, ("critical", "major", "minor", "info"))), (F.col("id") % 4 + 1).cast("int")).alias("severity"), F.element_at(F.array(*map(F.lit, ("rule", "ai", "vision_ai"))), (F.col("id") % 3 + 1).cast("int")).alias("detected_by"))).select("id", "severity_label", "source_label", report.colour(F.col("score")).alias("score_colour"))
 )
 
 

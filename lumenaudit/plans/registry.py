@@ -14,10 +14,10 @@ from ..operators import boxes, dedup, findings, frontier, report, rules, store,
 from ..sources import pages as P
 from ..sources.stored import shared_folder, stored
 from ..streaming import progress
-from . import entities, graphs
+from . import entities, graphs, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = entities.QUERIES | graphs.QUERIES
-ORACLES: dict[str, str] = entities.ORACLES | graphs.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = entities.QUERIES | graphs.QUERIES | records.QUERIES
+ORACLES: dict[str, str] = entities.ORACLES | graphs.ORACLES | records.ORACLES
 
 RICH = f"rich AS (SELECT page_id, url, {P.rich_sql()} AS html FROM pages)"
 PRE = f"WITH {RICH}, {markup.duck_elements('rich')}"
@@ -78,11 +78,11 @@ def _page_links(s: SparkSession, d: str) -> DataFrame:
 
 add("e9_links", _page_links, f"{FULL} SELECT * EXCLUDE (url, ref) REPLACE ({urls.duck_resolve('url', 'ref')} AS href) FROM (SELECT v.*, url, regexp_replace(href, '^\\s+|\\s+$', '', 'g') AS ref FROM v_links v JOIN pages USING (page_id))")
 _ELEMENT_LISTS = {
-    "e7_images": "SELECT page_id, pos, a_src AS src, a_alt AS alt, has_alt, a_role AS role FROM {elements} WHERE tag = 'img'",
+    "e7_images": "SELECT page_id, pos, a_src AS src, a_alt AS alt, has_alt, TRY_CAST(nullif(regexp_extract(raw, RX'(?i)\\swidth\\s*=\\s*[\\x22\\x27]?([0-9]+)', 1), '') AS INT) AS width, TRY_CAST(nullif(regexp_extract(raw, RX'(?i)\\sheight\\s*=\\s*[\\x22\\x27]?([0-9]+)', 1), '') AS INT) AS height, a_role AS role FROM {elements} WHERE tag = 'img'",
     "e12_tabindex": "SELECT page_id, pos, tag, TRY_CAST(nullif(regexp_extract(a_tabindex, RX'^\\s*([+-]?[0-9]+)', 1), '') AS INT) AS tabindex FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE a_tabindex IS NOT NULL) q WHERE nth <= 100",
     "e13_autocomplete": "SELECT page_id, pos, a_name AS name, lower(a_type) AS type, coalesce(a_autocomplete, '') AS autocomplete FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE tag = 'input' AND lower(a_type) IN ('text', 'email', 'tel', 'url', 'password', 'search')) q WHERE nth <= 50",
     "e14_lang_parts": "SELECT page_id, pos, tag, a_lang AS lang FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE a_lang IS NOT NULL AND tag <> 'html') q WHERE nth <= 50",
-    "e15_live_regions": "SELECT page_id, pos, tag, coalesce(a_role, '') AS role, coalesce(a_aria_live, '') AS aria_live FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE a_aria_live IS NOT NULL OR a_role IN ('alert', 'status', 'log')) q WHERE nth <= 20",
+    "e15_live_regions": "SELECT page_id, pos, tag, coalesce(a_role, '') AS role, coalesce(a_aria_live, '') AS aria_live FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM {elements} WHERE a_aria_live IS NOT NULL OR a_role IN ('alert', 'status', 'log', 'marquee', 'timer')) q WHERE nth <= 20",
     "e18_selectors": """SELECT page_id, pos, CASE WHEN coalesce(a_id, '') <> '' THEN concat(tag, '#', a_id) WHEN ppos IS NULL THEN tag
         ELSE concat(CASE WHEN ptag IN ('body', 'html') THEN '' WHEN pid <> '' THEN concat(ptag, '#', pid, ' > ') ELSE concat(ptag, ' > ') END, tag, ':nth-child(', CAST(row_number() OVER (PARTITION BY page_id, ppos ORDER BY pos) AS STRING), ')') END AS selector
         FROM (SELECT c.page_id, c.pos, c.tag, c.a_id, max(p.pos) AS ppos, max_by(p.tag, p.pos) AS ptag, max_by(coalesce(p.a_id, ''), p.pos) AS pid

@@ -126,6 +126,19 @@ def test_heading_summary_of_all_pages(spark):
     assert got == [(1, True, 2, 0, True), (2, False, 2, 2, False), (3, False, 0, 0, True), (4, False, 0, 0, True)]
 
 
+def test_heading_problems_in_order(spark):
+    from lumenaudit.plans import entities
+
+    pages = spark.createDataFrame([(1, "<h3>a</h3><h5>b</h5><h2>c</h2><h6>d</h6>"), (2, "<h1>a</h1>"), (3, None)], "page_id long, html string")
+    got = {r.page_id: r.problems for r in entities.heading_problems(pages, markup.elements(pages)).collect()}
+    assert got == {1: ["no h1", "h3 is followed by h5", "h2 is followed by h6"], 2: [], 3: []}
+
+
+def test_score_colours(spark):
+    rows = spark.createDataFrame([(80.0,), (79.9,), (60.0,), (0.0,), (None,)], "score double").select(report.colour(F.col("score")).alias("c"))
+    assert [r.c for r in rows.collect()] == ["#52c41a", "#faad14", "#faad14", "#f5222d", None]
+
+
 def test_signature_counts_landmarks_by_role(spark):
     pages = spark.createDataFrame([(1, "<p>x</p>"), (2, '<p role="search">x</p>'), (3, "<p role='search'>y</p>")], "page_id long, html string")
     got = {r.page_id: r.signature for r in dedup.signature(markup.elements(pages)).collect()}
