@@ -3,11 +3,16 @@
 A window of LENGTH bytes is owned by its anchor: the position of the least-hashed GRAM-byte string
 in it (leftmost on ties). Equal windows have equal anchors at equal places, so the windows of a
 text fall into runs, one per anchor, and only runs whose anchor gram occurs elsewhere need to be
-compared. The suffixes at those anchors are dealt to buckets by their leading bytes, at splitters
-taken from a sample of suffixes. A bucket sorts its suffixes, and what stands before them, by
-multikey quicksort on their bytes; windows that agree on both sides of their anchors are equal, and
-the first of them stays. The comparison across boundaries is empty: splitters never part suffixes
-that lead with the same bytes, so no window has an equal one beyond a boundary.
+compared. The suffixes at those anchors are dealt to ranges by their first GRAM bytes, at splitters
+taken from a sample of suffixes, and a range to buckets by its grams where a driver couldn't hold a
+splitter a bucket. A bucket sorts its suffixes, and what stands before them, by multikey quicksort
+on their bytes; windows that agree on both sides of their anchors are equal, and the first of them
+stays. A window holds its anchor's whole gram, so splitters part no equal windows.
+
+A gram with more than HEAVY runs (the edge of a passage that a third of all documents share) is cut
+by boundaries of its own: each of its runs goes to the parts that the hashes of its windows name.
+Equal windows then meet across those boundaries, and what a part finds equal is equal by bytes, so
+the parts' findings add up to those of one bucket.
 
 The anchors lose nothing: which position of a window is least depends on its bytes alone, so every
 pair of equal windows is compared, at anchors that stand at the same place in both. Grams whose hash
@@ -41,7 +46,8 @@ CHUNK = 2 << 20
 PIECE = 2 << 20
 #: Grams in one counting bucket, and text bytes behind one suffix bucket, about.
 GRAMS, SUFFIXES = 1 << 20, 8 << 20
-SPLITTER_DOCS, SPLITTER_EACH = 2000, 64
+#: Documents sampled for splitters at least, suffixes of each, ranges at most, and runs of one gram that a bucket takes, about. They steer balance only.
+SPLITTER_DOCS, SPLITTER_EACH, RANGES, HEAVY = 2000, 64, 1 << 16, 1 << 17
 _LAST = np.iinfo(np.int64).max
 _INVERSE = pow(0x9DDFEA08EB382D69, -1, 1 << 64)
 Key = tuple[pa.Scalar, ...]
@@ -156,23 +162,32 @@ def _same_bytes(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray
 
 def _grams(buckets: int):
     def run(key: Key, table: pa.Table) -> pa.Table:
-        gram = np.unique(_chunk_runs(table)[-1])
+        gram, n = np.unique(_chunk_runs(table)[-1], return_counts=True)
         b = (mix(gram) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
-        gram, b = gram[order], b[order]
+        gram, n, b = gram[order], np.minimum(n[order], 65_535).astype(np.uint16), b[order]
         name, first = np.unique(b, return_index=True)
-        return pa.table({"bucket": pa.array(name, pa.int64()), "chunk": pa.array(np.full(len(name), key[0].as_py()), pa.int64()), "grams": pa.array([pack(x) for x in np.split(gram, first[1:])] if len(name) else [], pa.binary())})
+        cut = lambda x: pa.array([pack(y) for y in np.split(x, first[1:])] if len(name) else [], pa.binary())
+        return pa.table({"bucket": pa.array(name, pa.int64()), "chunk": pa.array(np.full(len(name), key[0].as_py()), pa.int64()), "grams": cut(gram), "counts": cut(n)})
 
     return run
 
 
-def _repeated(key: Key, table: pa.Table) -> pa.Table:
-    """Of each chunk's grams in this bucket, those that another chunk has too."""
-    part = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
-    gram = np.sort(np.concatenate(part))
-    twice = np.unique(gram[1:][gram[1:] == gram[:-1]])
-    found = [x[twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x] if len(twice) else x[:0] for x in part]
-    return pa.table({"chunk": table.column("chunk"), "grams": pa.array([pack(x) for x in found], pa.binary())})
+def _repeated(most: int):
+    def run(key: Key, table: pa.Table) -> pa.Table:
+        """Of each chunk's grams in this bucket, those that another chunk has too; and of these the heavy ones, with the parts that each is cut into."""
+        part = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
+        gram, back, chunks = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+        runs_of = np.bincount(back, np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("counts")]), len(gram))
+        parts = np.where(chunks > 1, np.ceil(runs_of / most), 0).astype(np.uint64)
+        rows: dict[str, list[bytes]] = {"grams": [], "heavy": [], "parts": []}
+        for x, i in zip(part, np.split(back, np.cumsum([len(x) for x in part])[:-1])):
+            p = parts[i]
+            for f, y in zip(rows, (x[p > 0], x[p > 1], p[p > 1])):
+                rows[f].append(pack(y))
+        return pa.table({"chunk": table.column("chunk"), **{f: pa.array(x, pa.binary()) for f, x in rows.items()}})
+
+    return run
 
 
 _PACKED = "bucket long, chunk long, ids binary, keys binary, doc binary, at binary, lo binary, size binary, bytes binary, cut_doc binary, cut_lo binary, cut_hi binary"
@@ -180,14 +195,33 @@ _FIELDS = [x.split(" ")[0] for x in _PACKED.split(", ")]
 
 
 def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each suffix, as a number in byte order."""
-    x = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        x = (x << np.uint64(8)) | data[at + j].astype(np.uint64)
-    return x
+    """The first GRAM bytes of each suffix, as strings in byte order."""
+    return np.ascontiguousarray(data[at[:, None] + np.arange(GRAM)]).view(f"S{GRAM}").ravel()
+
+
+def _gather(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all strings, one after another."""
+    return data[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if len(lo) else data[:0]
+
+
+def _parts(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: np.ndarray, parts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, bucket) of the parts that heavy runs' windows name, each once: the gram and the hash of a window decide."""
+    size, n = hi - lo + LENGTH, hi - lo + 1
+    half = _rolling(_gather(data, lo, size), 64)
+    run = np.repeat(np.arange(len(lo)), n)
+    begin = (np.cumsum(size) - size)[run] + np.arange(len(run)) - (np.cumsum(n) - n)[run]
+    part = mix(half[begin] * np.uint64(0x9E3779B97F4A7C15) + half[begin + LENGTH - 64]) % parts[run]
+    return tuple(np.unique(np.stack([run, (mix(gram[run] + part) % np.uint64(buckets)).astype(np.int64)]), axis=1))
+
+
+def _joined(known: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in known.column(column)]) if known.num_rows else np.zeros(0, np.uint64)
+
 
+def _suffixes(splitters: np.ndarray, buckets: int):
+    each = max(1, math.ceil(buckets / (len(splitters) + 1)))  # buckets of a range
+    buckets = each * (len(splitters) + 1)
 
-def _suffixes(splitters: np.ndarray):
     def run(key: Key, docs: pa.Table, known: pa.Table) -> pa.Table:
         empty = pa.table({f: pa.array([], pa.int64() if f in ("bucket", "chunk") else pa.binary()) for f in _FIELDS})
         if not docs.num_rows:
@@ -196,7 +230,7 @@ def _suffixes(splitters: np.ndarray):
         table, data, offsets, doc, at, lo, hi, gram = _chunk_runs(docs)
         if not len(doc):
             return empty
-        outside = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in known.column("grams")])) if known.num_rows else np.zeros(0, np.uint64)
+        outside = np.sort(_joined(known, "grams"))
         order = np.argsort(gram, kind="stable")
         twice = np.zeros(len(gram), bool)
         same = gram[order][1:] == gram[order][:-1]
@@ -209,16 +243,24 @@ def _suffixes(splitters: np.ndarray):
         settled = _same_bytes(data, at, lo, hi, first[back])
         cut = [x[settled] for x in (doc, lo, hi)]
         cut[1:] = [x - offsets[cut[0]] for x in cut[1:]]
-        doc, at, lo, hi = (x[~settled] for x in (doc, at, lo, hi))
+        doc, at, lo, hi, gram = (x[~settled] for x in (doc, at, lo, hi, gram))
         ids = table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False)
         keys = table.column("dkey").combine_chunks().to_numpy(zero_copy_only=False)
-        bucket = np.searchsorted(splitters, _lead(data, at), "right")
-        own = chunk % (len(splitters) + 1)
+        bucket = np.searchsorted(splitters, _lead(data, at), "right") * each + (mix(gram) % np.uint64(each)).astype(np.int64)
+        heavy, order = _joined(known, "heavy"), np.argsort(_joined(known, "heavy"))
+        if len(heavy):
+            heavy, parts = heavy[order], _joined(known, "parts")[order]
+            nth = np.minimum(np.searchsorted(heavy, gram), len(heavy) - 1)
+            light, hot = np.flatnonzero(heavy[nth] != gram), np.flatnonzero(heavy[nth] == gram)
+            run, named = _parts(data, lo[hot], hi[hot], gram[hot], parts[nth[hot]], buckets)
+            bucket = np.concatenate([bucket[light], named])
+            doc, at, lo, hi = (x[np.concatenate([light, hot[run]])] for x in (doc, at, lo, hi))
+        own = chunk % buckets
         rows = {f: [] for f in _FIELDS}
         for b in np.union1d(np.unique(bucket), [own] if len(cut[0]) else []).astype(int).tolist():
             i = np.flatnonzero(bucket == b)
             size = hi[i] - lo[i] + LENGTH
-            text = data[np.repeat(lo[i] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if len(i) else data[:0]
+            text = _gather(data, lo[i], size)
             c = cut if b == own else [x[:0] for x in cut]
             for f, x in zip(_FIELDS, (b, chunk, pack(ids[doc[i]]), pack(keys[doc[i]]), pack(doc[i].astype(np.int32)), pack((at[i] - lo[i]).astype(np.int32)), pack((lo[i] - offsets[doc[i]]).astype(np.int64)), pack(size.astype(np.int32)), pack(text), pack(c[0].astype(np.int32)), pack(c[1].astype(np.int64)), pack(c[2].astype(np.int64)))):
                 rows[f].append(x)
@@ -347,21 +389,22 @@ def _apply(keep: list[str], with_text: bool):
     return run
 
 
-def _splitters(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
-    """Bucket boundaries: quantiles of the leading bytes of a bounded sample of suffixes. They steer balance only."""
-    if buckets < 2:
-        return np.zeros(0, np.uint64)
+def _splitters(docs: DataFrame, rows: int, ranges: int) -> np.ndarray:
+    """Range boundaries: quantiles of the first bytes of a bounded sample of suffixes, in proportion to the ranges."""
+    if ranges < 2:
+        return np.zeros(0, f"S{GRAM}")
 
     def leads(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             doc, at, *_ = _all_runs(data, offsets)
-            x = _lead(data, at)
-            yield pa.RecordBatch.from_arrays([pa.array([pack(x[doc == d][:: max(1, (doc == d).sum() // SPLITTER_EACH)][:SPLITTER_EACH]) for d in np.unique(doc)], pa.binary())], names=["leads"])
+            pick = [x[:: max(1, len(x) // SPLITTER_EACH)][:SPLITTER_EACH] for x in np.split(at, np.flatnonzero(np.diff(doc)) + 1) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([pack(_lead(data, x)) for x in pick], pa.binary())], names=["leads"])
 
-    some = docs.select("text").sample(fraction=min(1.0, SPLITTER_DOCS / max(1, rows)), seed=7).mapInArrow(leads, "leads binary").limit(2 * SPLITTER_DOCS).collect()
-    x = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["leads"], np.uint64) for r in some)]))
-    return np.unique(x[np.linspace(0, len(x) - 1, buckets + 1).astype(int)[1:-1]]) if len(x) else np.zeros(0, np.uint64)
+    wanted = max(SPLITTER_DOCS, ranges // 4)
+    some = docs.select("text").sample(fraction=min(1.0, wanted / max(1, rows)), seed=7).mapInArrow(leads, "leads binary").limit(2 * wanted).collect()
+    x = np.sort(np.concatenate([np.zeros(0, f"S{GRAM}"), *(np.frombuffer(r["leads"], f"S{GRAM}") for r in some)]))
+    return np.unique(x[np.linspace(0, len(x) - 1, ranges + 1).astype(int)[1:-1]]) if len(x) else x
 
 
 def cut_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -372,13 +415,14 @@ def cut_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool
     keep = keep or []
     rows, size = text_bytes(small_batches(docs))
     chunks = max(1, math.ceil(size / CHUNK))
-    splitters = _splitters(docs, rows, max(1, math.ceil(size / SUFFIXES)))
+    buckets = max(1, math.ceil(size / SUFFIXES))
+    splitters = _splitters(docs, rows, min(RANGES, buckets))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep, F.xxhash64("text").alias("dkey"), F.pmod(F.xxhash64(ident), F.lit(chunks)).alias("chunk")).repartition("chunk")
     view = lambda *cols: dealt.select(F.col("chunk").alias("in_chunk"), *(F.col(c).alias(c) for c in ("doc_id", "text", "dkey", *cols)))
-    grams = view().groupBy("in_chunk").applyInArrow(lean_group(_grams(max(1, math.ceil(size * 0.03 / GRAMS)))), "bucket long, chunk long, grams binary")
-    known = grams.groupBy("bucket").applyInArrow(lean_group(_repeated), "chunk long, grams binary")
-    packed = view().groupBy("in_chunk").cogroup(known.groupBy("chunk")).applyInArrow(lean_groups(_suffixes(splitters)), _PACKED)
+    grams = view().groupBy("in_chunk").applyInArrow(lean_group(_grams(max(1, math.ceil(size * 0.03 / GRAMS)))), "bucket long, chunk long, grams binary, counts binary")
+    known = grams.groupBy("bucket").applyInArrow(lean_group(_repeated(HEAVY)), "chunk long, grams binary, heavy binary, parts binary")
+    packed = view().groupBy("in_chunk").cogroup(known.groupBy("chunk")).applyInArrow(lean_groups(_suffixes(splitters, buckets)), _PACKED)
     cuts = packed.groupBy("bucket").applyInArrow(lean_group(_first_kept), "chunk long, cut_doc binary, cut_lo binary, cut_hi binary")
     kinds = dict(dealt.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ["kept string"] * with_text)

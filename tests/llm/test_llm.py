@@ -114,6 +114,23 @@ def test_suffix_dedup(spark, rows):
     assert suffix.cut_repeats(frame(spark, docs)).count() == len(docs)
 
 
+def test_suffix_dedup_of_heavy_grams(spark, monkeypatch):
+    """A passage in all documents, with grams cut into parts, ranges into buckets, and chunks and buckets of a few documents."""
+    for name, value in (("HEAVY", 5), ("CHUNK", 1500), ("SUFFIXES", 700), ("RANGES", 6)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passage, ends = text(260), [text(30) for _ in range(4)]
+    docs = [(i, f"{text(rng.randrange(150))}{rng.choice(ends)}{passage}{rng.choice(ends)}{text(rng.randrange(150))}", 0) for i in range(120)]
+    docs += [(200 + i, "        " * 20 + text(60), 0) for i in range(20)] + [(300, passage[:99], 0), (301, passage[5:105], 0), (302, passage * 3, 0), *EDGES]
+    got = suffix.cut_repeats(frame(spark, docs)).distinct().collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(brute_cut(docs))
+    data = np.frombuffer((passage + ends[0] + passage).encode(), np.uint8)
+    run, bucket = suffix._parts(data, np.array([0, 0, 290]), np.array([20, 40, 310]), np.array([7, 7, 7], np.uint64), np.array([9, 9, 9], np.uint64), 1000)
+    named = [set(bucket[run == i].tolist()) for i in range(3)]
+    assert 1 < len(named[0]) <= 9 and named[0] == named[2] and named[0] <= named[1]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
