@@ -66,7 +66,7 @@ VIEWS = {
     "focusable": "SELECT page_id, pos, end_pos, tag FROM {elements} WHERE coalesce(a_tabindex, '0') NOT LIKE '-%' AND ((tag = 'a' AND a_href IS NOT NULL) OR tag IN ('button', 'input', 'select', 'textarea') OR a_tabindex IS NOT NULL)",
     "aria": "SELECT page_id, pos, end_pos, tag, lower(trim(coalesce(a_role, ''))) AS role FROM {elements} WHERE a_role IS NOT NULL",
     "aria_attrs": f"""
-        SELECT page_id, pos, role, substring(name, 6) AS name, trim(value) AS value FROM (
+        SELECT page_id, pos, role, name, trim(value) AS value FROM (
           SELECT page_id, pos, role, lower(regexp_extract(attr, RX'^\\s([^\\s=]+)', 1)) AS name, regexp_extract(attr, RX'=\\s*[\\x22\\x27]?([^\\x22\\x27]*)', 1) AS value FROM (
             SELECT page_id, pos, lower(trim(coalesce(a_role, ''))) AS role, EACH(regexp_extract_all(raw, RX'{_ATTR}', 0)) AS attr FROM {{elements}} WHERE HAS(raw, RX'(?i)\\saria-')) q) r WHERE name LIKE 'aria-%'""",
 }
@@ -75,6 +75,8 @@ _SKIP = f"kind NOT IN ({quoted(V.UNLABELLED_TYPES)})"
 _LANG_OK = quoted(V.LANGUAGES)
 _COMBINED = "concat(lower(coalesce(nullif(a_name, ''), a_id, '')), ' ', lower(coalesce(a_placeholder, '')), ' ', lower(coalesce(a_aria_label, '')))"
 PURPOSE = "CASE " + " ".join(f"WHEN HAS(said, RX'{p}') THEN '{t}'" for p, t in V.PURPOSES) + " END"
+#: Inputs whose purpose is judged: of a kind that takes personal data, and without a word for it.
+FIELD = "tag = 'input' AND lower(a_type) IN ('text', 'email', 'tel', 'url', 'password', 'search') AND coalesce(trim(a_autocomplete), '') IN ('', 'off')"
 
 
 @dataclass(frozen=True)
@@ -141,21 +143,21 @@ RULES = [
     Rule("no-autoplay", "1.4.2", "A", "Media starts by itself with sound", _element("tag IN ('video', 'audio') AND has_autoplay AND lower(raw) NOT LIKE '%muted%'", "'critical'")),
     Rule("form-required-indicator", "3.3.1", "A", "Required field is not identified", Local("inputs", f"required AND {_SKIP} AND NOT has_label AND coalesce(aria_label, '') = ''", f"'major'", f"{_NAME}")),
     Rule("area-alt", "1.1.1", "A", "Image-map area without a text", _element("tag = 'area' AND coalesce(a_alt, '') = '' AND coalesce(a_aria_label, '') = '' AND a_aria_labelledby IS NULL", "'critical'", "CASE WHEN coalesce(a_href, '') = '' THEN 'area' ELSE concat('area[href=', chr(39), substring(a_href, 1, 80), chr(39), ']') END")),
-    Rule("aria-allowed-attr", "4.1.2", "A", "ARIA attribute that the role does not take", f"""SELECT a.page_id, a.pos, 'critical' AS severity, concat('aria-', a.name) AS element_selector FROM (SELECT * FROM {{aria_attrs}} WHERE role IN ({quoted(list(V.ARIA_BY_ROLE))})) a
+    Rule("aria-allowed-attr", "4.1.2", "A", "ARIA attribute that the role does not take", f"""SELECT a.page_id, a.pos, 'critical' AS severity, a.name AS element_selector FROM (SELECT * FROM {{aria_attrs}} WHERE role IN ({quoted(list(V.ARIA_BY_ROLE))})) a
         LEFT JOIN (SELECT * FROM {values([(r, n) for r, more in V.ARIA_BY_ROLE.items() for n in more])} AS v(role, name)) ok ON ok.role = a.role AND ok.name = a.name WHERE ok.name IS NULL AND a.name NOT IN ({quoted(V.ARIA_GLOBAL)})"""),
     Rule("aria-hidden-focus", "4.1.2", "A", "Hidden element can take the focus", "SELECT DISTINCT f.page_id, f.pos, 'major' AS severity, f.tag AS element_selector FROM {focusable} f JOIN {elements} h ON h.page_id = f.page_id AND h.a_aria_hidden = 'true' AND f.pos >= h.pos AND f.pos <= h.end_pos"),
-    Rule("aria-required-attr", "4.1.2", "A", "Role without a required attribute", f"SELECT a.page_id, a.pos, 'critical' AS severity, concat('aria-', v.name) AS element_selector FROM {{aria}} a JOIN (SELECT * FROM {values([(r, n) for r, m in V.ARIA_REQUIRED.items() for n in m])} AS v(role, name)) v ON v.role = a.role LEFT JOIN {{aria_attrs}} t ON t.page_id = a.page_id AND t.pos = a.pos AND t.name = v.name WHERE t.name IS NULL"),
+    Rule("aria-required-attr", "4.1.2", "A", "Role without a required attribute", f"SELECT a.page_id, a.pos, 'critical' AS severity, v.name AS element_selector FROM {{aria}} a JOIN (SELECT * FROM {values([(r, n) for r, m in V.ARIA_REQUIRED.items() for n in m])} AS v(role, name)) v ON v.role = a.role LEFT JOIN {{aria_attrs}} t ON t.page_id = a.page_id AND t.pos = a.pos AND t.name = v.name WHERE t.name IS NULL"),
     Rule("aria-required-children", "4.1.2", "A", "Role without its required children", f"""SELECT p.page_id, p.pos, 'critical' AS severity, p.role AS element_selector FROM {{aria}} p LEFT JOIN (SELECT a.page_id, a.pos FROM {{aria}} a JOIN (SELECT * FROM {values([(r, n) for r, m in V.REQUIRED_CHILDREN.items() for n in m])} AS v(role, child)) v ON v.role = a.role
         JOIN {{aria}} c ON c.page_id = a.page_id AND c.role = v.child AND c.pos > a.pos AND c.pos < a.end_pos GROUP BY a.page_id, a.pos) k ON k.page_id = p.page_id AND k.pos = p.pos WHERE p.role IN ({quoted(list(V.REQUIRED_CHILDREN))}) AND k.pos IS NULL"""),
     Rule("aria-required-parent", "4.1.2", "A", "Role outside its required parent", f"""SELECT c.page_id, c.pos, 'critical' AS severity, c.role AS element_selector FROM (SELECT c.page_id, c.pos, c.role, max_by(p.role, p.pos) AS parent FROM {{aria}} c LEFT JOIN {{aria}} p ON p.page_id = c.page_id AND p.role <> '' AND p.pos < c.pos AND c.pos < p.end_pos WHERE c.role IN ({quoted(list(V.REQUIRED_PARENT))}) GROUP BY c.page_id, c.pos, c.role) c
         LEFT JOIN (SELECT * FROM {values([(r, n) for r, m in V.REQUIRED_PARENT.items() for n in m])} AS v(role, parent)) v ON v.role = c.role AND v.parent = c.parent WHERE v.role IS NULL"""),
     Rule("aria-roles", "4.1.2", "A", "Unknown role", f"SELECT page_id, pos, 'critical' AS severity, word AS element_selector FROM (SELECT page_id, pos, EACH(WORDS(role)) AS word FROM {{aria}}) q WHERE word NOT IN ({quoted(V.ROLES)})"),
-    Rule("aria-valid-attr", "4.1.2", "A", "Unknown ARIA attribute", f"SELECT page_id, pos, 'critical' AS severity, concat('aria-', name) AS element_selector FROM {{aria_attrs}} WHERE name NOT IN ({quoted(V.ARIA_NAMES)})"),
-    Rule("aria-valid-attr-value", "4.1.2", "A", "ARIA attribute with an unknown value", f"""SELECT q.page_id, q.pos, 'critical' AS severity, concat('aria-', q.name) AS element_selector FROM (SELECT page_id, pos, name, lower(value) AS value FROM {{aria_attrs}}) q
+    Rule("aria-valid-attr", "4.1.2", "A", "Unknown ARIA attribute", f"SELECT page_id, pos, 'critical' AS severity, name AS element_selector FROM {{aria_attrs}} WHERE name NOT IN ({quoted(V.ARIA_NAMES)})"),
+    Rule("aria-valid-attr-value", "4.1.2", "A", "ARIA attribute with an unknown value", f"""SELECT q.page_id, q.pos, 'critical' AS severity, q.name AS element_selector FROM (SELECT page_id, pos, name, lower(value) AS value FROM {{aria_attrs}}) q
         LEFT JOIN (SELECT * FROM {values([(n, x) for n, m in V.ARIA_VALUES.items() for x in m])} AS v(name, value)) v ON v.name = q.name AND v.value = q.value WHERE q.name IN ({quoted(list(V.ARIA_VALUES))}) AND v.name IS NULL"""),
     Rule("bypass", "2.4.1", "A", "No way past repeated blocks", _page("html <> '' AND NOT HAS(lower(html), RX'<a\\b[^>]*href\\s*=\\s*[\"\\x27]#') AND NOT HAS(lower(html), RX'<main\\b') AND NOT HAS(lower(html), RX'role\\s*=\\s*[\"\\x27]main[\"\\x27]')")),
     Rule("duplicate-id-aria", "4.1.1", "A", "A referenced id is used more than once", """SELECT d.page_id, d.pos, 'critical' AS severity, concat('[id=', chr(39), d.id, chr(39), ']') AS element_selector FROM {duplicate_ids} d JOIN (SELECT DISTINCT page_id, id FROM (SELECT page_id, a_for AS id FROM {labels} UNION ALL
-        SELECT page_id, EACH(WORDS(value)) FROM {aria_attrs} WHERE name IN ('activedescendant', 'controls', 'describedby', 'details', 'errormessage', 'flowto', 'labelledby', 'owns')) u) r ON r.page_id = d.page_id AND r.id = d.id"""),
+        SELECT page_id, EACH(WORDS(value)) FROM {aria_attrs} WHERE name IN ('aria-activedescendant', 'aria-controls', 'aria-describedby', 'aria-details', 'aria-errormessage', 'aria-flowto', 'aria-labelledby', 'aria-owns')) u) r ON r.page_id = d.page_id AND r.id = d.id"""),
     Rule("frame-title", "4.1.2", "A", "Frame without a title", _element("tag IN ('iframe', 'frame') AND coalesce(a_title, '') = '' AND coalesce(a_aria_label, '') = '' AND coalesce(a_aria_labelledby, '') = ''", selector=_part("iframe", "a_src"))),
     Rule("input-image-alt", "1.1.1", "A", "Image button without a text", _element("tag = 'input' AND lower(a_type) = 'image' AND coalesce(trim(a_alt), '') = '' AND coalesce(trim(a_aria_label), '') = ''", "'critical'", "concat('input[type=''image''][name=', chr(39), coalesce(a_name, ''), chr(39), ']')")),
     Rule("meta-refresh", "2.2.1", "A", "Timed refresh", _element("tag = 'meta' AND TRY_CAST(nullif(regexp_extract(raw, RX'(?i)http-equiv\\s*=\\s*[\"\\x27]refresh[\"\\x27][^>]*content\\s*=\\s*[\"\\x27]\\s*([0-9]+)', 1), '') AS INT) > 0", "'critical'", "'meta[http-equiv=''refresh'']'")),
@@ -171,7 +173,7 @@ RULES = [
     Rule("video-caption", "1.2.2", "A", "Video without captions", "SELECT e.page_id, e.pos, 'critical' AS severity, CASE WHEN coalesce(e.a_src, '') = '' THEN 'video' ELSE concat('video[src*=', chr(39), substring(e.a_src, 1, 50), chr(39), ']') END AS element_selector FROM {elements} e LEFT JOIN {elements} k ON k.page_id = e.page_id AND k.tag = 'track' AND lower(k.a_kind) IN ('captions', 'subtitles') AND k.pos > e.pos AND k.pos < e.end_pos WHERE e.tag = 'video' AND k.pos IS NULL"),
     Rule("meta-viewport-scale", "1.4.4", "AA", "Zooming is limited", """SELECT page_id, -1 AS pos, 'critical' AS severity, 'meta[name=''viewport'']' AS element_selector FROM {record} WHERE HAS(replace(lower(viewport), ' ', ''), RX'user-scalable=(no|0)') UNION ALL
         SELECT page_id, -1, 'major', 'meta[name=''viewport'']' FROM {record} WHERE TRY_CAST(regexp_extract(replace(lower(viewport), ' ', ''), RX'maximum-scale=([0-9.]+)', 1) AS DOUBLE) < 2"""),
-    Rule("input-autocomplete", "1.3.5", "AA", "Field does not name its purpose", f"SELECT page_id, pos, 'major' AS severity, element_selector FROM (SELECT page_id, pos, concat('input[name=', chr(39), coalesce(a_name, ''), chr(39), ']') AS element_selector, {_COMBINED} AS said FROM {{elements}} WHERE tag = 'input' AND lower(a_type) IN ('text', 'email', 'tel', 'url', 'password', 'search') AND coalesce(trim(a_autocomplete), '') IN ('', 'off')) i WHERE {PURPOSE} IS NOT NULL"),
+    Rule("input-autocomplete", "1.3.5", "AA", "Field does not name its purpose", f"SELECT page_id, pos, 'major' AS severity, element_selector FROM (SELECT page_id, pos, concat('input[name=', chr(39), coalesce(a_name, ''), chr(39), ']') AS element_selector, {_COMBINED} AS said FROM {{elements}} WHERE {FIELD}) i WHERE {PURPOSE} IS NOT NULL"),
     Rule("lang-parts-valid", "3.1.2", "AA", "Passage with an unknown language code", _element(f"a_lang IS NOT NULL AND tag <> 'html' AND {_PRIMARY.format('a_lang')} <> '' AND {_PRIMARY.format('a_lang')} NOT IN ({_LANG_OK})", "'minor'")),
     Rule("text-spacing", "1.4.12", "AA", "Text spacing is locked", f"SELECT r.page_id, -1 AS pos, 'major' AS severity, p.prop AS element_selector FROM {{record}} r JOIN ({_SPACING}) p ON HAS(lower(r.html), {_PROP})"),
     Rule("aria-live-region", "4.1.3", "AA", "Live region contradicts its role", """SELECT page_id, pos, 'minor' AS severity, a_role AS element_selector FROM {elements} WHERE (a_role = 'alert' AND a_aria_live <> 'assertive') OR (a_role = 'status' AND a_aria_live <> 'polite') UNION ALL
@@ -287,6 +289,13 @@ def audit(spark: SparkSession, pages: DataFrame, elements: DataFrame, level: str
     return issues
 
 
+def expected_purposes(elements: DataFrame) -> DataFrame:
+    """(page_id, pos, expected, recommendation) of the fields that don't name their purpose, with the autocomplete word that their names call for."""
+    fields = elements.selectExpr("page_id", "pos", f"{_COMBINED} AS said", f"({render(FIELD, 'spark')}) AS judged")
+    found = fields.where("judged").select("page_id", "pos", F.expr(render(PURPOSE, "spark")).alias("expected")).where("expected IS NOT NULL")
+    return found.withColumn("recommendation", F.format_string("Say autocomplete=\"%s\" on this field.", "expected"))
+
+
 def with_texts(spark: SparkSession, issues: DataFrame) -> DataFrame:
     """Adds title, recommendation, detected_by and confidence from the catalogue."""
     rows = [(r.rule_id, r.title, f"See success criterion {r.criterion} (level {r.level}).") for r in [*RULES, FOCUS_RULE, *_OWN]]

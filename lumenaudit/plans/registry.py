@@ -105,6 +105,15 @@ for _r in rules.RULES:
     add(f"r_{_r.rule_id.replace('-', '_')}", _run, f"{FULL} {rules.duck_rule(_r)}")
 
 
+add(
+    "r37_expected",
+    lambda s, d: rules.expected_purposes(elements(s, d)),
+    f"""{PRE}, f AS (SELECT page_id, pos, concat(lower(coalesce(nullif(a_name, ''), a_id, '')), ' ', lower(coalesce(a_placeholder, '')), ' ', lower(coalesce(a_aria_label, ''))) AS said FROM elements
+  WHERE tag = 'input' AND lower(a_type) IN ('text', 'email', 'tel', 'url', 'password', 'search') AND coalesce(trim(a_autocomplete), '') IN ('', 'off')),
+ g AS (SELECT page_id, pos, {rules.render(rules.PURPOSE, 'duck')} AS expected FROM f) SELECT *, 'Say autocomplete="' || expected || '" on this field.' AS recommendation FROM g WHERE expected IS NOT NULL""",
+)
+
+
 # A rule of one's own that fails on some pages: the scale of a viewport must be 2 at least
 def _scale(page: list[dict]):
     for e in page:
@@ -258,14 +267,35 @@ def _first_sql(words: list[str]) -> str:
     return "CASE " + " ".join(f"WHEN contains(path, '{w}') THEN '{w}'" for w in words) + " END"
 
 
+_SKIPPED_SQL = f" WHERE NOT regexp_matches(path, '\\.({'|'.join(V.SKIPPED_SUFFIXES)})$')"
 _RANK = f"""{graphs.LINKS_SQL}, c AS (SELECT page_id, pos, link AS url, (page_id % 6)::INTEGER AS depth, page_id % 2 = 0 AS parent_has_forms, page_id % 3 = 0 AS parent_has_issues, lower(regexp_extract(link, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)) AS path FROM site_links),
- w AS (SELECT *, {_first_sql(V.HIGH_PRIORITY)} AS hi, {_first_sql(V.MEDIUM_PRIORITY)} AS mid, {_first_sql(V.LOW_PRIORITY)} AS lo, 10.0::DOUBLE * depth / 5 AS penalty FROM c WHERE NOT regexp_matches(path, '\\.({"|".join(V.SKIPPED_SUFFIXES)})$')),
+ w AS (SELECT *, {_first_sql(V.HIGH_PRIORITY)} AS hi, {_first_sql(V.MEDIUM_PRIORITY)} AS mid, {_first_sql(V.LOW_PRIORITY)} AS lo, 10.0::DOUBLE * depth / 5 AS penalty FROM c{_SKIPPED_SQL}),
  x AS (SELECT page_id, pos, url, depth, parent_has_forms, parent_has_issues, round(greatest(0.0, least(100.0, 50.0 + (hi IS NOT NULL)::INT * 30.0 + (mid IS NOT NULL)::INT * 15.0 - (lo IS NOT NULL)::INT * 20.0 - penalty + parent_has_forms::INT * 15.0 + parent_has_issues::INT * 10.0 - greatest(0.0, (length(url) - 100) * 0.1)))::DOUBLE, 6) AS score,
   coalesce(nullif(concat_ws('; ', 'High-priority pattern: ' || hi, 'Medium-priority pattern: ' || mid, 'Low-priority pattern: ' || lo, CASE WHEN penalty > 5 THEN format('Depth penalty: -{{:.1f}}', penalty) END, CASE WHEN parent_has_forms THEN 'Parent has forms' END, CASE WHEN parent_has_issues THEN 'Parent had a11y issues' END), ''), 'Default priority') AS reason FROM w)
  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos)::INTEGER AS rank FROM x"""
 add("l3_rank", lambda s, d: frontier.rank(_candidates(s, d), 5), _RANK)
 
 
+def _prioritised(s: SparkSession, d: str) -> DataFrame:
+    """All links, skipped ones too, with the score that their page's forms and level A issues give them."""
+    p = rich(s, d).select("page_id", "html")
+    e = stored(markup.elements(p), "elements")
+    has = lambda df, name: df.select("page_id").distinct().withColumn(name, F.lit(True))
+    links = _candidates(s, d).select("page_id", "pos", "url", "depth")
+    links = links.join(has(e.where("tag = 'form'"), "parent_has_forms"), "page_id", "left").join(has(rules.audit(s, p, e, "A"), "parent_has_issues"), "page_id", "left")
+    return frontier.prioritise(links.na.fill(False, ["parent_has_forms", "parent_has_issues"]), 5)
+
+
+add(
+    "l2_priority",
+    _prioritised,
+    _RANK.replace("page_id % 2 = 0 AS parent_has_forms", f"page_id IN (SELECT page_id FROM ({PRE} SELECT page_id FROM elements WHERE tag = 'form')) AS parent_has_forms")
+    .replace("page_id % 3 = 0 AS parent_has_issues", f"page_id IN (SELECT page_id FROM ({_audit_sql('A')} SELECT page_id FROM every)) AS parent_has_issues")
+    .replace(_SKIPPED_SQL, "")
+    .replace(", row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos)::INTEGER AS rank", ""),
+)
+
+
 graphs.graph_queries(graphs.edges_sql(_first_sql, V))
 QUERIES |= graphs.QUERIES
 ORACLES |= graphs.ORACLES
@@ -288,6 +318,18 @@ def _replies(s: SparkSession, d: str) -> DataFrame:
 
 
 add("m1_parse_replies", lambda s, d: findings.normalise(findings.parse(_replies(s, d))).select("page_id", "detected_by", "rule_id", "wcag_criterion", "wcag_level", "severity", "element_selector", "confidence"), f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END AS detected_by, 'ai-detection' AS rule_id, {_CRITERION} AS wcag_criterion, 'A' AS wcag_level, {_READ} AS severity, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector, 0.5::DOUBLE AS confidence FROM pages WHERE page_id % 3 < 2")
+def _normalised(s: SparkSession, d: str) -> DataFrame:
+    """How many findings of each severity as said and as read, with what is filled in."""
+    said = findings.parse(_replies(s, d)).withColumn("said", F.col("severity"))
+    return findings.normalise(said).groupBy("said", "severity", "wcag_level", "rule_id", "wcag_criterion").agg(F.count(F.lit(1)).alias("n"))
+
+
+add(
+    "m4_severities",
+    _normalised,
+    f"""SELECT said, read AS severity, 'A' AS wcag_level, 'ai-detection' AS rule_id, {_CRITERION} AS wcag_criterion, count(*) AS n FROM pages JOIN (VALUES (0, 'critical', 'critical'), (1, 'major', 'major'), (2, 'minor', 'minor'), (3, 'info', 'info'),
+ (4, 'serious', 'major'), (5, 'moderate', 'minor'), (6, 'high', 'critical'), (7, 'low', 'minor'), (8, 'medium', 'major'), (9, 'odd', 'minor')) AS v(k, said, read) ON k = page_id % 10 WHERE page_id % 3 < 2 GROUP BY ALL""",
+)
 add("m2_unseen_vision", lambda s, d: (lambda f: findings.drop_known(f.where("detected_by = 'vision_ai'"), elements(s, d).where("tag = 'img'").select("page_id", F.col("tag").alias("element_selector"))))(findings.parse(_replies(s, d))).select("page_id", "element_selector"), f"{PRE} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector FROM pages p WHERE page_id % 3 < 2 AND page_id % 2 = 1 AND NOT (page_id % 5 = 0 AND EXISTS (SELECT 1 FROM elements e WHERE e.page_id = p.page_id AND e.tag = 'img'))")
 
 _FOUND = f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ai' ELSE 'vision_ai' END AS detected_by, {_CRITERION} AS wcag_criterion, 'A' AS wcag_level, {_READ} AS severity, CASE WHEN page_id % 5 = 0 THEN 'img' ELSE 'p' END AS element_selector FROM pages WHERE page_id % 3 < 2"

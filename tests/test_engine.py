@@ -157,3 +157,13 @@ def test_frontier_order(spark):
     edges = [("s", str(a), str(b), 50.0, place) for a, place, b in [(0, 0, 1), (0, 1, 2), (1, 0, 3), (2, 0, 3), (2, 1, 4), (3, 0, 5)]]
     got = frontier.expand(spark.createDataFrame([("s", "0", 0)], "site string, node string, place long"), spark.createDataFrame(edges, "site string, src string, dst string, score double, place int"), 5, 5)
     assert {r["node"]: (r["depth"], r["parent"], r["nth"]) for r in got.collect()} == {"0": (0, None, 1), "1": (1, "0", 2), "2": (1, "0", 3), "3": (2, "1", 4), "4": (2, "2", 5)}
+
+
+def test_expected_purposes(spark):
+    """The word that a field's name, placeholder and label call for; fields that say one, or that take nothing personal, have none."""
+    said = {"<input type=email name=contact_e-mail>": "email", "<input type=text name=q placeholder='Post-code or postal code'>": "postal-code", "<input type=text aria-label='Birth date'>": "bday",
+            "<input type=text name=email autocomplete=email>": None, "<input type=checkbox name=email>": None, "<input type=tel name=n autocomplete=off id=mobile>": None, "<input type=password id=login_secret>": "username"}
+    pages = spark.createDataFrame(list(enumerate(said)), "page_id long, html string")
+    got = {r["page_id"]: (r["expected"], r["recommendation"]) for r in rules.expected_purposes(markup.elements(pages)).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: w for i, w in enumerate(said.values()) if w}
+    assert got[0][1] == 'Say autocomplete="email" on this field.'
