@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit.functions import urls
 from lumenaudit.operators import components, dedup, findings, frontier, store
+from lumenaudit.sources import stored
 from lumenaudit.streaming import progress
 
 # The examples of RFC 3986, 5.4, against http://a/b/c/d;p?q.
@@ -207,3 +208,9 @@ def test_reports_as_lines_and_quality(spark, tmp_path):
     runs = spark.createDataFrame([(3, 4, 60), (1, 1, 20)], "pages_tested long, pages_reachable long, seconds long")
     got = {(r.rule_id, r.detected_by): (r.found, r.matched, r.labelled, r.precision, r.recall, r.false_positive_rate, r.page_coverage, r.seconds_per_page) for r in report.quality(found, labels, runs).collect()}
     assert got == {("r", "rule"): (2, 1, 2, 0.5, 0.5, 0.5, 0.8, 20.0), ("r", "ai"): (1, 1, 2, 1.0, 0.5, 0.0, 0.8, 20.0), ("s", "none"): (0, 0, 1, None, 0.0, None, 0.8, 20.0)}
+
+
+def test_stored_rows_are_not_broadcast_for_their_small_files(spark):
+    rows = lambda name: stored.stored(spark.range(600_000).select((F.col("id") / 1000).cast("long").alias("page_id"), F.lit(1).alias("n")), name)
+    joined = rows("a").join(rows("b").withColumnRenamed("n", "m"), "page_id")  # some KB of files, 600,000 rows
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
