@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit.functions import urls
 from lumenaudit.operators import components, dedup, findings, frontier, store
+from lumenaudit.plans import graphs
 from lumenaudit.sources import stored
 from lumenaudit.streaming import progress
 
@@ -214,3 +215,15 @@ def test_stored_rows_are_not_broadcast_for_their_small_files(spark):
     rows = lambda name: stored.stored(spark.range(600_000).select((F.col("id") / 1000).cast("long").alias("page_id"), F.lit(1).alias("n")), name)
     joined = rows("a").join(rows("b").withColumnRenamed("n", "m"), "page_id")  # some KB of files, 600,000 rows
     assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_upserted_pages_of_one_url_stay_apart(spark, tmp_path):
+    import duckdb
+
+    pages = spark.createDataFrame([(i, "http://h/same" if i % 10 == 1 else f"http://h/{i}", "x" * i) for i in range(60)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = graphs.QUERIES["s2_upsert"](spark, str(tmp_path)).select("task_id", "url", "status", "size").collect()
+    text = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert text(got) == text(con.sql(graphs.ORACLES["s2_upsert"]).fetchall())
