@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import urls
-from lumenaudit.operators import components, dedup, findings, frontier, store
+from lumenaudit.operators import components, dedup, findings, frontier, rules, store
 from lumenaudit.plans import graphs
 from lumenaudit.sources import stored
 from lumenaudit.streaming import progress
@@ -227,3 +227,12 @@ def test_upserted_pages_of_one_url_stay_apart(spark, tmp_path):
     got = graphs.QUERIES["s2_upsert"](spark, str(tmp_path)).select("task_id", "url", "status", "size").collect()
     text = lambda rows: sorted(map(str, map(tuple, rows)))
     assert text(got) == text(con.sql(graphs.ORACLES["s2_upsert"]).fetchall())
+
+
+def test_own_rules_judge_whole_sorted_pages(spark):
+    seen = lambda page: [("minor", ",".join(str(e["pos"]) for e in page), len(page)), ("info", str({type(e["tag"]).__name__ for e in page} | {str(e["a_id"]) for e in page}), page[0]["pos"])]
+    e = spark.range(30_000).select((F.col("id") % 3).alias("page_id"), F.col("id").cast("int").alias("pos"), F.lit("p").alias("tag"), F.lit(None).cast("string").alias("a_id"))
+    got = rules.run_rule(spark, rules.Rule("own", "1", "A", "t", check=seen), {"elements": e}).collect()
+    assert len(got) == 6 and {(r.page_id, r.pos) for r in got} == {(p, n) for p in range(3) for n in (10_000, p)}
+    assert all(r.element_selector == (",".join(map(str, range(r.page_id, 30_000, 3))) if r.severity == "minor" else r.element_selector) for r in got)
+    assert {r.element_selector for r in got if r.severity == "info"} <= {"{'str', 'None'}", "{'None', 'str'}"}
