@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .shared import lean, lean_group, pack, small_batches, table_path, text_byte
 
 FILE = 8 << 20
 END = 2
-#: Text encoded at once (bytes), and stretches a worker remembers before it starts a new list beside the last one; results don't depend on them.
+#: Text encoded at once (bytes), and units a worker remembers (and ids, eight times as many) before it forgets those that it hasn't met for longest; results don't depend on them.
 ENCODE, REMEMBER = 4 << 20, 300_000
 #: Files whose sizes are added up in one task.
 BLOCK = 4096
@@ -53,8 +54,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The numbers again, by table lookup of the control bytes."""
-    size = _SIZES[control].reshape(-1)[:n].astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+    size = _SIZES[control].reshape(-1)[:n]
+    at = np.cumsum(size, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    at -= size
     out = np.zeros(n, np.uint32)
     for j in range(4):
         i = np.flatnonzero(size > j) if j else slice(None)
@@ -64,20 +66,33 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class _Words:
-    """Ids of white-space-free stretches of text, by the tokenizers library, remembered within a worker.
+#: Kinds of bytes: white space that parts stretches, letters, digits, what is neither, and what the vectorised steps leave to the library.
+_GAP, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[[32, 10]] = _GAP
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 
-    Only the space and the line feed part stretches here: every tokenizer that drops white space
-    gives a text's ids as those of its stretches, one after another. Where the tokenizer lower-cases
-    and first splits by _SPLIT (`splits`), a Latin stretch's ids are in turn those of its parts. New
-    parts are encoded many at a time, as one text; tokens that end a part carry the vocabulary's end
-    mark, and where there aren't as many of them as parts, the parts are encoded one by one.
+class _Words:
+    """Ids of text by the tokenizers library, remembered within a worker for each of its units.
+
+    Only the space and the line feed part stretches: every tokenizer that drops white space gives a
+    text's ids as those of its stretches, one after another. Where the tokenizer lower-cases and
+    first splits by _SPLIT (`splits`), a Latin stretch's ids are in turn those of its parts, so parts
+    are the units; another stretch is one unit. Texts are cut into units by whole arrays of bytes.
+    New parts are encoded many at a time, as one text; tokens that end a part carry the vocabulary's
+    end mark, and where there aren't as many of them as parts, the parts are encoded one by one.
     """
 
     #: Characters that no normal form changes, that lower-case one to one, and aren't white space.
-    _LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+    _LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]+")
+    _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int):
         import json
         import os
 
@@ -87,117 +102,163 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.older: tuple[dict, dict] = ({}, {})
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         said = json.dumps([made.get("normalizer"), made.get("pre_tokenizer")])
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         mark = made["model"].get("end_of_word_suffix")
-        self.splits = bool(mark) and json.dumps(pattern) in said and '"Lowercase"' in said
-        self.find = regex.compile(pattern).findall
+        self.splits = bool(mark) and json.dumps(self._SPLIT) in said and '"Lowercase"' in said
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        top = max(*vocabulary.values(), end)
+        self.ends = np.zeros(top + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
-
-    def _single(self, texts: list[str]) -> list[bytes]:
-        return [pack(np.array(e.ids, np.uint32)) for a in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
-
-    def _learn_parts(self, parts: list[str]) -> None:
+        #: Kinds and small letters of the characters of two bytes.
+        self.kinds, self.small = np.full(0x800, _ODD, np.uint8), np.arange(0x800, dtype=np.uint16)
+        for c in filter(self._LATIN.fullmatch, map(chr, range(0x80, 0x800))):
+            self.kinds[ord(c)] = _LETTER if regex.match(r"\p{L}", c) else _DIGIT if regex.match(r"\p{N}", c) else _OTHER
+            self.small[ord(c)] = ord(c.lower())
+        #: Units by their place in the order of learning; their ids one after another, where each one's start, how many they are, and when they were last asked for. The end id is the empty unit's.
+        self.known: dict[bytes, int] = {b"": 0}
+        self.flat = np.array([end], np.uint16 if top < 1 << 16 else np.uint32)
+        self.at, self.size, self.last, self.turn = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64), 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.flat.dtype) for a in range(0, len(texts), 200) for e in self.tokenizer.encode_batch_fast(texts[a : a + 200], add_special_tokens=False)]
+
+    def _learn(self, parts: list[bytes], stretches: list[bytes]) -> None:
+        ids, sizes = [], []
         chunks = [parts[a : a + 100] for a in range(0, len(parts), 100)]
-        for a in range(0, len(chunks), 200):
-            some = chunks[a : a + 200]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(c) for c in some], add_special_tokens=False)):
-                ids = np.array(e.ids, np.uint32)
-                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-                if len(cuts) == len(chunk) and cuts[-1] == 4 * len(ids):
-                    raw = ids.tobytes()
-                    self.parts.update((p, raw[x:y]) for p, x, y in zip(chunk, [0, *cuts], cuts))
-                else:
-                    self.parts.update(zip(chunk, self._single(chunk)))
-
-    def _learn(self, words: list[bytes]) -> None:
-        single, single_texts, whole, whole_texts, split, split_parts = [], [], [], [], [], []  # plain lists: tuples would be garbage to track
-        latin, find, splits = self._LATIN.fullmatch, self.find, self.splits
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            if not splits or not latin(t) or "<|" in t:
-                single.append(w)
-                single_texts.append(t)
-            elif t.isalpha():
-                whole.append(w)
-                whole_texts.append(t.lower())
+        for chunk, got in zip(chunks, self._encode([b" ".join(c).decode() for c in chunks])):
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) == len(chunk) and cuts[-1] == len(got):
+                ids.append(got)
+                sizes.append(np.diff(cuts, prepend=0))
+            else:
+                some = self._encode([p.decode() for p in chunk])
+                ids += some
+                sizes.append(np.array([len(x) for x in some]))
+        some = self._encode([w.decode("utf-8", "replace") for w in stretches])
+        size = np.concatenate([*sizes, np.array([len(x) for x in some], np.int64)])
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.flat = np.concatenate([self.flat, *ids, *some])
+        self.size = np.concatenate([self.size, size])
+        self.last = np.concatenate([self.last, np.zeros(len(size), np.int64)])
+        n = len(self.known)
+        self.known.update(zip(parts, range(n, n + len(parts))))
+        self.known.update(zip(stretches, range(n + len(parts), n + len(size))))
+
+    def _forget(self) -> None:
+        """Keeps the units that were asked for last, within half of what may be remembered."""
+        latest = np.argsort(-self.last, kind="stable")[: REMEMBER // 2]
+        keep = np.zeros(len(self.last), bool)
+        keep[latest[np.cumsum(self.size[latest]) <= 4 * REMEMBER]] = keep[0] = True
+        units = [u for u, k in zip(self.known, keep.tolist()) if k]
+        self.known = dict(zip(units, range(len(units))))
+        self.flat = self.flat[np.repeat(keep, self.size)]
+        self.size, self.last = self.size[keep], self.last[keep]
+        self.at = np.cumsum(self.size) - self.size
+
+    def look_up(self, units: list[bytes], odd: bool) -> np.ndarray:
+        """Places of the (distinct) units. odd: some may be whole stretches."""
+        if len(self.known) > REMEMBER or len(self.flat) > 8 * REMEMBER:
+            self._forget()
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [units[i] for i in missing.tolist()]
+            if odd or not self.splits:
+                part = np.array([self.splits and b"<|" not in u and bool(self._LATIN.fullmatch(u.decode("utf-8", "replace"))) for u in new])
+                missing = np.concatenate([missing[part], missing[~part]])
+                new, rest = [units[i] for i in missing[: part.sum()].tolist()], [units[i] for i in missing[part.sum() :].tolist()]
             else:
-                split.append(w)
-                split_parts.append(find(t.lower()))
-        need = set(whole_texts).union(*split_parts).difference(self.parts)
-        if self.older[1]:
-            back = {p: x for p in need if (x := self.older[1].get(p)) is not None}
-            self.parts.update(back)
-            need.difference_update(back)
-        self._learn_parts(list(need))
-        part = self.parts.__getitem__
-        self.known.update(zip(whole, map(part, whole_texts)))
-        self.known.update((w, b"".join(map(part, ps))) for w, ps in zip(split, split_parts))
-        self.known.update(zip(single, self._single(single_texts)))
-
-    def look_up(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each of the (distinct) stretches, as packed numbers."""
-        if len(self.known) > REMEMBER:
-            self.older, self.known, self.parts = (self.known, self.parts), {}, {}
-        coded = list(map(self.known.get, words))
-        missing = [i for i, x in enumerate(coded) if x is None]
-        if missing:
-            new = [words[i] for i in missing]
-            if self.older[0]:
-                back = {w: x for w, x in zip(new, map(self.older[0].get, new)) if x is not None}
-                self.known.update(back)
-                new = [w for w in new if w not in back]
-            self._learn(new)
-            for i in missing:
-                coded[i] = self.known[words[i]]
-        return coded
-
-    def ids(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents one after another, each with `end`, and how many each has."""
-        solid = (data != 32) & (data != 10)
-        before = np.zeros(len(data) + 1, bool)
-        before[1:] = solid
-        before[offsets] = False
-        starts = np.flatnonzero(solid & ~before[:-1])
+                rest = []
+            place[missing] = np.arange(len(self.known), len(self.known) + len(missing))
+            self._learn(new, rest)
+        self.turn += 1
+        self.last[place] = self.last[0] = self.turn
+        return place
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """The text with small letters where they make no difference, which bytes belong to a unit and which begin one, and whether some units are whole stretches."""
+        n = len(data)
+        raw = bytearray(data)
+        text, kind = np.frombuffer(raw.translate(_LOWER.tobytes()), np.uint8), np.frombuffer(raw.translate(_KIND.tobytes()), np.uint8)
+        doc = np.zeros(n + 1, bool)
+        doc[offsets] = True
+        doc = doc[:-1]
+        begin = np.ones(n, bool)
+        high = np.flatnonzero(data >= 0x80)
+        first = high[:-1][np.diff(high) == 1]
+        first = first[(data[first] >= 0xC2) & (data[first] < 0xE0) & (data[first + 1] < 0xC0) & ~doc[first + 1]]
+        code = (data[first] & 31).astype(np.uint16) << 6 | data[first + 1] & 63
+        kind[first] = kind[first + 1] = self.kinds[code]
+        text[first], text[first + 1] = 0xC0 | self.small[code] >> 6, 0x80 | self.small[code] & 63
+        np.not_equal(kind[1:], kind[:-1], out=begin[1:])
+        begin |= kind == _DIGIT
+        begin[first + 1] = False
+        solid = kind != _GAP
+        begin |= doc
+        begin &= solid
+        # 's, 't, 'm, 'd, 're, 've and 'll, where the apostrophe begins a part, end one after their letters
+        mark = np.flatnonzero(data == 39)
+        mark = mark[begin[mark] & (mark + 1 < n)]
+        mark = mark[~doc[mark + 1]]
+        then = np.minimum(mark + 2, n - 1)
+        a, b = text[mark + 1], np.where((mark + 2 < n) & ~doc[then], text[then], 0)
+        short = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        long = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+        begin[mark[short | long] + 1] = False
+        after = np.concatenate([mark[short] + 2, mark[long] + 3])
+        after = after[after < n]
+        begin[after[kind[after] == _LETTER]] = True
+        odd = kind == _ODD if self.splits else solid.copy()
+        pipe = np.flatnonzero(data == 124)
+        pipe = pipe[pipe > 0]
+        odd[pipe[(data[pipe - 1] == 60) & ~doc[pipe]]] = True
+        if not odd.any():
+            return text, solid, begin, False
+        stretch = solid.copy()
+        stretch[1:] &= ~solid[:-1] | doc[1:]
+        start = np.flatnonzero(stretch)
+        whole = np.logical_or.reduceat(odd, start)
+        inside = np.zeros(n, bool)
+        inside[start[0] :] = np.repeat(whole, np.diff(start, append=n))
+        begin &= ~inside
+        begin[start[whole]] = True
+        return np.where(inside, data, text), solid, begin, True
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents one after another, each with the end id, and how many each has."""
+        text, solid, begin, odd = self._units(data, offsets)
+        starts = np.flatnonzero(begin)
         place = np.cumsum(solid, dtype=np.int32)
         edges = np.append(place[starts] - 1, place[-1] if len(place) else 0).astype(np.int32)
-        stretches = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[solid]))]).dictionary_encode()
-        coded = [*self.look_up(stretches.dictionary.to_pylist()), pack(np.array([end], np.uint32))]
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(text[solid])]).dictionary_encode()
+        place = np.append(self.look_up(units.dictionary.to_numpy(zero_copy_only=False).tolist(), odd), 0)
         many = np.diff(np.searchsorted(starts, offsets))
-        # the end id is one more stretch after each document's last
-        each = np.insert(stretches.indices.to_numpy(), np.cumsum(many), len(coded) - 1)
-        long = size[each]
+        # the end id is one more unit after each document's last
+        each = np.insert(units.indices.to_numpy(), np.cumsum(many), len(place) - 1)
+        long = self.size[place][each]
         ends = np.cumsum(long)
-        kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
-        at = np.repeat(((np.cumsum(size) - size)[each] - (ends - long)).astype(kind), long)
+        kind = np.int32 if max(len(self.flat), ends[-1]) < 1 << 31 else np.int64
+        at = np.repeat((self.at[place][each] - (ends - long)).astype(kind), long)
         at += np.arange(len(at), dtype=kind)
         last = np.cumsum(many + 1)
-        return flat[at], np.add.reduceat(long, last - many - 1)
+        return self.flat[at], np.add.reduceat(long, last - many - 1)
 
 
-_WORKER: dict[str, _Words] = {}
+_WORKER: dict[tuple[str, int], _Words] = {}
 
 
 def _encoded(path: str, end: int):
     def run(batches):
-        words = _WORKER.get(path) or _WORKER.setdefault(path, _Words(path))
+        words = _WORKER.get((path, end)) or _WORKER.setdefault((path, end), _Words(path, end))
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in pieces(offsets, ENCODE):
-                ids, many = words.ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
-                kind = np.uint16 if ids.max() < 1 << 16 else np.uint32
-                width = np.dtype(kind).itemsize
+                ids, many = words.ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                width = ids.dtype.itemsize
                 edges = (width * np.concatenate([[0], np.cumsum(many)])).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges), pa.py_buffer(ids.astype(kind))])
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column("file")[a:b], batch.column("doc_id")[a:b], pa.array(np.full(b - a, width), pa.int32()), packed], names=["file", "doc_id", "width", "ids"])
 
     return run
@@ -208,7 +269,7 @@ def _write(key: Key, table: pa.Table) -> pa.Table:
     raw = [x.as_py() for x in table.column("ids")]
     width = table.column("width").to_pylist()
     order = sorted(range(len(doc)), key=lambda i: (_LAST if doc[i] is None else doc[i], doc[i] is None, raw[i]))
-    ids = [np.frombuffer(raw[i], np.uint16 if width[i] == 2 else np.uint32).astype(np.int64) for i in order]
+    ids = [np.frombuffer(raw[i], np.uint16 if width[i] == 2 else np.uint32) for i in order]
     flat = np.concatenate(ids)
     count = np.bincount(flat)
     ranked = np.lexsort((np.arange(len(count)), -count))[: np.count_nonzero(count)]

@@ -217,6 +217,58 @@ def test_token_files(spark, rows, tmp_path):
     assert (tokenfile.decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(values)) == values).all()
 
 
+def _token_ids(texts: list[str | bytes | None]) -> list[list[int]]:
+    import public_tokenizers
+
+    text = pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int64()), pa.array(range(len(texts)), pa.int64()), text], names=["file", "doc_id", "text"])
+    got = tokenfile._encoded(public_tokenizers.path("word_bpe_49k.json"), 2)([batch])
+    return [np.frombuffer(x.as_buffer(), f"<u{w}").tolist() for b in got for x, w in zip(b.column("ids"), b.column("width").to_pylist())]
+
+
+def test_token_ids_of_odd_texts_match_the_library(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    some = "a b S t re VE ll m d l r e x9 12 é É ß Ä Ÿ ŉ ǅ Ƀ Ⱥ Ⱦ ɏ İ ı × ÷ ª º ² ³ ½ ¡ ¿ « » § \u00ad \u00a0 \u0085 \u0301 ' ' ' '' 's 'LL . , !! - _ < | <| <|endoftext|> |> \t \r \x1c \x7f \x00 \u2019 \u2028 ж 漢字 😀 Σ ς \u212a".split(" ")
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice([*some, " ", " ", "\n"], rng.integers(0, 30))) for _ in range(3000)]
+    texts += ["'s", "s", "'", "s", "<", "|endoftext|>", "é", "'r", "e", " ", "\n\n", "", None, "don't WE'LL I'M they've 'really ''s 's's x'²"]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    for remember, encode in ((tokenfile.REMEMBER, tokenfile.ENCODE), (50, 2000)):
+        monkeypatch.setattr(tokenfile, "REMEMBER", remember)
+        monkeypatch.setattr(tokenfile, "ENCODE", encode)
+        monkeypatch.setattr(tokenfile, "_WORKER", {})
+        assert _token_ids(texts) == want
+    broken = [b"caf\xc3 \xa9 x\xc3\xa9\xa9 \xe2\x80", b"\xa9 \xe2\x80\xc3\xa9 \xff", b"A\xc3", b"\x89B"]
+    want = [[*t.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, 2] for x in broken]
+    assert _token_ids(broken) == want
+
+
+def test_token_ids_take_no_step_a_word(monkeypatch):
+    """Words that are met once are cut and looked up by whole arrays, not one by one."""
+    import sys
+
+    monkeypatch.setattr(tokenfile, "_WORKER", {})
+    _token_ids(["to load the tokenizer"])
+    rng = np.random.default_rng(6)
+    stems = ["".join(map(chr, 97 + rng.integers(0, 26, 7))) for _ in range(5000)]
+    text = " ".join(f"{x}{y}" for y in (".", ",", "'s", "é", "-It") for x in stems)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        _token_ids([text])
+    finally:
+        sys.setprofile(None)
+    assert calls < 25_000 / 4
+
+
 def test_pieces_match_the_library(spark, rows):
     import sentencepiece
 
